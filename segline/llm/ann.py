@@ -62,43 +62,46 @@ def _scan(index: Index, ids, vectors, q_ids, queries, bar_score, bar_id, k: int,
 
     Rotated columns are read in blocks. After each, a candidate goes if its partial distance, scaled to all
     dimensions, exceeds the bar's by the factor (1 + slack / sqrt(d))^2: the test that its true distance
-    is below the bar is rejected. What remains is scored on the original vectors in double precision.
+    is below the bar is rejected. The first block is one matrix product for all pairs; later ones read the
+    pairs that are still alive. What remains is scored on the original vectors in double precision.
     """
-    rotated = index.lift(vectors)
-    turned = index.turn(queries)
-    length = np.einsum("ij,ij->i", turned, turned)
-    width = index.width
+    rotated, turned, width = index.lift(vectors), index.turn(queries), index.width
+    with np.errstate(invalid="ignore"):
+        far = np.einsum("ij,ij->i", turned, turned) + index.norm**2 - 2 * bar_score  # squared distance of the bar
     edges = [*range(0, width, BLOCK), width]
-    out = []
-    for j, q in enumerate(turned):
-        bar = bar_score[j]
-        live = np.arange(len(ids))
-        if np.isfinite(bar):
-            far = length[j] + index.norm**2 - 2 * bar  # squared distance of the bar
-            part = np.zeros(len(ids))
-            for a, b in zip(edges, edges[1:], strict=False):
-                gap = rotated[live, a:b] - q[a:b]
-                part = part + np.einsum("ij,ij->i", gap, gap)
-                keep = part * (width / b) <= far * (1 + slack / b**0.5) ** 2 + 1e-9 if b < width else part <= far * (1 + 1e-9) + 1e-9
-                live, part = live[keep], part[keep]
-                if not len(live):
-                    break
-        live = live[ids[live] != q_ids[j]]
-        if not len(live):
-            continue
-        score = (vectors[live] * queries[j]).sum(axis=1)
-        better = (score > bar) | ((score == bar) & (ids[live] <= bar_id[j]))
-        live, score = live[better], score[better]
-        best = np.lexsort((ids[live], -score))[:k]
-        out.append(pd.DataFrame({"query_id": q_ids[j], "vec_id": ids[live][best], "score": score[best]}))
-    return pd.concat(out) if out else pd.DataFrame({"query_id": np.empty(0, np.int64), "vec_id": np.empty(0, np.int64), "score": np.empty(0)})
+    first = rotated[:, :BLOCK]
+    first_norm = np.einsum("ij,ij->i", first, first)
+    limit = lambda d: (1 + slack / d**0.5) ** 2 * d / width if d < width else 1 + 1e-9
+    found = []
+    for at in range(0, len(q_ids), 128):
+        q = turned[at : at + 128]
+        head = q[:, :BLOCK]
+        part = np.maximum(0, np.einsum("ij,ij->i", head, head)[:, None] + first_norm - 2 * head @ first.T)
+        d = min(BLOCK, width)
+        i, c = np.nonzero(part <= (far[at : at + 128] * limit(d) + 1e-9)[:, None])
+        part = part[i, c]
+        for a, b in zip(edges[1:], edges[2:], strict=False):
+            gap = rotated[c, a:b] - q[i, a:b]
+            part = part + np.einsum("ij,ij->i", gap, gap)
+            keep = part <= far[at + i] * limit(b) + 1e-9
+            i, c, part = i[keep], c[keep], part[keep]
+        i = i + at
+        score = (vectors[c] * queries[i]).sum(axis=1)
+        better = (ids[c] != q_ids[i]) & ((score > bar_score[i]) | ((score == bar_score[i]) & (ids[c] <= bar_id[i])))
+        i, c, score = i[better], c[better], score[better]
+        order = np.lexsort((ids[c], -score, i))
+        i, c, score = i[order], c[order], score[order]
+        nth = np.arange(len(i)) - np.searchsorted(i, i)
+        found.append((q_ids[i[nth < k]], ids[c[nth < k]], score[nth < k]))
+    q, v, s = (np.concatenate(x) if found else np.empty(0) for x in (zip(*found, strict=True) if found else ((), (), ())))
+    return pd.DataFrame({"query_id": q.astype(np.int64), "vec_id": v.astype(np.int64), "score": s.astype(np.float64)})
 
 
 def _stack(column) -> np.ndarray:
     return np.array(column.tolist(), np.float64)
 
 
-def nearest(vectors: DataFrame, *, k: int = 20, query_every: int = 20, probe_share: float = 0.5, slack: float = 2.1) -> DataFrame:
+def nearest(vectors: DataFrame, *, k: int = 20, query_every: int = 20, probe_share: float = 0.8, slack: float = 1.0) -> DataFrame:
     """query_id, rank, vec_id, score: for every row whose vec_id is divisible by query_every, its k rows of
     largest inner product among all others, ties to the smaller vec_id. vectors: vec_id, embedding.
 
