@@ -1,7 +1,773 @@
-"""Registered queries over the driver's tables, each with the same question as SQL."""
+"""Registered queries over the driver's tables, each with the same question as SQL.
+
+SQL is written from the rule, not from the operator: windows where the operator aggregates, plain joins
+where it unnests, so that the two agree only if both are right.
+"""
 
 from __future__ import annotations
 
-FLAGSHIP = ""
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from segline.functions import scalars as S
+from segline.operators import discovery, keys, manifest, metrics, playlist, publish, render, timeline, window
+from segline.plans.projections import rows, with_sql
+from segline.schema import PERIOD, TRACK
+
+FLAGSHIP = "r1_newest_window_tags"
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
+
+T, P = ", ".join(TRACK), ", ".join(PERIOD)
+STATUS = "case when commit_ord % 5 = 0 then 'committed' when commit_ord % 7 = 0 then 'expired' else 'published' end"
+#: The deduplicated segment table, with a status, as SQL.
+DEDUP = f"""d as (select {T}, seg_no, media_type, start_pts, end_pts, timescale, commit_ord, discontinuity, key_uri, replaced, {STATUS} as status from
+  (select *, row_number() over (partition by {T}, seg_no order by commit_ord desc, start_pts desc, end_pts desc) as rn, count(*) over (partition by {T}, seg_no) > 1 as replaced from seg) where rn = 1)"""
+
+
+def query(name: str, sql: str | None = None, *sources: str, dedup: bool = False):
+    def add(f):
+        QUERIES[name] = f
+        if sql is not None:
+            text = with_sql("@", *(sources or ("seg",)))
+            head, tail = text.split("\n@")
+            ORACLE[name] = head + (", " + DEDUP if dedup else "") + ("," if sql.lstrip().startswith("--cte\n") else "\n") + sql.replace("--cte\n", " ")
+        return f
+
+    return add
+
+
+def segs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The deduplicated segment table (T1) with a status."""
+    out = timeline.dedup_last(rows(spark, sf_dir, "seg"), order=("commit_ord", "start_pts", "end_pts"))
+    return out.withColumn("status", F.expr(STATUS))
+
+
+# --- timeline ---------------------------------------------------------------------------------------------
+
+
+@query("t1_dedup_last", f"select {T}, seg_no, start_pts, end_pts, commit_ord, replaced from d", dedup=True)
+def _(spark, sf):
+    return segs(spark, sf).select(*TRACK, "seg_no", "start_pts", "end_pts", "commit_ord", "replaced")
+
+
+@query("t2_derive_ends", f"""--cte
+s as (select {T}, seg_no, start_pts, case when lead(seg_no) over w = seg_no + 1 then lead(start_pts) over w - start_pts end as step from d window w as (partition by {T} order by seg_no)),
+ g as (select *, count(step) over (partition by {T} order by seg_no rows between unbounded preceding and 1 preceding) as n from s)
+select {T}, seg_no, start_pts, cast(start_pts + coalesce(step, (select max(x.step) from g x where x.channel_id = g.channel_id and x.period_id = g.period_id and x.as_id = g.as_id and x.rep_id = g.rep_id and x.step is not null and x.n = g.n - 1), 0) as bigint) as end_pts from g""", dedup=True)
+def _(spark, sf):
+    return timeline.derive_ends(segs(spark, sf).drop("end_pts")).select(*TRACK, "seg_no", "start_pts", "end_pts")
+
+
+@query("t3_declared_ends", f"""select {T}, seg_no, case when end_pts > start_pts and seg_no % 4 <> 3 then start_pts + cast(trunc((end_pts - start_pts) / 1000.0::double * (case when seg_no % 4 = 0 then 48000 else 1000 end)) as bigint) else 0 end as end_pts from d""", dedup=True)
+def _(spark, sf):
+    d = segs(spark, sf).withColumn("duration", F.col("end_pts") - F.col("start_pts")).withColumn("task_timescale", F.when(F.col("seg_no") % 4 == 3, 0).otherwise(1000)).withColumn("init_timescale", F.when(F.col("seg_no") % 4 == 0, 48000).otherwise(0))
+    return timeline.declared_ends(d).select(*TRACK, "seg_no", "end_pts")
+
+
+@query("t4_accumulate_pts", f"""--cte
+f as (select channel_id, period_id, rep_id, seg_no, arg_min(end_pts - start_pts, (commit_ord, start_pts, end_pts)) as dur, min(commit_ord) as seen from seg group by all),
+ r as (select *, cast(round(dur / 90000.0::double * 90000) as bigint) as ticks, seg_no > coalesce(max(seg_no) over (partition by channel_id, period_id, rep_id order by seen, seg_no rows between unbounded preceding and 1 preceding), -1) as line from f)
+select channel_id, period_id, rep_id, seg_no, cast(coalesce(sum(ticks) over (partition by channel_id, period_id, rep_id order by seg_no rows between unbounded preceding and 1 preceding), 0) as bigint) as start_pts from r where line""")
+def _(spark, sf):
+    s = rows(spark, sf, "seg").withColumn("duration_s", (F.col("end_pts") - F.col("start_pts")) / F.lit(90000.0)).withColumn("seen", F.struct("commit_ord", "start_pts", "end_pts"))
+    first = s.groupBy("channel_id", "period_id", "rep_id", "seg_no").agg(F.min_by("duration_s", "seen").alias("duration_s"), F.min("commit_ord").alias("poll_at"))
+    out = timeline.accumulate_pts(first)
+    ahead = F.col("seg_no") > F.coalesce(F.max("seg_no").over(timeline.Window.partitionBy("channel_id", "period_id", "rep_id").orderBy("poll_at", "seg_no").rowsBetween(timeline.Window.unboundedPreceding, -1)), F.lit(-1))
+    return out.withColumn("_line", ahead).where("_line").select("channel_id", "period_id", "rep_id", "seg_no", "start_pts")
+
+
+@query("t5_order_periods", """--cte
+p as (select distinct channel_id, period_id || case when seg_no % 5 = 0 then '.r' || cast(1 + seg_no % 3 as string) when seg_no % 5 = 1 then '.r0' else '' end as period_id from seg),
+ b as (select *, case when regexp_full_match(period_id, '.+\\.r[1-9][0-9]*') then regexp_extract(period_id, '^(.+)\\.r([1-9][0-9]*)$', 1) else period_id end as base, case when regexp_full_match(period_id, '.+\\.r[1-9][0-9]*') then cast(regexp_extract(period_id, '^(.+)\\.r([1-9][0-9]*)$', 2) as bigint) else 0 end as gen from p)
+select channel_id, period_id, cast(row_number() over (partition by channel_id order by case when regexp_full_match(base, '[0-9]+') then 0 else 1 end, case when regexp_full_match(base, '[0-9]+') then cast(base as bigint) end, base, gen) - 1 as int) as period_ord from b""")
+def _(spark, sf):
+    p = rows(spark, sf, "seg").withColumn("period_id", F.concat("period_id", F.when(F.col("seg_no") % 5 == 0, F.concat(F.lit(".r"), (1 + F.col("seg_no") % 3).cast("string"))).when(F.col("seg_no") % 5 == 1, ".r0").otherwise("")))
+    return timeline.order_periods(p)
+
+
+@query("t6_detect_rewinds", """--cte
+b as (select channel_id, rep_id, event_id, coalesce(media_sequence < lag(media_sequence) over (partition by channel_id, rep_id order by poll_at, event_id), false) as rewind, poll_at from pol)
+select channel_id, rep_id, event_id, rewind, cast(sum(case when rewind then 1 else 0 end) over (partition by channel_id, rep_id order by poll_at, event_id) as bigint) as period_no from b""", "pol")
+def _(spark, sf):
+    return timeline.detect_rewinds(rows(spark, sf, "pol"), order=("poll_at", "event_id")).select("channel_id", "rep_id", "event_id", "rewind", "period_no")
+
+
+@query("t7_shared_periods")
+def _(spark, sf):
+    back = timeline.detect_rewinds(rows(spark, sf, "pol"), order=("poll_at", "event_id")).where("rewind")
+    return timeline.assign_shared_period(back).select("channel_id", "rep_id", "event_id", "period_no")
+
+
+@query("t9_find_gaps", f"""--cte
+g as (select {T}, seg_no, lead(seg_no) over (partition by {T} order by seg_no) as nxt from d)
+select {T}, seg_no + 1 as gap_start, nxt - 1 as gap_end, nxt - seg_no - 1 as missing from g where nxt - seg_no > 1""", dedup=True)
+def _(spark, sf):
+    return timeline.find_gaps(rows(spark, sf, "seg"))
+
+
+def _run_sql(pick: str) -> str:
+    return f"""--cte
+i as (select {T}, seg_no, seg_no - row_number() over (partition by {T} order by seg_no) as isl from d)
+select {T}, seg_no from i qualify isl = {pick}(isl) over (partition by {T})"""
+
+
+@query("t10_contiguous_run_live", _run_sql("max"), dedup=True)
+def _(spark, sf):
+    return timeline.contiguous_run(segs(spark, sf)).select(*TRACK, "seg_no")
+
+
+@query("t10_contiguous_run_vod", _run_sql("min"), dedup=True)
+def _(spark, sf):
+    return timeline.contiguous_run(segs(spark, sf), anchor="vod").select(*TRACK, "seg_no")
+
+
+def _timeline(spark, sf) -> DataFrame:
+    ranges = metrics.lifetime_ranges(segs(spark, sf))
+    return ranges.join(timeline.order_periods(ranges), PERIOD)
+
+
+#: Lifetime ranges with period order, and each segment's media sequence number.
+LIFE = """life as (select channel_id, period_id, rep_id, min(seg_no) as first_no, max(seg_no) as last_no from d group by all),
+ po as (select channel_id, period_id, row_number() over (partition by channel_id order by cast(period_id as bigint)) - 1 as period_ord from (select distinct channel_id, period_id from d)),
+ off as (select l.*, po.period_ord, first_value(first_no) over w + coalesce(sum(last_no - first_no + 1) over (partition by l.channel_id, l.rep_id order by po.period_ord rows between unbounded preceding and 1 preceding), 0) - first_no as o from life l join po using (channel_id, period_id) window w as (partition by l.channel_id, l.rep_id order by po.period_ord)),
+ msn as (select d.*, off.period_ord, cast(d.seg_no + off.o as bigint) as msn, off.first_no from d join off using (channel_id, period_id, rep_id))"""
+
+
+@query("t11_number_across_periods", "--cte\n" + LIFE + "\nselect channel_id, period_id, rep_id, seg_no, msn from msn", dedup=True)
+def _(spark, sf):
+    return timeline.number_across_periods(_timeline(spark, sf), segs(spark, sf)).select("channel_id", "period_id", "rep_id", "seg_no", "msn")
+
+
+def _head(spark, sf) -> DataFrame:
+    s = segs(spark, sf).join(timeline.order_periods(segs(spark, sf)), PERIOD)
+    return s.groupBy("channel_id", "rep_id").agg(F.max_by(F.struct("period_ord", "seg_no"), F.struct("period_ord", "seg_no")).alias("h")).select("channel_id", "rep_id", "h.period_ord", "h.seg_no")
+
+
+@query("t12_discontinuity_sequence", "--cte\n" + LIFE + """,
+ hd as (select channel_id, rep_id, max(period_ord * 1000 + seg_no) as h from msn group by all)
+select channel_id, rep_id, cast((select count(distinct m.period_ord) from msn m where m.channel_id = hd.channel_id and m.rep_id = hd.rep_id and m.period_ord < hd.h // 1000)
+  + (select count(distinct m.period_ord * 1000 + m.seg_no) from msn m where m.channel_id = hd.channel_id and m.rep_id = hd.rep_id and m.discontinuity and m.seg_no <> m.first_no and m.period_ord * 1000 + m.seg_no <= hd.h) as bigint) as discontinuity_sequence from hd""", dedup=True)
+def _(spark, sf):
+    return timeline.discontinuity_sequence(_timeline(spark, sf), _head(spark, sf))
+
+
+@query("t13_rle_timeline", f"""--cte
+b as (select *, case when lag(end_pts - start_pts) over w = end_pts - start_pts and lag(end_pts) over w = start_pts then 0 else 1 end as brk from d window w as (partition by {T} order by seg_no)),
+ i as (select *, sum(brk) over (partition by {T} order by seg_no) as isl from b)
+select {T}, cast(isl - 1 as bigint) as ord, min(start_pts) as t, min(end_pts - start_pts) as d, count(*) - 1 as r from i group by {T}, isl""", dedup=True)
+def _(spark, sf):
+    return timeline.rle_timeline(segs(spark, sf))
+
+
+def _spans(spark, sf) -> DataFrame:
+    s = segs(spark, sf).groupBy(*PERIOD).agg(F.min("start_pts").alias("lo"), F.max("end_pts").alias("hi"), (F.max("end_pts") - F.min("start_pts")).alias("span"))
+    return s.join(timeline.order_periods(s), PERIOD).withColumn("origin_start", F.col("period_ord") * 20_000_000 + F.col("lo"))
+
+
+@query("t14_layout_periods", """--cte
+s0 as (select channel_id, period_id, min(start_pts) as lo, max(end_pts) - min(start_pts) as span from d group by channel_id, period_id),
+ s as (select *, row_number() over (partition by channel_id order by cast(period_id as bigint)) - 1 as ord from s0),
+ c as (select *, ord * 20000000 + lo as origin, coalesce(sum(span) over (partition by channel_id order by ord rows between unbounded preceding and 1 preceding), 0) as c, count(*) over (partition by channel_id) as n from s)
+select a.channel_id, a.period_id, cast(case when a.n > 1 then greatest(0, a.c + max(b.origin - b.c)) end as bigint) as start, cast(case when a.n > 1 then greatest(0, a.c + max(b.origin - b.c)) + a.span end as bigint) as "end" from c a join c b on a.channel_id = b.channel_id and b.ord <= a.ord group by a.channel_id, a.period_id, a.n, a.c, a.span""", dedup=True)
+def _(spark, sf):
+    return timeline.layout_periods(_spans(spark, sf)).select(*PERIOD, "start", "end")
+
+
+@query("t15_rebase_period", f"""--cte
+r as (select {T}, min(start_pts / 90000.0::double - cast(as_id as double)) as b, max(end_pts / 90000.0::double - cast(as_id as double)) as e, cast(as_id as double) as o from d group by all),
+ w as (select *, min(b) over (partition by {P}) as bb, max(e) over (partition by {P}) as ee from r)
+select {T}, round(bb, 6) as begin_s, round(ee, 6) as end_s, case when (o + bb) * 90000 >= -0.5 then cast(round((o + bb) * 90000) as bigint) end as pto from w""", dedup=True)
+def _(spark, sf):
+    s = segs(spark, sf)
+    out = timeline.rebase_period(s, s.select(*TRACK).distinct().withColumn("source_offset_s", F.col("as_id").cast("double")))
+    return out.select(*TRACK, F.round("begin_s", 6).alias("begin_s"), F.round("end_s", 6).alias("end_s"), "pto")
+
+
+@query("t16_compact_meta", f"""--cte
+st as (select distinct {T}, seg_no from seg where commit_ord % 3 <> 0)
+select {T}, seg_no, start_pts, end_pts from d where exists (select 1 from st where st.channel_id = d.channel_id and st.period_id = d.period_id and st.as_id = d.as_id and st.rep_id = d.rep_id and st.seg_no = d.seg_no)""", dedup=True)
+def _(spark, sf):
+    s = rows(spark, sf, "seg")
+    return timeline.compact_meta(s, s.where("commit_ord % 3 <> 0"), order=("commit_ord", "start_pts", "end_pts")).select(*TRACK, "seg_no", "start_pts", "end_pts")
+
+
+@query("t17_repair_meta", f"""select {T}, seg_no, case when seg_no % 3 = 0 then start_pts else start_pts + 1 end as start_pts, case when seg_no % 3 = 0 then 'index' else 'sidecar' end as origin from d where seg_no % 3 = 0 or seg_no % 2 = 0""", dedup=True)
+def _(spark, sf):
+    d = segs(spark, sf)
+    meta = d.where("seg_no % 2 = 0").withColumn("start_pts", F.col("start_pts") + 1)
+    found, _lost = timeline.repair_meta(meta, d.where("seg_no % 3 = 0"), d.select(*TRACK, "seg_no", F.lit("ts").alias("ext")))
+    return found.select(*TRACK, "seg_no", "start_pts", "origin")
+
+
+@query("t17_unknown_files", f"""select {T}, count(*) as unknown, min(seg_no) as first_no from d where seg_no % 3 <> 0 and seg_no % 2 <> 0 group by {T}""", dedup=True)
+def _(spark, sf):
+    d = segs(spark, sf)
+    return timeline.repair_meta(d.where("seg_no % 2 = 0"), d.where("seg_no % 3 = 0"), d.select(*TRACK, "seg_no", F.lit("ts").alias("ext")))[1]
+
+
+# --- publish and joins ------------------------------------------------------------------------------------
+
+PAIRS = """v as (select distinct channel_id, period_id, as_id, seg_no, start_pts / 90000.0::double as s, end_pts / 90000.0::double as e from d where media_type = 'video'),
+ a as (select distinct channel_id, period_id, as_id, seg_no, start_pts / 90000.0::double as s, end_pts / 90000.0::double as e from d where media_type = 'audio'),
+ pr as (select v.channel_id, v.period_id, v.as_id as v_as, v.seg_no as v_no, a.as_id as a_as, a.seg_no as a_no from v join a on v.channel_id = a.channel_id and v.period_id = a.period_id and v.e > v.s and a.e > a.s and least(v.e, a.e) - greatest(v.s, a.s) >= 0.5 * least(v.e - v.s, a.e - a.s))"""
+
+
+@query("j1_overlap_join", "--cte\n" + PAIRS + "\nselect distinct channel_id, period_id, v_as, v_no, a_as, a_no from pr", dedup=True)
+def _(spark, sf):
+    d = segs(spark, sf).select(*PERIOD, "as_id", "seg_no", "media_type", S.pts_seconds("start_pts", "timescale").alias("start_s"), S.pts_seconds("end_pts", "timescale").alias("end_s")).distinct()
+    v = d.where("media_type = 'video'").select(*PERIOD, F.col("as_id").alias("v_as"), F.col("seg_no").alias("v_no"), "start_s", "end_s")
+    a = d.where("media_type = 'audio'").select(*PERIOD, F.col("as_id").alias("a_as"), F.col("seg_no").alias("a_no"), F.col("start_s").alias("r_start_s"), F.col("end_s").alias("r_end_s"))
+    return publish.overlap_join(v, a, bucket=30.0).select(*PERIOD, "v_as", "v_no", "a_as", "a_no").distinct()
+
+
+@query("j2_av_barrier", "--cte\n" + PAIRS + f""",
+ k as (select channel_id, period_id, count(distinct case when media_type = 'audio' then as_id end) as na, count(distinct case when media_type = 'video' then as_id end) as nv from d group by all),
+ m as (select channel_id, period_id, v_as, v_no, a_as, min(a_no) as a_no from pr group by all),
+ fl as (select channel_id, period_id, v_as, v_no from m join k using (channel_id, period_id) group by channel_id, period_id, v_as, v_no, na having count(*) = na),
+ n as (select channel_id, period_id, v_as as as_id, v_no as seg_no from fl union select m.channel_id, m.period_id, m.a_as, m.a_no from m join fl using (channel_id, period_id, v_as, v_no))
+select {T}, seg_no from d where (channel_id, period_id, as_id, seg_no) in (select channel_id, period_id, as_id, seg_no from n) or (channel_id, period_id) in (select channel_id, period_id from k where na = 0 or nv = 0)""", dedup=True)
+def _(spark, sf):
+    return publish.publish_av_barrier(segs(spark, sf)).select(*TRACK, "seg_no")
+
+
+@query("j3_publish_immediately", f"select {T}, seg_no, 'published' as status from d", dedup=True)
+def _(spark, sf):
+    return publish.publish_immediately(segs(spark, sf)).select(*TRACK, "seg_no", "status")
+
+
+@query("j4_decorate_tracks", """select rep_id, case when cast(rep_id as bigint) % 2 = 0 then 'variant' else 'rendition' end as kind, case when cast(rep_id as bigint) % 3 = 0 then bandwidth else bandwidth + 1 end as bandwidth, lang from trk""", "trk")
+def _(spark, sf):
+    t = rows(spark, sf, "trk").withColumns({"channel_id": F.lit("c"), "period_id": F.lit("p"), "as_id": F.lit("0"), "width": F.lit(1), "height": F.lit(1)})
+    m = t.where("cast(rep_id as bigint) % 3 = 0")
+    v = t.where("cast(rep_id as bigint) % 2 = 0").withColumn("kind", F.lit("variant")).unionByName(t.withColumn("kind", F.lit("rendition")))
+    v = v.withColumn("average_bandwidth", F.col("bandwidth") + 1).withColumn("bandwidth", F.lit(0).cast("bigint"))
+    return publish.decorate_tracks(t.select(*TRACK), m, v).select("rep_id", "kind", "bandwidth", "lang")
+
+
+@query("j5_tracks_from_manifest", """--cte
+r as (select *, cast(rep_id as bigint) as doc_pos, lang as channel_id, case when cast(rep_id as bigint) % 2 = 0 then 'video' when cast(rep_id as bigint) % 7 = 0 then 'text' else 'audio' end as media_type from trk),
+ o as (select * from r where media_type <> 'text' and channel_id not in (select channel_id from r where rep_id in ('7', '11')))
+select channel_id, rep_id, media_type, case when media_type = 'audio' then lang end as name, media_type = 'audio' and row_number() over (partition by channel_id, media_type order by doc_pos) = 1 as is_default from o""", "trk")
+def _(spark, sf):
+    t = rows(spark, sf, "trk").withColumn("channel_id", F.col("lang")).withColumn("doc_pos", F.col("rep_id").cast("bigint")).withColumn("protected", F.col("rep_id").isin("7", "11"))
+    t = t.withColumn("media_type", F.when(F.col("doc_pos") % 2 == 0, "video").when(F.col("doc_pos") % 7 == 0, "text").otherwise("audio"))
+    return publish.tracks_from_manifest(t).select("channel_id", "rep_id", "media_type", "name", "is_default")
+
+
+@query("j6_lookup_segments", """--cte
+q as (select distinct channel_id, period_id, rep_id, seg_no from d)
+select q.channel_id, q.period_id, q.rep_id, q.seg_no, (select min(x.as_id || '/' || cast(x.commit_ord as string)) from d x where x.channel_id = q.channel_id and x.period_id = q.period_id and x.rep_id = q.rep_id and x.seg_no = q.seg_no and x.status = 'published') as path from q""", dedup=True)
+def _(spark, sf):
+    d = segs(spark, sf).withColumn("path", F.concat("as_id", F.lit("/"), F.col("commit_ord").cast("string")))
+    return publish.lookup_segments(d.select("channel_id", "period_id", "rep_id", "seg_no").distinct(), d)
+
+
+@query("j6_lookup_inits", """select channel_id, period_id, rep_id, coalesce(arg_min(commit_ord, seg_no) filter (status = 'published'), arg_max(commit_ord, seg_no) filter (status = 'committed')) as init_path from d group by all""", dedup=True)
+def _(spark, sf):
+    return publish.lookup_inits(segs(spark, sf).withColumn("init_path", F.col("commit_ord")))
+
+
+@query("j7_describe_all_periods", """--cte
+p as (select distinct channel_id, period_id from d),
+ f as (select * from p where cast(period_id as int) % 2 = 0), st as (select channel_id, period_id || case when cast(period_id as int) % 3 = 0 then '.r1' else '' end as period_id from p),
+ sv as (select * from st where hash(1) is not null and cast(channel_id as int) % 5 = 0)
+select channel_id, period_id, 'final' as origin from f union all
+select channel_id, period_id, case when cast(channel_id as int) % 5 = 0 then 'saved' else 'same origin' end from st where (channel_id, period_id) not in (select channel_id, period_id from f) and (cast(channel_id as int) % 5 = 0 or (channel_id, regexp_replace(period_id, '\\.r1$', '')) in (select channel_id, period_id from f))""", dedup=True)
+def _(spark, sf):
+    p = segs(spark, sf).select(*PERIOD).distinct().withColumn("body", F.col("period_id"))
+    stored = p.withColumn("period_id", F.concat("period_id", F.when(F.col("period_id").cast("int") % 3 == 0, ".r1").otherwise("")))
+    return publish.describe_all_periods(p.where("cast(period_id as int) % 2 = 0"), stored.where("cast(channel_id as int) % 5 = 0"), stored)[0].select(*PERIOD, "origin")
+
+
+@query("j8_changed_snapshots", """--cte
+c as (select channel_id, cast(poll_at as date) as day, string_agg(distinct rep_id, '|' order by rep_id) as contents from pol group by 1, 2)
+select channel_id, day, contents from c qualify coalesce(lag(contents) over (partition by channel_id order by day) <> contents, true)""", "pol")
+def _(spark, sf):
+    p = rows(spark, sf, "pol").withColumn("day", F.to_date("poll_at"))
+    return publish.changed_period_snapshots(p, keys=("channel_id",), at="day", member=("rep_id",)).select("channel_id", "day", F.array_join("contents", "|").alias("contents"))
+
+
+@query("j9_export_scope", """--cte
+k as (select *, lang as channel_id, case when cast(rep_id as bigint) % 3 = 0 then 'audio' else 'video' end as media_type, lang || cast(cast(rep_id as bigint) % 4 as string) as g from trk where cast(rep_id as bigint) % 5 <> 0)
+select channel_id, rep_id, media_type, case when (channel_id, g) in (select channel_id, g from k where media_type = 'audio') then g end as audio_group, cast(row_number() over (partition by channel_id, media_type order by rep_id) - 1 as int) as file_no from k""", "trk")
+def _(spark, sf):
+    t = rows(spark, sf, "trk").withColumn("channel_id", F.col("lang")).withColumn("media_type", F.when(F.col("rep_id").cast("bigint") % 3 == 0, "audio").otherwise("video"))
+    t = t.withColumn("group_id", F.concat("lang", (F.col("rep_id").cast("bigint") % 4).cast("string"))).withColumn("audio_group", F.col("group_id"))
+    published = t.where("cast(rep_id as bigint) % 5 <> 0").select("channel_id", "rep_id", F.lit("published").alias("status"))
+    return publish.export_scope(t, published).select("channel_id", "rep_id", "media_type", "audio_group", "file_no")
+
+
+# --- windows, limits, sets --------------------------------------------------------------------------------
+
+
+@query("w1_live_window", f"""--cte
+e as (select *, end_pts / 90000.0::double as x, max(end_pts / 90000.0::double) over (partition by {T}) - 6 as edge from d),
+ i as (select *, x <= edge and (edge - 120 < 0 or x > edge - 120) as ok from e)
+select {T}, seg_no from i qualify ok or edge <= 0 or sum(case when ok then 1 else 0 end) over (partition by {T}) = 0""", dedup=True)
+def _(spark, sf):
+    return window.project_live_window(segs(spark, sf), 120, 6).select(*TRACK, "seg_no")
+
+
+@query("w2_expire", f"""--cte
+e as (select *, max(case when status = 'published' then end_pts / 90000.0::double end) over (partition by {P}) - 126 as cut from d)
+select {T}, seg_no, coalesce(status = 'published' and cut > 0 and end_pts / 90000.0::double < cut, false) as expires from e""", dedup=True)
+def _(spark, sf):
+    return window.expire(segs(spark, sf), 120, 6).select(*TRACK, "seg_no", "expires")
+
+
+@query("w3_throughput", """--cte
+u as (select *, epoch_us(attempt_at) as us from att),
+ p as (select a.event_id, a.us, b.us as bus, b.bytes from u a join u b on a.channel_id = b.channel_id and b.us > a.us - 1728000000000 and b.us <= a.us),
+ o as (select event_id, us, min(bus) as lo, sum(bytes) as s, count(*) as n, arg_min(bytes, bus) as fb from p group by event_id, us)
+select event_id, n as samples, round(case when us > lo then (s - fb) / ((us - lo) / 1000000.0::double) else 0.0 end, 6) as bytes_per_s from o""", "att")
+def _(spark, sf):
+    out = metrics.throughput(rows(spark, sf, "att"), window_s=20 * 86400)
+    return out.select("event_id", "samples", F.round("bytes_per_s", 6).alias("bytes_per_s"))
+
+
+@query("w4_sticky_target", f"""select {T}, seg_no, cast(max(ceil((end_pts - start_pts) / 90000.0::double)) over (partition by {T} order by seg_no) as int) as target from d""", dedup=True)
+def _(spark, sf):
+    r = segs(spark, sf).withColumn("longest_s", S.segment_seconds("start_pts", "end_pts", "timescale"))
+    return window.sticky_target(r, order=("seg_no",)).select(*TRACK, "seg_no", "target")
+
+
+@query("w5_retry_schedule", """--cte
+f as (select *, row_number() over (partition by channel_id, seg_no order by attempt_at, event_id) as retries from att where outcome <> 'ok')
+select event_id, cast(retries as int) as retries, (case when outcome = 'write_error' then 1.0 else 2.0 end * pow(2.0, retries - 1))::double as wait_s, retries > 3 or outcome = 'gone' as dropped from f""", "att")
+def _(spark, sf):
+    return metrics.retry_schedule(rows(spark, sf, "att"), max_retries=3).select("event_id", "retries", "wait_s", "dropped")
+
+
+@query("w6_cdn_rotation", """select event_id, cast(coalesce(sum(case when outcome = 'error' then 1 else 0 end) over (partition by channel_id, seg_no order by attempt_at, event_id rows between unbounded preceding and 1 preceding), 0) % 3 as int) as url_index from att""", "att")
+def _(spark, sf):
+    return metrics.cdn_rotation(rows(spark, sf, "att"), 2).select("event_id", "url_index")
+
+
+@query("l1_keep_newest", f"""--cte
+k as (select {T}, seg_no, min(commit_ord) as first, max(commit_ord) as last from seg group by all)
+select {T}, seg_no, last as commit_ord from k qualify row_number() over (partition by {T} order by first desc, seg_no desc) <= 5""")
+def _(spark, sf):
+    s = rows(spark, sf, "seg").select(*TRACK, "seg_no", "commit_ord", F.col("commit_ord").alias("last"))
+    return window.keep_newest(s, 5).select(*TRACK, "seg_no", F.col("last").alias("commit_ord"))
+
+
+@query("l2_playlist_window", f"""--cte
+i as (select *, seg_no - row_number() over (partition by {T} order by seg_no) as isl from d),
+ r as (select * from i qualify isl = max(isl) over (partition by {T}))
+select {T}, seg_no from r qualify row_number() over (partition by {T} order by seg_no desc) <= 3""", dedup=True)
+def _(spark, sf):
+    run = timeline.contiguous_run(segs(spark, sf))
+    return window.playlist_window(run, window.window_size(F.lit(20.0), F.lit(8.0))).select(*TRACK, "seg_no")
+
+
+@query("l3_presentation_order", f"select {T}, seg_no, seg_no - min(seg_no) over (partition by channel_id) as priority from d order by priority, channel_id, period_id, as_id, rep_id", dedup=True)
+def _(spark, sf):
+    t = discovery.rank_tasks(segs(spark, sf).withColumn("poll_at", F.lit("2024-01-01").cast("timestamp")).withColumn("depth_s", F.lit(30.0)).withColumn("dynamic", F.lit(True)))
+    return window.presentation_order(t.withColumn("doc_pos", F.struct(*TRACK))).select(*TRACK, "seg_no", "priority")
+
+
+@query("u1_union_expected", f"""--cte
+x as (select {T}, seg_no, 'list' as scheme, 1 as doc_pos from d where seg_no % 2 = 0 union all select {T}, seg_no, 'timeline', 2 from d where seg_no % 3 = 0)
+select {T}, seg_no, arg_min(scheme, doc_pos) as scheme from x group by all""", dedup=True)
+def _(spark, sf):
+    d = segs(spark, sf).select(*TRACK, "seg_no")
+    a = d.where("seg_no % 2 = 0").withColumns({"scheme": F.lit("list"), "doc_pos": F.lit(1)})
+    b = d.where("seg_no % 3 = 0").withColumns({"scheme": F.lit("timeline"), "doc_pos": F.lit(2)})
+    return window.union_expected(a, b).select(*TRACK, "seg_no", "scheme")
+
+
+@query("u2_missing_segments", f"""select {T}, seg_no from d except select {T}, seg_no from seg where commit_ord % 3 <> 0""", dedup=True)
+def _(spark, sf):
+    s = rows(spark, sf, "seg")
+    return window.missing_segments(s.select(*TRACK, "seg_no").distinct(), s.where("commit_ord % 3 <> 0"))
+
+
+@query("u3_known_and_stored", "select distinct channel_id, rep_id from seg where commit_ord % 3 = 0 intersect select channel_id, rep_id from seg where commit_ord % 5 = 0")
+def _(spark, sf):
+    s = rows(spark, sf, "seg")
+    return window.known_and_stored(s.where("commit_ord % 3 = 0").select("channel_id", "rep_id").distinct(), s.where("commit_ord % 5 = 0"))
+
+
+# --- aggregations -----------------------------------------------------------------------------------------
+
+_COUNTS = "count(*) filter (status = 'pending') as pending, count(*) filter (status = 'committed') as committed, count(*) filter (status = 'published') as published, count(*) filter (status = 'expired') as expired, count(*) as total"
+
+
+@query("a1_status_counts", f"select {T}, {_COUNTS} from d group by {T}", dedup=True)
+def _(spark, sf):
+    return metrics.status_counts(segs(spark, sf))
+
+
+@query("a1_status_rollup", f"select {T}, {_COUNTS}, grouping_id({T}) as level_no from d group by rollup ({T})", dedup=True)
+def _(spark, sf):
+    return metrics.status_rollup(segs(spark, sf))
+
+
+@query("a2_health", "select channel_id, count(distinct period_id) as periods, count(distinct (period_id, as_id)) as sets from d group by channel_id", dedup=True)
+def _(spark, sf):
+    h = metrics.health_struct(metrics.status_counts(segs(spark, sf)))
+    return h.select("channel_id", F.size(F.map_keys("periods")).cast("bigint").alias("periods"), F.aggregate(F.map_values("periods"), F.lit(0).cast("bigint"), lambda a, x: a + F.size(F.map_keys(x))).alias("sets"))
+
+
+@query("a3_live_edge", f"select {P}, round(max(end_pts / 90000.0::double), 6) as edge_s from d where status = 'published' group by {P}", dedup=True)
+def _(spark, sf):
+    return metrics.live_edge(segs(spark, sf)).withColumn("edge_s", F.round("edge_s", 6))
+
+
+@query("a3_max_numbers", f"select {T}, max(seg_no) as highest from seg group by {T}")
+def _(spark, sf):
+    return metrics.max_numbers(rows(spark, sf, "seg"))
+
+
+@query("a4_lifetime_ranges", "select channel_id, period_id, rep_id, min(as_id) as as_id, min(seg_no) as first_no, max(seg_no) as last_no, coalesce(string_agg(distinct case when discontinuity then lpad(cast(seg_no as varchar), 3, '0') end, ',' order by case when discontinuity then lpad(cast(seg_no as varchar), 3, '0') end), '') as marks from d group by channel_id, period_id, rep_id", dedup=True)
+def _(spark, sf):
+    out = metrics.lifetime_ranges(segs(spark, sf))
+    return out.withColumn("marks", F.array_join(F.transform("discontinuities", lambda x: F.lpad(x.cast("string"), 3, "0")), ",")).drop("discontinuities")
+
+
+@query("a5_content_duration", "select channel_id, round((max(end_pts) - min(start_pts)) / 90000.0::double, 6) as duration_s from d where end_pts > 0 group by channel_id", dedup=True)
+def _(spark, sf):
+    return metrics.content_duration(segs(spark, sf)).withColumn("duration_s", F.round("duration_s", 6))
+
+
+@query("a6_expected_totals", """--cte
+f as (select channel_id, rep_id, arg_min(end_list, (poll_at, event_id)) as first from pol group by all),
+ g as (select channel_id, bool_and(first) as fin from f group by all),
+ t as (select channel_id, max(last_seq) as expected, bool_or(last_seq > 400) as capped from pol where last_seq > 0 group by all)
+select channel_id, case when fin then expected end as expected, fin and expected is not null as known, coalesce(capped, false) as capped from g left join t using (channel_id)""", "pol")
+def _(spark, sf):
+    p = rows(spark, sf, "pol")
+    return metrics.expected_totals(p, p.select("channel_id", F.col("last_seq").alias("total"), (F.col("last_seq") > 400).alias("capped")))
+
+
+@query("a7_end_progress", "select channel_id, count(distinct case when end_list then rep_id end) as ended, count(distinct rep_id) as polled from pol group by channel_id", "pol")
+def _(spark, sf):
+    return metrics.end_progress(rows(spark, sf, "pol"))
+
+
+@query("a8_progress_counters", """--cte
+k as (select channel_id, seg_no, max(case when outcome = 'ok' then 1 else 0 end) as ok, count(*) filter (outcome <> 'ok') as failed, count(*) filter (outcome = 'gone') as dropped, arg_min(bytes, (attempt_at, event_id)) filter (outcome = 'ok') as bytes from att group by all)
+select channel_id, cast(sum(ok) as bigint) as stored, cast(sum(failed) as bigint) as failed, cast(sum(dropped) as bigint) as dropped, cast(coalesce(sum(bytes), 0) as bigint) as bytes from k group by channel_id""", "att")
+def _(spark, sf):
+    return metrics.progress_counters(rows(spark, sf, "att")).select("channel_id", "stored", "failed", "dropped", "bytes")
+
+
+@query("a9_error_state", """--cte
+b as (select channel_id, arg_max(seg_no, (attempt_at, event_id)) as error_seg from att where outcome <> 'ok' group by all),
+ l as (select channel_id, arg_max(ok, (poll_at, event_id)) as ok, arg_max(rep_id, (poll_at, event_id)) as rep from pol group by all)
+select channel_id, error_seg, case when not ok then rep end as source_rep from l full join b using (channel_id)""", "att", "pol")
+def _(spark, sf):
+    out = metrics.error_state(rows(spark, sf, "att"), rows(spark, sf, "pol"))
+    return out.select("channel_id", F.col("segment_error.seg_no").alias("error_seg"), F.col("source_error.rep_id").alias("source_rep"))
+
+
+@query("a10_delivery_counts", "select channel_id, outcome, count(*) as attempts from att group by all", "att")
+def _(spark, sf):
+    return metrics.delivery_counts(rows(spark, sf, "att"))
+
+
+@query("a10_published_counts", "select channel_id, media_type, count(*) as published from d where status = 'published' group by all", dedup=True)
+def _(spark, sf):
+    return metrics.published_counts(segs(spark, sf))
+
+
+@query("a10_latency_histogram", """select channel_id, le, count(*) filter (duration_s <= le) as bucket_count, count(*) as "count" from att, (values (0.05::double), (0.1::double), (0.25::double), ('inf'::double)) b(le) group by all""", "att")
+def _(spark, sf):
+    return metrics.latency_histogram(rows(spark, sf, "att"), bounds=(0.05, 0.1, 0.25)).select("channel_id", "le", "bucket_count", "count")
+
+
+PROGRESS = """pg as (select channel_id, count(distinct case when outcome = 'ok' then seg_no end) as stored, 45::bigint as expected, cast(channel_id as int) % 3 <> 0 as known, cast(channel_id as int) % 7 = 0 as capped, count(*) filter (outcome = 'gone') as dropped, count(*) / 100.0::double as rate from att group by all)"""
+
+
+def _progress(spark, sf) -> DataFrame:
+    p = rows(spark, sf, "att").groupBy("channel_id").agg(F.count_distinct(F.when(F.col("outcome") == "ok", F.col("seg_no"))).alias("stored"), F.count_if(F.col("outcome") == "gone").alias("dropped"), (F.count(F.lit(1)) / F.lit(100.0)).alias("rate"))
+    return p.withColumns({"expected": F.lit(45).cast("bigint"), "known": F.col("channel_id").cast("int") % 3 != 0, "capped": F.col("channel_id").cast("int") % 7 == 0})
+
+
+@query("a11_eta", "--cte\n" + PROGRESS + "\nselect channel_id, case when known and not capped and rate > 0 and expected > stored then round((expected - stored) / rate, 6) end as eta_s from pg", "att")
+def _(spark, sf):
+    return metrics.eta(_progress(spark, sf)).select("channel_id", F.round("eta_s", 6).alias("eta_s"))
+
+
+@query("a12_shortfall", "--cte\n" + PROGRESS + "\nselect channel_id, known and not capped and (stored < expected or dropped > 0) as short from pg", "att")
+def _(spark, sf):
+    return metrics.shortfall(_progress(spark, sf)).select("channel_id", "short")
+
+
+@query("a13_required_keys", "select channel_id, string_agg(distinct key_uri, ',' order by key_uri) as keys from seg where key_uri is not null group by channel_id")
+def _(spark, sf):
+    return metrics.required_keys(rows(spark, sf, "seg")).withColumn("keys", F.array_join("keys", ","))
+
+
+# --- discovery and addressing -----------------------------------------------------------------------------
+
+
+def _reps(spark, sf) -> DataFrame:
+    t = rows(spark, sf, "trk").withColumns({"channel_id": F.col("lang"), "period_id": F.lit("p"), "as_id": F.lit("0"), "n": F.col("rep_id").cast("bigint")})
+    return t.withColumns({"presentation": F.when(F.col("n") % 2 == 0, "dynamic").otherwise("static"), "period_duration_s": F.col("n") % 50 + F.lit(0.5), "d": F.col("n") % 5 * 1000, "timescale": F.lit(1000).cast("bigint"), "start_number": F.lit(1).cast("bigint"), "ast": F.when(F.col("n") % 4 != 0, F.lit(1_000_000).cast("bigint")), "period_start_s": (F.col("n") % 7).cast("double"), "depth_s": (F.col("n") % 3 * 20).cast("double")})
+
+
+LIVE = """rp as (select *, cast(rep_id as bigint) as n, lang as channel_id from trk),
+ lc as (select *, (n % 5)::double as seg, case when n % 4 <> 0 then 1000000.0 + n % 7 else 0 end as beg, case when n % 3 = 0 then 30.0 else n % 3 * 20.0 end as dep from rp),
+ ct as (select *, case when n % 5 = 0 then 0 when 1000030 <= beg then 1 else least(floor((1000030 - beg) / seg)::bigint + 1, ceil(dep / seg)::bigint) end as live, case when n % 5 = 0 then 0 else ceil(floor((n % 50 + 0.5) * 1000) / ((n % 5) * 1000))::bigint end as stat from lc)"""
+
+
+@query("d1_by_duration", "--cte\n" + LIVE + "\nselect channel_id, rep_id, case when n % 2 = 0 then live else stat end as segments from ct where case when n % 2 = 0 then live else stat end > 0", "trk")
+def _(spark, sf):
+    return discovery.enumerate_by_duration(_reps(spark, sf), 1_000_030).groupBy("channel_id", "rep_id").agg(F.count(F.lit(1)).alias("segments"))
+
+
+@query("d2_by_timeline", """--cte
+e as (select lang as channel_id, rep_id, cast(rep_id as bigint) % 4 as r, cast(rep_id as bigint) % 9 + 1 as dd, range as i from trk, range(3))
+select channel_id, rep_id, 1 + i * (r + 1) + k.range as seg_no, case when i < 2 then 10 * dd + i * (r + 1) * dd else 5000 end + k.range * dd as seg_time from e, range(4) k where k.range <= r""", "trk")
+def _(spark, sf):
+    n = F.col("rep_id").cast("bigint")
+    t = _reps(spark, sf).withColumn("timeline", F.array(*(F.struct(x.cast("bigint").alias("t"), (n % 9 + 1).alias("d"), (n % 4).alias("r")) for x in ((n % 9 + 1) * 10, F.lit(0), F.lit(5000)))))
+    return discovery.enumerate_by_timeline(t, 0).select("channel_id", "rep_id", "seg_no", "seg_time")
+
+
+@query("d4_live_count", "--cte\n" + LIVE + "\nselect rep_id, live from ct", "trk")
+def _(spark, sf):
+    return _reps(spark, sf).select("rep_id", discovery.live_count("d", "timescale", "ast", "period_start_s", "depth_s", F.lit(1_000_030.0)).alias("live"))
+
+
+@query("d5_cap_enumeration", f"select {T}, seg_no, count(*) over (partition by {T}) > 10 as truncated from d qualify row_number() over (partition by {T} order by seg_no) <= 10", dedup=True)
+def _(spark, sf):
+    return discovery.cap_enumeration(segs(spark, sf), 10).select(*TRACK, "seg_no", "truncated")
+
+
+@query("d7_to_fetch", f"""--cte
+st as (select distinct {T}, seg_no from seg where commit_ord % 3 <> 0),
+ hw as (select {T}, max(seg_no) as mx from st group by all)
+select d.channel_id, d.period_id, d.as_id, d.rep_id, d.seg_no from d left join hw using ({T}) left join (select *, true as has from st) s using ({T}, seg_no) where s.has is null and (d.seg_no > coalesce(mx, -1) or d.seg_no <= coalesce(mx, -1))""", dedup=True)
+def _(spark, sf):
+    s = rows(spark, sf, "seg")
+    stored = s.where("commit_ord % 3 <> 0")
+    high = stored.groupBy(*TRACK).agg(F.max("seg_no").alias("last_scheduled"), F.max("seg_no").alias("max_stored"))
+    return discovery.to_fetch(s.select(*TRACK, "seg_no").distinct(), high, stored).select(*TRACK, "seg_no")
+
+
+@query("d8_rank_tasks", f"select {T}, seg_no, seg_no - min(seg_no) over (partition by channel_id) as priority, case when seg_no % 2 = 0 then epoch_us(timestamp '2024-01-01 00:00:30') end as deadline_us from d", dedup=True)
+def _(spark, sf):
+    d = segs(spark, sf).withColumns({"poll_at": F.lit("2024-01-01 00:00:00").cast("timestamp"), "depth_s": F.lit(0.0), "dynamic": F.col("seg_no") % 2 == 0})
+    return discovery.rank_tasks(d).select(*TRACK, "seg_no", "priority", F.unix_micros("deadline").alias("deadline_us"))
+
+
+@query("d9_segment_urls", """select page_id, rtrim(url, '/') || '/a/b/' || rep_id || '/seg-' || lpad(cast(number as varchar), greatest(5, length(cast(number as varchar)))::int, '0') || '.m4s' as url, 'http://alt.example/a/b/' || rep_id || '/seg-' || lpad(cast(number as varchar), greatest(5, length(cast(number as varchar)))::int, '0') || '.m4s' as fallback from url""", "url")
+def _(spark, sf):
+    u = rows(spark, sf, "url").withColumns({"mpd_base": F.col("url"), "period_base": F.lit("a/"), "as_base": F.lit("b"), "rep_base": F.lit(""), "media": F.lit("$RepresentationID$/seg-$Number%05d$.m4s"), "seg_time": F.lit(0).cast("bigint"), "rep_alts": F.array(F.lit("http://alt.example/a/b")), "as_alts": F.array().cast("array<string>")})
+    return discovery.segment_urls(u, seq="number").select("page_id", "url", F.get("fallbacks", F.lit(0)).alias("fallback"))
+
+
+@query("d10_as_inits", "select lang as channel_id, string_agg(rep_id || ':' || case when cast(rep_id as bigint) % 2 = 0 then 't' else 'l' end, ',' order by cast(rep_id as bigint)) as inits from trk where cast(rep_id as bigint) % 5 <> 0 group by lang", "trk")
+def _(spark, sf):
+    n = F.col("rep_id").cast("bigint")
+    t = _reps(spark, sf).withColumns({"doc_pos": n, "template_init": F.when((n % 5 != 0) & (n % 2 == 0), "t"), "list_init": F.when(n % 5 != 0, "l"), "base_init": F.lit(None).cast("string")})
+    return discovery.as_inits(t, ["channel_id"]).select("channel_id", F.array_join(F.transform("inits", lambda x: F.concat(x["rep_id"], F.lit(":"), x["init"])), ",").alias("inits"))
+
+
+@query("p2_effective_timescale", "select rep_id, coalesce(nullif(rep_timescale, 0), as_timescale) as timescale from trk", "trk")
+def _(spark, sf):
+    t = rows(spark, sf, "trk")
+    return t.select("rep_id", manifest._absent_zero(F.col("rep_timescale"), F.col("as_timescale")).cast("int").alias("timescale"))
+
+
+@query("p6_carry_tags", """--cte
+m as (select *, max(case when tag = 'URI' then line_no end) over w as u, max(case when tag = 'INF' then line_no end) over w as i, max(case when tag = 'KEY' then line_no end) over w as k from lin window w as (partition by doc_id order by line_no rows between unbounded preceding and 1 preceding)),
+ a as (select * from m where tag = 'URI' and i > coalesce(u, -1))
+select a.doc_id, a.line_no, cast(row_number() over (partition by a.doc_id order by a.line_no) - 1 as int) as seq, k.text as key_text, i.text as inf_text from a left join lin k on k.doc_id = a.doc_id and k.line_no = a.k left join lin i on i.doc_id = a.doc_id and i.line_no = a.i""", "lin")
+def _(spark, sf):
+    return playlist.carry_tags(rows(spark, sf, "lin")).select("doc_id", "line_no", "seq", "key_text", "inf_text")
+
+
+@query("p7_line_summary", "select doc_id, count(*) filter (tag = 'URI') as n_uri, max(line_no) as last_line, bool_or(tag = 'KEY') as keyed from lin group by doc_id", "lin")
+def _(spark, sf):
+    line = F.when(F.col("tag") == "URI", "x").when(F.col("tag") == "KEY", "#EXT-X-ENDLIST").otherwise("#EXTINF:1,")
+    lines = rows(spark, sf, "lin").withColumn("line", line)
+    segments = lines.where("tag = 'URI'").select("doc_id", F.col("line_no").alias("seq"), F.lit(1.0).alias("duration_s"))
+    head = playlist.summarize_playlist(segments, lines).select("doc_id", F.col("n_segments").alias("n_uri"), F.col("end_list").alias("keyed"))
+    return head.join(lines.groupBy("doc_id").agg(F.max("line_no").alias("last_line")), "doc_id")
+
+
+@query("p9_synthesize", """--cte
+ts as (select channel_id, period_id, rep_id from seg group by all), ch as (select distinct channel_id, rep_id from seg)
+select ts.channel_id, ts.period_id, ts.rep_id, case when ts.rep_id like 'v%' then '0' else '1' end as as_id, case when ts.rep_id not like 'v%' then 'mp4a.40.2' when ts.channel_id in (select channel_id from ch where rep_id like 'a%') then 'avc1.64' else 'avc1.64,mp4a.40.2' end as codecs from ts""")
+def _(spark, sf):
+    s = rows(spark, sf, "seg")
+    r = s.select("channel_id", "rep_id").distinct().withColumn("bandwidth", F.lit(1).cast("bigint"))
+    v = r.where("rep_id like 'v%'").withColumn("codecs", F.lit("avc1.64,mp4a.40.2"))
+    a = r.where("rep_id like 'a%'").withColumn("codecs", F.lit(None).cast("string"))
+    return manifest.synthesize_manifest_rows(v, a, s).select("channel_id", "period_id", "rep_id", "as_id", "codecs")
+
+
+# --- scalars ----------------------------------------------------------------------------------------------
+
+
+@query("f1_segment_seconds", f"select {T}, seg_no, round(start_pts / 90000.0::double, 6) as start_s, round(greatest(0, (end_pts - start_pts) / 90000.0::double), 6) as length_s from d", dedup=True)
+def _(spark, sf):
+    return segs(spark, sf).select(*TRACK, "seg_no", F.round(S.pts_seconds("start_pts", "timescale"), 6).alias("start_s"), F.round(S.segment_seconds("start_pts", "end_pts", "timescale"), 6).alias("length_s"))
+
+
+@query("f4_expand_template", "select page_id, rep_id || '/' || lpad(cast(number as varchar), greatest(4, length(cast(number as varchar)))::int, '0') || '-$Number$-' || cast(number * 2 as varchar) || rep_id as path from url", "url")
+def _(spark, sf):
+    u = rows(spark, sf, "url")
+    return u.select("page_id", S.expand_template(F.lit("$RepresentationID$/$Number%04d$-$Number$-$Time$$RepresentationID$"), F.col("number"), F.col("number") * 2, F.col("rep_id")).alias("path"))
+
+
+@query("f11_encode_ids", "select page_id, '~' || rtrim(translate(to_base64(rep_id::blob), '+/', '-_'), '=') as id, rep_id as back, 'id' || cast(page_id as varchar) as plain from url", "url")
+def _(spark, sf):
+    u = rows(spark, sf, "url")
+    plain = F.concat(F.lit("id"), F.col("page_id").cast("string"))
+    return u.select("page_id", S.encode_id("rep_id").alias("id"), S.decode_id(S.encode_id(F.col("rep_id"))).alias("back"), S.encode_rep_id(plain).alias("plain"))
+
+
+@query("f12_urls_and_keys", "select page_id, 'http://g/v1/channels/c/segments/p.1/~' || rtrim(translate(to_base64(rep_id::blob), '+/', '-_'), '=') || '/' || cast(number as varchar) || '.ts' || case when page_id % 2 = 0 then '' else '?c=1' end as segment, 'http://g/v1/channels/c/key/' || sha256(url) as key_url from url", "url")
+def _(spark, sf):
+    u = rows(spark, sf, "url")
+    seg = S.segment_url(F.lit("http://g/"), F.lit("c"), F.lit("p.1"), F.col("rep_id"), F.col("number"), F.lit(".ts"))
+    return u.select("page_id", S.versioned(seg, F.col("page_id") % 2).alias("segment"), S.key_url(F.lit("http://g"), F.lit("c"), F.col("url")).alias("key_url"))
+
+
+@query("f5_dir_urls", "select page_id, case when regexp_matches(url, '^.+/[^/]*$') then regexp_replace(url, '/[^/]*$', '') else url end as dir, rtrim(url, '/') || '/x' as joined from url", "url")
+def _(spark, sf):
+    return rows(spark, sf, "url").select("page_id", S.dir_url("url").alias("dir"), S.join_base(F.col("url"), F.lit("/x")).alias("joined"))
+
+
+@query("f14_split_codecs", "select rep_id, trim(split_part(codecs, ',', 1)) as video, trim(split_part(codecs, ',', 2)) as audio from trk", "trk")
+def _(spark, sf):
+    return rows(spark, sf, "trk").select("rep_id", S.split_codecs("codecs", True).alias("video"), S.split_codecs("codecs", False).alias("audio"))
+
+
+@query("f15_clean_message", "select doc_id, line_no, case when length(trim(regexp_replace(text, '\\s+', ' ', 'g'))) > 200 then left(trim(regexp_replace(text, '\\s+', ' ', 'g')), 200) || '…' else trim(regexp_replace(text, '\\s+', ' ', 'g')) end as message from lin", "lin")
+def _(spark, sf):
+    return rows(spark, sf, "lin").select("doc_id", "line_no", S.clean_message("text").alias("message"))
+
+
+@query("f16_classify_outcome", "select event_id, case when outcome = 'ok' then null when http_status = 410 then 'drop' else 'retry' end as action, case when outcome = 'ok' or http_status = 410 then null when outcome = 'write_error' then 1.0 else 2.0 end::double as delay_s, outcome = 'error' as rotates from att", "att")
+def _(spark, sf):
+    stage = F.when(F.col("outcome") == "write_error", "write").when(F.col("outcome") != "ok", "fetch")
+    c = S.classify_outcome(F.col("http_status"), stage)
+    return rows(spark, sf, "att").select("event_id", c["outcome"].alias("action"), c["delay_s"].alias("delay_s"), c["rotates"].alias("rotates"))
+
+
+@query("x8_split_late", "select event_id, attempt_at > timestamp '2024-01-10 00:00:00' as late from att", "att")
+def _(spark, sf):
+    a = rows(spark, sf, "att").withColumn("deadline", F.lit("2024-01-10 00:00:00").cast("timestamp_ntz"))
+    good, late = metrics.split_late(a)
+    return good.select("event_id", F.lit(False).alias("late")).unionByName(late.select("event_id", F.lit(True).alias("late")))
+
+
+# --- keys -------------------------------------------------------------------------------------------------
+
+DIVIDE = "q as (select as_id, count(*) as needed, count(*) filter ((as_id, kid) not in (select as_id, kid from keyheld)) as lacking, coalesce(string_agg(kid, ',' order by kid) filter ((as_id, kid) not in (select as_id, kid from keyheld)), '') as missing from keyreq group by as_id)"
+
+
+def _protection(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """One channel for each set, so that held keys are those of the set."""
+    p = rows(spark, sf, "keyreq").groupBy("as_id").agg(F.array_sort(F.collect_set("kid")).alias("kids")).select(F.col("as_id").alias("channel_id"), F.lit("p").alias("period_id"), "as_id", F.lit("r").alias("rep_id"), F.lit("cenc").alias("scheme"), "kids", F.lit(1).alias("n_tracks"))
+    return p, rows(spark, sf, "keyheld").select(F.col("as_id").alias("channel_id"), "kid")
+
+
+@query("k1_decryptable_sets", "--cte\n" + DIVIDE + "\nselect as_id, lacking = 0 as decryptable from q", "keyreq", "keyheld")
+def _(spark, sf):
+    return keys.decryptable_sets(*_protection(spark, sf)).select("as_id", "decryptable")
+
+
+@query("k2_missing_kids", "--cte\n" + DIVIDE + "\nselect as_id, 'missing_key' as reason, missing from q where lacking > 0", "keyreq", "keyheld")
+def _(spark, sf):
+    return keys.missing_kids(*_protection(spark, sf)).select("as_id", "reason", F.array_join("missing", ",").alias("missing"))
+
+
+@query("k1_divide", "--cte\n" + DIVIDE + "\nselect as_id, needed, missing, lacking = 0 as covered from q", "keyreq", "keyheld")
+def _(spark, sf):
+    return keys.divide(rows(spark, sf, "keyreq"), rows(spark, sf, "keyheld")).withColumn("missing", F.array_join("missing", ","))
+
+
+@query("k3_unmatched_keys", "select as_id as channel_id, kid from keyheld where as_id in (select as_id from keyreq) and (as_id, kid) not in (select as_id, kid from keyreq)", "keyreq", "keyheld")
+def _(spark, sf):
+    as_channel = lambda n: rows(spark, sf, n).select(F.col("as_id").alias("channel_id"), "kid")
+    return keys.unmatched_keys(as_channel("keyheld"), as_channel("keyreq"))
+
+
+@query("k4_convertible_sets", "--cte\n" + DIVIDE + "\nselect as_id from q where lacking = 0 and cast(as_id as int) % 3 <> 0 and cast(as_id as int) % 4 <> 0", "keyreq", "keyheld")
+def _(spark, sf):
+    p, held = _protection(spark, sf)
+    n = F.col("as_id").cast("int")
+    stored = p.select(*TRACK, (n % 3 != 0).alias("has_init"), (n % 4 == 0).alias("decided"), F.lit(False).alias("failed"))
+    return keys.convertible_sets(stored, p.select(*TRACK), p, held).select("as_id")
+
+
+@query("k5_retriable_reps", "select as_id from keyreq where as_id in (select as_id from keyheld) and cast(as_id as int) % 2 = 0 group by as_id having bool_or((as_id, kid) in (select as_id, kid from keyheld))", "keyreq", "keyheld")
+def _(spark, sf):
+    p, held = _protection(spark, sf)
+    state = p.withColumns({"refused": F.col("as_id").cast("int") % 2 == 0, "withheld": F.lit(False)})
+    return keys.retriable_reps(state, held).select("as_id")
+
+
+@query("k6_decrypt_warnings", "--cte\n" + DIVIDE + """
+select as_id as channel_id, 'missing_key' as kind, missing as detail from q where lacking > 0 union all
+select as_id, 'key_unmatched', string_agg(kid, ',' order by kid) from keyheld where as_id in (select as_id from keyreq) and (as_id, kid) not in (select as_id, kid from keyreq) group by as_id""", "keyreq", "keyheld")
+def _(spark, sf):
+    p, held = _protection(spark, sf)
+    state = p.select(*TRACK, F.lit(False).alias("refused"), F.lit(False).alias("withheld"))
+    none = p.where("false")
+    return keys.decrypt_warnings(p, held, state, none, none).select("channel_id", "kind", F.array_join("detail", ",").alias("detail"))
+
+
+@query("k7_served_view", "select rep_id, cast(rep_id as bigint) % 2 <> 0 as protected from trk where cast(rep_id as bigint) % 6 <> 0", "trk")
+def _(spark, sf):
+    t = _reps(spark, sf)
+    state = t.select(*TRACK, (F.col("n") % 2 == 0).alias("decrypted"), (F.col("n") % 6 == 0).alias("refused"))
+    return keys.served_view(t.withColumn("protected", F.lit(True)), state).select("rep_id", "protected")
+
+
+@query("k8_offerings", "select lang as channel_id, case when lang like '%1' then 'hls' else 'dash' end as native, case when lang like '%1' then 'dash' else 'hls' end as alternate from trk group by lang", "trk")
+def _(spark, sf):
+    t = rows(spark, sf, "trk")
+    channels = t.select(F.col("lang").alias("channel_id"), F.when(F.col("lang").endswith("1"), "hls").otherwise("dash").alias("source_type")).distinct()
+    tracks = t.select(F.col("lang").alias("channel_id"), F.lit("video").alias("media_type"), F.lit("m4s").alias("ext"), F.lit(False).alias("protected"))
+    return keys.offerings(channels, tracks).select("channel_id", "native", "alternate")
+
+
+# --- rendering --------------------------------------------------------------------------------------------
+
+
+def _newest_window(spark, sf) -> DataFrame:
+    run = window.playlist_window(timeline.contiguous_run(segs(spark, sf)), 6)
+    return run.withColumns({"period_ord": F.lit(0), "init_uri": F.concat("rep_id", F.lit("/init.mp4")), "key_line": F.col("key_uri"), "duration_s": S.segment_seconds("start_pts", "end_pts", "timescale"), "uri": F.col("seg_no").cast("string")})
+
+
+WINDOW6 = f"""i as (select *, seg_no - row_number() over (partition by {T} order by seg_no) as isl from d),
+ r as (select * from i qualify isl = max(isl) over (partition by {T})),
+ n as (select *, coalesce(key_uri, '') as k from r qualify row_number() over (partition by {T} order by seg_no desc) <= 6),
+ l as (select *, row_number() over w = 1 as first, coalesce(lag(k) over w, '') as lk from n window w as (partition by {T} order by seg_no))"""
+
+
+@query(FLAGSHIP, "--cte\n" + WINDOW6 + f"""
+select {T}, seg_no, not first and discontinuity as broken, first as mapped, k <> lk as rekeyed, '#EXTINF:' || printf('%.6f', (end_pts - start_pts) / 90000.0::double) || ',' as inf from l""", dedup=True)
+def _(spark, sf):
+    lines = render.playlist_lines(_newest_window(spark, sf), TRACK)
+    is_key = F.startswith("line", F.lit("#EXT-X-KEY")) | F.startswith("line", F.lit("https://keys"))
+    return lines.groupBy(*TRACK, "seg_no").agg(F.bool_or(F.col("line") == "#EXT-X-DISCONTINUITY").alias("broken"), F.bool_or(F.startswith("line", F.lit("#EXT-X-MAP"))).alias("mapped"), F.bool_or(is_key).alias("rekeyed"), F.max(F.when(F.startswith("line", F.lit("#EXTINF")), F.col("line"))).alias("inf"))
+
+
+@query("r2_media_playlists", "--cte\n" + WINDOW6 + f""",
+ t as (select *, concat_ws(chr(10), case when not first and discontinuity then '#EXT-X-DISCONTINUITY' end, case when first then '#EXT-X-MAP:URI="' || rep_id || '/init.mp4"' end, case when k <> lk then case when k = '' then '#EXT-X-KEY:METHOD=NONE' else k end end, '#EXTINF:' || printf('%.6f', (end_pts - start_pts) / 90000.0::double) || ',', cast(seg_no as varchar)) as body from l)
+select {T}, string_agg(body, chr(10) order by seg_no) as body from t group by {T}""", dedup=True)
+def _(spark, sf):
+    return render.ordered_text(render.playlist_lines(_newest_window(spark, sf), TRACK), TRACK, ("seg_no", "line_pos"))
+
+
+@query("r3_master_playlists", """select lang as channel_id, '#EXTM3U' || chr(10) || '#EXT-X-VERSION:3' || chr(10) || string_agg('#EXT-X-STREAM-INF:BANDWIDTH=' || cast(bandwidth as varchar) || ',CODECS="' || codecs || '"' || chr(10) || '/v1/channels/' || lang || '/media/' || rep_id || '.m3u8', chr(10) order by cast(rep_id as bigint)) || chr(10) as body from trk group by lang""", "trk")
+def _(spark, sf):
+    none = F.lit(None).cast("string")
+    t = rows(spark, sf, "trk").withColumns({"channel_id": F.col("lang"), "kind": F.lit("variant"), "doc_pos": F.col("rep_id").cast("bigint"), "group_id": none, "name": none, "is_default": F.lit(False), "average_bandwidth": F.lit(0), "width": F.lit(0), "height": F.lit(0), "frame_rate": F.lit(0.0), "audio_group": none, "subtitle_group": none})
+    return render.render_master(t)
+
+
+@query("r4_manifest_timing", f"select {T}, min(seg_no) as start_number, arg_min(start_pts, seg_no) as pto from d group by {T}", dedup=True)
+def _(spark, sf):
+    d = segs(spark, sf)
+    base = d.select(*TRACK, "media_type").distinct().withColumns({"timescale": F.lit(1), "start_number": F.lit(1), "pto": F.lit(0), "timeline": F.lit(None).cast("string")})
+    return render.manifest_timing(base, d).select(*TRACK, "start_number", "pto")
