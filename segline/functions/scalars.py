@@ -110,12 +110,15 @@ def byte_range_at(text) -> Column:
     return F.when(n.isNotNull(), F.struct(n.alias("length"), o.alias("offset")))
 
 
-@F.pandas_udf("string")
-def resolve_uri(base: pd.Series, ref: pd.Series) -> pd.Series:
-    """Full reference resolution, dot segments included; the one scalar no built-in covers."""
+def _resolved(base: pd.Series, ref: pd.Series) -> pd.Series:
     return pd.Series([None if r is None else urljoin(b or "", r) for b, r in zip(base, ref, strict=True)], dtype=object)
 
 
+def resolve_uri(base, ref) -> Column:
+    """Full reference resolution, dot segments included; the one scalar no built-in covers (an Arrow UDF)."""
+    return F.pandas_udf(_resolved, "string")(_c(base), _c(ref))
+
+
 #: What a content-protection scheme URI holds for each system.
 PLAYREADY_MARKS, WIDEVINE_MARK, COMMON_MARK = ["9a04f079-9840-4286-ab92-e65be0885f95", "microsoft:playready"], "edef8ba9-79d6-4ace-a3c8-27dcd51d21ed", "mp4protection"
 
