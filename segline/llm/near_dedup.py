@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 from .components import components
 from .storage import Workspace
 
-HASHES, ROWS = 128, 4
+HASHES, ROWS, WIDTH = 128, 4, 2  # a kept minimum's bytes: its low 16 bits tell unequal ones apart but for 1 in 65536
+#: Ids that a semi-join may broadcast (8 MB); more of them are joined by a shuffle.
+FEW = 1_000_000
 BANDS = HASHES // ROWS
 _rng = np.random.default_rng(20240607)
 _MUL = (_rng.integers(0, 1 << 31, HASHES, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
@@ -40,14 +42,14 @@ def shingle_set(text: str | None, words: int) -> np.ndarray:
 
 
 def signature(shingles: np.ndarray) -> np.ndarray:
-    """HASHES minima of a*x+b mod 2^32 (a odd, order led by the high bits) over the set."""
+    """HASHES minima of a*x+b mod 2^32 (a odd, order led by the high bits) over the set, their low 16 bits."""
     x = (shingles >> np.uint64(32)).astype(np.uint32)
     low = np.full(HASHES, 0xFFFFFFFF, np.uint32)
     for at in range(0, len(x), _CHUNK):
         part = np.multiply.outer(_MUL, x[at : at + _CHUNK])
         part += _ADD[:, None]
         np.minimum(low, part.min(axis=1), out=low)
-    return low
+    return low.astype("<u2")
 
 
 def _rows(batches: Iterator[pa.RecordBatch]):
@@ -92,17 +94,37 @@ def _sets(docs: DataFrame, words: int) -> DataFrame:
 
 
 def _alike(pairs: DataFrame, least: float) -> DataFrame:
-    """Pairs (a, b, sig_a, sig_b) whose share of equal minima is at least so much."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    """Pairs (a, b, sig_a, sig_b) whose share of equal minima is at least so much, with it as near."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("near", pa.float64())])
 
     def run(batches):
         for batch in batches:
             if batch.num_rows:
-                x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint32).reshape(-1, HASHES) for i in (2, 3))
-                keep = pa.array((x == y).mean(axis=1) >= least)
-                yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], schema=schema)
+                x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), "<u2").reshape(-1, HASHES) for i in (2, 3))
+                near = (x == y).mean(axis=1)
+                keep = pa.array(near >= least)
+                yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep), pa.array(near).filter(keep)], schema=schema)
+
+    return pairs.select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a long, b long, near double")
+
+
+def _tokens(sets: DataFrame) -> DataFrame:
+    schema = pa.schema([("node", pa.int64()), ("root", pa.int64()), ("token", pa.int64())])
+
+    def run(batches):
+        for node, root, items in _rows(batches):
+            x = np.frombuffer(items.as_buffer(), np.int64)
+            for at in range(0, len(x), 1 << 16):
+                part = x[at : at + (1 << 16)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), node.as_py())), pa.array(np.full(len(part), root.as_py())), pa.array(part)], schema=schema)
+
+    return sets.select("node", "root", "items").mapInArrow(run, "node long, root long, token long")
+
 
-    return pairs.select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a long, b long")
+def _having(df: DataFrame, column: str, ids: DataFrame) -> DataFrame:
+    """Rows of df whose column is in ids (node, written and distinct): by broadcast if ids are few, else by a shuffle."""
+    named = ids.select(F.col("node").alias(column))
+    return df.join(F.broadcast(named) if ids.count() <= FEW else named, column, "left_semi")
 
 
 def _linked(pairs: DataFrame, num: int, den: int) -> DataFrame:
@@ -131,12 +153,16 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, similarity_percent: int
     1. One pass makes each text's set, a hash of it and HASHES minima. Equal sets form a class; only one
        node for each class (its smallest doc_id) goes on, so copies are never expanded.
     2. Bands of ROWS minima give buckets. At 0.8 a linked pair shares none with probability 5e-8.
-       A bucket yields pairs of its smallest node with each other node: linear in the bucket.
-    3. A pair whose signatures agree by 5 standard deviations less than asked is dropped; the others are
-       confirmed on full sets, which are made anew for the documents in such pairs only.
+       A bucket pairs one node, drawn anew for each band, with each other node: linear in the bucket, and a
+       node of a large group meets up to BANDS different ones.
+    3. A pair whose signatures agree by 5 standard deviations less than asked is dropped. Of the others,
+       each node's likeliest pair is confirmed first, on full sets; then those that still join different
+       components. A set is made anew for the nodes in shared buckets only.
     4. Components by large-star and small-star. A bucket that still spans several components then yields
-       the pairs across them that lie outside its smallest node's component: those step 2 left out.
-       What holds these pairs down is that linked members already share a component, and set sizes.
+       the pairs across them with a node outside the drawn one's component, if they can be linked at all:
+       only shingles that occur in two or more components can lie in the intersection of such a pair, so a
+       node with m of these, out of n, has at most m in common with any. A node that no drawn partner was
+       like has mostly shingles of its own, and this exact bound leaves few of its pairs.
 
     Null or blank texts: set size 0, linked with nothing. A null doc_id: component_id null, kept true,
     linked with nothing. Rows that share a doc_id are one node: they reach one another. Repeated rows,
@@ -153,44 +179,64 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, similarity_percent: int
     heads = ws.save(named.join(classes, "same").where("doc_id = node").select("node", "n", "same", "sig").distinct(), "heads")
     member = named.select("doc_id", "same").distinct().join(classes, "same").select("doc_id", "node")
 
+    size = WIDTH * ROWS
     band = F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))).alias("i")
-    buckets = heads.select("node", "sig", band).select(
-        F.xxhash64("i", F.substring("sig", F.col("i") * F.lit(4 * ROWS) + 1, F.lit(4 * ROWS))).alias("key"), "node"
-    )
-    full = buckets.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("last"), F.count(F.lit(1)).alias("size")).where("a < last")
-    in_full = ws.save(buckets.join(full.select("key", "a", "size"), "key").select("key", "node", "a", "size"), "buckets")
+    buckets = heads.select("node", "sig", band).select(F.xxhash64("i", F.substring("sig", F.col("i") * size + 1, F.lit(size))).alias("key"), "node")
+    drawn = F.min(F.struct(F.xxhash64("key", "node").alias("h"), "node"))
+    full = buckets.groupBy("key").agg(drawn["node"].alias("pivot"), F.min("node").alias("lo"), F.max("node").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo < hi")
+    in_full = ws.save(buckets.join(full.select("key", "pivot", "size"), "key").select("key", "node", "pivot", "size"), "buckets")
+    shared = ws.save(in_full.select("node").distinct(), "shared")
+    sets = ws.save(_sets(_having(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "doc_id", shared), words).distinct(), "sets")
+    sigs = ws.save(_having(heads.select("node", "sig"), "node", shared), "sigs")
+
+    def likely(pairs: DataFrame) -> DataFrame:
+        sig = lambda end: sigs.select(F.col("node").alias(end), F.col("sig").alias(f"sig_{end}"))
+        return ws.save(_alike(pairs.join(sig("b"), "b").join(sig("a"), "a"), floor).groupBy("a", "b").agg(F.max("near").alias("near")), "likely")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
-        sig = lambda end: heads.select(F.col("node").alias(end), F.col("sig").alias(f"sig_{end}"))
-        likely = ws.save(_alike(pairs.join(sig("b"), "b").join(sig("a"), "a"), floor).distinct(), "likely")
-        ends = likely.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-        texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ends, "doc_id", "left_semi")
-        sets = ws.save(_sets(texts, words).distinct(), "sets")
-        items = lambda end: sets.select(F.col("node").alias(end), F.col("items").alias(f"items_{end}"))
-        return ws.save(_linked(likely.join(items("b"), "b").join(items("a"), "a"), num, den).distinct(), "links")
-
-    stars = in_full.where("node <> a").select("a", F.col("node").alias("b")).distinct()
-    links = confirmed(stars)
+        pairs = ws.save(pairs.select("a", "b").distinct(), "pairs")
+        ends = ws.save(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "ends")
+        held = _having(sets, "node", ends)
+        items = lambda end: held.select(F.col("node").alias(end), F.col("items").alias(f"items_{end}"))
+        found = ws.save(_linked(pairs.join(items("b"), "b").join(items("a"), "a"), num, den).distinct().select(F.col("a").alias("u"), F.col("b").alias("v")), "links")
+        ws.drop(pairs, ends)
+        return found
+
+    def rooted(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+        """Pairs whose ends have different roots."""
+        of = lambda end: roots.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}"))
+        return pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b"))
+
+    ends = [F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")]
+    alike = likely(in_full.where("node <> pivot").select(*ends).distinct())
+    both = alike.select(F.explode(F.array("a", "b")).alias("node"), F.struct("near", "a", "b").alias("p"))
+    best = both.groupBy("node").agg(F.max("p").alias("p")).select("p.a", "p.b")
     # rows that share a doc_id but not a text hold together
     reused = member.groupBy("doc_id").agg(F.min("node").alias("v"), F.max("node").alias("last")).where("v < last")
     again = member.join(reused.select("doc_id", "v"), "doc_id").where("node <> v").select(F.col("node").alias("u"), "v")
-    known = links.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(again)
-    roots = ws.save(components(known, ws), "roots")
-
-    sized = in_full.where("size > 2").join(roots, "node", "left").select("key", "node", "a", F.coalesce("root", "node").alias("root"))
-    mixed = sized.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.max(F.when(F.col("node") == F.col("a"), F.col("root"))).alias("main")).where("lo < hi")
-    spread = ws.save(
-        sized.join(mixed.select("key", "main"), "key").where("node <> a").join(heads.groupBy("node").agg(F.min("n").alias("n_lo"), F.max("n").alias("n_hi")), "node").select("key", "node", "root", "main", "n_lo", "n_hi"),
-        "spread",
-    )
-    odd = spread.where("root <> main").select("key", F.col("node").alias("x"), F.col("root").alias("x_root"), F.col("n_lo").alias("x_lo"), F.col("n_hi").alias("x_hi"))
+    roots = components(confirmed(best).unionByName(again), ws)
+    edges = roots.select(F.col("node").alias("u"), F.col("root").alias("v"))
+    roots = components(edges.unionByName(confirmed(rooted(alike, roots))), ws)
+
+    sized = in_full.where("size > 2").join(roots, "node", "left").select("key", "node", "pivot", F.coalesce("root", "node").alias("root"))
+    mixed = sized.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.max(F.when(F.col("node") == F.col("pivot"), F.col("root"))).alias("main")).where("lo < hi")
+    widths = _having(heads, "node", shared).groupBy("node").agg(F.min("n").alias("n_lo"))
+    spread = ws.save(sized.join(mixed.select("key", "main"), "key").where("node <> pivot").join(widths, "node").select("key", "node", "root", "main", "n_lo"), "spread")
+    members = ws.save(spread.select("node", "root").distinct(), "members")
+    tokens = ws.save(_tokens(_having(sets, "node", members).join(members, "node")), "tokens")
+    across_tokens = tokens.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("token")
+    usable = tokens.join(across_tokens, "token").groupBy("node").agg(F.count(F.lit(1)).alias("m"))
+    spread = ws.save(spread.join(usable, "node"), "bounded")  # a node without such shingles has no pair
+    odd = spread.where("root <> main").select("key", F.col("node").alias("x"), F.col("root").alias("x_root"), F.col("n_lo").alias("x_lo"), F.col("m").alias("x_m"))
+    most = F.least("m", "x_m")
     across = spread.join(odd, "key").where(
         (F.col("root") != F.col("x_root"))
         & ((F.col("root") == F.col("main")) | (F.col("node") < F.col("x")))
-        & (den * F.least("x_hi", "n_hi") >= num * F.greatest("x_lo", "n_lo"))
+        & (den * most >= num * (F.col("x_lo") + F.col("n_lo") - most))
     )
-    more = confirmed(across.select(F.least("node", "x").alias("a"), F.greatest("node", "x").alias("b")).distinct())
-    roots = components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more.select(F.col("a").alias("u"), F.col("b").alias("v"))), ws)
+    more = confirmed(likely(across.select(F.least("node", "x").alias("a"), F.greatest("node", "x").alias("b")).distinct()))
+    edges = roots.select(F.col("node").alias("u"), F.col("root").alias("v"))
+    roots = components(edges.unionByName(more), ws)
 
     return (
         sketch.select("doc_id", "n", "same")
