@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import ann, byte_bpe, kd_shards, license_scan, line_dedup, media, near_dedup, packing, quality_rules, token_files
+from . import ann, byte_bpe, kd_shards, license_scan, line_dedup, media, near_dedup, oracles, packing, quality_rules, token_files
 from .storage import table
 
 
@@ -51,4 +51,4 @@ def op10_best_fit_packing(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_adaptive_ann, op3_license_scan, op4_byte_bpe, op5_kd_sharding, op6_line_dedup, op7_iso_media, op8_token_planes, op9_quality_rules, op10_best_fit_packing)}
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {op1_minhash_near_dedup.__name__: oracles.NEAR, op3_license_scan.__name__: oracles.LICENSE, op6_line_dedup.__name__: oracles.LINES}

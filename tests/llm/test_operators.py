@@ -360,9 +360,6 @@ def test_plan_uses_every_piece_and_fills(spark):
             for p in parts:
                 used[p] += n
         assert used == counts
-        first_fit = []
-        for size in sorted(counts.elements(), reverse=True)[:2000] if False else ():
-            first_fit.append(size)
         assert sum(n for _, n in plan) >= -(-sum(k * v for k, v in counts.items()) // 1024)
     assert packing.plan_lengths({600: 3, 424: 3}, 1024) == [((600, 424), 3)]
     assert packing.plan_lengths({}, 1024) == []
