@@ -144,19 +144,21 @@ def required_keys(segs: DataFrame) -> DataFrame:
 
 def throughput(attempts: DataFrame, window_s: float = 30, at="attempt_at", units=("bytes",)) -> DataFrame:
     """Over (now - window, now] at each row: units since the oldest sample, that sample's own left out,
-    divided by the time since it; 0 while there is no more than one instant. Every row is a sample."""
-    micros = F.unix_micros(F.col(at).cast("timestamp"))
-    w = Window.partitionBy("channel_id").orderBy("_us").rangeBetween(-int(window_s * 1_000_000) + 1, Window.currentRow)
-    rows = attempts.withColumn("_us", micros)
-    span = (F.col("_us") - F.min("_us").over(w)) / 1_000_000
-    oldest = lambda u: F.first(u).over(w)
-    out = rows.withColumn("_span", span).withColumn("samples", F.count(F.lit(1)).over(w))
+    divided by the time since it; 0 while there is no more than one instant. Every row is a sample.
+
+    Rows are dealt by channel and stretch of time as long as the window; each row also goes to the next
+    stretch, only to be counted there. So a channel with a third of all attempts is spread over time.
+    """
+    wide = int(window_s * 1_000_000)
+    rows = attempts.withColumn("_us", F.unix_micros(F.col(at).cast("timestamp")))
+    own = F.floor(F.col("_us") / wide)
+    rows = rows.withColumn("_own", own).withColumn("_cut", F.explode(F.array(own, own + 1)))
+    w = Window.partitionBy("channel_id", "_cut").orderBy("_us").rangeBetween(-wide + 1, Window.currentRow)
+    out = rows.withColumn("_span", (F.col("_us") - F.min("_us").over(w)) / 1_000_000).withColumn("samples", F.count(F.lit(1)).over(w))
     for u in units:
-        out = out.withColumn(f"_{u}", F.sum(u).over(w))
-    first_units = {u: F.min_by(u, "_us").over(w) for u in units}
-    for u in units:
-        out = out.withColumn(f"{u}_per_s", F.when(F.col("_span") > 0, (F.col(f"_{u}") - first_units[u]) / F.col("_span")).otherwise(0.0)).drop(f"_{u}")
-    return out.drop("_us", "_span")
+        since = F.sum(u).over(w) - F.min_by(u, "_us").over(w)
+        out = out.withColumn(f"{u}_per_s", F.when(F.col("_span") > 0, since / F.col("_span")).otherwise(0.0))
+    return out.where("_cut = _own").drop("_us", "_own", "_cut", "_span")
 
 
 def retry_schedule(attempts: DataFrame, max_retries: int = 5, keys=("channel_id", "seg_no"), order=("attempt_at", "event_id"), base: Column | None = None, deadline: str | None = None) -> DataFrame:

@@ -29,8 +29,10 @@ def expire(segs: DataFrame, depth: float, safe: float, keep_all: Column | bool =
     keep = F.lit(keep_all) if isinstance(keep_all, bool) else keep_all
     published = F.col("status") == "published" if "status" in segs.columns else F.lit(True)
     ends = pts_seconds(end, timescale)
-    cutoff = F.max(F.when(published, ends)).over(Window.partitionBy(*keys)) - F.lit(float(depth + safe))
-    return segs.withColumn("_cut", cutoff).withColumn("expires", F.coalesce(published & ~keep & (F.col("_cut") > 0) & (ends < F.col("_cut")), F.lit(False))).drop("_cut")
+    # an aggregate joined back, not a window: a period with a third of all rows never meets in one task
+    cuts = segs.groupBy(*keys).agg((F.max(F.when(published, ends)) - F.lit(float(depth + safe))).alias("_cut"))
+    rows = segs.join(cuts, list(keys), "left")
+    return rows.select(*segs.columns, F.coalesce(published & ~keep & (F.col("_cut") > 0) & (ends < F.col("_cut")), F.lit(False)).alias("expires"))
 
 
 def keep_newest(df: DataFrame, n: int | None = 120, keys=tuple(TRACK), seq="seg_no", commit="commit_ord") -> DataFrame:
