@@ -108,19 +108,6 @@ def _alike(pairs: DataFrame, least: float) -> DataFrame:
     return pairs.select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a long, b long, near double")
 
 
-def _tokens(sets: DataFrame) -> DataFrame:
-    schema = pa.schema([("node", pa.int64()), ("root", pa.int64()), ("token", pa.int64())])
-
-    def run(batches):
-        for node, root, items in _rows(batches):
-            x = np.frombuffer(items.as_buffer(), np.int64)
-            for at in range(0, len(x), 1 << 16):
-                part = x[at : at + (1 << 16)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), node.as_py())), pa.array(np.full(len(part), root.as_py())), pa.array(part)], schema=schema)
-
-    return sets.select("node", "root", "items").mapInArrow(run, "node long, root long, token long")
-
-
 def _having(df: DataFrame, column: str, ids: DataFrame) -> DataFrame:
     """Rows of df whose column is in ids (node, written and distinct): by broadcast if ids are few, else by a shuffle."""
     named = ids.select(F.col("node").alias(column))
@@ -159,10 +146,9 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, similarity_percent: int
        each node's likeliest pair is confirmed first, on full sets; then those that still join different
        components. A set is made anew for the nodes in shared buckets only.
     4. Components by large-star and small-star. A bucket that still spans several components then yields
-       the pairs across them with a node outside the drawn one's component, if they can be linked at all:
-       only shingles that occur in two or more components can lie in the intersection of such a pair, so a
-       node with m of these, out of n, has at most m in common with any. A node that no drawn partner was
-       like has mostly shingles of its own, and this exact bound leaves few of its pairs.
+       the pairs across them with a node outside the drawn one's component and a fitting set size: nodes
+       that no drawn partner was like, against the bucket. Linked nodes share a component, so this is the
+       exact way for the rest; it grows with (unlike nodes) x (bucket), see the README's figures.
 
     Null or blank texts: set size 0, linked with nothing. A null doc_id: component_id null, kept true,
     linked with nothing. Rows that share a doc_id are one node: they reach one another. Repeated rows,
@@ -220,19 +206,13 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, similarity_percent: int
 
     sized = in_full.where("size > 2").join(roots, "node", "left").select("key", "node", "pivot", F.coalesce("root", "node").alias("root"))
     mixed = sized.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.max(F.when(F.col("node") == F.col("pivot"), F.col("root"))).alias("main")).where("lo < hi")
-    widths = _having(heads, "node", shared).groupBy("node").agg(F.min("n").alias("n_lo"))
-    spread = ws.save(sized.join(mixed.select("key", "main"), "key").where("node <> pivot").join(widths, "node").select("key", "node", "root", "main", "n_lo"), "spread")
-    members = ws.save(spread.select("node", "root").distinct(), "members")
-    tokens = ws.save(_tokens(_having(sets, "node", members).join(members, "node")), "tokens")
-    across_tokens = tokens.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("token")
-    usable = tokens.join(across_tokens, "token").groupBy("node").agg(F.count(F.lit(1)).alias("m"))
-    spread = ws.save(spread.join(usable, "node"), "bounded")  # a node without such shingles has no pair
-    odd = spread.where("root <> main").select("key", F.col("node").alias("x"), F.col("root").alias("x_root"), F.col("n_lo").alias("x_lo"), F.col("m").alias("x_m"))
-    most = F.least("m", "x_m")
+    widths = _having(heads, "node", shared).groupBy("node").agg(F.min("n").alias("n_lo"), F.max("n").alias("n_hi"))
+    spread = ws.save(sized.join(mixed.select("key", "main"), "key").where("node <> pivot").join(widths, "node").select("key", "node", "root", "main", "n_lo", "n_hi"), "spread")
+    odd = spread.where("root <> main").select("key", F.col("node").alias("x"), F.col("root").alias("x_root"), F.col("n_lo").alias("x_lo"), F.col("n_hi").alias("x_hi"))
     across = spread.join(odd, "key").where(
         (F.col("root") != F.col("x_root"))
         & ((F.col("root") == F.col("main")) | (F.col("node") < F.col("x")))
-        & (den * most >= num * (F.col("x_lo") + F.col("n_lo") - most))
+        & (den * F.least("x_hi", "n_hi") >= num * F.greatest("x_lo", "n_lo"))
     )
     more = confirmed(likely(across.select(F.least("node", "x").alias("a"), F.greatest("node", "x").alias("b")).distinct()))
     edges = roots.select(F.col("node").alias("u"), F.col("root").alias("v"))
