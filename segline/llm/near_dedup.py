@@ -15,6 +15,8 @@ from .components import components
 from .storage import Workspace
 
 HASHES, ROWS, WIDTH = 128, 4, 2  # a kept minimum's bytes: its low 16 bits tell unequal ones apart but for 1 in 65536
+#: Nodes of one side of a block of pairs that are compared in place.
+BLOCK_ODD, BLOCK_ALL = 256, 2048
 #: Ids that a semi-join may broadcast (8 MB); more of them are joined by a shuffle.
 FEW = 1_000_000
 BANDS = HASHES // ROWS
@@ -108,6 +110,57 @@ def _alike(pairs: DataFrame, least: float) -> DataFrame:
     return pairs.select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a long, b long, near double")
 
 
+def _linked_blocks(blocks: DataFrame, num: int, den: int) -> DataFrame:
+    """Links (u, v) in each block (key, mb, xb): its unlike nodes (side 0) against its others (side 1), where
+    roots differ, by the sizes of intersections of full sets.
+
+    Rows come sorted by block and side. A block's unlike sets, at most BLOCK_ODD, are held as one sorted
+    run of (token, which); the others pass one at a time and look their tokens up. No pair becomes a row
+    unless it is a link, and two components need one link in a block.
+    """
+    schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
+
+    def run(batches):
+        def found():
+            block, nodes, roots, sets, index, met = None, [], [], [], None, set()
+            for key, mb, xb, side, node, root, items in _rows(batches):
+                at = (key.as_py(), mb.as_py(), xb.as_py())
+                if at != block:
+                    block, nodes, roots, sets, index, met = at, [], [], [], None, set()
+                x = np.frombuffer(items.as_buffer(), np.uint64)
+                if side.as_py() == 0:
+                    nodes.append(node.as_py())
+                    roots.append(root.as_py())
+                    sets.append(x)
+                    continue
+                if not nodes:
+                    continue
+                if index is None:
+                    tokens = np.concatenate(sets)
+                    which = np.repeat(np.arange(len(sets)), [len(z) for z in sets])
+                    order = np.argsort(tokens, kind="stable")
+                    tokens, which = tokens[order], which[order]
+                    starts = np.flatnonzero(np.concatenate(([True], tokens[1:] != tokens[:-1])))
+                    index = (tokens[starts], np.append(starts, len(tokens)), which, np.array([len(z) for z in sets]), np.array(roots))
+                keys, starts, which, sizes, own = index
+                place = np.searchsorted(keys, x)
+                place[place == len(keys)] = 0
+                place = place[keys[place] == x]
+                a, n = starts[place], starts[place + 1] - starts[place]
+                hits = which[np.repeat(a - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())] if len(n) else which[:0]
+                both = np.bincount(hits, minlength=len(sizes))
+                linked = (den * both >= num * (sizes + len(x) - both)) & (own != root.as_py())
+                for k in np.flatnonzero(linked):
+                    if (pair := (root.as_py(), roots[k])) not in met:  # one link joins two components
+                        met.add(pair)
+                        yield node.as_py(), nodes[k]
+
+        return _out(found(), schema)
+
+    ordered = blocks.repartition("key", "mb", "xb").sortWithinPartitions("key", "mb", "xb", "side")
+    return ordered.select("key", "mb", "xb", "side", "node", "root", "items").mapInArrow(run, "u long, v long")
+
+
 def _having(df: DataFrame, column: str, ids: DataFrame) -> DataFrame:
     """Rows of df whose column is in ids (node, written and distinct): by broadcast if ids are few, else by a shuffle."""
     named = ids.select(F.col("node").alias(column))
@@ -145,10 +198,10 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, similarity_percent: int
     3. A pair whose signatures agree by 5 standard deviations less than asked is dropped. Of the others,
        each node's likeliest pair is confirmed first, on full sets; then those that still join different
        components. A set is made anew for the nodes in shared buckets only.
-    4. Components by large-star and small-star. A bucket that still spans several components then yields
-       the pairs across them with a node outside the drawn one's component and a fitting set size: nodes
-       that no drawn partner was like, against the bucket. Linked nodes share a component, so this is the
-       exact way for the rest; it grows with (unlike nodes) x (bucket), see the README's figures.
+    4. Components by large-star and small-star. In a bucket that still spans several components, the nodes
+       outside the drawn one's component (no drawn partner was like them) are compared with the bucket on
+       full sets, in blocks of BLOCK_ODD x BLOCK_ALL: this is the exact way for the rest. Blocks are tasks'
+       inner loops; only links leave them, and a large bucket is many blocks.
 
     Null or blank texts: set size 0, linked with nothing. A null doc_id: component_id null, kept true,
     linked with nothing. Rows that share a doc_id are one node: they reach one another. Repeated rows,
@@ -206,15 +259,14 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, similarity_percent: int
 
     sized = in_full.where("size > 2").join(roots, "node", "left").select("key", "node", "pivot", F.coalesce("root", "node").alias("root"))
     mixed = sized.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.max(F.when(F.col("node") == F.col("pivot"), F.col("root"))).alias("main")).where("lo < hi")
-    widths = _having(heads, "node", shared).groupBy("node").agg(F.min("n").alias("n_lo"), F.max("n").alias("n_hi"))
-    spread = ws.save(sized.join(mixed.select("key", "main"), "key").where("node <> pivot").join(widths, "node").select("key", "node", "root", "main", "n_lo", "n_hi"), "spread")
-    odd = spread.where("root <> main").select("key", F.col("node").alias("x"), F.col("root").alias("x_root"), F.col("n_lo").alias("x_lo"), F.col("n_hi").alias("x_hi"))
-    across = spread.join(odd, "key").where(
-        (F.col("root") != F.col("x_root"))
-        & ((F.col("root") == F.col("main")) | (F.col("node") < F.col("x")))
-        & (den * F.least("x_hi", "n_hi") >= num * F.greatest("x_lo", "n_lo"))
-    )
-    more = confirmed(likely(across.select(F.least("node", "x").alias("a"), F.greatest("node", "x").alias("b")).distinct()))
+    spread = ws.save(sized.join(mixed.select("key", "main"), "key").where("node <> pivot").select("key", "node", "root", "main"), "spread")
+    counts = spread.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ALL).cast("int").alias("mbs"), F.ceil(F.count_if(F.col("root") != F.col("main")) / BLOCK_ODD).cast("int").alias("xbs"))
+    dealt = spread.join(counts.where("xbs > 0"), "key").join(_having(sets, "node", ws.save(spread.select("node").distinct(), "members")), "node")
+    lot = lambda c: F.pmod(F.xxhash64("node", F.lit(c)), F.col(c)).cast("int")
+    all_of = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    unlike = dealt.where("root <> main").withColumn("xb", lot("xbs")).withColumn("mb", all_of("mbs")).withColumn("side", F.lit(0))
+    others = dealt.withColumn("mb", lot("mbs")).withColumn("xb", all_of("xbs")).withColumn("side", F.lit(1))
+    more = ws.save(_linked_blocks(unlike.unionByName(others), num, den).distinct(), "links")
     edges = roots.select(F.col("node").alias("u"), F.col("root").alias("v"))
     roots = components(edges.unionByName(more), ws)
 
