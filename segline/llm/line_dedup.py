@@ -1,4 +1,4 @@
-"""Line dedup by winnowing: window minima as guaranteed fingerprints, matches extended both ways, later runs deleted."""
+"""Line dedup by winnowing: window minima as guaranteed fingerprints, windows around them compared, later runs deleted."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .storage import Workspace
 
-#: Words of a gram (nothing shorter is found), and words of a run that is found for certain and deleted.
+#: Words of a gram, and words of a run that is found for certain and deleted (nothing shorter is).
 GRAM, RUN = 25, 50
 _BLANK = " \t\r"
 
@@ -20,57 +20,65 @@ def _lines(base: DataFrame, run: int) -> DataFrame:
     return line.select("rid", "doc_id", "n", F.conv(F.substring(F.md5("l"), 1, 15), 16, 10).cast("long").alias("h"), F.least(words, F.lit(run)).cast("long").alias("w"))
 
 
-def fingerprints(base: DataFrame, gram: int, run: int) -> DataFrame:
-    """rid, doc_id, n, g, left, right: the selected lines of each document.
+def _hash(numbers):
+    """60 bits of the md5 of an array of numbers."""
+    return F.conv(F.substring(F.md5(F.array_join(numbers, ",")), 1, 15), 16, 10).cast("long")
+
 
-    s counts the words before a line. A gram is a line and those after it up to `gram` words, g its hash; a
-    window is the same up to `run` words. Of each window the least g of the grams that lie in it surely is
-    selected (the first on ties). What a window holds depends on its own lines only, so equal runs of `run`
-    words select equal lines. left and right are the lines around: enough to reach the next fingerprint.
+def fingerprints(base: DataFrame, gram: int, run: int) -> DataFrame:
+    """rid, doc_id, g, at, windows (wh, ns): the selected grams of each document, and the windows that select each.
+
+    s counts the words before a line, e those up to its end. A gram is a line and those after it up to `gram`
+    words, g its hash. A window is the same up to `run` words, or the shortest run of `run` words that ends with a
+    line; wh is its hash, ns its lines. Of each window the least g of the grams that lie in it surely is selected
+    (the first on ties; of the second kind, that of the window its first line opens, which lies in it). All this
+    depends on the window's own lines only, so equal windows have equal g and wh. Each line opens one window at
+    most and closes one. A run of at least `run` words is the union of the windows in it: a line with less than
+    `run` words from it to the run's end and from the run's start to it lies in the window that the start opens.
     """
     order = Window.partitionBy("rid").orderBy("n")
-    placed = _lines(base, run).withColumn("s", F.sum("w").over(order) - F.col("w"))
+    placed = _lines(base, run).withColumn("s", F.sum("w").over(order) - F.col("w")).withColumn("e", F.col("s") + F.col("w"))
     near = Window.partitionBy("rid").orderBy("s")
     grams = placed.select(
         "*",
         F.collect_list("h").over(near.rangeBetween(0, gram - 1)).alias("gram"),
         (F.sum("w").over(near.rangeBetween(0, gram - 1)) >= gram).alias("whole"),
         (F.sum("w").over(near.rangeBetween(0, run - 1)) >= run).alias("opens"),
-        F.collect_list(F.struct("n", "h", "w")).over(near.rangeBetween(-2 * run, -1)).alias("left"),
-        F.collect_list(F.struct("n", "h", "w")).over(near.rangeBetween(0, 2 * run + gram)).alias("right"),
+        F.collect_list(F.struct("n", "h")).over(near.rangeBetween(0, run - 1)).alias("opened"),
     )
-    hashed = grams.withColumn("g", F.when(F.col("whole"), F.conv(F.substring(F.md5(F.array_join("gram", ",")), 1, 15), 16, 10).cast("long"))).drop("gram")
+    hashed = grams.withColumn("g", F.when(F.col("whole"), _hash("gram"))).drop("gram")
     least = hashed.withColumn("least", F.when(F.col("opens"), F.min(F.when(F.col("g").isNotNull(), F.struct("g", "s"))).over(near.rangeBetween(0, run - gram))))
-    chosen = F.array_contains(F.collect_list("least.s").over(near.rangeBetween(gram - run, 0)), F.col("s"))
-    return least.withColumn("chosen", chosen).where("chosen").select("rid", "doc_id", "n", "g", "left", "right")
+    back = Window.partitionBy("rid").orderBy("e").rangeBetween(1 - run, 0)
+    both = least.select(
+        "rid", "doc_id", "s", "opens", "opened", "least",
+        F.collect_list(F.struct("n", "h")).over(back).alias("closed"), F.first("s").over(back).alias("since"), F.first("least").over(back).alias("first_least"),
+    )
 
+    def window(lines: str, by: str):
+        return F.struct(F.col(by)["g"].alias("g"), F.col(by)["s"].alias("at"), _hash(F.col(lines)["h"]).alias("wh"), F.col(lines)["n"].alias("ns"))
 
-def _matched(mine, other):
-    """How many leading elements of two arrays of lines have equal hashes."""
-    unequal = F.array_position(F.zip_with(mine, other, lambda a, b: F.coalesce(a["h"] == b["h"], F.lit(False))), False)
-    return F.when(unequal == 0, F.size(mine)).otherwise(unequal - 1).cast("int")
+    # a window closed by a line that its first line's window ends with is that window
+    closes = F.col("s") - F.col("since") >= run
+    windows = both.select("rid", "doc_id", F.explode(F.array_compact(F.array(F.when(F.col("opens"), window("opened", "least")), F.when(closes, window("closed", "first_least"))))).alias("x"))
+    return windows.select("rid", "doc_id", "x.*").groupBy("rid", "doc_id", "g", "at").agg(F.collect_list(F.struct("wh", "ns")).alias("windows"))
 
 
 def repeated_lines(base: DataFrame, ws: Workspace, gram: int, run: int) -> DataFrame:
     """rid, n of the lines to delete. base: rid (unique), doc_id, text; documents are ordered by doc_id, rid.
 
-    The source of a fingerprint is the first place of its gram. Every other place is compared with the
-    source alone: line by line to the left and right while lines are equal, and if that makes a run of
-    `run` words, its lines go. So the work is linear in the places of a gram, and a line that goes always
-    has an earlier equal one, the first of which stays.
+    Grams at several places are the candidates. The source of each of their windows is the first place of that
+    gram and window; the lines of every other place go. So each run of `run` words that stands anywhere before
+    goes whole, whatever stands around the first place of its gram. The work is linear in the lines, and a line
+    that goes always has an earlier equal one, the first of which stays.
     """
     found = ws.save(fingerprints(base, gram, run), "fingerprints")
-    place = F.struct(F.col("doc_id").alias("d"), F.col("rid").alias("r"), F.col("n").alias("n"))
-    first = found.groupBy("g").agg(F.min(place).alias("source"), F.count(F.lit(1)).alias("places")).where("places > 1").drop("places")
-    shared = ws.save(found.join(first, "g").withColumn("is_source", F.struct(F.col("doc_id").alias("d"), F.col("rid").alias("r"), F.col("n").alias("n")).eqNullSafe(F.col("source"))).drop("source"), "shared")
-    ws.drop(found)
-    source = shared.where("is_source").select("g", F.col("left").alias("source_left"), F.col("right").alias("source_right"))
-    pair = shared.where("not is_source").join(source, "g")
-    back, ahead = _matched(F.reverse("left"), F.reverse("source_left")), _matched(F.col("right"), F.col("source_right"))
-    pair = pair.select("rid", "left", "right", back.alias("back"), ahead.alias("ahead")).where("ahead > 0")
-    lines = F.concat(F.when(F.col("back") > 0, F.slice("left", F.size("left") - F.col("back") + 1, F.greatest("back", F.lit(0)))).otherwise(F.slice("left", 1, 0)), F.slice("right", F.lit(1), F.col("ahead")))
-    runs = pair.select("rid", lines.alias("lines")).where(F.aggregate("lines", F.lit(0).cast("long"), lambda acc, x: acc + x["w"]) >= run)
-    return runs.select("rid", F.explode("lines.n").alias("n")).distinct()
+    common = ws.save(found.groupBy("g").agg(F.count(F.lit(1)).alias("places")).where("places > 1").select("g"), "grams")
+    shared = ws.save(found.join(common, "g", "left_semi").select("rid", "doc_id", "g", F.explode("windows").alias("x")).select("rid", "doc_id", "g", "x.*"), "shared")
+    ws.drop(found, common)
+    place = F.struct(F.col("doc_id").alias("d"), F.col("rid").alias("r"), F.get("ns", F.lit(0)).alias("n"))
+    first = ws.save(shared.groupBy("g", "wh").agg(F.min(place).alias("source"), F.count(F.lit(1)).alias("places")).where("places > 1").drop("places"), "first")
+    later = shared.join(first, ["g", "wh"]).where(~place.eqNullSafe(F.col("source")))
+    return later.select("rid", F.explode("ns").alias("n")).distinct()
 
 
 def drop_repeated_runs(docs: DataFrame, *, gram: int = GRAM, run: int = RUN) -> DataFrame:

@@ -265,6 +265,44 @@ def test_line_dedup_equals_brute_force(spark):
     assert got[6001]["text"].count("x y") < 60
 
 
+def rule_lines(docs, run=50):
+    """Every later place of a run of whole lines of `run` words or more goes: docs are (order, text) in order."""
+    first, later, gone = {}, [], defaultdict(set)
+    for d, (_, text) in enumerate(docs):
+        lines = [(n, x.strip(" \t\r")) for n, x in enumerate(text.split("\n"))]
+        lines = [(n, x) for n, x in lines if x]
+        for a in range(len(lines)):
+            for b in range(a, len(lines)):
+                if sum(len(x.split()) for _, x in lines[a : b + 1]) >= run:
+                    key = tuple(x for _, x in lines[a : b + 1])
+                    if key in first:
+                        later.append((d, [n for n, _ in lines[a : b + 1]]))
+                    first.setdefault(key, (d, a))
+    for d, ns in later:
+        gone[d] |= set(ns)
+    return ["\n".join(x for n, x in enumerate(t.split("\n")) if n not in gone[d]) for d, (_, t) in enumerate(docs)]
+
+
+def test_line_dedup_finds_runs_whatever_the_first_place_holds(spark):
+    rng = random.Random(6)
+    line = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    block = lambda words, most: [line(rng.randint(1, most)) for _ in range(words)]
+    docs = []
+    for _ in range(60):  # A = H + X, B = H + Y, C = H + Y
+        h, x, y = (block(n, 9) for n in (6, 5, 5))
+        docs += [[*h, *x], [*h, *y], [*h, *y]]
+    for _ in range(60):  # the same in front, around and longer, with own lines and blank ones between
+        h, x, y, z = (block(rng.randint(2, 14), rng.choice([3, 9, 20])) for _ in range(4))
+        docs += [[*x, *h], [*y, *h, *z], [line(3), *y, "", *h, *z, line(4)], [*x, *h, *z], [*h, *h, *z]]
+    docs += [[line(30), "x y", "x y", line(60)], ["x y"] * 90, [line(49), "one"], ["one", line(49)]]
+    docs = [(k, "\n".join(x)) for k, x in enumerate(docs)]
+    got = {r["doc_id"]: r["text"] for r in line_dedup.drop_repeated_runs(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert [got[k] for k, _ in docs] == rule_lines(docs)
+    h, x, y = (line(10) + "\n" + line(n - 10) for n in (30, 25, 25))
+    three = spark.createDataFrame([(1, f"{h}\n{x}"), (2, f"{h}\n{y}"), (3, f"{h}\n{y}")], "doc_id long, text string")
+    assert [r["n_removed"] for r in line_dedup.drop_repeated_runs(three).orderBy("doc_id").collect()] == [0, 0, 4]
+
+
 def test_line_dedup_odd_rows(spark):
     df = odd_docs(spark)
     out = line_dedup.drop_repeated_runs(df)
