@@ -10,13 +10,17 @@ from .storage import Workspace
 #: Words of a gram, and words of a run that is found for certain and deleted (nothing shorter is).
 GRAM, RUN = 25, 50
 _BLANK = " \t\r"
+#: White space of any kind, and whether a line holds any but single spaces.
+_WHITE = r"[ \t\x0B\f\r\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]"
+_UNEVEN = "  |" + _WHITE.replace("[ ", "[")
 
 
 def _lines(base: DataFrame, run: int) -> DataFrame:
     """rid, doc_id, n (place among all lines), h (60 bits of md5), w (words, at most `run`), of lines not blank."""
     line = base.where(F.col("text").isNotNull()).select("rid", "doc_id", F.posexplode(F.split("text", "\n")).alias("n", "raw"))
     line = line.select("rid", "doc_id", "n", F.btrim("raw", F.lit(_BLANK)).alias("l")).where("l <> ''")
-    words = F.length("l") - F.length(F.replace("l", F.lit(" "), F.lit(""))) + 1
+    spaced = F.length("l") - F.length(F.replace("l", F.lit(" "), F.lit(""))) + 1
+    words = F.when(F.col("l").rlike(_UNEVEN), F.greatest(F.lit(1), F.size(F.array_remove(F.split("l", _WHITE + "+"), "")))).otherwise(spaced)
     return line.select("rid", "doc_id", "n", F.conv(F.substring(F.md5("l"), 1, 15), 16, 10).cast("long").alias("h"), F.least(words, F.lit(run)).cast("long").alias("w"))
 
 
@@ -84,8 +88,8 @@ def repeated_lines(base: DataFrame, ws: Workspace, gram: int, run: int) -> DataF
 def drop_repeated_runs(docs: DataFrame, *, gram: int = GRAM, run: int = RUN) -> DataFrame:
     """docs with `text` cut down, and n_lines, n_removed: later repeats of runs of `run` words or more are deleted.
 
-    A run is made of whole lines, compared after trimming blanks; a line's words are its single spaces plus
-    one; blank lines neither match nor break a run, and stay. The first place of a run, by doc_id and place
+    A run is made of whole lines, compared after trimming blanks; a line's words are what white space of any
+    kind and number parts; a run that starts and ends inside lines is not seen. Blank lines neither match nor break a run, and stay. The first place of a run, by doc_id and place
     in the text, stays. Rows with equal or null doc_id are ordered by their place in the input (null first);
     so a repeated row loses its text like any later copy. Null text stays null, with no lines. All columns
     of docs stay, in order; columns named rid, n_lines or n_removed in docs do no harm to the work but the
