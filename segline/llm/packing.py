@@ -109,7 +109,7 @@ def slots_of(plan: list[tuple[tuple[int, ...], int]]) -> list[tuple[int, int, in
     return out
 
 
-def token_pieces(docs: DataFrame, path: str, end_id: int, capacity: int) -> DataFrame:
+def token_pieces(docs: DataFrame, path: str, end_id: int, capacity: int, added: bool = False) -> DataFrame:
     """Pieces of each document's ids with end_id last: doc_id, piece, start, length, ids_crc32, part, nth.
 
     Only a document longer than capacity is cut; its first piece takes the odd rest. nth counts a task's
@@ -119,7 +119,7 @@ def token_pieces(docs: DataFrame, path: str, end_id: int, capacity: int) -> Data
     schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("part", pa.int32()), ("nth", pa.int64())])
 
     def run(batches):
-        units, end, part, seen = encoder(path, True), end_id.to_bytes(4, "little"), TaskContext.get().partitionId(), {}
+        units, end, part, seen = encoder(path, True, added), end_id.to_bytes(4, "little"), TaskContext.get().partitionId(), {}
 
         def found():
             for doc, text in rows(batches):
@@ -157,11 +157,11 @@ def pack(pieces: DataFrame, capacity: int) -> DataFrame:
     )
 
 
-def pack_documents(docs: DataFrame, path: str, *, end_id: int = 2, capacity: int = 1024) -> DataFrame:
+def pack_documents(docs: DataFrame, path: str, *, end_id: int = 2, capacity: int = 1024, added: bool = False) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset: one row for each piece of each row of docs.
 
-    Null text: empty, one piece of one token. Null doc_id and repeated rows: packed like others.
+    added: see UnitEncoder. Null text: empty, one piece of one token. Null doc_id and repeated rows: packed like others.
     """
     ws = Workspace(docs.sparkSession, "pack")
-    pieces = ws.save(token_pieces(docs, path, end_id, capacity), "pieces")
+    pieces = ws.save(token_pieces(docs, path, end_id, capacity, added), "pieces")
     return pack(pieces, capacity).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")

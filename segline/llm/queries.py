@@ -38,7 +38,7 @@ def op7_iso_media(spark, sf_dir):
 
 
 def op8_token_planes(spark, sf_dir):
-    return token_files.tokens_on_disk(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return token_files.tokens_on_disk(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), added=True)
 
 
 def op9_quality_rules(spark, sf_dir):
@@ -46,7 +46,7 @@ def op9_quality_rules(spark, sf_dir):
 
 
 def op10_best_fit_packing(spark, sf_dir):
-    return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), added=True)
 
 
 QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_adaptive_ann, op3_license_scan, op4_byte_bpe, op5_kd_sharding, op6_line_dedup, op7_iso_media, op8_token_planes, op9_quality_rules, op10_best_fit_packing)}

@@ -94,17 +94,17 @@ class Image:
             at += n
 
 
-def write_token_files(docs: DataFrame, path: str, *, end_id: int = 1, bits: int = 8) -> DataFrame:
+def write_token_files(docs: DataFrame, path: str, *, end_id: int = 1, bits: int = 8, added: bool = False) -> DataFrame:
     """Files of all documents' ids in ascending doc_id order: part, seq, n_ids, n_docs, image (binary).
 
     Texts are dealt by ranges of doc_id and sorted in each range, then encoded and written in that order in
     one task each; a range gives files of about FILE_IDS ids, so neither a task nor a file gathers more.
-    (part, seq) is the files' order. Equal doc_ids are dealt apart by a row number, null ones come first.
+    added: see UnitEncoder. (part, seq) is the files' order. Equal doc_ids are dealt apart by a row number, null ones come first.
     """
     schema = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("n_ids", pa.int64()), ("n_docs", pa.int64()), ("image", pa.binary())])
 
     def run(batches):
-        units, end, part = encoder(path, False), end_id.to_bytes(4, "little"), TaskContext.get().partitionId()
+        units, end, part = encoder(path, False, added), end_id.to_bytes(4, "little"), TaskContext.get().partitionId()
 
         def found():
             seq, held, names, lengths, total = 0, [], [], [], 0
@@ -144,7 +144,7 @@ def read_token_files(files: DataFrame) -> DataFrame:
     return found.join(firsts, ["part", "seq"]).select("doc_id", (F.col("first") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
 
 
-def tokens_on_disk(docs: DataFrame, path: str, *, end_id: int = 1) -> DataFrame:
+def tokens_on_disk(docs: DataFrame, path: str, *, end_id: int = 1, added: bool = False) -> DataFrame:
     """Write every row of docs as token-id files in the shared folder and read them back, see read_token_files."""
     ws = Workspace(docs.sparkSession, "tokens")
-    return read_token_files(ws.save(write_token_files(docs, path, end_id=end_id), "files"))
+    return read_token_files(ws.save(write_token_files(docs, path, end_id=end_id, added=added), "files"))

@@ -51,12 +51,15 @@ class UnitEncoder(dict):
     space between two other characters. So a text is cut there, each unit is encoded once, and ids are
     joined: the same ids as for the whole text, without encoding common words again and again.
     keeps_space: whether a unit takes the space before it (byte-level BPE) or drops it (word-end BPE).
+    added: whether the string of an added token, as "<|endoftext|>", is that one token, as the library has it
+    unless told otherwise, or ordinary text. A text that may hold one goes through the library whole.
     """
 
-    def __init__(self, path: str, keeps_space: bool, most: int = 600_000):
+    def __init__(self, path: str, keeps_space: bool, most: int = 600_000, added: bool = False):
         super().__init__()
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.library.encode_special_tokens = not added
+        self.added = [t.content.lower() for t in self.library.get_added_tokens_decoder().values()] if added else []
         self.model = self.library.model
         self.keeps_space, self.most = keeps_space, most
         # the byte-level alphabet for what a plain unit may hold: a space and Latin letters
@@ -89,17 +92,24 @@ class UnitEncoder(dict):
         self[unit] = out
         return out
 
+    def _may_hold_added(self, text: str) -> bool:
+        """Case is let alone, as the library may look for their strings in lower-cased text."""
+        low = text.lower()
+        return any(a in low for a in self.added)
+
     def encode(self, text: str) -> bytes:
         """The text's ids as little-endian unsigned 32-bit integers."""
+        if self.added and self._may_hold_added(text):
+            return _packed(self.library.encode(text, add_special_tokens=False).ids)
         units = units_of(text)
         if self.keeps_space:
             units[1:] = [" " + u for u in units[1:]]
         return b"".join(map(self.__getitem__, units))
 
 
-def encoder(path: str, keeps_space: bool) -> UnitEncoder:
+def encoder(path: str, keeps_space: bool, added: bool = False) -> UnitEncoder:
     """One for each process and file: a Python worker keeps its cache from task to task."""
-    key = (path, keeps_space)
+    key = (path, keeps_space, added)
     if key not in _ENCODERS:
-        _ENCODERS[key] = UnitEncoder(path, keeps_space)
+        _ENCODERS[key] = UnitEncoder(path, keeps_space, added=added)
     return _ENCODERS[key]
