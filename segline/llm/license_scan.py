@@ -15,17 +15,34 @@ from .arrow import batches_of, rows
 PHRASES = [("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved")]
 
 #: Label and template. Words outside marks are mandatory; <<opt>>..<</opt>> may be missing as a whole;
-#: <<var a-b>> takes any a to b words. Marks nest. Wording is compared word by word, as the text's is cut.
+#: <<var a-b>> takes any a to b words. Marks nest. A
+#: licence's own text stands whole, with variables for names and holders and list marks optional. Wording is compared word by word, as the text's is cut.
 TEMPLATES = [
     ("apache-2.0", "licensed under the apache license <<opt>>version<</opt>> 2 0"),
     ("mit", "<<opt>>released<</opt>> under the mit license"),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this <<var 1-4>> and associated documentation files"),
+    (
+        "mit",
+        "permission is hereby granted free of charge to any person obtaining a copy of this <<var 1-4>> and associated documentation files the software to deal in the software without restriction "
+        "including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so "
+        "subject to the following conditions <<opt>>1<</opt>> the above copyright notice and this permission notice <<opt>>including the next paragraph<</opt>> shall be included in all copies or substantial portions of the software "
+        "<<opt>>2<</opt>> the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement "
+        "in no event shall <<var 1-12>> be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software",
+    ),
     ("cc-by-nc-4.0", "licensed under <<opt>>a<</opt>> <<opt>>the<</opt>> cc by nc <<opt>>version<</opt>> 4 0 <<opt>>international<</opt>> <<opt>>license<</opt>>"),
     ("cc-by-4.0", "licensed under <<opt>>a<</opt>> <<opt>>the<</opt>> cc by <<opt>>version<</opt>> 4 0"),
     ("gpl-3.0", "licensed under the <<opt>>terms of the<</opt>> gnu <<opt>>affero<</opt>> <<opt>>lesser<</opt>> general public license <<opt>>as published by the free software foundation either<</opt>> version 3"),
     ("gpl-2.0", "licensed under the <<opt>>terms of the<</opt>> gnu <<opt>>lesser<</opt>> general public license <<opt>>as published by the free software foundation either<</opt>> version 2"),
     ("copyright-reserved", "copyright <<opt>>c<</opt>> <<var 1-8>> all rights reserved"),
-    ("bsd-3-clause", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met <<var 0-120>> neither the name of <<var 1-12>> nor the names of its contributors"),
+    (
+        "bsd-3-clause",
+        "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met "
+        "<<opt>>1<</opt>> <<opt>>a<</opt>> <<opt>>i<</opt>> redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer "
+        "<<opt>>2<</opt>> <<opt>>b<</opt>> <<opt>>ii<</opt>> redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution "
+        "<<opt>>3<</opt>> <<opt>>c<</opt>> <<opt>>iii<</opt>> neither the name of <<var 1-12>> nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission "
+        "this software is provided by <<var 1-12>> as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed "
+        "in no event shall <<var 1-12>> be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption "
+        "however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage",
+    ),
 ]
 
 _WORD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
