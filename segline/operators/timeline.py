@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -118,23 +118,27 @@ def detect_rewinds(polls: DataFrame, keys=("channel_id", "rep_id"), order=("poll
 def assign_shared_period(rewinds: DataFrame, channel="channel_id", rep="rep_id", order=("poll_at", "event_id")) -> DataFrame:
     """The channel's period number after each rewind, shared by its renditions.
 
-    A rendition that is on the latest period opens the next one; one that lags joins the latest. Only rewind
-    rows come here, some few for each channel, so the fold over a channel stays small.
+    A rendition that is on the latest period opens the next one; one that lags joins the latest. A channel's
+    rewinds stream through one task in order; only each rendition's period is held.
     """
     cols = [channel, rep, *order]
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(list(order) + [rep], kind="stable")
-        at, latest, out = {}, 0, []
-        for r in rows[rep]:
-            if at.get(r, 0) == latest:
-                latest += 1
-            at[r] = latest
-            out.append(latest)
-        return rows.assign(period_no=out)[[*cols, "period_no"]]
+    def run(batches):
+        now, at, latest = None, {}, 0
+        for batch in batches:
+            out = []
+            for c, r in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if now != (c,):
+                    now, at, latest = (c,), {}, 0
+                if at.get(r, 0) == latest:
+                    latest += 1
+                at[r] = latest
+                out.append(latest)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.int64())], names=[*cols, "period_no"])
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rewinds.select(*cols).schema) + ", period_no bigint"
-    return rewinds.select(*cols).groupBy(channel).applyInPandas(fold, schema)
+    dealt = rewinds.select(*cols).repartition(channel).sortWithinPartitions(channel, *(F.col(c).asc_nulls_last() for c in (*order, rep)))
+    return dealt.mapInArrow(run, schema)
 
 
 def detect_manifest_restarts(listed: DataFrame, channel="channel_id", period="period_id", rep="rep_id") -> DataFrame:
@@ -146,21 +150,25 @@ def detect_manifest_restarts(listed: DataFrame, channel="channel_id", period="pe
     """
     per_manifest = listed.groupBy(channel, period, "fetched_at").agg(F.first("dynamic").alias("dynamic"), F.first("ast").alias("ast"), F.map_from_entries(F.collect_list(F.struct(rep, "highest"))).alias("tops"))
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        held, generation, last_ast, out = {}, 0, None, []
-        for r in rows.sort_values("fetched_at").itertuples():
-            tops = {k: v for k, v in dict(r.tops).items() if v is not None}
-            ast = None if pd.isna(r.ast) else r.ast
-            if r.dynamic and held and ((last_ast is not None and ast != last_ast) or any(v < held[k] for k, v in tops.items() if k in held)):
-                generation, held = generation + 1, {}
-            last_ast = ast
-            for k, v in tops.items():
-                held[k] = max(v, held.get(k, v))
-            out.append(generation)
-        return rows.sort_values("fetched_at").assign(generation=out)[[channel, period, "fetched_at", "generation"]]
+    def run(batches):
+        now, held, generation, last_ast = None, {}, 0, None
+        for batch in batches:
+            out = []
+            for c, p, _, dynamic, ast, tops in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                if now != (c, p):
+                    now, held, generation, last_ast = (c, p), {}, 0, None
+                tops = {k: v for k, v in dict(tops).items() if v is not None}
+                if dynamic and held and ((last_ast is not None and ast != last_ast) or any(v < held[k] for k, v in tops.items() if k in held)):
+                    generation, held = generation + 1, {}
+                last_ast = ast
+                for k, v in tops.items():
+                    held[k] = max(v, held.get(k, v))
+                out.append(generation)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(out, pa.int64())], names=[channel, period, "fetched_at", "generation"])
 
     types = dict(per_manifest.dtypes)
-    found = per_manifest.groupBy(channel, period).applyInPandas(fold, f"{channel} {types[channel]}, {period} {types[period]}, fetched_at {types['fetched_at']}, generation bigint")
+    dealt = per_manifest.repartition(channel, period).sortWithinPartitions(channel, period, F.col("fetched_at").asc_nulls_last())
+    found = dealt.mapInArrow(run, f"{channel} {types[channel]}, {period} {types[period]}, fetched_at {types['fetched_at']}, generation bigint")
     return found.withColumn("gateway_period_id", restart_period_id(F.col(period), F.col("generation")))
 
 
