@@ -11,6 +11,8 @@ from tokenizers import Tokenizer
 _ENCODERS: dict[tuple, "UnitEncoder"] = {}
 #: Between two characters that are no white space in any reading of it, a space always ends a piece.
 _SAFE_SPACE = re.compile("(?<=[^\\s᠎​-‏⁠﻿]) (?=[^\\s᠎​-‏⁠﻿])")
+#: Characters of the longest unit that is cached.
+LONG = 1 << 12
 #: ASCII signs but the apostrophe, which can start a piece of its own kind.
 _SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
@@ -51,17 +53,16 @@ class UnitEncoder(dict):
     space between two other characters. So a text is cut there, each unit is encoded once, and ids are
     joined: the same ids as for the whole text, without encoding common words again and again.
     keeps_space: whether a unit takes the space before it (byte-level BPE) or drops it (word-end BPE).
-    added: whether the string of an added token, as "<|endoftext|>", is that one token, as the library has it
-    unless told otherwise, or ordinary text. A text that may hold one goes through the library whole.
+    The string of an added token, as "<|endoftext|>", is that one token, as the library has it; a text that may
+    hold one goes through the library whole. The cache is bounded by its units' bytes as well as their number.
     """
 
-    def __init__(self, path: str, keeps_space: bool, most: int = 600_000, added: bool = False):
+    def __init__(self, path: str, keeps_space: bool, most: int = 600_000, most_chars: int = 1 << 25):
         super().__init__()
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = not added
-        self.added = [t.content.lower() for t in self.library.get_added_tokens_decoder().values()] if added else []
+        self.added = [t.content.lower() for t in self.library.get_added_tokens_decoder().values()]
         self.model = self.library.model
-        self.keeps_space, self.most = keeps_space, most
+        self.keeps_space, self.most, self.most_chars, self.chars = keeps_space, most, most_chars, 0
         # the byte-level alphabet for what a plain unit may hold: a space and Latin letters
         table = {32: 0x120} | {b: b if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174 else None for b in range(128, 256)}
         rest = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174)]
@@ -87,9 +88,12 @@ class UnitEncoder(dict):
             if at := line_break(unit):
                 return self[unit[:at]] + (self["\n"] if self.keeps_space else b"") + self[unit[at + 1 :]]
             out = _packed(self.library.encode(unit, add_special_tokens=False).ids)
-        if len(self) >= self.most:
+        if len(self) >= self.most or self.chars >= self.most_chars:
             self.clear()
-        self[unit] = out
+            self.chars = 0
+        if len(unit) <= LONG:  # longer ones hardly come again
+            self[unit] = out
+            self.chars += len(unit)
         return out
 
     def _may_hold_added(self, text: str) -> bool:
@@ -99,7 +103,7 @@ class UnitEncoder(dict):
 
     def encode(self, text: str) -> bytes:
         """The text's ids as little-endian unsigned 32-bit integers."""
-        if self.added and self._may_hold_added(text):
+        if self._may_hold_added(text):
             return _packed(self.library.encode(text, add_special_tokens=False).ids)
         units = units_of(text)
         if self.keeps_space:
@@ -107,9 +111,9 @@ class UnitEncoder(dict):
         return b"".join(map(self.__getitem__, units))
 
 
-def encoder(path: str, keeps_space: bool, added: bool = False) -> UnitEncoder:
+def encoder(path: str, keeps_space: bool) -> UnitEncoder:
     """One for each process and file: a Python worker keeps its cache from task to task."""
-    key = (path, keeps_space, added)
+    key = (path, keeps_space)
     if key not in _ENCODERS:
-        _ENCODERS[key] = UnitEncoder(path, keeps_space, added=added)
+        _ENCODERS[key] = UnitEncoder(path, keeps_space)
     return _ENCODERS[key]
