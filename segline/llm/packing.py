@@ -21,10 +21,18 @@ def plan_lengths(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int,
     """How often to use which combination of lengths: [(lengths of one sequence, how many such sequences)].
 
     counts: pieces of each length from 1 to capacity; what is planned depends on these counts alone, at
-    most `capacity` numbers at any corpus size, and every piece is used. Longest first, a length's gap is
-    filled exactly by one, two or three shorter-or-equal lengths while counts last (the larger parts first,
-    which leaves small lengths for other gaps); the rest goes by best fit, longest first.
+    most `capacity` numbers at any corpus size, and every piece is used. Exact complements of up to three
+    parts can spend short pieces that best fit needs later, so plans with up to 3, 2, 1 and 0 parts are made
+    and the one with the fewest sequences counts (of equals, that with the most parts).
     """
+    plans = [_plan(counts, capacity, parts) for parts in (3, 2, 1, 0)]
+    return min(plans, key=lambda plan: sum(n for _, n in plan))
+
+
+def _plan(counts: dict[int, int], capacity: int, most_parts: int) -> list[tuple[tuple[int, ...], int]]:
+    """Longest first, a length's gap is filled exactly by one, two or three (at most most_parts) shorter-or-equal
+    lengths while counts last, the larger parts first, which leaves small lengths for other gaps; the rest goes
+    by best fit, longest first."""
     left = {n: c for n, c in counts.items() if c > 0}
     plan: list[tuple[tuple[int, ...], int]] = []
 
@@ -40,17 +48,17 @@ def plan_lengths(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int,
 
     if capacity in left:
         use((capacity,))
-    for size in sorted(left, reverse=True):
+    for size in sorted(left, reverse=True) if most_parts else ():
         gap = capacity - size
         if size in left and gap <= size:
             use((size, gap))
         have = sorted((x for x in left if x <= min(size, gap - 1)), reverse=True)
-        for a in have:  # pairs of the gap
+        for a in have if most_parts > 1 else ():  # pairs of the gap
             if size not in left:
                 break
             if a in left and 0 < gap - a <= a and gap - a in left:
                 use((size, a, gap - a))
-        for i, a in enumerate(have):  # triples of it
+        for i, a in enumerate(have if most_parts > 2 else ()):  # triples of it
             if size not in left:
                 break
             rest = gap - a
@@ -109,7 +117,7 @@ def slots_of(plan: list[tuple[tuple[int, ...], int]]) -> list[tuple[int, int, in
     return out
 
 
-def token_pieces(docs: DataFrame, path: str, end_id: int, capacity: int, added: bool = False) -> DataFrame:
+def token_pieces(docs: DataFrame, path: str, end_id: int, capacity: int) -> DataFrame:
     """Pieces of each document's ids with end_id last: doc_id, piece, start, length, ids_crc32, part, nth.
 
     Only a document longer than capacity is cut; its first piece takes the odd rest. nth counts a task's
@@ -119,7 +127,7 @@ def token_pieces(docs: DataFrame, path: str, end_id: int, capacity: int, added:
     schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("part", pa.int32()), ("nth", pa.int64())])
 
     def run(batches):
-        units, end, part, seen = encoder(path, True, added), end_id.to_bytes(4, "little"), TaskContext.get().partitionId(), {}
+        units, end, part, seen = encoder(path, True), end_id.to_bytes(4, "little"), TaskContext.get().partitionId(), {}
 
         def found():
             for doc, text in rows(batches):
@@ -157,11 +165,11 @@ def pack(pieces: DataFrame, capacity: int) -> DataFrame:
     )
 
 
-def pack_documents(docs: DataFrame, path: str, *, end_id: int = 2, capacity: int = 1024, added: bool = False) -> DataFrame:
+def pack_documents(docs: DataFrame, path: str, *, end_id: int = 2, capacity: int = 1024) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset: one row for each piece of each row of docs.
 
-    added: see UnitEncoder. Null text: empty, one piece of one token. Null doc_id and repeated rows: packed like others.
+    Null text: empty, one piece of one token. Null doc_id and repeated rows: packed like others.
     """
     ws = Workspace(docs.sparkSession, "pack")
-    pieces = ws.save(token_pieces(docs, path, end_id, capacity, added), "pieces")
+    pieces = ws.save(token_pieces(docs, path, end_id, capacity), "pieces")
     return pack(pieces, capacity).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
