@@ -16,12 +16,12 @@ _UNEVEN = "  |" + _WHITE.replace("[ ", "[")
 
 
 def _lines(base: DataFrame, run: int) -> DataFrame:
-    """rid, doc_id, n (place among all lines), h (60 bits of md5), w (words, at most `run`), of lines not blank."""
+    """rid, doc_id, n (place among all lines), h (60 bits of md5), k (64 bits of xxhash), w (words, at most `run`), of lines not blank."""
     line = base.where(F.col("text").isNotNull()).select("rid", "doc_id", F.posexplode(F.split("text", "\n")).alias("n", "raw"))
     line = line.select("rid", "doc_id", "n", F.btrim("raw", F.lit(_BLANK)).alias("l")).where("l <> ''")
     spaced = F.length("l") - F.length(F.replace("l", F.lit(" "), F.lit(""))) + 1
     words = F.when(F.col("l").rlike(_UNEVEN), F.greatest(F.lit(1), F.size(F.array_remove(F.split("l", _WHITE + "+"), "")))).otherwise(spaced)
-    return line.select("rid", "doc_id", "n", F.conv(F.substring(F.md5("l"), 1, 15), 16, 10).cast("long").alias("h"), F.least(words, F.lit(run)).cast("long").alias("w"))
+    return line.select("rid", "doc_id", "n", F.conv(F.substring(F.md5("l"), 1, 15), 16, 10).cast("long").alias("h"), F.xxhash64("l").alias("k"), F.least(words, F.lit(run)).cast("long").alias("w"))
 
 
 def _hash(numbers):
@@ -30,11 +30,11 @@ def _hash(numbers):
 
 
 def fingerprints(base: DataFrame, gram: int, run: int) -> DataFrame:
-    """rid, doc_id, g, at, windows (wh, ns): the selected grams of each document, and the windows that select each.
+    """rid, doc_id, g, at, windows (wh, wk, ns): the selected grams of each document, and the windows that select each.
 
     s counts the words before a line, e those up to its end. A gram is a line and those after it up to `gram`
     words, g its hash. A window is the same up to `run` words, or the shortest run of `run` words that ends with a
-    line; wh is its hash, ns its lines. Of each window the least g of the grams that lie in it surely is selected
+    line; wh and wk hash its lines' h and k (124 bits in all, so unlike windows do not meet), ns are its lines. Of each window the least g of the grams that lie in it surely is selected
     (the first on ties; of the second kind, that of the window its first line opens, which lies in it). All this
     depends on the window's own lines only, so equal windows have equal g and wh. Each line opens one window at
     most and closes one. A run of at least `run` words is the union of the windows in it: a line with less than
@@ -48,23 +48,23 @@ def fingerprints(base: DataFrame, gram: int, run: int) -> DataFrame:
         F.collect_list("h").over(near.rangeBetween(0, gram - 1)).alias("gram"),
         (F.sum("w").over(near.rangeBetween(0, gram - 1)) >= gram).alias("whole"),
         (F.sum("w").over(near.rangeBetween(0, run - 1)) >= run).alias("opens"),
-        F.collect_list(F.struct("n", "h")).over(near.rangeBetween(0, run - 1)).alias("opened"),
+        F.collect_list(F.struct("n", "h", "k")).over(near.rangeBetween(0, run - 1)).alias("opened"),
     )
     hashed = grams.withColumn("g", F.when(F.col("whole"), _hash("gram"))).drop("gram")
     least = hashed.withColumn("least", F.when(F.col("opens"), F.min(F.when(F.col("g").isNotNull(), F.struct("g", "s"))).over(near.rangeBetween(0, run - gram))))
     back = Window.partitionBy("rid").orderBy("e").rangeBetween(1 - run, 0)
     both = least.select(
         "rid", "doc_id", "s", "opens", "opened", "least",
-        F.collect_list(F.struct("n", "h")).over(back).alias("closed"), F.first("s").over(back).alias("since"), F.first("least").over(back).alias("first_least"),
+        F.collect_list(F.struct("n", "h", "k")).over(back).alias("closed"), F.first("s").over(back).alias("since"), F.first("least").over(back).alias("first_least"),
     )
 
     def window(lines: str, by: str):
-        return F.struct(F.col(by)["g"].alias("g"), F.col(by)["s"].alias("at"), _hash(F.col(lines)["h"]).alias("wh"), F.col(lines)["n"].alias("ns"))
+        return F.struct(F.col(by)["g"].alias("g"), F.col(by)["s"].alias("at"), _hash(F.col(lines)["h"]).alias("wh"), F.xxhash64(F.col(lines)["k"]).alias("wk"), F.col(lines)["n"].alias("ns"))
 
     # a window closed by a line that its first line's window ends with is that window
     closes = F.col("s") - F.col("since") >= run
     windows = both.select("rid", "doc_id", F.explode(F.array_compact(F.array(F.when(F.col("opens"), window("opened", "least")), F.when(closes, window("closed", "first_least"))))).alias("x"))
-    return windows.select("rid", "doc_id", "x.*").groupBy("rid", "doc_id", "g", "at").agg(F.collect_list(F.struct("wh", "ns")).alias("windows"))
+    return windows.select("rid", "doc_id", "x.*").groupBy("rid", "doc_id", "g", "at").agg(F.collect_list(F.struct("wh", "wk", "ns")).alias("windows"))
 
 
 def repeated_lines(base: DataFrame, ws: Workspace, gram: int, run: int) -> DataFrame:
@@ -72,7 +72,8 @@ def repeated_lines(base: DataFrame, ws: Workspace, gram: int, run: int) -> DataF
 
     Grams at several places are the candidates. The source of each of their windows is the first place of that
     gram and window; the lines of every other place go. So each run of `run` words that stands anywhere before
-    goes whole, whatever stands around the first place of its gram. The work is linear in the lines, and a line
+    goes whole, whatever stands around the first place of its gram. A match is extended both ways by the windows
+    that its grams lie in: they cover a run from end to end, however long it is. The work is linear in the lines, and a line
     that goes always has an earlier equal one, the first of which stays.
     """
     found = ws.save(fingerprints(base, gram, run), "fingerprints")
@@ -80,8 +81,8 @@ def repeated_lines(base: DataFrame, ws: Workspace, gram: int, run: int) -> DataF
     shared = ws.save(found.join(common, "g", "left_semi").select("rid", "doc_id", "g", F.explode("windows").alias("x")).select("rid", "doc_id", "g", "x.*"), "shared")
     ws.drop(found, common)
     place = F.struct(F.col("doc_id").alias("d"), F.col("rid").alias("r"), F.get("ns", F.lit(0)).alias("n"))
-    first = ws.save(shared.groupBy("g", "wh").agg(F.min(place).alias("source"), F.count(F.lit(1)).alias("places")).where("places > 1").drop("places"), "first")
-    later = shared.join(first, ["g", "wh"]).where(~place.eqNullSafe(F.col("source")))
+    first = ws.save(shared.groupBy("g", "wh", "wk").agg(F.min(place).alias("source"), F.count(F.lit(1)).alias("places")).where("places > 1").drop("places"), "first")
+    later = shared.join(first, ["g", "wh", "wk"]).where(~place.eqNullSafe(F.col("source")))
     return later.select("rid", F.explode("ns").alias("n")).distinct()
 
 
