@@ -5,14 +5,17 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .storage import Workspace
 
-#: Rows the centroids and the rotation are fitted on at most; list members and queries of one scan task.
-FIT_ROWS, CHUNK, QUERY_CHUNK = 16_384, 2_048, 512
+#: Rows the centroids and the rotation are fitted on at most; rows of a bin and queries of a lot, which one task scans.
+FIT_ROWS, CHUNK, QUERY_CHUNK = 16_384, 4_096, 2_048
 BLOCK = 16  # dimensions that a hypothesis test goes by
+#: Pairs of one step of a scan, and the share of them below which survivors are read one by one.
+TILE, SPARSE = 1 << 18, 0.05
+NO_BAR = (float("-inf"), (1 << 63) - 1)
 
 
 class Index:
@@ -34,7 +37,8 @@ class Index:
             for k in range(len(centres)):
                 own = x[near == k]
                 centres[k] = own.mean(axis=0) if len(own) else x[rng.integers(len(x))]
-        self.centres = centres
+        # lists that lie along one direction follow each other, so small ones that share a bin are near
+        self.centres = centres[np.argsort((centres - centres.mean(axis=0)) @ np.linalg.svd(centres - centres.mean(axis=0), full_matrices=False)[2][0], kind="stable")]
 
     def lift(self, x: np.ndarray) -> np.ndarray:
         rest = np.sqrt(np.maximum(0, self.norm**2 - np.einsum("ij,ij->i", x, x)))
@@ -48,51 +52,74 @@ class Index:
         half = np.einsum("ij,ij->i", centres, centres) / 2
         return np.concatenate([np.argmax(x[i : i + 4096] @ centres.T - half, axis=1) for i in range(0, len(x), 4096)] or [np.empty(0, int)])
 
-    def assign(self, x: np.ndarray) -> np.ndarray:
-        return self._nearest(self.lift(x), self.centres)
+    def assign(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Each vector's list, and its distance from that list's centre."""
+        lifted = self.lift(x)
+        own = self._nearest(lifted, self.centres)
+        return own, np.sqrt(np.square(lifted - self.centres[own]).sum(axis=1))
 
-    def probes(self, q: np.ndarray, n: int) -> np.ndarray:
+    def reach(self, q: np.ndarray) -> np.ndarray:
+        """Distances from each query to each centre."""
         t = self.turn(q)
-        score = np.einsum("ij,ij->i", self.centres, self.centres) / 2 - t @ self.centres.T
-        return np.argsort(score, axis=1, kind="stable")[:, :n]
+        c = self.centres
+        return np.sqrt(np.maximum(0, np.einsum("ij,ij->i", t, t)[:, None] + np.einsum("ij,ij->i", c, c) - 2 * t @ c.T))
 
+    def beyond(self, q: np.ndarray, score: np.ndarray) -> np.ndarray:
+        """The distance that stands for a score."""
+        with np.errstate(invalid="ignore"):
+            return np.sqrt(np.maximum(0, np.einsum("ij,ij->i", q, q) + self.norm**2 - 2 * score))
 
-def _scan(index: Index, ids, vectors, q_ids, queries, bar_score, bar_id, k: int, slack: float) -> pd.DataFrame:
-    """The best k of a chunk for each query, as (query_id, vec_id, score), better than the query's bar.
 
-    Rotated columns are read in blocks. After each, a candidate goes if its partial distance, scaled to all
-    dimensions, exceeds the bar's by the factor (1 + slack / sqrt(d))^2: the test that its true distance
-    is below the bar is rejected. The first block is one matrix product for all pairs; later ones read the
-    pairs that are still alive. What remains is scored on the original vectors in double precision.
+def _scan(index: Index, lists, ids, vectors, q_ids, queries, asked, bar_score, bar_id, k: int, slack: float) -> pd.DataFrame:
+    """The best k of a bin for each query, as (query_id, vec_id, score), better than the query's bar.
+
+    asked[i]: the lists of the bin that query i probes. Rotated columns are read in blocks. After each, a
+    candidate goes if its partial distance, scaled to all dimensions, exceeds the bar's by the factor
+    (1 + slack / sqrt(d))^2: the test that its true distance is below the bar is rejected. Blocks are matrix
+    products for all pairs while many are alive, and read the surviving pairs alone after that. What remains
+    is scored on the original vectors in double precision, dimension after dimension.
     """
     rotated, turned, width = index.lift(vectors), index.turn(queries), index.width
-    with np.errstate(invalid="ignore"):
-        far = np.einsum("ij,ij->i", turned, turned) + index.norm**2 - 2 * bar_score  # squared distance of the bar
+    far = index.beyond(queries, bar_score) ** 2
+    room = 1e-9 * (index.norm**2 + np.einsum("ij,ij->i", queries, queries))
     edges = [*range(0, width, BLOCK), width]
-    first = rotated[:, :BLOCK]
-    first_norm = np.einsum("ij,ij->i", first, first)
     limit = lambda d: (1 + slack / d**0.5) ** 2 * d / width if d < width else 1 + 1e-9
+    places = {v: i for i, v in enumerate(np.unique(lists).tolist())}
+    place = np.array([places[v] for v in lists.tolist()], np.int64)
+    probed = np.zeros((len(q_ids), len(places)), bool)
+    for i, wanted in enumerate(asked):
+        probed[i, [places[v] for v in wanted if v in places]] = True
     found = []
-    for at in range(0, len(q_ids), 128):
-        q = turned[at : at + 128]
-        head = q[:, :BLOCK]
-        part = np.maximum(0, np.einsum("ij,ij->i", head, head)[:, None] + first_norm - 2 * head @ first.T)
-        d = min(BLOCK, width)
-        i, c = np.nonzero(part <= (far[at : at + 128] * limit(d) + 1e-9)[:, None])
-        part = part[i, c]
-        for a, b in zip(edges[1:], edges[2:], strict=False):
-            gap = rotated[c, a:b] - q[i, a:b]
-            part = part + np.einsum("ij,ij->i", gap, gap)
-            keep = part <= far[at + i] * limit(b) + 1e-9
-            i, c, part = i[keep], c[keep], part[keep]
+    step = max(1, TILE // max(1, len(ids)))
+    for at in range(0, len(q_ids), step):
+        now = slice(at, at + step)
+        alive, part, i, c = probed[now][:, place], None, None, None
+        for a, b in zip(edges, edges[1:], strict=False):
+            x, q = rotated[:, a:b], turned[now, a:b]
+            bound = far[now] * limit(b) + room[now]
+            if i is None and np.count_nonzero(alive) < SPARSE * alive.size:
+                i, c = np.nonzero(alive)
+                part = None if part is None else part[i, c]
+            if i is None:
+                near = np.maximum(0, np.einsum("ij,ij->i", q, q)[:, None] + np.einsum("ij,ij->i", x, x) - 2 * q @ x.T)
+                part = near if part is None else part + near
+                alive &= part <= bound[:, None]
+            else:
+                gap = x[c] - q[i]
+                near = np.einsum("ij,ij->i", gap, gap)
+                part = near if part is None else part + near
+                keep = part <= bound[i]
+                i, c, part = i[keep], c[keep], part[keep]
+        if i is None:
+            i, c = np.nonzero(alive)
         i = i + at
-        score = (vectors[c] * queries[i]).sum(axis=1)
+        score = np.concatenate([np.add.accumulate(vectors[c[p : p + 65536]] * queries[i[p : p + 65536]], axis=1)[:, -1] for p in range(0, len(i), 65536)] or [np.empty(0)])
         better = (ids[c] != q_ids[i]) & ((score > bar_score[i]) | ((score == bar_score[i]) & (ids[c] <= bar_id[i])))
         i, c, score = i[better], c[better], score[better]
         order = np.lexsort((ids[c], -score, i))
         i, c, score = i[order], c[order], score[order]
-        nth = np.arange(len(i)) - np.searchsorted(i, i)
-        found.append((q_ids[i[nth < k]], ids[c[nth < k]], score[nth < k]))
+        first = np.arange(len(i)) - np.searchsorted(i, i) < k
+        found.append((q_ids[i[first]], ids[c[first]], score[first]))
     q, v, s = (np.concatenate(x) if found else np.empty(0) for x in (zip(*found, strict=True) if found else ((), (), ())))
     return pd.DataFrame({"query_id": q.astype(np.int64), "vec_id": v.astype(np.int64), "score": s.astype(np.float64)})
 
@@ -101,19 +128,41 @@ def _stack(column) -> np.ndarray:
     return np.array(column.tolist(), np.float64)
 
 
-def nearest(vectors: DataFrame, *, k: int = 20, query_every: int = 20, probe_share: float = 0.8, slack: float = 1.0) -> DataFrame:
+def _bins(counts: np.ndarray) -> list[tuple[int, int]]:
+    """(first bin, number of bins) of each list: lists that follow each other share a bin up to CHUNK rows, a
+    larger one is dealt over bins of its own."""
+    out, now, held = [], 0, 0
+    for n in counts.tolist():
+        if n > CHUNK:
+            now += held > 0
+            out.append((now, -(-n // CHUNK)))
+            now, held = now + out[-1][1], 0
+            continue
+        if held + n > CHUNK:
+            now, held = now + 1, 0
+        out.append((now, 1))
+        held += n
+    return out
+
+
+def nearest(vectors: DataFrame, *, k: int = 20, query_every: int = 20, slack: float = 2.1) -> DataFrame:
     """query_id, rank, vec_id, score: for every row whose vec_id is divisible by query_every, its k rows of
     largest inner product among all others, ties to the smaller vec_id. vectors: vec_id, embedding.
 
     Null, empty, zero or non-finite vectors and null vec_ids take no part; nor do vectors of another width
     than the most frequent one. Repeated rows with one vec_id count once if equal; of unequal ones the
-    least is taken. Fewer than k candidates: all of them.
+    least is taken. Fewer than k candidates: all of them. Further columns, of any name, are ignored.
+
+    Lists number about the square root of the rows, at most FIT_ROWS / 16 (fewer sample rows a list give no
+    centre). Centroids come from at most FIT_ROWS rows; all rows are indexed. Lists are stored in bins of about
+    CHUNK rows, small neighbouring ones together and a large one over many, and queries meet a bin in lots, so
+    a list with a third of all rows makes more tasks, not a larger one, and a query's vector goes to a bin once.
 
-    Lists number about the square root of the rows; a query probes probe_share of them, nearest centroid
-    first. Centroids come from at most FIT_ROWS rows; all rows are indexed. A list is stored in chunks of
-    about CHUNK rows and queries meet it in lots of QUERY_CHUNK, so a list with a third of all rows makes
-    more tasks, not a larger one. First each query's nearest list is scanned in full; its k-th best is the
-    bar for the other lists, where the adaptive scan abandons most candidates.
+    1. Each query scans its nearest lists until they hold k others; its k-th best is its bar.
+    2. It then probes every list that may hold better: those whose centre's distance less the list's radius is
+       within the bar's. Where data has clusters this leaves few lists, where it has none, most of them; no list
+       that could hold a neighbour is left out. There the adaptive scan abandons candidates by its tests.
+    slack: how far a partial distance may lie above the bar's before a candidate goes; infinity makes it exact.
     """
     spark = vectors.sparkSession
     ws = Workspace(spark, "ann")
@@ -126,59 +175,82 @@ def nearest(vectors: DataFrame, *, k: int = 20, query_every: int = 20, probe_sha
         return empty
     rows = ws.save(rows.where(F.size("v") == width["d"]).groupBy("vec_id").agg(F.min("v").alias("v")), "vectors")
     facts = rows.agg(F.count(F.lit(1)).alias("n"), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)).alias("m")).first()
-    lists = int(np.clip(round(facts["n"] ** 0.5), 1, FIT_ROWS // 16))
     share = min(1.0, FIT_ROWS / facts["n"])
     sample = rows.where(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).orderBy(F.xxhash64("vec_id")).limit(FIT_ROWS).select("v").toPandas()
     if not len(sample):
         sample = rows.orderBy("vec_id").limit(FIT_ROWS).select("v").toPandas()
-    index = Index(_stack(sample["v"]), facts["m"] ** 0.5, lists)
-    lists = len(index.centres)
-    probes = max(1, min(lists, int(np.ceil(probe_share * lists))))
+    index = Index(_stack(sample["v"]), facts["m"] ** 0.5, int(np.clip(round(facts["n"] ** 0.5), 1, FIT_ROWS // 16)))
 
     def assigned(batches):
         for b in batches:
             if b.num_rows:
-                x = np.array(b.column(1).to_pylist(), np.float64)
-                yield pa.RecordBatch.from_arrays([pa.array(index.assign(x), pa.int32()), b.column(0), b.column(1)], names=["list", "vec_id", "v"])
+                own, gap = index.assign(np.array(b.column(1).to_pylist(), np.float64))
+                yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.array(gap, pa.float64()), b.column(0), b.column(1)], names=["list", "gap", "vec_id", "v"])
 
-    stored = ws.save(rows.mapInArrow(assigned, "list int, vec_id long, v array<double>"), "lists")
-    sizes = stored.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("chunks"))
-    members = ws.save(stored.join(F.broadcast(sizes), "list").withColumn("chunk", F.pmod(F.xxhash64("vec_id"), F.col("chunks")).cast("int")).drop("chunks"), "chunks")
+    stored = ws.save(rows.mapInArrow(assigned, "list int, gap double, vec_id long, v array<double>"), "lists")
+    counts, radius = np.zeros(len(index.centres), np.int64), np.zeros(len(index.centres))
+    for r in stored.groupBy("list").agg(F.count(F.lit(1)).alias("n"), F.max("gap").alias("gap")).collect():  # a row a list
+        counts[r["list"]], radius[r["list"]] = r["n"], r["gap"]
+    place = _bins(counts)
+    firsts, spread = (F.array(*(F.lit(p[x]) for p in place)) for x in (0, 1))
+    bin_of = (F.get(firsts, F.col("list")) + F.pmod(F.xxhash64("vec_id"), F.get(spread, F.col("list")))).cast("int")
+    members = ws.save(stored.select("list", "vec_id", "v", bin_of.alias("bin")), "members")
+    queries = rows.where(F.col("vec_id") % query_every == 0).withColumnRenamed("vec_id", "query_id")
 
-    def probed(batches):
-        for b in batches:
-            if b.num_rows:
-                p = index.probes(np.array(b.column(1).to_pylist(), np.float64), probes)
-                at = np.repeat(np.arange(b.num_rows), probes)
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), pa.array(p.reshape(-1), pa.int32()), pa.array(np.tile(np.arange(probes), b.num_rows), pa.int32())], names=["query_id", "list", "nth"])
+    def first_lists(q: np.ndarray) -> np.ndarray:
+        """Whether a list is among the nearest that are needed to find k others."""
+        order = np.argsort(index.reach(q), axis=1, kind="stable")
+        before = np.cumsum(counts[order], axis=1) - counts[order]
+        out = np.zeros(order.shape, bool)
+        np.put_along_axis(out, order, before <= k, axis=1)
+        return out & (counts > 0)
 
-    queries = rows.where(F.col("vec_id") % query_every == 0).withColumnRenamed("vec_id", "query_id")
-    wanted = ws.save(queries.mapInArrow(probed, "query_id long, list int, nth int"), "probes")
+    def asks(df: DataFrame, first: bool) -> DataFrame:
+        """df: query_id, v, bar_score, bar_id -> a row for each bin a query meets, with the lists it probes there."""
+
+        def run(batches):
+            for b in batches:
+                if not b.num_rows:
+                    continue
+                q = np.array(b.column(1).to_pylist(), np.float64)
+                wanted = first_lists(q)
+                if not first:
+                    bar = index.beyond(q, b.column(2).to_numpy())
+                    wanted = ~wanted & (counts > 0) & (index.reach(q) - radius <= (bar + 1e-6 * index.norm)[:, None])
+                at, bins, lists = [], [], []
+                for i in range(len(q)):
+                    here: dict[int, list[int]] = {}
+                    for one in np.flatnonzero(wanted[i]).tolist():
+                        for x in range(place[one][0], sum(place[one])):
+                            here.setdefault(x, []).append(one)
+                    at += [i] * len(here)
+                    bins += here
+                    lists += here.values()
+                at = pa.array(at, pa.int64())
+                yield pa.RecordBatch.from_arrays([*(c.take(at) for c in b.columns), pa.array(bins, pa.int32()), pa.array(lists, pa.list_(pa.int32()))], names=["query_id", "v", "bar_score", "bar_id", "bin", "asked"])
+
+        return df.select("query_id", "v", "bar_score", "bar_id").mapInArrow(run, "query_id long, v array<double>, bar_score double, bar_id long, bin int, asked array<int>")
 
-    def scan(probe: DataFrame) -> DataFrame:
-        """probe: query_id, list, bar_score, bar_id. A task gets one chunk of a list and one lot of queries."""
-        asked = probe.join(queries, "query_id")
-        lots = probe.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / QUERY_CHUNK).cast("int").alias("lots"))
-        plan = sizes.join(lots, "list")  # one row a list: at most FIT_ROWS / 16
-        left = members.join(F.broadcast(plan.select("list", "lots")), "list").withColumn("lot", F.explode(F.sequence(F.lit(0), F.col("lots") - 1))).drop("lots")
-        right = asked.join(F.broadcast(plan), "list").withColumn("lot", F.pmod(F.xxhash64("query_id"), F.col("lots")).cast("int")).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).drop("chunks", "lots")
+    def scan(asked: DataFrame) -> DataFrame:
+        """A task gets one bin and one lot of the queries that meet it."""
+        lots = ws.save(asked.groupBy("bin").agg(F.ceil(F.count(F.lit(1)) / QUERY_CHUNK).cast("int").alias("lots")), "lots")
+        left = members.join(lots, "bin").withColumn("lot", F.explode(F.sequence(F.lit(0), F.col("lots") - 1))).drop("lots")
+        right = asked.join(lots, "bin").withColumn("lot", F.pmod(F.xxhash64("query_id"), F.col("lots")).cast("int")).drop("lots")
 
         def one(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
             if not len(a) or not len(b):
                 return pd.DataFrame({"query_id": np.empty(0, np.int64), "vec_id": np.empty(0, np.int64), "score": np.empty(0)})
-            return _scan(index, a["vec_id"].to_numpy(), _stack(a["v"]), b["query_id"].to_numpy(), _stack(b["v"]), b["bar_score"].to_numpy(), b["bar_id"].to_numpy(), k, slack)
-
-        keys = ["list", "chunk", "lot"]
-        return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(one, "query_id long, vec_id long, score double")
-
-    def best(found: DataFrame) -> DataFrame:
-        """The k best of each query: kept small from the start, as each scan gives k of a chunk at most."""
-        ranked = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id")))
-        return found.groupBy("query_id").agg(F.slice(ranked, 1, k).alias("top"))
-
-    no_bar = [F.lit(float("-inf")).alias("bar_score"), F.lit((1 << 63) - 1).alias("bar_id")]
-    near = ws.save(scan(wanted.where("nth = 0").select("query_id", "list", *no_bar)), "near")
-    top = best(near).select("query_id", F.when(F.size("top") == k, F.element_at("top", -1)).alias("bar"))
-    bars = wanted.where("nth > 0").join(top, "query_id", "left").select("query_id", "list", F.coalesce(-F.col("bar.s"), F.lit(float("-inf"))).alias("bar_score"), F.coalesce("bar.vec_id", F.lit((1 << 63) - 1)).alias("bar_id"))
-    found = ws.save(near.unionByName(scan(bars)), "found")
-    return best(found).select("query_id", F.posexplode("top").alias("at", "hit")).select("query_id", (F.col("at") + 1).alias("rank"), F.col("hit.vec_id").alias("vec_id"), (-F.col("hit.s")).alias("score"))
+            return _scan(index, a["list"].to_numpy(), a["vec_id"].to_numpy(), _stack(a["v"]), b["query_id"].to_numpy(), _stack(b["v"]), b["asked"].tolist(), b["bar_score"].to_numpy(), b["bar_id"].to_numpy(), k, slack)
+
+        return left.groupBy("bin", "lot").cogroup(right.groupBy("bin", "lot")).applyInPandas(one, "query_id long, vec_id long, score double")
+
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    top = lambda found: found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)  # noqa: E731  (cut to k before the shuffle too)
+
+    none = queries.withColumns({"bar_score": F.lit(NO_BAR[0]), "bar_id": F.lit(NO_BAR[1])})
+    near = ws.save(top(scan(ws.save(asks(none, True), "first_probes"))).drop("rank"), "near")
+    bars = near.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.max(F.struct((-F.col("score")).alias("s"), "vec_id")).alias("last")).where(F.col("n") == k)
+    barred = queries.join(bars, "query_id").select("query_id", "v", (-F.col("last.s")).alias("bar_score"), F.col("last.vec_id").alias("bar_id"))
+    more = scan(ws.save(asks(barred, False), "probes"))
+    found = ws.save(near.unionByName(more), "found")
+    return top(found).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
