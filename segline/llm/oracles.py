@@ -17,25 +17,25 @@ NEAR = f"""with recursive w as (select doc_id, [x for x in string_split_regex({_
  r as (select doc_id as a, doc_id as b from documents union select r.a, e.y from r join e on r.b = e.x)
 select d.doc_id, coalesce(n.n, 0) as n_shingles, m.c as component_id, d.doc_id = m.c as kept from documents d left join n using (doc_id) join (select a, min(b) as c from r group by a) m on m.a = d.doc_id"""
 
+#: From the definition: all pairs of equal lines, runs of them on one diagonal, and the later place of runs of 50 words.
 LINES = """with l0 as (select doc_id, text, string_split(text, chr(10)) as ls from documents),
  l1 as (select doc_id, unnest(ls) as raw, unnest(range(len(ls))) as n from l0),
  l2 as (select doc_id, n, trim(raw, ' ' || chr(9) || chr(13)) as l from l1),
- l3 as (select doc_id, n, cast('0x' || substr(md5(l), 1, 15) as bigint) as h, least(length(l) - length(replace(l, ' ', '')) + 1, 50) as w from l2 where l <> ''),
- p as (select *, sum(w) over o - w as s, row_number() over o as k from l3 window o as (partition by doc_id order by n)),
- g0 as (select *, list(h) over (partition by doc_id order by s range between current row and 24 following) as gram, sum(w) over (partition by doc_id order by s range between current row and 24 following) >= 25 as whole, sum(w) over (partition by doc_id order by s range between current row and 49 following) >= 50 as opens from p),
- g as (select doc_id, n, k, h, w, s, opens, case when whole then cast('0x' || substr(md5(array_to_string(gram, ',')), 1, 15) as bigint) end as g from g0),
- m as (select *, case when opens then min(case when g is not null then {'g': g, 's': s} end) over (partition by doc_id order by s range between current row and 25 following) end as least from g),
- f as (select g.doc_id, g.k, g.g from g where exists (select 1 from m where m.doc_id = g.doc_id and m.least.s = g.s)),
- src as (select g, min({'d': doc_id, 'k': k}) as a from f group by g having count(*) > 1),
- pr as (select f.doc_id as b, f.k as bk, src.a.d as a, src.a.k as ak from f join src using (g) where not (f.doc_id = src.a.d and f.k = src.a.k)),
- o as (select pr.*, x.o from pr, (select unnest(range(-130, 131)) as o) x),
- q as (select o.b, o.bk, o.a, o.ak, o.o, lb.h is not null and la.h is not null and lb.h = la.h as same, lb.w, lb.n from o left join g lb on lb.doc_id = o.b and lb.k = o.bk + o.o left join g la on la.doc_id = o.a and la.k = o.ak + o.o),
- e as (select b, bk, a, ak, min(case when o >= 0 and not same then o end) as r, max(case when o < 0 and not same then o end) as l from q group by all),
- run as (select q.*, sum(q.w) over (partition by q.b, q.bk, q.a, q.ak) as words from q join e using (b, bk, a, ak) where q.o > coalesce(e.l, -1000) and q.o < coalesce(e.r, 1000)),
- gone as (select distinct b as doc_id, n from run where words >= 50),
+ l3 as (select doc_id, n, l, greatest(1, len([x for x in string_split_regex(l, '[ \\t\\x0B\\f\\r\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]+') if x <> ''])) as w from l2 where l <> ''),
+ p as (select *, row_number() over (partition by doc_id order by n) as k from l3),
+ eq as (select a.doc_id as a, b.doc_id as b, b.k - a.k as d, b.k as bk, b.n, b.w from p a join p b on a.l = b.l and (a.doc_id < b.doc_id or (a.doc_id = b.doc_id and a.k < b.k))),
+ i as (select *, bk - row_number() over (partition by a, b, d order by bk) as isle from eq),
+ r as (select b, n, sum(w) over (partition by a, b, d, isle) as words from i),
+ gone as (select distinct b as doc_id, n from r where words >= 50),
  kept as (select l1.doc_id, string_agg(l1.raw, chr(10) order by l1.n) as text from l1 left join gone using (doc_id, n) where gone.n is null group by l1.doc_id)
 select d.doc_id, coalesce(len(d.ls), 0)::int as n_lines, (select count(*) from gone where gone.doc_id = d.doc_id)::int as n_removed, case when d.text is null then null else coalesce(kept.text, '') end as text from l0 d left join kept using (doc_id)"""
 
+#: All queries against all rows.
+NEAREST = """with v as (select vec_id, embedding::double[] as e from embeddings where vec_id is not null and embedding is not null),
+ s as (select vec_id, e from v where len(e) > 0 and len([x for x in e if x is null or not isfinite(x)]) = 0 and len([x for x in e if x <> 0]) > 0),
+ p as (select q.vec_id as query_id, c.vec_id, list_inner_product(q.e, c.e) as score from s q join s c on q.vec_id % 20 = 0 and q.vec_id <> c.vec_id)
+select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as int) as rank, vec_id, score from p qualify rank <= 20"""
+
 
 def _regex(template: str) -> str:
     """A template as a regular expression over words that each end in a space."""
