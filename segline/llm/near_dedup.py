@@ -15,8 +15,8 @@ from .components import components
 from .storage import Workspace
 
 HASHES, ROWS, WIDTH = 128, 4, 2  # a kept minimum's bytes: its low 16 bits tell unequal ones apart but for 1 in 65536
-#: Nodes of one side of a block of pairs that are compared in place.
-BLOCK_ODD, BLOCK_ALL = 256, 2048
+#: Of a block of pairs compared in place: unlike nodes and the tokens of their sets (8 MB), and others that pass by.
+BLOCK_ODD, BLOCK_TOKENS, BLOCK_ALL = 4096, 1 << 20, 4096
 #: Ids that a semi-join may broadcast (8 MB); more of them are joined by a shuffle.
 FEW = 1_000_000
 BANDS = HASHES // ROWS
@@ -111,20 +111,20 @@ def _alike(pairs: DataFrame, least: float) -> DataFrame:
 
 
 def _linked_blocks(blocks: DataFrame, num: int, den: int) -> DataFrame:
-    """Links (u, v) in each block (key, mb, xb): its unlike nodes (side 0) against its others (side 1), where
+    """Links (u, v) in each block (key, step, mb, xb): its unlike nodes (side 0) against its others (side 1), where
     roots differ, by the sizes of intersections of full sets.
 
-    Rows come sorted by block and side. A block's unlike sets, at most BLOCK_ODD, are held as one sorted
-    run of (token, which); the others pass one at a time and look their tokens up. No pair becomes a row
-    unless it is a link, and two components need one link in a block.
+    Rows come sorted by block and side. A block's unlike sets, about BLOCK_TOKENS at most, are held as one
+    sorted run of (token, which); the others pass one at a time and look their tokens up. No pair becomes a
+    row unless it is a link, and two components need one link in a block.
     """
     schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
     def run(batches):
         def found():
             block, nodes, roots, sets, index, met = None, [], [], [], None, set()
-            for key, mb, xb, side, node, root, items in _rows(batches):
-                at = (key.as_py(), mb.as_py(), xb.as_py())
+            for key, size_step, mb, xb, side, node, root, items in _rows(batches):
+                at = (key.as_py(), size_step.as_py(), mb.as_py(), xb.as_py())
                 if at != block:
                     block, nodes, roots, sets, index, met = at, [], [], [], None, set()
                 x = np.frombuffer(items.as_buffer(), np.uint64)
@@ -157,8 +157,8 @@ def _linked_blocks(blocks: DataFrame, num: int, den: int) -> DataFrame:
 
         return _out(found(), schema)
 
-    ordered = blocks.repartition("key", "mb", "xb").sortWithinPartitions("key", "mb", "xb", "side")
-    return ordered.select("key", "mb", "xb", "side", "node", "root", "items").mapInArrow(run, "u long, v long")
+    block = ["key", "step", "mb", "xb"]
+    return blocks.repartition(*block).sortWithinPartitions(*block, "side").select(*block, "side", "node", "root", "items").mapInArrow(run, "u long, v long")
 
 
 def _having(df: DataFrame, column: str, ids: DataFrame) -> DataFrame:
@@ -200,8 +200,10 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, similarity_percent: int
        components. A set is made anew for the nodes in shared buckets only.
     4. Components by large-star and small-star. In a bucket that still spans several components, the nodes
        outside the drawn one's component (no drawn partner was like them) are compared with the bucket on
-       full sets, in blocks of BLOCK_ODD x BLOCK_ALL: this is the exact way for the rest. Blocks are tasks'
-       inner loops; only links leave them, and a large bucket is many blocks.
+       full sets: this is the exact way for the rest. A node meets only those whose set size allows a link
+       (steps of size by the similarity, its own and the two beside it), in blocks of BLOCK_TOKENS tokens of
+       unlike nodes and BLOCK_ALL others. Blocks are tasks' inner loops; only links leave them, and a large
+       bucket is many blocks, so its sets are shipped once for every few thousand nodes they meet.
 
     Null or blank texts: set size 0, linked with nothing. A null doc_id: component_id null, kept true,
     linked with nothing. Rows that share a doc_id are one node: they reach one another. Repeated rows,
@@ -260,13 +262,17 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, similarity_percent: int
     sized = in_full.where("size > 2").join(roots, "node", "left").select("key", "node", "pivot", F.coalesce("root", "node").alias("root"))
     mixed = sized.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.max(F.when(F.col("node") == F.col("pivot"), F.col("root"))).alias("main")).where("lo < hi")
     spread = ws.save(sized.join(mixed.select("key", "main"), "key").where("node <> pivot").select("key", "node", "root", "main"), "spread")
-    counts = spread.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ALL).cast("int").alias("mbs"), F.ceil(F.count_if(F.col("root") != F.col("main")) / BLOCK_ODD).cast("int").alias("xbs"))
-    dealt = spread.join(counts.where("xbs > 0"), "key").join(_having(sets, "node", ws.save(spread.select("node").distinct(), "members")), "node")
+    # a linked pair's sizes differ by one step at most
+    step = F.floor(F.log(F.col("n").cast("double")) / float(np.log(1.001 * den / num))).cast("int")
+    dealt = spread.join(_having(sets, "node", ws.save(spread.select("node").distinct(), "members")), "node").withColumn("n", F.octet_length("items") / 8).withColumn("step", step)
+    unlike = dealt.where("root <> main").withColumn("step", F.explode(F.array(*(F.col("step") + i for i in (-1, 0, 1)))))
+    odd = unlike.groupBy("key", "step").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK_ODD, F.sum("n") / BLOCK_TOKENS)).cast("int").alias("xbs"))
+    counts = ws.save(dealt.groupBy("key", "step").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ALL).cast("int").alias("mbs")).join(odd, ["key", "step"]), "blocks")
     lot = lambda c: F.pmod(F.xxhash64("node", F.lit(c)), F.col(c)).cast("int")
     all_of = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
-    unlike = dealt.where("root <> main").withColumn("xb", lot("xbs")).withColumn("mb", all_of("mbs")).withColumn("side", F.lit(0))
-    others = dealt.withColumn("mb", lot("mbs")).withColumn("xb", all_of("xbs")).withColumn("side", F.lit(1))
-    more = ws.save(_linked_blocks(unlike.unionByName(others), num, den).distinct(), "links")
+    near = lambda side: side.join(counts, ["key", "step"])
+    blocks = near(unlike).withColumn("xb", lot("xbs")).withColumn("mb", all_of("mbs")).withColumn("side", F.lit(0)).unionByName(near(dealt).withColumn("mb", lot("mbs")).withColumn("xb", all_of("xbs")).withColumn("side", F.lit(1)))
+    more = ws.save(_linked_blocks(blocks, num, den).distinct(), "links")
     edges = roots.select(F.col("node").alias("u"), F.col("root").alias("v"))
     roots = components(edges.unionByName(more), ws)
 
