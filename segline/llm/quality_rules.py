@@ -154,7 +154,8 @@ def score_documents(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.
 
     Statistics of all whole texts are made once and written. The model learns from at most train_rows
     labelled documents outside the held-out fifth, the first by a hash of doc_id; a document with
-    several labels counts once, with the larger; null labels and null doc_ids are left out. Scores see
+    several labels counts once, with the larger, and of several rows with one doc_id the model sees the one with
+    the least statistics; null labels and null doc_ids are left out. Scores see
     statistics only. Null and empty texts are scored like others; a null doc_id is not held out.
     """
     ws = Workspace(docs.sparkSession, "quality")
@@ -164,7 +165,8 @@ def score_documents(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.
         .groupBy("doc_id").agg(F.max("quality").alias("label"))
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)
     )
-    train = stats.join(F.broadcast(picked), "doc_id").dropDuplicates(["doc_id"]).drop("doc_id").coalesce(4)
+    one = stats.join(F.broadcast(picked), "doc_id").groupBy("doc_id", "label").agg(F.min(F.struct(*STATISTICS)).alias("s"))
+    train = one.select("s.*", "label").coalesce(4)
     model = fit(ws.save(train, "train"), "label")
     score = model.score()
     return stats.select("doc_id", held_out().alias("held_out"), score.alias("score")).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
