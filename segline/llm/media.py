@@ -6,6 +6,7 @@ import struct
 from hashlib import sha256
 from zlib import crc32
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from .arrow import batches_of, rows
 
 RATE, FRAME, GROUP = 8000, 1024, 16  # samples a second, bytes of a sample, samples from one keyframe to the next
-_CONTAINERS = {b"moov", b"trak", b"mdia", b"minf", b"stbl", b"dinf", b"edts", b"udta"}
+_CONTAINERS = {b"moov", b"trak", b"mdia", b"minf", b"stbl", b"dinf", b"edts", b"udta", b"mvex", b"moof", b"traf"}
 
 
 def _box(kind: bytes, *parts: bytes) -> bytes:
@@ -84,11 +85,19 @@ def boxes(data: bytes, start: int = 0, stop: int | None = None, depth: int = 0):
 
 
 class Track:
-    """A track's codec, time scale, duration and sample tables; its samples' places follow from them."""
+    """A track's codec, time scale, duration and sample tables; its samples' places follow from them.
+
+    Samples of movie fragments follow those of the tables. Edit lists are not applied: times are the media's own.
+    """
 
     def __init__(self):
-        self.codec, self.handler, self.scale, self.duration = "", "", 0, 0
+        self.number, self.codec, self.handler, self.scale, self.duration = 0, "", "", 0, 0
         self.times, self.runs, self.sizes, self.sync, self.chunks = [], [], [], None, []
+        self.defaults = (0, 0, 0)  # duration, size and flags of a fragment's samples
+        self.fragments: list[tuple[int, int, bool]] = []  # offset, size, whether a sync sample
+
+    def samples(self) -> int:
+        return len(self.sizes) + len(self.fragments)
 
     def places(self) -> list[tuple[int, int]]:
         """(offset, size) of each sample: chunks' offsets, with samples to a chunk run by run."""
@@ -101,40 +110,101 @@ class Track:
                     out.append((at, size))
                     at += size
                 k += per
-        return out
+        return out + [(at, size) for at, size, _ in self.fragments]
 
     def keyframe_ranges(self) -> list[tuple[int, int]]:
         """(first byte, last byte + 1) of every sync sample; all samples where there is no table of them."""
-        places = self.places()
-        return [(places[s - 1][0], sum(places[s - 1])) for s in (self.sync if self.sync is not None else range(1, len(places) + 1))]
+        places, n = self.places(), len(self.sizes)
+        picked = [s - 1 for s in (self.sync if self.sync is not None else range(1, n + 1))]
+        picked += [n + i for i, (_, _, sync) in enumerate(self.fragments) if sync]
+        return [(places[s][0], sum(places[s])) for s in picked]
+
+    def add_run(self, data: bytes, at: int, end: int, base: int, given: tuple[int, int, int]) -> int:
+        """One run of a fragment's samples from the body at `at`; returns where its bytes end."""
+        flags, n = int.from_bytes(data[at + 1 : at + 4], "big"), struct.unpack_from(">I", data, at + 4)[0]
+        at += 8
+        if flags & 1:
+            base, at = base + struct.unpack_from(">i", data, at)[0], at + 4
+        first = struct.unpack_from(">I", data, at)[0] if flags & 4 else None
+        at += 4 if flags & 4 else 0
+        fields = [bit for bit in (0x100, 0x200, 0x400, 0x800) if flags & bit]
+        if at + 4 * len(fields) * n > end or n > len(data):
+            raise ValueError(f"a run of {n} samples goes beyond its box")
+        for i in range(n):
+            own = dict(zip(fields, struct.unpack_from(f">{len(fields)}I", data, at + 4 * len(fields) * i), strict=True))
+            size, mark = own.get(0x200, given[1]), own.get(0x400, first if i == 0 and first is not None else given[2])
+            self.fragments.append((base, size, not mark & 0x10000))
+            self.duration += own.get(0x100, given[0])
+            base += size
+        return base
 
 
 def tracks(data: bytes) -> list[Track]:
     out: list[Track] = []
-    for path, a, _ in boxes(data):
+
+    def table(at: int, stop: int, row: str, n: int) -> list:
+        """n rows of a table, which must end in its box: a torn file's count is never believed."""
+        if at + struct.calcsize(">" + row) * n > stop:
+            raise ValueError(f"a table of {n} entries goes beyond its box")
+        return [x if len(x) > 1 else x[0] for x in struct.iter_unpack(">" + row, data[at : at + struct.calcsize(">" + row) * n])]
+
+    for path, a, end in boxes(data):
         kind = path[-1]
         if kind == b"trak":
             out.append(Track())
+        if path[0] == b"moof":
+            if kind == b"moof":
+                moof = a - 8
+            elif kind == b"traf":
+                now, base, given = None, moof, (0, 0, 0)
+            elif kind == b"tfhd":
+                flags, number = int.from_bytes(data[a + 1 : a + 4], "big"), struct.unpack_from(">I", data, a + 4)[0]
+                now = next((t for t in out if t.number == number), None)
+                own, at = {}, a + 8
+                for bit, row in ((1, "Q"), (2, "I"), (8, "I"), (0x10, "I"), (0x20, "I")):
+                    if flags & bit:
+                        (own[bit],) = struct.unpack_from(">" + row, data, at)
+                        at += struct.calcsize(">" + row)
+                base = own.get(1, moof)
+                given = tuple(own.get(bit, usual) for bit, usual in zip((8, 0x10, 0x20), now.defaults if now else (0, 0, 0), strict=True))
+            elif kind == b"trun" and now:
+                base_after = now.add_run(data, a, end, base, given)
+                base = base if data[a + 3] & 1 else base_after
+            continue
         if not out or path[0] != b"moov":
             continue
+        if kind == b"trex":
+            number, _, *usual = struct.unpack_from(">5I", data, a + 4)
+            for t in out:
+                if t.number == number:
+                    t.defaults = tuple(usual)
+            continue
         t, many = out[-1], lambda at: struct.unpack_from(">I", data, at)[0]
-        if kind == b"mdhd":
+        if kind == b"tkhd":
+            t.number = many(a + (20 if data[a] else 12))
+        elif kind == b"mdhd":
             t.scale, t.duration = struct.unpack_from(">IQ", data, a + 20) if data[a] else struct.unpack_from(">II", data, a + 12)
         elif kind == b"hdlr":
             t.handler = data[a + 8 : a + 12].decode("latin-1")
         elif kind == b"stsd" and many(a + 4):
             t.codec = data[a + 12 : a + 16].decode("latin-1")
         elif kind == b"stts":
-            t.times = [struct.unpack_from(">II", data, a + 8 + 8 * i) for i in range(many(a + 4))]
+            t.times = table(a + 8, end, "II", many(a + 4))
         elif kind == b"stsc":
-            t.runs = [struct.unpack_from(">III", data, a + 8 + 12 * i) for i in range(many(a + 4))]
+            t.runs = table(a + 8, end, "III", many(a + 4))
         elif kind == b"stsz":
             fixed, n = struct.unpack_from(">II", data, a + 4)
-            t.sizes = [fixed] * n if fixed else list(struct.unpack_from(f">{n}I", data, a + 12))
+            if fixed * n > len(data):
+                raise ValueError(f"{n} samples of {fixed} bytes go beyond the file")
+            t.sizes = [fixed] * n if fixed else table(a + 12, end, "I", n)
+        elif kind == b"stz2":  # sizes of 4, 8 or 16 bits
+            bits, n = data[a + 7], many(a + 8)
+            packed = table(a + 12, end, "H" if bits == 16 else "B", -(-n * bits // 8) if bits < 16 else n)
+            t.sizes = [x >> s & 15 for x in packed for s in (4, 0)][:n] if bits == 4 else packed
         elif kind == b"stss":
-            t.sync = list(struct.unpack_from(f">{many(a + 4)}I", data, a + 8))
+            t.sync = table(a + 8, end, "I", many(a + 4))
         elif kind in (b"stco", b"co64"):
-            t.chunks = list(struct.unpack_from(f">{many(a + 4)}{'I' if kind == b'stco' else 'Q'}", data, a + 8))
+            t.chunks = table(a + 8, end, "I" if kind == b"stco" else "Q", many(a + 4))
     return out
 
 
@@ -146,7 +216,7 @@ def payload_of(data: bytes) -> bytes:
 
 def feature_of(data: bytes) -> str:
     """codec|duration in seconds|samples|keyframe byte ranges, for each track, tracks joined by ;"""
-    return ";".join(f"{t.codec.strip()}|{t.duration / t.scale if t.scale else 0:.6f}|{len(t.sizes)}|" + ",".join(f"{a}-{b - 1}" for a, b in t.keyframe_ranges()) for t in tracks(data))
+    return ";".join(f"{t.codec.strip()}|{t.duration / t.scale if t.scale else 0:.6f}|{t.samples()}|" + ",".join(f"{a}-{b - 1}" for a, b in t.keyframe_ranges()) for t in tracks(data))
 
 
 def media_column(docs: DataFrame, text: str = "text", out: str = "media") -> DataFrame:
@@ -169,16 +239,19 @@ def media_facts(df: DataFrame, media: str = "media") -> DataFrame:
     """
     kind = "struct<tracks:array<struct<codec:string,handler:string,duration_s:double,samples:long,keyframes:array<struct<first:long,last:long>>>>,error:string>"
 
-    @F.udf(kind, useArrow=True)
     def facts(data):
         if data is None:
             return {"tracks": [], "error": "no file"}
         try:
-            return {"tracks": [{"codec": t.codec, "handler": t.handler, "duration_s": t.duration / t.scale if t.scale else 0.0, "samples": len(t.sizes), "keyframes": [{"first": a, "last": b - 1} for a, b in t.keyframe_ranges()]} for t in tracks(bytes(data))], "error": None}
+            return {"tracks": [{"codec": t.codec, "handler": t.handler, "duration_s": t.duration / t.scale if t.scale else 0.0, "samples": t.samples(), "keyframes": [{"first": a, "last": b - 1} for a, b in t.keyframe_ranges()]} for t in tracks(bytes(data))], "error": None}
         except (ValueError, struct.error, IndexError) as e:
             return {"tracks": [], "error": str(e)}
 
-    return df.withColumn("f", facts(F.col(media))).withColumns({"media_tracks": F.col("f.tracks"), "media_error": F.col("f.error")}).drop("f")
+    @F.pandas_udf(kind)
+    def all_facts(files: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([facts(f) for f in files], columns=["tracks", "error"])
+
+    return df.withColumn("f", all_facts(F.col(media))).withColumns({"media_tracks": F.col("f.tracks"), "media_error": F.col("f.error")}).drop("f")
 
 
 def stored_texts(docs: DataFrame) -> DataFrame:

@@ -64,8 +64,11 @@ def jaccard_components(texts: dict, words: int):
     return {d: (len(sets[d]), find(d)) for d in ids}
 
 
-@pytest.mark.parametrize("words", [2, 5])
-def test_near_duplicates_equal_brute_force(spark, real, words):
+@pytest.mark.parametrize(("words", "small"), [(2, False), (5, False), (2, True)])
+def test_near_duplicates_equal_brute_force(spark, real, words, small, monkeypatch):
+    if small:  # every bucket that spans components is many blocks, and no join is a broadcast
+        for name, value in {"BLOCK_ODD": 3, "BLOCK_TOKENS": 400, "BLOCK_ALL": 5, "FEW": 0}.items():
+            monkeypatch.setattr(near_dedup, name, value)
     rng = random.Random(3)
     texts = {r["doc_id"]: r["text"] for r in real.select("doc_id", "text").collect()}
     base = [rng.choice(["ab", "cd", "ef", "gh", "ij", "kl"]) + str(rng.randrange(60)) for _ in range(120)]
