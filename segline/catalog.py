@@ -25,13 +25,20 @@ DEDUP = f"""d as (select {T}, seg_no, media_type, start_pts, end_pts, timescale,
   (select *, row_number() over (partition by {T}, seg_no order by commit_ord desc, start_pts desc, end_pts desc) as rn, count(*) over (partition by {T}, seg_no) > 1 as replaced from seg) where rn = 1)"""
 
 
+def _whole(sql: str, sources: tuple[str, ...], dedup: bool) -> str:
+    """sql behind the projections it reads; one that starts with --cte goes on with tables of its own."""
+    head = with_sql("", *(sources or ("seg",))).rstrip("\n") + (", " + DEDUP if dedup else "")
+    first, rest = sql.split("\n", 1) if sql.startswith("--cte") else ("", sql)
+    if first == "--cte recursive":
+        head = head.replace("with ", "with recursive ", 1)
+    return head + (", " if first else "\n") + rest
+
+
 def query(name: str, sql: str | None = None, *sources: str, dedup: bool = False):
     def add(f):
         QUERIES[name] = f
         if sql is not None:
-            text = with_sql("@", *(sources or ("seg",)))
-            head, tail = text.split("\n@")
-            ORACLE[name] = head + (", " + DEDUP if dedup else "") + ("," if sql.lstrip().startswith("--cte\n") else "\n") + sql.replace("--cte\n", " ")
+            ORACLE[name] = _whole(sql, sources, dedup)
         return f
 
     return add
@@ -67,14 +74,14 @@ def _(spark, sf):
 
 @query("t4_accumulate_pts", f"""--cte
 f as (select channel_id, period_id, rep_id, seg_no, arg_min(end_pts - start_pts, (commit_ord, start_pts, end_pts)) as dur, min(commit_ord) as seen from seg group by all),
- r as (select *, cast(round(dur / 90000.0::double * 90000) as bigint) as ticks, seg_no > coalesce(max(seg_no) over (partition by channel_id, period_id, rep_id order by seen, seg_no rows between unbounded preceding and 1 preceding), -1) as line from f)
-select channel_id, period_id, rep_id, seg_no, cast(coalesce(sum(ticks) over (partition by channel_id, period_id, rep_id order by seg_no rows between unbounded preceding and 1 preceding), 0) as bigint) as start_pts from r where line""")
+ r as (select *, cast(round(dur / 90000.0::double * 90000) as bigint) as ticks, seg_no > coalesce(max(seg_no) over (partition by channel_id, period_id, rep_id order by seen, seg_no rows between unbounded preceding and 1 preceding), -1) as line from f),
+ o as (select *, coalesce(sum(case when line then ticks end) over w, 0) as here, sum(ticks) over w as every, max(case when line then seg_no end) over w as base, count(*) over (partition by channel_id, period_id, rep_id order by seg_no range between unbounded preceding and current row) as nth from r window w as (partition by channel_id, period_id, rep_id order by seg_no rows between unbounded preceding and 1 preceding))
+select l.channel_id, l.period_id, l.rep_id, l.seg_no, cast(case when l.line then l.here when l.nth - b.nth = l.seg_no - l.base then b.here + l.every - coalesce(b.every, 0) end as bigint) as start_pts
+ from o l left join o b on b.channel_id = l.channel_id and b.period_id = l.period_id and b.rep_id = l.rep_id and b.seg_no = l.base""")
 def _(spark, sf):
     s = rows(spark, sf, "seg").withColumn("duration_s", (F.col("end_pts") - F.col("start_pts")) / F.lit(90000.0)).withColumn("seen", F.struct("commit_ord", "start_pts", "end_pts"))
     first = s.groupBy("channel_id", "period_id", "rep_id", "seg_no").agg(F.min_by("duration_s", "seen").alias("duration_s"), F.min("commit_ord").alias("poll_at"))
-    out = timeline.accumulate_pts(first)
-    ahead = F.col("seg_no") > F.coalesce(F.max("seg_no").over(timeline.Window.partitionBy("channel_id", "period_id", "rep_id").orderBy("poll_at", "seg_no").rowsBetween(timeline.Window.unboundedPreceding, -1)), F.lit(-1))
-    return out.withColumn("_line", ahead).where("_line").select("channel_id", "period_id", "rep_id", "seg_no", "start_pts")
+    return timeline.accumulate_pts(first).select("channel_id", "period_id", "rep_id", "seg_no", "start_pts")
 
 
 @query("t5_order_periods", """--cte
@@ -93,7 +100,12 @@ def _(spark, sf):
     return timeline.detect_rewinds(rows(spark, sf, "pol"), order=("poll_at", "event_id")).select("channel_id", "rep_id", "event_id", "rewind", "period_no")
 
 
-@query("t7_shared_periods")
+@query("t7_shared_periods", """--cte recursive
+b as (select channel_id, rep_id, event_id, poll_at, media_sequence < lag(media_sequence) over (partition by channel_id, rep_id order by poll_at, event_id) as rewind from pol),
+ s as (select channel_id, rep_id, event_id, row_number() over (partition by channel_id order by poll_at nulls last, event_id, rep_id) as i from b where rewind),
+ r as (select channel_id, rep_id, event_id, i, 1::bigint as latest, map([rep_id], [1::bigint]) as held from s where i = 1
+  union all select s.channel_id, s.rep_id, s.event_id, s.i, n.latest, map_concat(r.held, map([s.rep_id], [n.latest])) from r join s on s.channel_id = r.channel_id and s.i = r.i + 1, lateral (select case when coalesce(r.held[s.rep_id], 0) = r.latest then r.latest + 1 else r.latest end as latest) n)
+select channel_id, rep_id, event_id, latest as period_no from r""", "pol")
 def _(spark, sf):
     back = timeline.detect_rewinds(rows(spark, sf, "pol"), order=("poll_at", "event_id")).where("rewind")
     return timeline.assign_shared_period(back).select("channel_id", "rep_id", "event_id", "period_no")
@@ -122,6 +134,15 @@ def _(spark, sf):
     return timeline.contiguous_run(segs(spark, sf), anchor="vod").select(*TRACK, "seg_no")
 
 
+@query("t10_contiguous_run_repeats", """--cte
+u as (select distinct channel_id, period_id, rep_id, seg_no from seg),
+ i as (select *, seg_no - row_number() over (partition by channel_id, period_id, rep_id order by seg_no) as isl from u),
+ r as (select * from i qualify isl = max(isl) over (partition by channel_id, period_id, rep_id))
+select channel_id, period_id, rep_id, seg_no, (select max(commit_ord) from seg s where s.channel_id = r.channel_id and s.period_id = r.period_id and s.rep_id = r.rep_id and s.seg_no = r.seg_no) as commit_ord from r""")
+def _(spark, sf):
+    return timeline.contiguous_run(rows(spark, sf, "seg"), keys=("channel_id", "period_id", "rep_id")).select("channel_id", "period_id", "rep_id", "seg_no", "commit_ord")
+
+
 def _timeline(spark, sf) -> DataFrame:
     ranges = metrics.lifetime_ranges(segs(spark, sf))
     return ranges.join(timeline.order_periods(ranges), PERIOD)
@@ -316,6 +337,18 @@ def _(spark, sf):
     return window.expire(segs(spark, sf), 120, 6).select(*TRACK, "seg_no", "expires")
 
 
+@query("w1_live_window_no_depth", f"""--cte
+e as (select *, end_pts / 90000.0::double as x, max(end_pts / 90000.0::double) over (partition by {T}) - 6 as edge from d)
+select {T}, seg_no from e qualify x <= edge or edge <= 0 or sum(case when x <= edge then 1 else 0 end) over (partition by {T}) = 0""", dedup=True)
+def _(spark, sf):
+    return window.project_live_window(segs(spark, sf), 0, 6).select(*TRACK, "seg_no")
+
+
+@query("w2_expire_no_depth", f"select {T}, seg_no, false as expires from d", dedup=True)
+def _(spark, sf):
+    return window.expire(segs(spark, sf), 0, 6).select(*TRACK, "seg_no", "expires")
+
+
 @query("w3_throughput", """--cte
 u as (select *, epoch_us(attempt_at) as us from att),
  p as (select a.event_id, a.us, b.us as bus, b.bytes from u a join u b on a.channel_id = b.channel_id and b.us > a.us - 1728000000000 and b.us <= a.us),
@@ -339,6 +372,15 @@ def _(spark, sf):
     return metrics.retry_schedule(rows(spark, sf, "att"), max_retries=3).select("event_id", "retries", "wait_s", "dropped")
 
 
+@query("w5_retry_deadline", """--cte
+f as (select *, row_number() over (partition by channel_id, seg_no order by attempt_at, event_id) as retries, min(attempt_at) over (partition by channel_id, seg_no) + interval 10 day as due from att where outcome <> 'ok')
+select event_id, cast(retries as int) as retries, outcome = 'gone' or attempt_at > due as dropped from f""", "att")
+def _(spark, sf):
+    a = rows(spark, sf, "att").where("outcome <> 'ok'")
+    a = a.withColumn("due", F.min("attempt_at").over(timeline.Window.partitionBy("channel_id", "seg_no")) + F.expr("interval 10 days"))
+    return metrics.retry_schedule(a, max_retries=0, deadline="due").select("event_id", "retries", "dropped")
+
+
 @query("w6_cdn_rotation", """select event_id, cast(coalesce(sum(case when outcome = 'error' then 1 else 0 end) over (partition by channel_id, seg_no order by attempt_at, event_id rows between unbounded preceding and 1 preceding), 0) % 3 as int) as url_index from att""", "att")
 def _(spark, sf):
     return metrics.cdn_rotation(rows(spark, sf, "att"), 2).select("event_id", "url_index")
@@ -527,6 +569,16 @@ def _(spark, sf):
     return discovery.enumerate_by_timeline(t, 0).select("channel_id", "rep_id", "seg_no", "seg_time")
 
 
+@query("d2_dead_entry", """select lang as channel_id, rep_id, 1 + k.range as seg_no, 10 + k.range * 5 as seg_time from trk, range(2) k where k.range <= cast(rep_id as bigint) % 2
+union all select lang, rep_id, 2 + cast(rep_id as bigint) % 2, 5000 from trk where cast(rep_id as bigint) % 3 <> 0""", "trk")
+def _(spark, sf):
+    n = F.col("rep_id").cast("bigint")
+    entry = lambda t, d, r: F.struct(F.lit(t).cast("bigint").alias("t"), d.cast("bigint").alias("d"), r.cast("bigint").alias("r"))
+    middle = entry(0, F.when(n % 3 == 0, 0).otherwise(5), F.lit(-1))
+    found = _reps(spark, sf).withColumn("timeline", F.when(n % 3 == 0, F.array(entry(10, F.lit(5), n % 2), middle, entry(5000, F.lit(7), F.lit(0)))).otherwise(F.array(entry(10, F.lit(5), n % 2), entry(5000, F.lit(7), F.lit(0)))))
+    return discovery.enumerate_by_timeline(found, 0).select("channel_id", "rep_id", "seg_no", "seg_time")
+
+
 @query("d4_live_count", "--cte\n" + LIVE + "\nselect rep_id, live from ct", "trk")
 def _(spark, sf):
     return _reps(spark, sf).select("rep_id", discovery.live_count("d", "timescale", "ast", "period_start_s", "depth_s", F.lit(1_000_030.0)).alias("live"))

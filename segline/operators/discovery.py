@@ -49,15 +49,19 @@ def enumerate_by_duration(reps: DataFrame, as_of: float | Column, cap: int = CAP
 def enumerate_by_timeline(reps: DataFrame, as_of: float | Column, keys=tuple(TRACK), cap: int = CAP) -> DataFrame:
     """seg_no, seg_time, seg_dur of run-length entries. timeline: array<struct<t,d,r>>.
 
-    t anchors the first entry and where it is not 0; a negative r is the live count. Numbers and times are
-    running sums over entries, in the array itself, so there is no shuffle; entries past the cap are cut.
+    t anchors the first entry and where it is not 0; a negative r is the live count, and one without a count or
+    duration ends the timeline. Numbers and times are running sums over a representation's entries, by windows
+    that share one exchange on keys (made if the input lacks it); entries past the cap are cut.
     """
     now = F.lit(float(as_of)) if not isinstance(as_of, Column) else as_of
     e = lambda x: F.when(x["r"] < 0, live_count(x["d"], F.col("timescale"), F.col("ast"), F.col("period_start_s"), F.col("depth_s"), now)).otherwise(F.coalesce(x["r"], F.lit(0)).cast("bigint") + 1)
     entries = reps.select("*", F.posexplode("timeline").alias("_i", "_s")).drop("timeline")
     w = Window.partitionBy(*keys).orderBy("_i")
     before = w.rowsBetween(Window.unboundedPreceding, -1)
-    rows = entries.withColumn("_n", e(F.col("_s"))).withColumn("_first", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    counted = entries.withColumn("_n", e(F.col("_s")))
+    dead = (F.col("_s.r") < 0) & ((F.col("_n") <= 0) | (F.coalesce("_s.d", F.lit(0)) <= 0))
+    counted = counted.withColumn("_dead", F.max(F.coalesce(dead, F.lit(False))).over(w)).where("not _dead").drop("_dead")
+    rows = counted.withColumn("_first", F.coalesce(F.sum("_n").over(before), F.lit(0)))
     rows = rows.withColumn("_set", ((F.col("_i") == 0) | (F.coalesce("_s.t", F.lit(0)) != 0)).cast("int")).withColumn("_a", F.sum("_set").over(w))
     a = Window.partitionBy(*keys, "_a").orderBy("_i")
     rows = rows.withColumn("_t", F.coalesce(F.first("_s.t").over(a), F.lit(0)) + F.coalesce(F.sum(F.col("_s.d") * F.col("_n")).over(a.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))

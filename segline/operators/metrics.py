@@ -163,14 +163,14 @@ def throughput(attempts: DataFrame, window_s: float = 30, at="attempt_at", units
 
 def retry_schedule(attempts: DataFrame, max_retries: int = 5, keys=("channel_id", "seg_no"), order=("attempt_at", "event_id"), base: Column | None = None, deadline: str | None = None) -> DataFrame:
     """Retries so far, wait = base * 2^(retries - 1) and when it ends; dropped past max_retries (0: no
-    limit) or past the deadline. Failed rows only; base defaults to 2 s for fetches and 1 s for writes."""
+    limit) or if the deadline has passed at the attempt. Failed rows only; base defaults to 2 s for fetches and 1 s for writes."""
     w = Window.partitionBy(*keys).orderBy(*order)
     base = base if base is not None else F.when(F.col("http_status") == 425, 0.5).when(F.col("outcome") == "write_error", 1.0).otherwise(2.0)
     rows = attempts.where("outcome <> 'ok'").withColumn("retries", F.row_number().over(w)).withColumn("wait_s", base * F.pow(F.lit(2.0), F.col("retries") - 1))
     rows = rows.withColumn("next_at", F.timestamp_micros(F.unix_micros(F.col("attempt_at").cast("timestamp")) + (F.col("wait_s") * 1_000_000).cast("bigint")))
     late = F.col("retries") > max_retries if max_retries else F.lit(False)
     gone = F.coalesce(F.col("outcome") == "gone", F.lit(False))
-    past = F.coalesce(F.col(deadline) < F.col("next_at"), F.lit(False)) if deadline else F.lit(False)
+    past = F.coalesce(F.col(deadline) < F.col("attempt_at"), F.lit(False)) if deadline else F.lit(False)
     return rows.withColumn("dropped", late | past | gone)
 
 

@@ -33,31 +33,45 @@ def bucket_width(segs: DataFrame, start="start_s", end="end_s") -> DataFrame:
     return segs.agg(F.percentile_approx(F.col(end) - F.col(start), 0.95).alias("bucket_s"))
 
 
-def publish_av_barrier(segs: DataFrame, sets: DataFrame | None = None, match: str = "first", bucket: float | None = None) -> DataFrame:
+def publish_av_barrier(segs: DataFrame, sets: DataFrame | None = None, match: str = "first", bucket: float | None = 30.0) -> DataFrame:
     """The rows of segs that publish.
 
     A video number publishes when every audio set of its period has an overlapping segment; with it go, of
     each audio set, the lowest matching number (match="all": every one), in all representations. A period
     with one track type publishes all of it; text and unknown types never publish here. sets (channel,
     period, as_id, media_type) declares sets that gate even while empty.
+
+    Spans meet in cells of a period and `bucket` seconds (None: one cell a period), each small enough for an
+    array; a pair counts in the first cell that both touch. Cells give the pairs and the sets of a period alike,
+    so segs is read twice: for the cells, and for the rows that publish.
     """
     rows = segs.where(F.col("media_type").isin("video", "audio"))
-    spans = rows.select(*SET, "media_type", "seg_no", pts_seconds("start_pts", "timescale").alias("start_s"), pts_seconds("end_pts", "timescale").alias("end_s")).distinct()
-    declared = spans.select(*SET, "media_type").distinct() if sets is None else sets.where(F.col("media_type").isin("video", "audio")).select(*SET, "media_type").unionByName(spans.select(*SET, "media_type")).distinct()
-    kinds = declared.groupBy(*PERIOD).agg(F.count_if(F.col("media_type") == "audio").alias("n_audio"), F.count_if(F.col("media_type") == "video").alias("n_video"))
-    video = spans.where("media_type = 'video'").select(*PERIOD, F.col("as_id").alias("v_as"), F.col("seg_no").alias("v_no"), "start_s", "end_s")
-    audio = spans.where("media_type = 'audio'").select(*PERIOD, F.col("as_id").alias("a_as"), F.col("seg_no").alias("a_no"), F.col("start_s").alias("r_start_s"), F.col("end_s").alias("r_end_s"))
-    pairs = overlap_join(video, audio, bucket=bucket)
-    first = pairs.groupBy(*PERIOD, "v_as", "v_no", "a_as").agg(F.min("a_no").alias("a_no"), F.collect_set("a_no").alias("a_all"))
-    by_video = first.groupBy(*PERIOD, "v_as", "v_no").agg(F.count(F.lit(1)).alias("matched"), F.collect_list(F.struct("a_as", "a_no", "a_all")).alias("audio"))
-    full = by_video.join(kinds, PERIOD).where("matched = n_audio and n_video > 0")
-    hit = F.explode("audio").alias("a")
-    numbers = full.select(*PERIOD, F.col("v_as").alias("as_id"), F.col("v_no").alias("seg_no")).unionByName(
-        full.select(*PERIOD, hit).select(*PERIOD, F.col("a.a_as").alias("as_id"), F.explode(F.col("a.a_all") if match == "all" else F.array("a.a_no")).alias("seg_no"))
-    )
-    alone = kinds.where("n_audio = 0 or n_video = 0").select(*PERIOD)
-    both = rows.join(numbers.distinct(), [*SET, "seg_no"], "left_semi")
-    return both.unionByName(rows.join(alone, PERIOD, "left_semi"))
+    cut = (lambda x: F.floor(x / bucket).cast("bigint")) if bucket else (lambda x: F.lit(0).cast("bigint"))
+    span = F.struct("as_id", "seg_no", pts_seconds("start_pts", "timescale").alias("s"), pts_seconds("end_pts", "timescale").alias("e"))
+    spans = rows.select(*PERIOD, "media_type", span.alias("x")).select("*", F.explode(F.sequence(cut(F.col("x.s")), F.greatest(cut(F.col("x.s")), cut(F.col("x.e"))))).alias("cell"))
+    of = lambda kind: F.collect_set(F.when(F.col("media_type") == kind, F.col("x"))).alias(kind)
+    cells = spans.groupBy(*PERIOD, "cell").agg(of("video"), of("audio"))
+
+    names = lambda kind: F.collect_list(F.transform(kind, lambda x: x["as_id"])).alias(kind)
+    kinds = cells.groupBy(*PERIOD).agg(names("video"), names("audio")).select(*PERIOD, *(F.array_distinct(F.flatten(k)).alias(k) for k in ("video", "audio")))
+    if sets is not None:
+        told = sets.groupBy(*PERIOD).agg(*(F.collect_set(F.when(F.col("media_type") == k, F.col("as_id"))).alias(f"_{k}") for k in ("video", "audio")))
+        kinds = kinds.join(told, PERIOD, "left").select(*PERIOD, *(F.array_union(k, F.coalesce(f"_{k}", F.array().cast("array<string>"))).alias(k) for k in ("video", "audio")))
+    kinds = kinds.select(*PERIOD, F.size("audio").alias("n_audio"), F.size("video").alias("n_video"))
+
+    def hits(v, a):
+        shorter = F.least(v["e"] - v["s"], a["e"] - a["s"])
+        return (shorter > 0) & (F.least(v["e"], a["e"]) - F.greatest(v["s"], a["s"]) >= 0.5 * shorter) & (F.col("cell") == F.greatest(cut(v["s"]), cut(a["s"])))
+
+    met = cells.select(*PERIOD, "cell", F.explode("video").alias("v"), "audio").select(*PERIOD, F.col("v.as_id").alias("v_as"), F.col("v.seg_no").alias("v_no"), F.filter("audio", lambda a: hits(F.col("v"), a)).alias("a")).where("size(a) > 0")
+    by_video = met.groupBy(*PERIOD, "v_as", "v_no").agg(F.flatten(F.collect_list(F.transform("a", lambda x: F.struct(x["as_id"].alias("as_id"), x["seg_no"].alias("seg_no"))))).alias("a"))
+    whose = F.array_distinct(F.transform("a", lambda x: x["as_id"]))
+    full = by_video.join(kinds, PERIOD).where(F.size(whose) == F.col("n_audio"))
+    lowest = F.transform(whose, lambda k: F.struct(k.alias("as_id"), F.array_min(F.transform(F.filter("a", lambda x: x["as_id"] == k), lambda x: x["seg_no"])).alias("seg_no")))
+    own = F.array(F.struct(F.col("v_as").alias("as_id"), F.col("v_no").alias("seg_no")))
+    numbers = full.select(*PERIOD, F.explode(F.concat(own, lowest if match == "first" else F.col("a"))).alias("n")).select(*PERIOD, "n.as_id", "n.seg_no").distinct().withColumn("_hit", F.lit(True))
+    alone = kinds.where("n_audio = 0 or n_video = 0").select(*PERIOD, F.lit(True).alias("_alone"))
+    return rows.join(numbers, [*SET, "seg_no"], "left").join(alone, PERIOD, "left").where("_hit or _alone").select(*segs.columns)
 
 
 def publish_immediately(segs: DataFrame) -> DataFrame:

@@ -18,11 +18,12 @@ def _others(df: DataFrame, keys) -> list[str]:
 def dedup_last(df: DataFrame, keys=(*TRACK, "seg_no"), order=("commit_ord",)) -> DataFrame:
     """The last written row for each key, and whether it replaced an earlier one.
 
-    A two-phase hash aggregation (partial sums before the shuffle), cheaper than a window.
+    One exchange and one sort: a row is last if none follows it in its key's order. Writes of one key are few, so
+    an aggregation of whole rows before the shuffle would only sort them twice (strings in it rule out hashing).
     """
-    rest = _others(df, keys)
-    kept = df.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("_r"), (F.count(F.lit(1)) > 1).alias("replaced"))
-    return kept.select(*keys, *(F.col("_r")[c].alias(c) for c in rest), "replaced")
+    w = Window.partitionBy(*keys).orderBy(*order)
+    rows = df.withColumn("_next", F.lead(F.lit(1)).over(w)).withColumn("replaced", F.row_number().over(w) > 1).where("_next is null")
+    return rows.select(*keys, *_others(df, keys), "replaced")
 
 
 def derive_ends(df: DataFrame, keys=tuple(TRACK), seq="seg_no", start="start_pts", out="end_pts") -> DataFrame:
@@ -189,8 +190,13 @@ def islands(df: DataFrame, keys=tuple(TRACK), seq="seg_no", out="island") -> Dat
     return df.withColumn(out, F.col(seq) - F.row_number().over(w))
 
 
-def contiguous_run(df: DataFrame, keys=tuple(TRACK), seq="seg_no", anchor="live") -> DataFrame:
-    """The newest island (live) or the oldest (vod) of each key."""
+def contiguous_run(df: DataFrame, keys=tuple(TRACK), seq="seg_no", anchor="live", later=("commit_ord",)) -> DataFrame:
+    """The newest island (live) or the oldest (vod) of each key.
+
+    A repeated number breaks no run: its later row stays, by those columns of `later` that df has.
+    """
+    w = Window.partitionBy(*keys).orderBy(seq, *(c for c in later if c in df.columns))
+    df = df.withColumn("_next", F.lead(seq).over(w)).where(f"not (_next <=> {seq})").drop("_next")
     pick = F.max if anchor == "live" else F.min
     return islands(df, keys, seq, "_i").withColumn("_pick", pick("_i").over(Window.partitionBy(*keys))).where("_i = _pick").drop("_i", "_pick")
 

@@ -12,12 +12,13 @@ from segline.schema import PERIOD, TRACK
 def project_live_window(segs: DataFrame, depth: float, safe: float, keys=tuple(TRACK), end="end_pts", timescale="timescale") -> DataFrame:
     """Rows that end within (edge - safe - depth, edge - safe] of each track's live edge.
 
-    A lower bound below 0 does not bind; a safe edge of 0 or less, or an empty window, keeps the whole track.
+    A depth of 0 or less, or a lower bound below 0, does not bind, and a safe of 0 or less is not subtracted; a
+    safe edge of 0 or less, or an empty window, keeps the whole track.
     """
     w = Window.partitionBy(*keys)
     rows = segs.withColumn("_end", pts_seconds(end, timescale))
-    rows = rows.withColumn("_edge", F.max("_end").over(w) - F.lit(float(safe)))
-    low = F.col("_edge") - F.lit(float(depth))
+    rows = rows.withColumn("_edge", F.max("_end").over(w) - F.lit(float(max(safe, 0))))
+    low = F.col("_edge") - F.lit(float(depth)) if depth > 0 else F.lit(-1.0)
     rows = rows.withColumn("_in", (F.col("_end") <= F.col("_edge")) & ((low < 0) | (F.col("_end") > low)))
     rows = rows.withColumn("_n", F.count_if("_in").over(w))
     return rows.where((F.col("_edge") <= 0) | (F.col("_n") == 0) | F.col("_in")).drop("_end", "_edge", "_in", "_n")
@@ -25,7 +26,9 @@ def project_live_window(segs: DataFrame, depth: float, safe: float, keys=tuple(T
 
 def expire(segs: DataFrame, depth: float, safe: float, keep_all: Column | bool = False, keys=tuple(PERIOD), end="end_pts", timescale="timescale") -> DataFrame:
     """Rows with `expires`: published ones that end strictly below the period's live edge less depth and
-    safe, where that cutoff is positive and nothing is kept for good."""
+    safe, where that cutoff is positive and nothing is kept for good. A depth of 0 or less expires nothing."""
+    if depth <= 0:
+        return segs.withColumn("expires", F.lit(False))
     keep = F.lit(keep_all) if isinstance(keep_all, bool) else keep_all
     published = F.col("status") == "published" if "status" in segs.columns else F.lit(True)
     ends = pts_seconds(end, timescale)
@@ -38,13 +41,14 @@ def expire(segs: DataFrame, depth: float, safe: float, keep_all: Column | bool =
 def keep_newest(df: DataFrame, n: int | None = 120, keys=tuple(TRACK), seq="seg_no", commit="commit_ord") -> DataFrame:
     """L1: the newest n numbers of each track by first commit, each in its last state. n None: all.
 
-    row_number <= n is pruned before the shuffle's sort is done (window group limit)."""
-    rest = [c for c in df.columns if c not in (*keys, seq)]
-    state = df.groupBy(*keys, seq).agg(F.min(commit).alias("_first"), F.max_by(F.struct(*rest), F.struct(commit)).alias("_r"))
+    row_number <= n is pruned before the shuffle's sort is done (window group limit), so a hot track is cut to
+    n rows a task before it meets in one."""
+    of_number = Window.partitionBy(*keys, seq)
+    state = df.withColumn("_first", F.min(commit).over(of_number)).withColumn("_k", F.row_number().over(of_number.orderBy(F.col(commit).desc()))).where("_k = 1")
     if n is not None:
         w = Window.partitionBy(*keys).orderBy(F.col("_first").desc(), F.col(seq).desc())
         state = state.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= n)
-    return state.select(*keys, seq, *(F.col("_r")[c].alias(c) for c in rest))
+    return state.select(*keys, seq, *(c for c in df.columns if c not in (*keys, seq)))
 
 
 def window_size(depth: Column, target: Column) -> Column:
