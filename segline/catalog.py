@@ -823,3 +823,6 @@ def _(spark, sf):
     d = segs(spark, sf)
     base = d.select(*TRACK, "media_type").distinct().withColumns({"timescale": F.lit(1), "start_number": F.lit(1), "pto": F.lit(0), "timeline": F.lit(None).cast("string")})
     return render.manifest_timing(base, d).select(*TRACK, "start_number", "pto")
+
+
+from segline import catalog_documents  # noqa: E402, F401  (registers its queries here)

@@ -59,7 +59,8 @@ def effective_addressing(rows: DataFrame) -> DataFrame:
     """Scheme, timescale, d, start_number, pto, media, init, timeline, segment_urls, index_range of each row.
 
     A representation's value wins, zero or absent falls back to the set's; the offset falls back only when
-    it is absent. An absent startNumber of a template is 1 at its own level, so it never falls back.
+    it is absent. An absent startNumber of a template is 1 at its own level, so it never falls back; one of 0 stays
+    where the set has no template.
     """
     out = rows
     for kind in ("template", "list", "base"):
@@ -67,7 +68,8 @@ def effective_addressing(rows: DataFrame) -> DataFrame:
         out = out.withColumn(f"_{kind}", F.when(r.isNotNull() | a.isNotNull(), F.lit(True)))
     g = lambda kind, f: (F.col(f"r_{kind}._{f}"), F.col(f"a_{kind}._{f}"))
     both = lambda kind, f: _absent_zero(*g(kind, f))
-    start = F.when(F.col("r_template").isNotNull(), _absent_zero(F.coalesce(g("template", "startNumber")[0], F.lit(1)), F.coalesce(g("template", "startNumber")[1], F.lit(1)))).when(F.col("a_template").isNotNull(), F.coalesce(g("template", "startNumber")[1], F.lit(1)))
+    own, sets = (F.coalesce(x, F.lit(1)) for x in g("template", "startNumber"))
+    start = F.when(F.col("r_template").isNotNull(), F.when((own == 0) & F.col("a_template").isNotNull(), sets).otherwise(own)).when(F.col("a_template").isNotNull(), sets)
     entries = F.coalesce(*(F.when(F.size(F.col(f"{x}_template.SegmentTimeline.S")) > 0, F.col(f"{x}_template.SegmentTimeline.S")) for x in "ra"))
     urls = F.coalesce("r_list.SegmentURL", "a_list.SegmentURL")
     pick = lambda t, l, b: F.when(F.col("_template"), t).when(F.col("_list"), l).when(F.col("_base"), b)

@@ -14,10 +14,14 @@ _SHIPPED: set[str] = set()
 
 
 def on_workers(spark: SparkSession) -> None:
-    """Ship the package as a zip once an application, unless workers find it by PYTHONPATH or their working folder."""
+    """Ship the package as a zip once an application.
+
+    With a local master, workers that find it by PYTHONPATH or their working folder need no zip; on a cluster the
+    driver's own folders say nothing about theirs, so it is always shipped.
+    """
     places = [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)]
-    app = spark.sparkContext.applicationId
-    if app in _SHIPPED or any(p and Path(p).resolve() == ROOT for p in places):
+    app, local = spark.sparkContext.applicationId, spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local"
+    if app in _SHIPPED or (local and any(p and Path(p).resolve() == ROOT for p in places)):
         return
     path = os.path.join(tempfile.mkdtemp(prefix="spark-segline-"), "segline.zip")
     with zipfile.ZipFile(path, "w") as out:
