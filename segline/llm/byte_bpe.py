@@ -10,6 +10,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from segline.session import on_workers
+
 from .arrow import batches_of, rows
 from .vocab import line_break, sign_tail, units_of
 
@@ -134,6 +136,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", out: st
     The vocabulary must hold every byte. No special tokens: their strings are ordinary text. Texts are
     taken whole; a piece of n bytes costs n log n.
     """
+    on_workers(docs.sparkSession)
     @F.pandas_udf("array<int>")
     def ids(texts):
         c = codec(path, pattern)
@@ -144,6 +147,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", out: st
 
 def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """df with the bytes that an id array stands for; null gives no bytes. Unknown ids are an error."""
+    on_workers(df.sparkSession)
     @F.pandas_udf("binary")
     def undo(col):
         c = codec(path, pattern)

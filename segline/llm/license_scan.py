@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from segline.session import on_workers
+
 from .arrow import batches_of, rows
 
 #: Fixed values of the contract: a phrase's words and its label.
@@ -175,6 +177,7 @@ def scan(docs: DataFrame) -> DataFrame:
     in a phrase or a template's match: 1 for a bare license line, 0 for none or for an empty text.
     Null text: empty. Whole texts, no shuffle; repeated rows give repeated rows.
     """
+    on_workers(docs.sparkSession)
     schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_base", pa.int64()), ("first_word", pa.int64()), ("last_word", pa.int64()), ("base_labels", pa.string()), ("labels", pa.string()), ("score", pa.float64())])
 
     def run(batches):

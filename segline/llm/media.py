@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from segline.session import on_workers
+
 from .arrow import batches_of, rows
 
 RATE, FRAME, GROUP = 8000, 1024, 16  # samples a second, bytes of a sample, samples from one keyframe to the next
@@ -221,6 +223,7 @@ def feature_of(data: bytes) -> str:
 
 def media_column(docs: DataFrame, text: str = "text", out: str = "media") -> DataFrame:
     """docs with the text's bytes, padded with zeros to a positive multiple of 64, as an ISO media file."""
+    on_workers(docs.sparkSession)
     @F.pandas_udf("binary")
     def stored(texts):
         def one(t):
@@ -237,6 +240,7 @@ def media_facts(df: DataFrame, media: str = "media") -> DataFrame:
 
     A null or torn file gives an empty array and the reason in media_error; payloads are never decoded.
     """
+    on_workers(df.sparkSession)
     kind = "struct<tracks:array<struct<codec:string,handler:string,duration_s:double,samples:long,keyframes:array<struct<first:long,last:long>>>>,error:string>"
 
     def facts(data):

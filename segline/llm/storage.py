@@ -7,14 +7,18 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from segline.session import on_workers
 
 _OWN: dict[str, str] = {}
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where it is unset (tests on one machine), a new temporary one."""
+    """The folder of spark.checkpoint.dir; where it is unset and the master local (tests), a new temporary one."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir is not set: intermediate tables need a folder that all machines share")
         app = spark.sparkContext.applicationId
         if app not in _OWN:
             _OWN[app] = "file://" + tempfile.mkdtemp(prefix="spark-segline-")
@@ -30,6 +34,7 @@ class Workspace:
     """
 
     def __init__(self, spark: SparkSession, name: str):
+        on_workers(spark)
         self.spark = spark
         self.path = f"{shared_root(spark)}/segline-{name}-{uuid.uuid4().hex}"
         self._n = 0

@@ -245,6 +245,54 @@ def test_shards_hold_near_equal_bytes(spark, real, docs):
     if docs == "real":
         mean, most = sum(sizes.values()) / 40, max(r["size"] for r in got)
         assert all(abs(sizes[k] - mean) <= 1.5 * most for k in range(40))
+        where, copies = defaultdict(set), Counter()
+        for r in got:
+            where[r["text_crc32"], r["size"]].add(r["shard"])
+            copies[r["text_crc32"], r["size"]] += 1
+        groups = [k for k, n in copies.items() if n > 1]
+        assert len(groups) > 50 and sum(len(where[k]) > 1 for k in groups) <= 0.1 * len(groups)
+
+
+def plain_tree(rows, shards):
+    """The k-d tree by hand: rows of (key along each dimension, size); cut where the left side's bytes come nearest."""
+    if shards == 1:
+        return {k: 0 for k in range(len(rows))}
+    out, todo, top = {}, [(list(range(len(rows))), 0, shards)], kd_shards.BITS - kd_shards.STEP
+    while todo:
+        part, first, k = todo.pop()
+        if k == 1:
+            out.update(dict.fromkeys(part, first))
+            continue
+        dim = max(range(3), key=lambda d: max((rows[i][0][d] >> top for i in part), default=0) - min((rows[i][0][d] >> top for i in part), default=0))
+        part.sort(key=lambda i: rows[i][0][dim])
+        want, sums = sum(rows[i][1] for i in part) * (k // 2) / k, [0]
+        for i in part:
+            sums.append(sums[-1] + rows[i][1])
+        cut = min(range(len(sums)), key=lambda j: (abs(sums[j] - want), -j))
+        todo += [(part[:cut], first, k // 2), (part[cut:], first + k // 2, k - k // 2)]
+    return out
+
+
+def test_shard_tree_equals_a_plain_one(spark):
+    rng = random.Random(8)
+    rows = [(tuple(rng.choice([rng.randrange(1 << 20), 5, 700_000]) << 42 | rng.randrange(1 << 42) for _ in range(3)), rng.randrange(17, 900)) for _ in range(700)]
+    meta = spark.createDataFrame([(i, size, *keys) for i, (keys, size) in enumerate(rows)], "doc_id long, size long, by_size long, by_source long, by_lang long")
+    for shards in (1, 2, 7, 40):
+        got = {r["doc_id"]: r["shard"] for r in kd_shards.shard_tree(meta, shards).collect()}
+        assert got == plain_tree(rows, shards), shards
+
+
+def test_large_groups_of_copies_are_cut_and_small_ones_kept(spark):
+    texts = ["hot copy " * 30] * 900 + [f"own text {i} " * (i % 40 + 1) for i in range(900)] + [f"pair {i // 3} " * 20 for i in range(300)]
+    df = spark.createDataFrame([(i, t, f"s{i % 11}", "de" if i % 3 else "fr") for i, t in enumerate(texts)], "doc_id long, text string, source string, lang string")
+    got = kd_shards.shard_documents(df, 20).collect()
+    sizes, where = Counter(), defaultdict(set)
+    for r in got:
+        sizes[r["shard"]] += r["size"]
+        where[texts[r["doc_id"]]].add(r["shard"])
+    mean = sum(sizes.values()) / 20
+    assert max(sizes.values()) < 1.1 * mean and min(sizes.values()) > 0.9 * mean
+    assert len(where[texts[0]]) >= 5 and sum(len(x) > 1 for t, x in where.items() if t != texts[0]) == 0
 
 
 def test_line_dedup_equals_brute_force(spark):
