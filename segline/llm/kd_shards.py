@@ -88,7 +88,7 @@ def shard_tree(meta: DataFrame, shards: int) -> DataFrame:
     a row for each node of the level above.
     """
     key = F.get(F.array(*DIMENSIONS), F.col("dim"))
-    now = meta.withColumn("node", F.lit(0).cast("long"))
+    now = meta.withColumn("node", F.shiftright(DIMENSIONS[0], BITS))  # 0, but no literal: the joins stay equi-joins
     todo, share = {0: (0, shards)}, None  # node -> its first shard, and how many it stands for
     while any(k > 1 for _, k in todo.values()):
         live = [n for n, (_, k) in todo.items() if k > 1]
