@@ -15,7 +15,10 @@ from segline.llm.storage import Workspace, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose predicted quality is 1. A document that labels know is scored like any other."""
+    """Documents whose predicted quality is 1. A document that labels know is scored like any other.
+
+    Several rows of one doc_id are one document: it goes if any of them is rejected. Rows without doc_id stay.
+    """
     verdict = score_documents(docs, table(spark, sf_dir, "labels")).groupBy("doc_id").agg(F.min("predicted").alias("good"))
     return docs.join(verdict.where("good = 0").select("doc_id"), "doc_id", "left_anti").select(docs.columns)
 
@@ -29,9 +32,16 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group, by five-word shingles and a similarity of 0.8."""
-    gone = near_duplicates(docs).where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """One document of each near-duplicate group, by five-word shingles and a similarity of 0.8.
+
+    Several rows of one doc_id are one document, of which the least row stays. Rows without doc_id stay.
+    """
+    ws = Workspace(spark, "near-stage")
+    gone = ws.save(near_duplicates(docs).where("not kept").select("doc_id").distinct(), "gone")
+    kept = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    repeated = ws.save(kept.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id"), "repeated")
+    least = kept.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*")
+    return kept.join(repeated, "doc_id", "left_anti").select(docs.columns).unionByName(least)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
