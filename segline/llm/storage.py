@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -26,6 +27,13 @@ def shared_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+def release(spark: SparkSession) -> None:
+    """Let go of finished plans: Python's references to them go in cycles, and only the JVM's own collection makes
+    Spark's cleaner drop their broadcasts, shuffles and generated classes. Drivers live through many operators."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 class Workspace:
     """Written tables cut lineage: a lost executor costs its own tasks, never an earlier stage.
 
@@ -35,6 +43,7 @@ class Workspace:
 
     def __init__(self, spark: SparkSession, name: str):
         on_workers(spark)
+        release(spark)
         self.spark = spark
         self.path = f"{shared_root(spark)}/segline-{name}-{uuid.uuid4().hex}"
         self._n = 0
