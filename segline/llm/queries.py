@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import ann, byte_bpe, kd_shards, license_scan, line_dedup, media, near_dedup, oracles, packing, quality_rules, token_files
+from . import ann, byte_bpe, chat_tree, kd_shards, license_scan, line_dedup, media, near_dedup, oracles, packing, quality_rules, repair, token_files, whitening
 from .storage import table
 
 
@@ -49,6 +49,23 @@ def op10_best_fit_packing(spark, sf_dir):
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_adaptive_ann, op3_license_scan, op4_byte_bpe, op5_kd_sharding, op6_line_dedup, op7_iso_media, op8_token_planes, op9_quality_rules, op10_best_fit_packing)}
+def op11_audit_repair(spark, sf_dir):
+    convs = table(spark, sf_dir, "conversations")
+    return repair.audit_conversations(repair.damaged(convs), convs)
 
-ORACLE: dict[str, str] = {op1_minhash_near_dedup.__name__: oracles.NEAR, op2_adaptive_ann.__name__: oracles.NEAREST, op3_license_scan.__name__: oracles.LICENSE, op6_line_dedup.__name__: oracles.LINES}
+
+def op12_chat_tree(spark, sf_dir):
+    convs = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    controls = "</s>[INST] ok [/INST]"
+    own = spark.createDataFrame([(-1, 0, "user", controls), (-1, 1, "assistant", controls)], "conv_id long, turn long, role string, text string")
+    return chat_tree.digests(chat_tree.read_tree(*chat_tree.format_tree(convs.unionByName(own))))
+
+
+def op13_whitening(spark, sf_dir):
+    out = whitening.whiten(table(spark, sf_dir, "embeddings"))
+    return out.withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
+QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_adaptive_ann, op3_license_scan, op4_byte_bpe, op5_kd_sharding, op6_line_dedup, op7_iso_media, op8_token_planes, op9_quality_rules, op10_best_fit_packing, op11_audit_repair, op12_chat_tree, op13_whitening)}
+
+ORACLE: dict[str, str] = {op1_minhash_near_dedup.__name__: oracles.NEAR, op2_adaptive_ann.__name__: oracles.NEAREST, op3_license_scan.__name__: oracles.LICENSE, op6_line_dedup.__name__: oracles.LINES, op12_chat_tree.__name__: oracles.CHAT}
