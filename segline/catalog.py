@@ -825,4 +825,4 @@ def _(spark, sf):
     return render.manifest_timing(base, d).select(*TRACK, "start_number", "pto")
 
 
-from segline import catalog_documents  # noqa: E402, F401  (registers its queries here)
+from segline import catalog_documents, catalog_streams  # noqa: E402, F401  (register their queries here)

@@ -9,13 +9,12 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from segline.catalog import PAIRS, T, _reps, query, segs
+from segline.catalog import T, _reps, query, segs
 from segline.functions import scalars as S
 from segline.operators import discovery, manifest, playlist, render, timeline
 from segline.plans.projections import rows
-from segline.schema import PERIOD, TRACK
-from segline.sources import store
-from segline.streaming import operators as streams
+from segline.schema import TRACK
+from segline.sources import segment_store, store
 
 
 def text(*parts) -> Column:
@@ -35,7 +34,7 @@ def scratch(spark: SparkSession, name: str) -> str:
     """A new folder that all machines share; a temporary one only where the master is local."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
+        if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
             raise RuntimeError("spark.checkpoint.dir is not set: files must lie in a folder that all machines share")
         root = _OWN.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="spark-segline-"))
     return f"{root.rstrip('/')}/segline-{name}-{uuid.uuid4().hex}"
@@ -376,9 +375,54 @@ def _(spark, sf):
     return store.read_snapshots(spark, path, "polls").select("channel_id", "rep_id", F.col("last_seq").alias("n"), "media_sequence", "ok")
 
 
+def _stored(spark, sf) -> str:
+    """A store with a file for each track, numbered by its segments: boxes of headers in front of 500 bytes a segment, every
+    sixth without mdat and every fifth cut off; and an init file for each video representation."""
+    u = lambda x, digits: F.lpad(F.hex(x), digits, "0")
+    t = segs(spark, sf).groupBy(*TRACK, "media_type").agg(F.count(F.lit(1)).alias("n"), F.min("start_pts").alias("s"))
+    n, long = F.col("n"), F.col("n") % 2 == 0
+    tfdt = F.when(long, F.concat(F.lit("000000147466647401000000"), u(F.col("s"), 16))).otherwise(F.concat(F.lit("000000107466647400000000"), u(F.col("s"), 8)))
+    moof = F.concat(F.when(long, "00000024").otherwise("00000020"), F.lit("6d6f6f66"), F.when(long, "0000001c").otherwise("00000018"), F.lit("74726166"), tfdt)
+    mdat = F.when(n % 6 != 3, F.concat(F.when(n % 3 == 0, F.concat(F.lit("000000016d646174"), u(n * 500 + 16, 16))).otherwise(F.concat(u(n * 500 + 8, 8), F.lit("6d646174"))), F.repeat(F.lit("00"), (n * 500 - F.when(n % 5 == 4, 100).otherwise(0)).cast("int"))))
+    moov = F.lit("00000034" + "6d6f6f76" + "0000002c" + "7472616b" + "00000024" + "6d646961" + "0000001c" + "6d646864" + "00" * 12 + "0001d4c0" + "00" * 4)
+    media = t.select(*TRACK, "media_type", n.alias("seg_no"), F.when(long, "m4s").otherwise("mp4").alias("ext"), F.unhex(F.concat(F.lit("0000000866726565"), moof, F.coalesce(mdat, F.lit("")))).alias("content"))
+    inits = t.where("media_type = 'video'").select(*TRACK, "media_type", F.lit(None).cast("bigint").alias("seg_no"), F.lit("mp4").alias("ext"), F.unhex(F.concat(F.lit("0000000866747970"), moov)).alias("content"))
+    root = scratch(spark, "store")
+    segment_store.write_segment_store(media.unionByName(inits).withColumn("period_id", text("p/", F.col("period_id"))), root)
+    return root
+
+
+_FILES = f"f as (select {T}, media_type, count(*) as n, min(start_pts) as s, count(*) * 500 as m from d group by all), z as (select *, 8 + case when n % 2 = 0 then 36 else 32 end + case when n % 6 = 3 then 0 else m + case when n % 3 = 0 then 16 else 8 end - case when n % 5 = 4 then 100 else 0 end end as size, n % 5 = 4 and n % 6 <> 3 as cut from f)"
+
+
+@query("s2_stored_files", f"--cte\n{_FILES}\nselect channel_id, 'p/' || period_id as period_id, as_id, rep_id, media_type, n as seg_no, case when n % 2 = 0 then 'm4s' else 'mp4' end as ext, cast(size as bigint) as length from z", dedup=True)
+def _(spark, sf):
+    """Files are written to a store and its directories listed; nothing is opened."""
+    return segment_store.scan_segment_store(spark, _stored(spark, sf)).select(*TRACK, "media_type", "seg_no", "ext", "length")
+
+
+@query("s2_chosen_files", f"--cte\n{_FILES}\nselect channel_id, 'p/' || period_id as period_id, as_id, rep_id, n as seg_no from z where period_id = '1995' and n >= 10", dedup=True)
+def _(spark, sf):
+    """Only the chosen period's directories are listed, and only the chosen numbers' files opened."""
+    return segment_store.scan_segment_store(spark, _stored(spark, sf), facts=True, periods=["p/1995"], numbers=(10, 1 << 62)).select(*TRACK, "seg_no")
+
+
+@query("s2_init_files", f"--cte\n{_FILES}\nselect channel_id, 'p/' || period_id as period_id, as_id, rep_id, true as has_moov, 120000::bigint as timescale, null::varchar as error from z where media_type = 'video'", dedup=True)
+def _(spark, sf):
+    return segment_store.scan_segment_store(spark, _stored(spark, sf), facts=True, inits=True).select(*TRACK, "has_moov", "timescale", "error")
+
+
+@query("s5_stored_boxes", f"""--cte
+{_FILES}
+select channel_id, 'p/' || period_id as period_id, as_id, rep_id, n as seg_no, s as start_pts, case when cut then 'box mdat is cut off' when n % 6 = 3 then 'missing mdat box' end as error, n % 6 <> 3 and not cut as has_mdat, cast(least(size, 4096) as bigint) as bytes_read from z""", dedup=True)
+def _(spark, sf):
+    """Headers of stored files: one read of at most 4096 bytes, however much media follows."""
+    return segment_store.scan_segment_store(spark, _stored(spark, sf), facts=True).select(*TRACK, "seg_no", "start_pts", "error", "has_mdat", "bytes_read")
+
+
 @query("s2_stored_paths", f"select {T}, media_type, seg_no, case when seg_no % 2 = 0 then 'm4s' else 'ts' end as ext from d where seg_no % 5 <> 0", dedup=True)
 def _(spark, sf):
-    """The layout's columns from paths; files that are no segments are skipped."""
+    """The layout's columns from paths that are known already; files that are no segments are skipped."""
     d = segs(spark, sf)
     path = text("file:/x/data/", F.col("channel_id"), "/periods/", S.encode_id("period_id"), "/", F.col("media_type"), "_", F.col("as_id"), "/", S.encode_id("rep_id"), "/", F.col("seg_no"), F.when(F.col("seg_no") % 5 == 0, ".tmp").when(F.col("seg_no") % 2 == 0, ".m4s").otherwise(".ts"))
     return d.select(path.alias("path")).where(F.col("path").rlike(store._FILE)).select(*store.layout_columns(F.col("path"))).select(*TRACK, "media_type", "seg_no", "ext")
@@ -434,102 +478,3 @@ def _(spark, sf):
     t, path = rows(spark, sf, "trk").withColumn("n", F.col("rep_id").cast("bigint")), scratch(spark, "documents")
     store.write_documents(joined(t, ["lang"], "n", F.col("rep_id"), sep="/").select(F.col("lang").alias("channel_id"), F.lit("m").alias("rep_id"), "body"), path)
     return spark.read.text(path).select("channel_id", F.col("value").alias("body"))
-
-
-# --- streams: the whole table as a stream, run to its end -------------------------------------------------
-
-
-def ran(sdf: DataFrame, mode: str = "append") -> DataFrame:
-    """The rows that a stream has written when its input is used up."""
-    spark = sdf.sparkSession
-    path = scratch(spark, "stream")
-    q = sdf.writeStream.format("parquet").option("path", path).option("checkpointLocation", path + "-state").outputMode(mode).trigger(availableNow=True).start()
-    q.awaitTermination()
-    if q.exception():
-        raise RuntimeError(str(q.exception()))
-    return spark.read.schema(sdf.schema).parquet(path)
-
-
-def as_stream(df: DataFrame) -> DataFrame:
-    """The table as landed files, read as a stream."""
-    path = scratch(df.sparkSession, "landed")
-    df.write.parquet(path)
-    return df.sparkSession.readStream.schema(df.schema).option("maxFilesPerTrigger", 100_000).parquet(path)
-
-
-def _events(spark, sf, d: DataFrame | None = None) -> DataFrame:
-    d = segs(spark, sf) if d is None else d
-    return streams.with_media_time(d).withColumn("commit_at", F.timestamp_seconds(F.lit(1_700_000_000)))
-
-
-@query("x1_stream_dedup", f"select distinct {T}, seg_no from seg")
-def _(spark, sf):
-    return ran(streams.stream_dedup(as_stream(_events(spark, sf, rows(spark, sf, "seg")))).select(*TRACK, "seg_no"))
-
-
-@query("x2_stream_overlap", "--cte\n" + PAIRS + "\nselect distinct channel_id, period_id, v_no, a_no from pr", dedup=True)
-def _(spark, sf):
-    e = _events(spark, sf).select(*PERIOD, "media_type", "seg_no", "start_s", "end_s", "start_at").distinct()
-    return streams.stream_overlap(e.where("media_type = 'video'"), e.where("media_type = 'audio'")).select(*PERIOD, "v_no", "a_no").distinct()
-
-
-@query("x3_stream_barrier", "--cte\n" + PAIRS + """,
- k as (select channel_id, period_id, count(distinct as_id) as na from d where media_type = 'audio' group by all),
- m as (select channel_id, period_id, v_as, v_no, a_as, min(a_no) as a_no from pr group by all),
- fl as (select channel_id, period_id, v_as, v_no from m join k using (channel_id, period_id) group by channel_id, period_id, v_as, v_no, na having count(*) = na)
-select channel_id, period_id, 'video' as media_type, v_as as as_id, v_no as seg_no from fl union select m.channel_id, m.period_id, 'audio', m.a_as, m.a_no from m join fl using (channel_id, period_id, v_as, v_no)""", dedup=True)
-def _(spark, sf):
-    return ran(streams.stream_barrier(as_stream(_events(spark, sf)))).distinct()
-
-
-@query("x4_stream_expire", "--cte\ne as (select *, end_pts / 90000.0::double as x, max(end_pts / 90000.0::double) over (partition by channel_id, period_id) - 126 as cut from d)\nselect channel_id, period_id, as_id, rep_id, seg_no from e where cut > 0 and x < cut", dedup=True)
-def _(spark, sf):
-    return ran(streams.stream_expire(as_stream(_events(spark, sf)), 120, 6)).select(*TRACK, "seg_no")
-
-
-@query("x5_stream_ring", f"""--cte
-n as (select {T}, seg_no, commit_ord, min(seg_no) over (partition by {T}) as first_no, max(seg_no) over (partition by {T}) as last_no, row_number() over (partition by {T} order by commit_ord desc) as nth from d)
-select {T}, string_agg(cast(seg_no as varchar), ',' order by commit_ord) as ring, min(first_no) as first_no, min(last_no) as last_no from n where nth <= 4 group by {T}""", dedup=True)
-def _(spark, sf):
-    out = ran(streams.stream_ring(as_stream(_events(spark, sf)), 4))
-    return out.select(*TRACK, F.array_join("ring", ",").alias("ring"), "first_no", "last_no")
-
-
-@query("x6_stream_periods", """--cte recursive
-b as (select *, row_number() over (partition by channel_id order by poll_at, rep_id) as i, media_sequence < lag(media_sequence) over (partition by channel_id, rep_id order by poll_at) as back from pol),
- r as (select channel_id, rep_id, event_id, i, 0::bigint as latest, map([rep_id], [0::bigint]) as held from b where i = 1
-  union all select b.channel_id, b.rep_id, b.event_id, b.i, n.latest, case when coalesce(b.back, false) then map_concat(r.held, map([b.rep_id], [n.latest])) else map_concat(map([b.rep_id], [0::bigint]), r.held) end
-   from r join b on b.channel_id = r.channel_id and b.i = r.i + 1, lateral (select case when coalesce(b.back, false) and coalesce(r.held[b.rep_id], 0) = r.latest then r.latest + 1 else r.latest end as latest) n),
- p as (select r.channel_id, r.rep_id, r.i, r.held[r.rep_id] as period_no, b.media_sequence as q, sum(case when b.back then 1 else 0 end) over (partition by r.channel_id, r.rep_id order by r.i) as run from r join b on b.channel_id = r.channel_id and b.i = r.i),
- l as (select channel_id, rep_id, period_no, run, i, q + g as seg_no, g from p, range(2) x(g)),
- t as (select *, seg_no > coalesce(max(seg_no) over (partition by channel_id, rep_id, run order by i, seg_no rows between unbounded preceding and 1 preceding), -1) as fresh from l)
-select channel_id, rep_id, period_no, seg_no, cast(90000 * (row_number() over (partition by channel_id, rep_id, run order by i, seg_no) - 1) as bigint) as start_pts from t where fresh""", "pol")
-def _(spark, sf):
-    p = rows(spark, sf, "pol").withColumn("durations", F.array(F.lit(1.0), F.lit(1.0)))
-    return ran(streams.stream_periods(as_stream(p))).select("channel_id", "rep_id", "period_no", "seg_no", "start_pts")
-
-
-@query("x7_stream_throughput", """--cte
-e as (select channel_id, attempt_at as t, outcome, bytes from att where outcome <> 'gone' union all select channel_id, poll_at, null, null from pol),
- w as (select channel_id, (epoch_us(t) // 432000000000 - k) * 432000 as lo, outcome, bytes from e, range(4) g(k))
-select channel_id, lo as from_s, count(*) filter (outcome = 'ok') as stored, cast(coalesce(sum(bytes) filter (outcome = 'ok'), 0) as bigint) as bytes, count(*) filter (outcome = 'ok') = 0 as stalled from w group by channel_id, lo""", "att", "pol")
-def _(spark, sf):
-    a = rows(spark, sf, "att").where("outcome <> 'gone'")
-    out = streams.stream_throughput(a, "20 days", "5 days", beats=rows(spark, sf, "pol").withColumnRenamed("poll_at", "attempt_at"))
-    return out.select("channel_id", F.unix_timestamp("from_at").alias("from_s"), "stored", "bytes", "stalled")
-
-
-@query("x9_lifecycle", """--cte recursive
-s as (select channel_id, poll_at, event_id % 50 as stored, case event_id % 9 when 0 then 'begin' when 1 then 'begin_suppressed' when 2 then 'promote_static' when 3 then 'claim_auto' when 4 then 'claim_auto' when 5 then 'fail' when 6 then 'claim_manual' when 7 then 'complete' else 'promote_static' end as what, row_number() over (partition by channel_id order by poll_at) as i from pol),
- z as (select channel_id, 0::bigint as i, null::timestamp as poll_at, null::varchar as what, 'live' as mode, false as held, 0::bigint as base, false as ok from (select distinct channel_id from s)
-  union all select s.channel_id, s.i, s.poll_at, s.what,
-   case when s.what like 'begin%' then 'live' when not a.ok then z.mode when s.what = 'promote_static' then 'static_ingesting' when s.what like 'claim%' then 'transitioning' when s.what = 'fail' then 'vod_failed' else 'vod' end,
-   case when s.what like 'begin%' then s.what = 'begin_suppressed' when a.ok and s.what like 'claim%' then false else z.held end, case when s.what like 'begin%' then s.stored else z.base end, a.ok
-   from z join s on s.channel_id = z.channel_id and s.i = z.i + 1,
-   lateral (select s.what like 'begin%' or (s.what = 'promote_static' and z.mode = 'live') or (s.what = 'claim_auto' and z.mode = 'static_ingesting' and (not z.held or s.stored > z.base)) or (s.what = 'claim_manual' and z.mode in ('live', 'static_ingesting', 'vod_failed')) or (s.what in ('fail', 'complete') and z.mode = 'transitioning') as ok) a)
-select channel_id, poll_at as "at", what as transition, mode, ok as accepted from z where i > 0""", "pol")
-def _(spark, sf):
-    e = F.col("event_id") % 9
-    what = F.when(e == 0, "begin").when(e == 1, "begin_suppressed").when(e.isin(3, 4), "claim_auto").when(e == 5, "fail").when(e == 6, "claim_manual").when(e == 7, "complete").otherwise("promote_static")
-    p = rows(spark, sf, "pol").select("channel_id", F.col("poll_at").alias("at"), what.alias("transition"), (F.col("event_id") % 50).alias("stored"))
-    return streams.lifecycle_fold(p)

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 
 from segline.operators import discovery, manifest, metrics, timeline, window
 from segline.schema import TRACK
-from segline.streaming import operators as X
 
 KEY = "channel_id string, period_id string, as_id string, rep_id string"
 T0 = datetime(2024, 1, 1)
@@ -70,46 +69,6 @@ def test_a_start_number_of_zero(spark):
     assert got == {"none": 0, "zero": 0, "nine": 9, "absent": 1}
 
 
-def av(n, kind="video", as_id="0", shift=0.0):
-    return {"media_type": kind, "as_id": as_id, "rep_id": "r", "seg_no": n, "start_s": 2.0 * n + shift, "end_s": 2.0 * n + 2 + shift}
-
-
-def test_barrier_state_stays_small_and_gives_each_number_once():
-    fold, state, out, most = X.barrier_fold(60.0), {}, [], 0
-    for n in range(3000):
-        out += fold(state, [av(n), av(n, "audio", "1"), av(n)] if n % 7 else [av(n, "audio", "1")])  # each seventh has no video
-        most = max(most, sum(len(v) for v in state.values() if isinstance(v, list)))
-    assert len(out) == len({tuple(r.values()) for r in out}) == 2 * sum(1 for n in range(3000) if n % 7)
-    assert most < 120
-    state = {}
-    for n in range(3000):  # an audio set that stops: its period's video waits, for a minute at most
-        fold(state, [av(n), *([av(n, "audio", "1")] if n < 5 else [])])
-    assert len(state["video"]) <= 31 and len(state["audio"]) == 0 and state["names"] == ["1"]
-
-
-def test_barrier_waits_for_late_audio():
-    fold, state = X.barrier_fold(), {}
-    assert fold(state, [av(0, "audio", "1"), av(0, "audio", "2"), av(1), av(2), av(0)]) != []
-    assert [r["seg_no"] for r in fold(state, [av(2, "audio", "2"), av(2, "audio", "1")])] == [2, 2, 2]
-    assert sorted(r["seg_no"] for r in fold(state, [av(1, "audio", "1"), av(1, "audio", "2")])) == [1, 1, 1]
-
-
-def test_expiry_holds_the_live_window_only():
-    fold, state, gone = X.expire_fold(20, 4), {}, []
-    for n in range(500):
-        gone += fold(state, [av(n)])
-    assert [g["seg_no"] for g in gone] == list(range(487)) and len(state["held"]) == 13
-    assert X.expire_fold(0, 4)({}, [av(n) for n in range(50)]) == []
-
-
-def test_silent_windows_have_rows(spark):
-    a = spark.createDataFrame([("c", T0, "ok", 10)], "channel_id string, attempt_at timestamp, outcome string, bytes bigint")
-    beats = spark.createDataFrame([(c, T0 + timedelta(seconds=30 * i)) for c in "cd" for i in range(4)], "channel_id string, attempt_at timestamp")
-    out = X.stream_throughput(a, "30 seconds", "30 seconds", beats=beats)
-    got = sorted((r["channel_id"], r["stored"], r["bytes"], r["stalled"]) for r in out.collect())
-    assert got == [("c", 0, 0, True)] * 3 + [("c", 1, 10, False)] + [("d", 0, 0, True)] * 4
-
-
 def test_last_write_wins_in_one_sort(spark):
     df = spark.createDataFrame([("c", "p", "0", "v", 1, k, k * 2) for k in (3, 9, 5)] + [("c", "p", "0", "v", 2, 1, 0)], KEY + ", seg_no bigint, commit_ord bigint, x bigint")
     out = timeline.dedup_last(df)

@@ -12,8 +12,7 @@ from pyspark.sql import functions as F
 from segline import schema
 from segline.functions import scalars as S
 from segline.operators import discovery, manifest, metrics, playlist, publish, render, timeline
-from segline.sources import store
-from segline.streaming import operators as X
+from segline.sources import segment_store, store
 
 
 def rows(df, *cols):
@@ -359,7 +358,7 @@ def test_store_scan_sidecars_and_sinks(spark, tmp_path):
     base.mkdir(parents=True)
     for n in ("1.m4s", "2.ts", "x.m4s", "3.txt", "init.mp4"):
         (base / n).write_bytes(b"abc")
-    got = sorted(rows(store.scan_segment_store(spark, str(tmp_path / "data")), "channel_id", "period_id", "media_type", "as_id", "rep_id", "seg_no", "ext", "length"))
+    got = sorted(rows(segment_store.scan_segment_store(spark, str(tmp_path / "data")), "channel_id", "period_id", "media_type", "as_id", "rep_id", "seg_no", "ext", "length"))
     assert got == [("ch", "p0", "video", "0", "v/1", 1, "m4s", 3), ("ch", "p0", "video", "0", "v/1", 2, "ts", 3)]
     (tmp_path / "side.jsonl").write_text('{"n":1,"s":0,"e":5,"t":10}\n{"n":2,"s":5,"e":9,"t":10,"dc":true}\n{"n":3,"s":')
     assert sorted(rows(store.read_sidecar(spark, str(tmp_path / "side.jsonl")), "n", "e", "dc")) == [(1, 5, None), (2, 9, True)]
@@ -375,67 +374,3 @@ def test_store_scan_sidecars_and_sinks(spark, tmp_path):
     (tmp_path / "polls").mkdir()
     (tmp_path / "polls/1.json").write_text('{"channel_id":"c","rep_id":"v","media_sequence":4}\n{"chan')
     assert rows(store.read_snapshots(spark, str(tmp_path / "polls"), "polls"), "channel_id", "media_sequence") == [("c", 4)]
-
-
-# --- streaming: the folds equal the batch rules whatever the batches are
-
-
-def stream_of(spark, path, df, files, f, keys=None):
-    df.repartition(files).write.mode("overwrite").parquet(path)
-    sdf = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
-    name = "t" + str(abs(hash(path)))
-    q = f(sdf).writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", path + "-ck").trigger(availableNow=True).start()
-    q.awaitTermination(120)
-    assert q.exception() is None
-    return spark.table(name)
-
-
-def segment_events(spark):
-    data = [("c", "p", "0", "v", "video", n, 2.0 * n, 2.0 * n + 2) for n in range(12)] + [("c", "p", "1", "a", "audio", n, 2.048 * n, 2.048 * n + 2.048) for n in range(12)]
-    df = spark.createDataFrame(data, "channel_id string, period_id string, as_id string, rep_id string, media_type string, seg_no bigint, start_s double, end_s double")
-    return df.withColumn("commit_ord", F.col("seg_no")).withColumn("commit_at", F.timestamp_seconds(1_700_000_000 + F.col("seg_no"))).withColumn("start_at", F.timestamp_micros(((F.col("start_s") + 86_400) * 1_000_000).cast("bigint")))
-
-
-def test_streaming_barrier_equals_batch(spark, tmp_path):
-    ev = segment_events(spark)
-    got = set(rows(stream_of(spark, str(tmp_path / "b"), ev, 5, X.stream_barrier), "as_id", "seg_no"))
-    batch = ev.withColumns({"start_pts": (F.col("start_s") * 1000).cast("bigint"), "end_pts": (F.col("end_s") * 1000).cast("bigint"), "timescale": F.lit(1000)})
-    want = set(rows(publish.publish_av_barrier(batch), "as_id", "seg_no"))
-    assert {x for x in got if x[0] == "0"} == {x for x in want if x[0] == "0"}
-
-
-def test_streaming_dedup_and_overlap(spark, tmp_path):
-    ev = segment_events(spark)
-    assert stream_of(spark, str(tmp_path / "d"), ev.union(ev), 3, X.stream_dedup).count() == ev.count()
-    pairs = stream_of(spark, str(tmp_path / "o"), ev, 2, lambda s: X.stream_overlap(s.where("media_type = 'video'"), s.where("media_type = 'audio'")))
-    assert {r[0] for r in rows(pairs, "v_no")} == set(range(12))
-
-
-def test_streaming_expiry_and_ring(spark, tmp_path):
-    ev = segment_events(spark).where("media_type = 'video'")
-    gone = rows(stream_of(spark, str(tmp_path / "e"), ev, 4, lambda s: X.stream_expire(s, 8, 2)), "seg_no")
-    assert sorted(r[0] for r in gone) == list(range(6))
-    ring = rows(stream_of(spark, str(tmp_path / "r"), ev, 1, lambda s: X.stream_ring(s, 4)), "ring", "first_no", "last_no")
-    assert ring == [([8, 9, 10, 11], 0, 11)]
-
-
-def test_streaming_periods_and_lifecycle(spark, tmp_path):
-    t = datetime(2024, 1, 1)
-    polls = spark.createDataFrame([("c", "v", t, 10, [2.0, 2.0]), ("c", "v", t + timedelta(seconds=1), 11, [2.0, 3.0]), ("c", "v", t + timedelta(seconds=2), 1, [1.0]), ("c", "a", t + timedelta(seconds=3), 7, [1.0]), ("c", "a", t + timedelta(seconds=4), 1, [1.0])], "channel_id string, rep_id string, poll_at timestamp, media_sequence bigint, durations array<double>")
-    got = sorted(rows(stream_of(spark, str(tmp_path / "p"), polls, 1, X.stream_periods), "rep_id", "period_no", "seg_no", "start_pts"))
-    assert got == [("a", 0, 7, 0), ("a", 1, 1, 0), ("v", 0, 10, 0), ("v", 0, 11, 180000), ("v", 0, 12, 360000), ("v", 1, 1, 0)]
-    steps = [("begin_suppressed", 5), ("complete", 5), ("promote_static", 5), ("claim_auto", 5), ("claim_auto", 6), ("fail", 6), ("claim_manual", 6), ("complete", 6)]
-    events = spark.createDataFrame([("c", t + timedelta(seconds=i), s, n) for i, (s, n) in enumerate(steps)], "channel_id string, at timestamp, transition string, stored bigint")
-    want = [True, False, True, False, True, True, True, True]
-    assert [r[0] for r in rows(X.lifecycle_fold(events).orderBy("at"), "accepted")] == want
-    assert [r[0] for r in rows(stream_of(spark, str(tmp_path / "l"), events, 1, X.lifecycle_fold).orderBy("at"), "accepted")] == want
-
-
-def test_streaming_throughput_and_late_rows(spark, tmp_path):
-    t = datetime(2024, 1, 1)
-    df = spark.createDataFrame([("c", t + timedelta(seconds=10 * i), "ok" if i < 6 else "error", 100, t + timedelta(seconds=45)) for i in range(40)], "channel_id string, attempt_at timestamp, outcome string, bytes bigint, deadline timestamp")
-    got = rows(stream_of(spark, str(tmp_path / "t"), df.coalesce(1), 1, X.stream_throughput), "stored", "stalled")
-    assert (3, False) in got and (0, True) in got
-    seen = {"ok": 0, "late": 0}
-    X.late_splitter(lambda b, i: seen.__setitem__("ok", b.count()), lambda b, i: seen.__setitem__("late", b.count()))(df, 0)
-    assert seen == {"ok": 5, "late": 35}
