@@ -143,25 +143,31 @@ def _(spark, sf):
     return timeline.contiguous_run(rows(spark, sf, "seg"), keys=("channel_id", "period_id", "rep_id")).select("channel_id", "period_id", "rep_id", "seg_no", "commit_ord")
 
 
+def _ever(spark, sf) -> DataFrame:
+    """What was ever published."""
+    return segs(spark, sf).where("status in ('published', 'expired')")
+
+
 def _timeline(spark, sf) -> DataFrame:
     ranges = metrics.lifetime_ranges(segs(spark, sf))
     return ranges.join(timeline.order_periods(ranges), PERIOD)
 
 
 #: Lifetime ranges with period order, and each segment's media sequence number.
-LIFE = """life as (select channel_id, period_id, rep_id, min(seg_no) as first_no, max(seg_no) as last_no from d group by all),
- po as (select channel_id, period_id, row_number() over (partition by channel_id order by cast(period_id as bigint)) - 1 as period_ord from (select distinct channel_id, period_id from d)),
+LIFE = """ever as (select * from d where status in ('published', 'expired')),
+ life as (select channel_id, period_id, rep_id, min(seg_no) as first_no, max(seg_no) as last_no from ever group by all),
+ po as (select channel_id, period_id, row_number() over (partition by channel_id order by cast(period_id as bigint)) - 1 as period_ord from (select distinct channel_id, period_id from ever)),
  off as (select l.*, po.period_ord, first_value(first_no) over w + coalesce(sum(last_no - first_no + 1) over (partition by l.channel_id, l.rep_id order by po.period_ord rows between unbounded preceding and 1 preceding), 0) - first_no as o from life l join po using (channel_id, period_id) window w as (partition by l.channel_id, l.rep_id order by po.period_ord)),
- msn as (select d.*, off.period_ord, cast(d.seg_no + off.o as bigint) as msn, off.first_no from d join off using (channel_id, period_id, rep_id))"""
+ msn as (select ever.*, off.period_ord, cast(ever.seg_no + off.o as bigint) as msn, off.first_no from ever join off using (channel_id, period_id, rep_id))"""
 
 
 @query("t11_number_across_periods", "--cte\n" + LIFE + "\nselect channel_id, period_id, rep_id, seg_no, msn from msn", dedup=True)
 def _(spark, sf):
-    return timeline.number_across_periods(_timeline(spark, sf), segs(spark, sf)).select("channel_id", "period_id", "rep_id", "seg_no", "msn")
+    return timeline.number_across_periods(_timeline(spark, sf), _ever(spark, sf)).select("channel_id", "period_id", "rep_id", "seg_no", "msn")
 
 
 def _head(spark, sf) -> DataFrame:
-    s = segs(spark, sf).join(timeline.order_periods(segs(spark, sf)), PERIOD)
+    s = _timeline(spark, sf).withColumn("seg_no", F.col("last_no"))  # the newest number of the newest period
     return s.groupBy("channel_id", "rep_id").agg(F.max_by(F.struct("period_ord", "seg_no"), F.struct("period_ord", "seg_no")).alias("h")).select("channel_id", "rep_id", "h.period_ord", "h.seg_no")
 
 
@@ -365,23 +371,23 @@ def _(spark, sf):
     return window.sticky_target(r, order=("seg_no",)).select(*TRACK, "seg_no", "target")
 
 
-@query("w5_retry_schedule", """--cte
-f as (select *, row_number() over (partition by channel_id, seg_no order by attempt_at, event_id) as retries from att where outcome <> 'ok')
+@query("w5_retry_schedule", f"""--cte
+f as (select *, row_number() over (partition by {T}, seg_no order by attempt_at, event_id) as retries from att where outcome <> 'ok')
 select event_id, cast(retries as int) as retries, (case when outcome = 'write_error' then 1.0 else 2.0 end * pow(2.0, retries - 1))::double as wait_s, retries > 3 or outcome = 'gone' as dropped from f""", "att")
 def _(spark, sf):
     return metrics.retry_schedule(rows(spark, sf, "att"), max_retries=3).select("event_id", "retries", "wait_s", "dropped")
 
 
-@query("w5_retry_deadline", """--cte
-f as (select *, row_number() over (partition by channel_id, seg_no order by attempt_at, event_id) as retries, min(attempt_at) over (partition by channel_id, seg_no) + interval 10 day as due from att where outcome <> 'ok')
+@query("w5_retry_deadline", f"""--cte
+f as (select *, row_number() over (partition by {T}, seg_no order by attempt_at, event_id) as retries, min(attempt_at) over (partition by {T}, seg_no) + interval 10 day as due from att where outcome <> 'ok')
 select event_id, cast(retries as int) as retries, outcome = 'gone' or attempt_at > due as dropped from f""", "att")
 def _(spark, sf):
     a = rows(spark, sf, "att").where("outcome <> 'ok'")
-    a = a.withColumn("due", F.min("attempt_at").over(timeline.Window.partitionBy("channel_id", "seg_no")) + F.expr("interval 10 days"))
+    a = a.withColumn("due", F.min("attempt_at").over(timeline.Window.partitionBy(*TRACK, "seg_no")) + F.expr("interval 10 days"))
     return metrics.retry_schedule(a, max_retries=0, deadline="due").select("event_id", "retries", "dropped")
 
 
-@query("w6_cdn_rotation", """select event_id, cast(coalesce(sum(case when outcome = 'error' then 1 else 0 end) over (partition by channel_id, seg_no order by attempt_at, event_id rows between unbounded preceding and 1 preceding), 0) % 3 as int) as url_index from att""", "att")
+@query("w6_cdn_rotation", f"""select event_id, cast(coalesce(sum(case when outcome = 'error' then 1 else 0 end) over (partition by {T}, seg_no order by attempt_at, event_id rows between unbounded preceding and 1 preceding), 0) % 3 as int) as url_index from att""", "att")
 def _(spark, sf):
     return metrics.cdn_rotation(rows(spark, sf, "att"), 2).select("event_id", "url_index")
 
@@ -462,13 +468,13 @@ def _(spark, sf):
     return metrics.max_numbers(rows(spark, sf, "seg"))
 
 
-@query("a4_lifetime_ranges", "select channel_id, period_id, rep_id, min(as_id) as as_id, min(seg_no) as first_no, max(seg_no) as last_no, coalesce(string_agg(distinct case when discontinuity then lpad(cast(seg_no as varchar), 3, '0') end, ',' order by case when discontinuity then lpad(cast(seg_no as varchar), 3, '0') end), '') as marks from d group by channel_id, period_id, rep_id", dedup=True)
+@query("a4_lifetime_ranges", "select channel_id, period_id, rep_id, min(as_id) as as_id, min(seg_no) as first_no, max(seg_no) as last_no, coalesce(string_agg(distinct case when discontinuity then lpad(cast(seg_no as varchar), 3, '0') end, ',' order by case when discontinuity then lpad(cast(seg_no as varchar), 3, '0') end), '') as marks from d where status in ('published', 'expired') group by channel_id, period_id, rep_id", dedup=True)
 def _(spark, sf):
     out = metrics.lifetime_ranges(segs(spark, sf))
     return out.withColumn("marks", F.array_join(F.transform("discontinuities", lambda x: F.lpad(x.cast("string"), 3, "0")), ",")).drop("discontinuities")
 
 
-@query("a5_content_duration", "select channel_id, round((max(end_pts) - min(start_pts)) / 90000.0::double, 6) as duration_s from d where end_pts > 0 group by channel_id", dedup=True)
+@query("a5_content_duration", "select channel_id, round((max(end_pts) - min(start_pts)) / 90000.0::double, 6) as duration_s from d where status = 'published' and end_pts > 0 group by channel_id", dedup=True)
 def _(spark, sf):
     return metrics.content_duration(segs(spark, sf)).withColumn("duration_s", F.round("duration_s", 6))
 
@@ -488,8 +494,8 @@ def _(spark, sf):
     return metrics.end_progress(rows(spark, sf, "pol"))
 
 
-@query("a8_progress_counters", """--cte
-k as (select channel_id, seg_no, max(case when outcome = 'ok' then 1 else 0 end) as ok, count(*) filter (outcome <> 'ok') as failed, count(*) filter (outcome = 'gone') as dropped, arg_min(bytes, (attempt_at, event_id)) filter (outcome = 'ok') as bytes from att group by all)
+@query("a8_progress_counters", f"""--cte
+k as (select {T}, seg_no, max(case when outcome = 'ok' then 1 else 0 end) as ok, count(*) filter (outcome <> 'ok') as failed, count(*) filter (outcome = 'gone') as dropped, arg_min(bytes, (attempt_at, event_id)) filter (outcome = 'ok') as bytes from att group by all)
 select channel_id, cast(sum(ok) as bigint) as stored, cast(sum(failed) as bigint) as failed, cast(sum(dropped) as bigint) as dropped, cast(coalesce(sum(bytes), 0) as bigint) as bytes from k group by channel_id""", "att")
 def _(spark, sf):
     return metrics.progress_counters(rows(spark, sf, "att")).select("channel_id", "stored", "failed", "dropped", "bytes")
@@ -519,12 +525,14 @@ def _(spark, sf):
     return metrics.latency_histogram(rows(spark, sf, "att"), bounds=(0.05, 0.1, 0.25)).select("channel_id", "le", "bucket_count", "count")
 
 
-PROGRESS = """pg as (select channel_id, count(distinct case when outcome = 'ok' then seg_no end) as stored, 45::bigint as expected, cast(channel_id as int) % 3 <> 0 as known, cast(channel_id as int) % 7 = 0 as capped, count(*) filter (outcome = 'gone') as dropped, count(*) / 100.0::double as rate from att group by all)"""
+PROGRESS = """pg as (select channel_id, count(distinct case when outcome = 'ok' then (period_id, as_id, rep_id, seg_no) end) as stored, 20::bigint as expected, cast(channel_id as int) % 3 <> 0 as known, cast(channel_id as int) % 7 = 0 as capped, count(*) filter (outcome = 'gone') as dropped, count(*) / 100.0::double as rate from att group by all)"""
 
 
 def _progress(spark, sf) -> DataFrame:
-    p = rows(spark, sf, "att").groupBy("channel_id").agg(F.count_distinct(F.when(F.col("outcome") == "ok", F.col("seg_no"))).alias("stored"), F.count_if(F.col("outcome") == "gone").alias("dropped"), (F.count(F.lit(1)) / F.lit(100.0)).alias("rate"))
-    return p.withColumns({"expected": F.lit(45).cast("bigint"), "known": F.col("channel_id").cast("int") % 3 != 0, "capped": F.col("channel_id").cast("int") % 7 == 0})
+    a = rows(spark, sf, "att")
+    rates = a.groupBy("channel_id").agg((F.count(F.lit(1)) / F.lit(100.0)).alias("rate"))
+    p = metrics.progress_counters(a).join(rates, "channel_id")
+    return p.withColumns({"expected": F.lit(20).cast("bigint"), "known": F.col("channel_id").cast("int") % 3 != 0, "capped": F.col("channel_id").cast("int") % 7 == 0})
 
 
 @query("a11_eta", "--cte\n" + PROGRESS + "\nselect channel_id, case when known and not capped and rate > 0 and expected > stored then round((expected - stored) / rate, 6) end as eta_s from pg", "att")
@@ -589,15 +597,29 @@ def _(spark, sf):
     return discovery.cap_enumeration(segs(spark, sf), 10).select(*TRACK, "seg_no", "truncated")
 
 
-@query("d7_to_fetch", f"""--cte
-st as (select distinct {T}, seg_no from seg where commit_ord % 3 <> 0),
- hw as (select {T}, max(seg_no) as mx from st group by all)
-select d.channel_id, d.period_id, d.as_id, d.rep_id, d.seg_no from d left join hw using ({T}) left join (select *, true as has from st) s using ({T}, seg_no) where s.has is null and (d.seg_no > coalesce(mx, -1) or d.seg_no <= coalesce(mx, -1))""", dedup=True)
-def _(spark, sf):
+#: What was scheduled: of two thirds of the representations up to a number, of the others nothing; a seventh is static.
+_SCHEDULED = f"""st as (select distinct {T}, seg_no from seg where commit_ord % 3 <> 0),
+ mx as (select {T}, max(seg_no) as max_stored from st where seg_no < 40 group by all),
+ ls as (select {T}, case when (cast(channel_id as bigint) + cast(period_id as bigint)) % 3 <> 0 then 15 + cast(channel_id as bigint) % 10 end as last_scheduled from d group by all)"""
+
+
+def _scheduled(spark, sf) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Expected numbers, high-water marks (none for some representations) and stored numbers."""
     s = rows(spark, sf, "seg")
     stored = s.where("commit_ord % 3 <> 0")
-    high = stored.groupBy(*TRACK).agg(F.max("seg_no").alias("last_scheduled"), F.max("seg_no").alias("max_stored"))
-    return discovery.to_fetch(s.select(*TRACK, "seg_no").distinct(), high, stored).select(*TRACK, "seg_no")
+    c, p = F.col("channel_id").cast("bigint"), F.col("period_id").cast("bigint")
+    last = s.select(*TRACK).distinct().withColumn("last_scheduled", F.when((c + p) % 3 != 0, 15 + c % 10))
+    high = last.join(stored.where("seg_no < 40").groupBy(*TRACK).agg(F.max("seg_no").alias("max_stored")), TRACK, "left").where("last_scheduled is not null or max_stored is not null")
+    expected = s.select(*TRACK, "seg_no").distinct().withColumn("presentation", F.when(c % 7 == 0, "static").otherwise("dynamic"))
+    return expected, high, stored
+
+
+@query("d7_to_fetch", f"""--cte
+{_SCHEDULED}
+select {T}, d.seg_no from d left join mx using ({T}) left join ls using ({T})
+ where cast(channel_id as bigint) % 7 = 0 or d.seg_no > coalesce(last_scheduled, -1) or (d.seg_no <= coalesce(max_stored, -1) and ({T}, d.seg_no) not in (select {T}, seg_no from st))""", dedup=True)
+def _(spark, sf):
+    return discovery.to_fetch(*_scheduled(spark, sf)).select(*TRACK, "seg_no")
 
 
 @query("d8_rank_tasks", f"select {T}, seg_no, seg_no - min(seg_no) over (partition by channel_id) as priority, case when seg_no % 2 = 0 then epoch_us(timestamp '2024-01-01 00:00:30') end as deadline_us from d", dedup=True)
@@ -818,7 +840,7 @@ def _(spark, sf):
     return render.render_master(t)
 
 
-@query("r4_manifest_timing", f"select {T}, min(seg_no) as start_number, arg_min(start_pts, seg_no) as pto from d group by {T}", dedup=True)
+@query("r4_manifest_timing", f"select {T}, min(seg_no) as start_number, arg_min(start_pts, seg_no) as pto from d where status = 'published' group by {T}", dedup=True)
 def _(spark, sf):
     d = segs(spark, sf)
     base = d.select(*TRACK, "media_type").distinct().withColumns({"timescale": F.lit(1), "start_number": F.lit(1), "pto": F.lit(0), "timeline": F.lit(None).cast("string")})

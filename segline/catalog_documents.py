@@ -162,7 +162,7 @@ def _(spark, sf):
     return manifest.filter_protection(found.withColumn("wide", F.col("channel_id").endswith("1")), playready=False, widevine="wide").select("channel_id", "as_id", "cp_no")
 
 
-@query("r5_manifests", f"""select {T}, 'static' as presentation, min(seg_no) as start_number, arg_min(start_pts, seg_no) as pto, 90000::bigint as timescale, count(*) as segments, cast(sum(end_pts - start_pts) as bigint) as ticks from d group by {T}""", dedup=True)
+@query("r5_manifests", f"""select {T}, 'static' as presentation, min(seg_no) as start_number, arg_min(start_pts, seg_no) as pto, 90000::bigint as timescale, count(*) as segments, cast(sum(end_pts - start_pts) as bigint) as ticks from d where status = 'published' group by {T}""", dedup=True)
 def _(spark, sf):
     """Manifests are rendered from segments, parsed again and their timelines counted."""
     d = segs(spark, sf)
@@ -176,7 +176,7 @@ def _(spark, sf):
 
 
 @query("r6_local_playlists", """--cte
-c0 as (select * replace (case when key_uri like '%7' and cast(channel_id as bigint) % 3 <> 0 then null else key_uri end as key_uri), cast(period_id as bigint) as po from d),
+c0 as (select * replace (case when key_uri like '%7' and cast(channel_id as bigint) % 3 <> 0 then null else key_uri end as key_uri), cast(period_id as bigint) as po from d where status = 'published'),
  c as (select * from c0 where channel_id not in (select channel_id from c0 where key_uri like '%7')),
  g as (select *, row_number() over w = 1 as head, coalesce(lag(period_id) over w <> period_id, false) as edge, lag(seg_no) over w + 1 <> seg_no as hole, coalesce(key_uri, '') as k, coalesce(lag(key_uri) over w, '') as lk from c window w as (partition by channel_id, rep_id order by po, seg_no)),
  l as (select *, concat_ws(chr(10), case when not head and (edge or hole or discontinuity) then '#EXT-X-DISCONTINUITY' end, case when k <> lk then case when k = '' then '#EXT-X-KEY:METHOD=NONE' else '#EXT-X-KEY:METHOD=AES-128,URI="keys/' || right(k, 1) || '.key",IV=0x' || repeat('41', 16) end end, '#EXTINF:' || printf('%.3f', (end_pts - start_pts) / 90000.0::double) || ',', period_id || '/' || cast(seg_no as varchar) || '.ts') as line from g)
@@ -190,7 +190,7 @@ def _(spark, sf):
     return good.join(bad.select("channel_id").distinct(), "channel_id", "left_anti")
 
 
-@query("r6_local_errors", "select channel_id, rep_id, period_id, seg_no, 'missing key or invalid IV' as error from d where key_uri like '%7'", dedup=True)
+@query("r6_local_errors", "select channel_id, rep_id, period_id, seg_no, 'missing key or invalid IV' as error from d where key_uri like '%7' and status = 'published'", dedup=True)
 def _(spark, sf):
     d = segs(spark, sf).withColumns({"period_ord": F.col("period_id"), "path": F.lit("/d/1.ts"), "init_path": F.lit(None).cast("string"), "iv": F.lit(bytearray(b"A" * 16))})
     files = d.select("key_uri").where("key_uri is not null and key_uri not like '%7'").distinct().withColumn("file", F.lit("k"))

@@ -95,16 +95,15 @@ def enumerate_by_index(reps: DataFrame, sidx: DataFrame, keys=tuple(TRACK)) -> t
 
 
 def to_fetch(expected: DataFrame, high_water: DataFrame, stored: DataFrame, keys=tuple(TRACK), seq="seg_no") -> DataFrame:
-    """Numbers above the last scheduled, or holes: at most the highest stored and not stored.
-    high_water: keys, last_scheduled, max_stored (null: none). A static presentation lists everything not stored."""
-    own = [*keys, seq]
-    rows = expected.join(high_water, list(keys), "left")
-    s = stored.select(*own).distinct().withColumn("_has", F.lit(True))
-    rows = rows.join(s, own, "left").where("_has is null")
-    fresh = F.col(seq) > F.coalesce("last_scheduled", F.lit(-1))
-    hole = F.col(seq) <= F.coalesce("max_stored", F.lit(-1))
+    """Of a dynamic presentation, numbers above the last scheduled, stored or not, and holes: numbers up to the highest
+    stored that are not stored. A static presentation lists everything. high_water: keys, last_scheduled, max_stored
+    (null: none; a representation may be missing). Without a presentation column all are dynamic."""
     static = F.coalesce(F.col("presentation") == "static", F.lit(False)) if "presentation" in expected.columns else F.lit(False)
-    return rows.where(static | fresh | hole).drop("_has", "last_scheduled", "max_stored")
+    rows = expected.join(high_water.select(*keys, F.coalesce("last_scheduled", F.lit(-1)).alias("_last"), F.coalesce("max_stored", F.lit(-1)).alias("_max")), list(keys), "left")
+    wanted = rows.where(static | (F.col(seq) > F.coalesce("_last", F.lit(-1)))).drop("_last", "_max")
+    low = rows.where(~static & (F.col(seq) <= F.coalesce("_last", F.lit(-1))) & (F.col(seq) <= F.coalesce("_max", F.lit(-1)))).drop("_last", "_max")
+    held = stored.select(*keys, seq).distinct()
+    return wanted.unionByName(low.join(held, [*keys, seq], "left_anti"))
 
 
 def rank_tasks(df: DataFrame, channel="channel_id", seq="seg_no", poll_at="poll_at", depth="depth_s", dynamic="dynamic") -> DataFrame:

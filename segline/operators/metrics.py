@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from segline.functions.scalars import clean_message, pts_seconds
 from segline.schema import CHANNEL, PERIOD, SET, TRACK
 
+#: What names a segment that is fetched.
+ATTEMPT = (*TRACK, "seg_no")
 STATUSES = ["pending", "committed", "published", "expired"]
 #: Upper bounds of the write-latency histogram, in seconds.
 LATENCY_BOUNDS = [0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0, 2.5, 5.0, 10.0]
@@ -47,15 +49,17 @@ def max_numbers(segs: DataFrame, keys=tuple(TRACK)) -> DataFrame:
 
 
 def lifetime_ranges(segs: DataFrame, keys=("channel_id", "period_id", "rep_id")) -> DataFrame:
-    """A4: first and last number and discontinuities of everything ever published; a rep id in two sets
-    merges under the lowest set id."""
+    """A4: first and last number and discontinuities of everything ever published, expired or not; what is committed only
+    does not count. A rep id in two sets merges under the lowest set id. Without a status all rows count."""
+    segs = segs.where("status in ('published', 'expired')") if "status" in segs.columns else segs
     marks = F.array_sort(F.collect_set(F.when(F.col("discontinuity"), F.col("seg_no"))))
     return segs.groupBy(*keys).agg(F.min("as_id").alias("as_id"), F.min("seg_no").alias("first_no"), F.max("seg_no").alias("last_no"), marks.alias("discontinuities"))
 
 
 def content_duration(segs: DataFrame, declared: DataFrame | None = None) -> DataFrame:
-    """A5: per timescale (latest end - earliest start) / timescale, the longest of a channel; rows without
+    """A5, of published segments (of all, without a status): per timescale (latest end - earliest start) / timescale, the longest of a channel; rows without
     timescale or end do not count; the declared duration stands where nothing else does."""
+    segs = segs.where("status = 'published'") if "status" in segs.columns else segs
     spans = segs.where("timescale > 0 and end_pts > 0").groupBy("channel_id", "timescale").agg(((F.max("end_pts") - F.min("start_pts")) / F.col("timescale")).alias("_s"))
     out = spans.groupBy("channel_id").agg(F.max("_s").alias("duration_s"))
     if declared is None:
@@ -89,14 +93,15 @@ def upstream_type(manifests: DataFrame) -> DataFrame:
     return manifests.groupBy("channel_id").agg(F.max_by("type", "fetched_at").alias("upstream_type"))
 
 
-def progress_counters(attempts: DataFrame, order=("attempt_at", "event_id")) -> DataFrame:
-    """Stored (a number counts once), failed attempts, dropped, bytes of what counted, first and last time."""
+def progress_counters(attempts: DataFrame, keys=ATTEMPT, order=("attempt_at", "event_id")) -> DataFrame:
+    """A8 of each channel: stored (a segment, that is a number of a representation, counts once), failed attempts, dropped,
+    bytes of what counted, first and last time. keys: what names a segment, the channel first."""
     ok = F.col("outcome") == "ok"
-    per = attempts.groupBy("channel_id", "seg_no").agg(
+    per = attempts.groupBy(*keys).agg(
         F.bool_or(ok).cast("int").alias("stored"), F.count_if(~ok).alias("failed"), F.count_if(F.col("outcome") == "gone").alias("dropped"),
         F.min_by(F.when(ok, F.col("bytes")), F.when(ok, F.struct(*order))).alias("bytes"), F.min("attempt_at").alias("first_at"), F.max("attempt_at").alias("last_at"),
     )
-    return per.groupBy("channel_id").agg(F.sum("stored").alias("stored"), F.sum("failed").alias("failed"), F.sum("dropped").alias("dropped"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"), F.min("first_at").alias("first_at"), F.max("last_at").alias("last_at"))
+    return per.groupBy(keys[0]).agg(F.sum("stored").alias("stored"), F.sum("failed").alias("failed"), F.sum("dropped").alias("dropped"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"), F.min("first_at").alias("first_at"), F.max("last_at").alias("last_at"))
 
 
 def error_state(attempts: DataFrame, polls: DataFrame) -> DataFrame:
@@ -161,7 +166,7 @@ def throughput(attempts: DataFrame, window_s: float = 30, at="attempt_at", units
     return out.where("_cut = _own").drop("_us", "_own", "_cut", "_span")
 
 
-def retry_schedule(attempts: DataFrame, max_retries: int = 5, keys=("channel_id", "seg_no"), order=("attempt_at", "event_id"), base: Column | None = None, deadline: str | None = None) -> DataFrame:
+def retry_schedule(attempts: DataFrame, max_retries: int = 5, keys=ATTEMPT, order=("attempt_at", "event_id"), base: Column | None = None, deadline: str | None = None) -> DataFrame:
     """Retries so far, wait = base * 2^(retries - 1) and when it ends; dropped past max_retries (0: no
     limit) or if the deadline has passed at the attempt. Failed rows only; base defaults to 2 s for fetches and 1 s for writes."""
     w = Window.partitionBy(*keys).orderBy(*order)
@@ -174,7 +179,7 @@ def retry_schedule(attempts: DataFrame, max_retries: int = 5, keys=("channel_id"
     return rows.withColumn("dropped", late | past | gone)
 
 
-def cdn_rotation(attempts: DataFrame, fallbacks: Column | int = 2, keys=("channel_id", "seg_no"), order=("attempt_at", "event_id")) -> DataFrame:
+def cdn_rotation(attempts: DataFrame, fallbacks: Column | int = 2, keys=ATTEMPT, order=("attempt_at", "event_id")) -> DataFrame:
     """url_index each attempt used: fetch failures before it (425 and write errors do not count), modulo
     the number of URLs."""
     n = F.lit(fallbacks) if isinstance(fallbacks, int) else fallbacks

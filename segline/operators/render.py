@@ -90,7 +90,9 @@ def render_master(tracks: DataFrame, base: str = "") -> DataFrame:
 
 def manifest_timing(rows: DataFrame, segs: DataFrame) -> DataFrame:
     """Timing of each representation with published segments: template paths, start number, offset (first
-    start) and run-length timeline. A set without any such representation thereby has no row."""
+    start) and run-length timeline. A set without any such representation thereby has no row. Without a status all
+    segments count as published."""
+    segs = segs.where("status = 'published'") if "status" in segs.columns else segs
     facts = segs.groupBy(*TRACK).agg(F.min("seg_no").alias("start_number"), F.min_by("start_pts", "seg_no").alias("pto"), F.min_by("timescale", "seg_no").alias("timescale"))
     runs = rle_timeline(segs).groupBy(*TRACK).agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "t", "d", "r"))), lambda x: F.struct(x["t"].alias("t"), x["d"].alias("d"), x["r"].alias("r"))).alias("timeline"))
     out = rows.drop("timescale", "start_number", "pto", "timeline").join(facts, TRACK).join(runs, TRACK)
@@ -131,7 +133,8 @@ def render_manifests(timing: DataFrame, periods: DataFrame, channels: DataFrame)
 def render_local(segs: DataFrame, root: str | Column, key_files: DataFrame | None = None, keys=("channel_id", "rep_id")) -> tuple[DataFrame, DataFrame]:
     """(documents, errors): file-relative playlists of all published segments, holes kept, 3 decimals.
     key_files: key_uri, file. A missing key file, an IV that is not 16 bytes or a path outside root is an
-    error row, and its playlist is not written."""
+    error row, and its playlist is not written. Without a status all segments count as published."""
+    segs = segs.where("status = 'published'") if "status" in segs.columns else segs
     root = F.lit(root) if isinstance(root, str) else root
     rows = segs if key_files is None else segs.join(key_files, "key_uri", "left")
     file = F.col("file") if key_files is not None else F.lit(None).cast("string")

@@ -17,7 +17,8 @@ SEG = """select cast(l_suppkey as string) as channel_id, cast(year(l_shipdate) a
   case when l_tax>0.04 then 'https://keys.example/' || cast(l_partkey % 10 as string) end as key_uri
 from lineitem"""
 
-ATT = """select cast(user_id as string) as channel_id, event_id % 50 as seg_no, event_id, ts as attempt_at,
+ATT = """select cast(user_id as string) as channel_id, cast(event_id % 3 as string) as period_id, case when event_id % 2 = 0 then '0' else '1' end as as_id,
+  case when event_id % 2 = 0 then 'v' else 'a' end as rep_id, event_id % 5 as seg_no, event_id, ts as attempt_at,
   case event_type when 'click' then 'ok' when 'view' then 'ok' when 'error' then 'error' when 'signup' then 'write_error' else 'gone' end as outcome,
   case event_type when 'error' then 500 when 'signup' then 200 when 'purchase' then 410 else 200 end as http_status,
   cast(floor(value*1000) as bigint) as bytes, value/1000 as duration_s

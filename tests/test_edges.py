@@ -40,7 +40,7 @@ def test_nothing_expires_without_depth(spark):
 def test_a_deadline_drops_only_once_it_has_passed(spark):
     rows = [("c", 1, i, T0 + timedelta(seconds=10 * i), "error", 500, T0 + timedelta(seconds=11)) for i in range(3)]
     df = spark.createDataFrame(rows, "channel_id string, seg_no bigint, event_id bigint, attempt_at timestamp, outcome string, http_status int, due timestamp")
-    got = metrics.retry_schedule(df, deadline="due").orderBy("event_id").collect()
+    got = metrics.retry_schedule(df, keys=("channel_id", "seg_no"), deadline="due").orderBy("event_id").collect()
     assert [r["dropped"] for r in got] == [False, False, True]  # the second one's next try is late, the attempt is not
 
 

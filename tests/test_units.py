@@ -15,6 +15,9 @@ from segline.operators import discovery, manifest, metrics, playlist, publish, r
 from segline.sources import segment_store, store
 
 
+T = datetime(2024, 1, 1)
+
+
 def rows(df, *cols):
     return [tuple(r) for r in (df.select(*cols) if cols else df).collect()]
 
@@ -374,3 +377,28 @@ def test_store_scan_sidecars_and_sinks(spark, tmp_path):
     (tmp_path / "polls").mkdir()
     (tmp_path / "polls/1.json").write_text('{"channel_id":"c","rep_id":"v","media_sequence":4}\n{"chan')
     assert rows(store.read_snapshots(spark, str(tmp_path / "polls"), "polls"), "channel_id", "media_sequence") == [("c", 4)]
+
+
+def test_what_to_fetch(spark):
+    key = "channel_id string, period_id string, as_id string, rep_id string"
+    rep = lambda r: ("c", "p", "0", r)
+    expected = spark.createDataFrame([(*rep(r), n, kind) for r, kind in (("live", "dynamic"), ("vod", "static"), ("new", "dynamic")) for n in range(1, 11)], key + ", seg_no bigint, presentation string")
+    high = spark.createDataFrame([(*rep("live"), 6, 8), (*rep("vod"), 10, 5)], key + ", last_scheduled bigint, max_stored bigint")
+    stored = spark.createDataFrame([(*rep("live"), n) for n in (1, 2, 4, 8)] + [(*rep("vod"), n) for n in range(1, 6)] * 2, key + ", seg_no bigint")
+    got = {}
+    for r, n in rows(discovery.to_fetch(expected, high, stored), "rep_id", "seg_no"):
+        got.setdefault(r, []).append(n)
+    assert {r: sorted(x) for r, x in got.items()} == {"live": [3, 5, 6, 7, 8, 9, 10], "vod": list(range(1, 11)), "new": list(range(1, 11))}
+
+
+def test_a_number_counts_once_for_each_representation(spark):
+    attempts = [("c", "p", a, r, n, T, "ok", 100, i) for i, (a, r, n) in enumerate((a, r, n) for a, r in (("0", "v"), ("1", "a")) for n in range(5))]
+    attempts += [("c", "p", "0", "v", 0, T + timedelta(1), "ok", 999, 20), ("c", "p", "0", "v", 7, T, "gone", None, 21), ("c", "p", "0", "v", 7, T, "error", None, 22)]
+    df = spark.createDataFrame(attempts, "channel_id string, period_id string, as_id string, rep_id string, seg_no bigint, attempt_at timestamp, outcome string, bytes bigint, event_id bigint")
+    assert rows(metrics.progress_counters(df), "channel_id", "stored", "failed", "dropped", "bytes") == [("c", 10, 2, 1, 1000)]
+
+
+def test_lifetime_is_of_what_was_published(spark):
+    df = spark.createDataFrame([("c", "p", "1", "v", n, s, n == 2) for n, s in ((1, "expired"), (2, "published"), (9, "committed"), (12, "pending"))], "channel_id string, period_id string, as_id string, rep_id string, seg_no bigint, status string, discontinuity boolean")
+    assert rows(metrics.lifetime_ranges(df), "first_no", "last_no", "discontinuities") == [(1, 2, [2])]
+    assert rows(metrics.lifetime_ranges(df.drop("status")), "first_no", "last_no") == [(1, 12)]
