@@ -23,28 +23,34 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.unionByName(least.select("u", F.col("m").alias("v")))
 
 
+def star_rounds(edges: DataFrame, ws: Workspace, most: int) -> tuple[DataFrame, bool]:
+    """Edges (u > v) after so many rounds at most, each node's smallest among them, and whether the last one changed nothing.
+    They join what the given edges join. Each round is written to the shared folder; the driver sees only two numbers
+    of it, which come with the writing."""
+
+    def saved(df: DataFrame):
+        out, seen = ws.measured(df.distinct(), "edges", x=F.bit_xor(F.xxhash64("u", "v")))
+        return out, (seen["n"], seen["x"])
+
+    now, mark = saved(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")))
+    same = mark[0] == 0
+    for _ in range(most):
+        if same:
+            break
+        after, after_mark = saved(_small_star(_large_star(now)))
+        ws.drop(now)
+        now, same, mark = after, after_mark == mark, after_mark
+    return now, same
+
+
 def components(edges: DataFrame, ws: Workspace, max_rounds: int = 60) -> DataFrame:
     """(u, v) undirected edges of longs -> (node, root) for every node with an edge, root the smallest reachable.
 
     Self-loops, repeated edges and rows with a null end add nothing; an empty table gives an empty one.
     Stops when a round leaves the edges as they were: then every node hangs on its root.
-    Each round is written to the shared folder; the driver sees only two numbers of it.
     """
-    def saved(df: DataFrame, name: str):
-        out = ws.save(df.distinct(), name)
-        mark = out.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")).first()
-        return out, (mark["n"], mark["x"])
-
-    now, mark = saved(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), "edges")
-    for _ in range(max_rounds):
-        if mark[0] == 0:
-            break
-        after, after_mark = saved(_small_star(_large_star(now)), "edges")
-        ws.drop(now)
-        now, same, mark = after, after_mark == mark, after_mark
-        if same:
-            break
-    else:
+    now, same = star_rounds(edges, ws, max_rounds)
+    if not same:
         raise RuntimeError(f"components: no fixed point after {max_rounds} rounds")
     roots = now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)

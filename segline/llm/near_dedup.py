@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .components import components
+from .components import components, star_rounds
 from .storage import Workspace
 
 HASHES, ROWS, WIDTH = 128, 4, 2  # a kept minimum's bytes: its low 16 bits tell unequal ones apart but for 1 in 65536
@@ -19,6 +19,8 @@ HASHES, ROWS, WIDTH = 128, 4, 2  # a kept minimum's bytes: its low 16 bits tell
 BLOCK_ODD, BLOCK_TOKENS, BLOCK_ALL = 4096, 1 << 20, 4096
 #: Ids that a semi-join may broadcast (8 MB); more of them are joined by a shuffle.
 FEW = 1_000_000
+#: Standard deviations of a signature's share by which a pair may fall short.
+SLACK = 7
 BANDS = HASHES // ROWS
 _rng = np.random.default_rng(20240607)
 _MUL = (_rng.integers(0, 1 << 31, HASHES, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
@@ -161,10 +163,25 @@ def _linked_blocks(blocks: DataFrame, num: int, den: int) -> DataFrame:
     return blocks.repartition(*block).sortWithinPartitions(*block, "side").select(*block, "side", "node", "root", "items").mapInArrow(run, "u long, v long")
 
 
-def _having(df: DataFrame, column: str, ids: DataFrame) -> DataFrame:
-    """Rows of df whose column is in ids (node, written and distinct): by broadcast if ids are few, else by a shuffle."""
+def _having(df: DataFrame, column: str, ids: DataFrame, most: int) -> DataFrame:
+    """Rows of df whose column is in ids (node, distinct, `most` at most): by broadcast if that is few, else by a shuffle."""
     named = ids.select(F.col("node").alias(column))
-    return df.join(F.broadcast(named) if ids.count() <= FEW else named, column, "left_semi")
+    return df.join(F.broadcast(named) if most <= FEW else named, column, "left_semi")
+
+
+def _blocks(spread: DataFrame, most: int, sets: DataFrame, num: int, den: int, ws: Workspace) -> DataFrame:
+    """Rows (key, step, mb, xb, side, node, root, items) of the blocks of spread's buckets, see _linked_blocks()."""
+    # a linked pair's sizes differ by one step at most
+    step = F.floor(F.log(F.col("n").cast("double")) / float(np.log(1.001 * den / num))).cast("int")
+    dealt = spread.join(_having(sets, "node", spread.select("node").distinct(), most), "node").withColumn("n", F.octet_length("items") / 8).withColumn("step", step)
+    unlike = dealt.where("root <> main").withColumn("step", F.explode(F.array(*(F.col("step") + i for i in (-1, 0, 1)))))
+    odd = unlike.groupBy("key", "step").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK_ODD, F.sum("n") / BLOCK_TOKENS)).cast("int").alias("xbs"))
+    counts = ws.save(dealt.groupBy("key", "step").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ALL).cast("int").alias("mbs")).join(odd, ["key", "step"]), "blocks")
+    lot = lambda c: F.pmod(F.xxhash64("node", F.lit(c)), F.col(c)).cast("int")
+    all_of = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    near = lambda side: side.join(counts, ["key", "step"])
+    one = near(unlike).withColumn("xb", lot("xbs")).withColumn("mb", all_of("mbs")).withColumn("side", F.lit(0))
+    return one.unionByName(near(dealt).withColumn("mb", lot("mbs")).withColumn("xb", all_of("xbs")).withColumn("side", F.lit(1)))
 
 
 def _linked(pairs: DataFrame, num: int, den: int) -> DataFrame:
@@ -195,30 +212,31 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, similarity_percent: int
     2. Bands of ROWS minima give buckets. At 0.8 a linked pair shares none with probability 5e-8.
        A bucket pairs one node, drawn anew for each band, with each other node: linear in the bucket, and a
        node of a large group meets up to BANDS different ones.
-    3. A pair whose signatures agree by 5 standard deviations less than asked is dropped. Of the others,
-       each node's likeliest pair is confirmed first, on full sets; then those that still join different
-       components. A set is made anew for the nodes in shared buckets only.
+    3. A pair whose signatures agree by SLACK standard deviations less than asked is dropped, as a linked pair does
+       with probability 4e-11 at 0.8. Of the others, each node's likeliest pair is confirmed first, on full sets; then
+       those that two rounds of large-star and small-star over these links have not joined. A set is made anew for the
+       nodes in shared buckets only.
     4. Components by large-star and small-star. In a bucket that still spans several components, the nodes
        outside the drawn one's component (no drawn partner was like them) are compared with the bucket on
        full sets: this is the exact way for the rest. A node meets only those whose set size allows a link
        (steps of size by the similarity, its own and the two beside it), in blocks of BLOCK_TOKENS tokens of
        unlike nodes and BLOCK_ALL others. Blocks are tasks' inner loops; only links leave them, and a large
-       bucket is many blocks, so its sets are shipped once for every few thousand nodes they meet.
+       bucket is many blocks, so its sets are shipped once for every few thousand nodes they meet. Components are
+       made again only if this finds links.
 
     Null or blank texts: set size 0, linked with nothing. A null doc_id: component_id null, kept true,
     linked with nothing. Rows that share a doc_id are one node: they reach one another. Repeated rows,
     extra columns and empty tables need no care.
     """
-    spark = docs.sparkSession
-    ws = Workspace(spark, "near")
+    ws = Workspace(docs.sparkSession, "near")
     num, den = similarity_percent, 100
     p = num / den
-    floor = p - 5 * (p * (1 - p) / HASHES) ** 0.5
+    floor = p - SLACK * (p * (1 - p) / HASHES) ** 0.5
     sketch = ws.save(_sketch(docs, words), "sketch")
     named = sketch.where("doc_id is not null and n > 0")
-    classes = ws.save(named.groupBy("same").agg(F.min("doc_id").alias("node")), "classes")
-    heads = ws.save(named.join(classes, "same").where("doc_id = node").select("node", "n", "same", "sig").distinct(), "heads")
-    member = named.select("doc_id", "same").distinct().join(classes, "same").select("doc_id", "node")
+    least = named.groupBy("same").agg(F.min("doc_id").alias("doc_id"))
+    heads = ws.save(named.join(least, ["same", "doc_id"]).select(F.col("doc_id").alias("node"), "n", "same", "sig").distinct(), "heads")
+    classes = heads.select("same", "node")
 
     size = WIDTH * ROWS
     band = F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))).alias("i")
@@ -226,22 +244,22 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, similarity_percent: int
     drawn = F.min(F.struct(F.xxhash64("key", "node").alias("h"), "node"))
     full = buckets.groupBy("key").agg(drawn["node"].alias("pivot"), F.min("node").alias("lo"), F.max("node").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo < hi")
     in_full = ws.save(buckets.join(full.select("key", "pivot", "size"), "key").select("key", "node", "pivot", "size"), "buckets")
-    shared = ws.save(in_full.select("node").distinct(), "shared")
-    sets = ws.save(_sets(_having(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "doc_id", shared), words).distinct(), "sets")
-    sigs = ws.save(_having(heads.select("node", "sig"), "node", shared), "sigs")
+    shared, many = ws.measured(in_full.select("node").distinct(), "shared")
+    sets = ws.save(_sets(_having(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "doc_id", shared, many["n"]), words).distinct(), "sets")
 
     def likely(pairs: DataFrame) -> DataFrame:
+        sigs = _having(heads.select("node", "sig"), "node", shared, many["n"])
         sig = lambda end: sigs.select(F.col("node").alias(end), F.col("sig").alias(f"sig_{end}"))
-        return ws.save(_alike(pairs.join(sig("b"), "b").join(sig("a"), "a"), floor).groupBy("a", "b").agg(F.max("near").alias("near")), "likely")
+        return ws.save(_alike(pairs.join(sig("b"), "b").join(sig("a"), "a"), floor), "likely")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
-        pairs = ws.save(pairs.select("a", "b").distinct(), "pairs")
-        ends = ws.save(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "ends")
-        held = _having(sets, "node", ends)
+        pairs, n = ws.measured(pairs.select("a", "b").distinct(), "pairs")
+        if not n["n"]:
+            return pairs.select(F.col("a").alias("u"), F.col("b").alias("v"))
+        held = _having(sets, "node", pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), 2 * n["n"])
         items = lambda end: held.select(F.col("node").alias(end), F.col("items").alias(f"items_{end}"))
-        found = ws.save(_linked(pairs.join(items("b"), "b").join(items("a"), "a"), num, den).distinct().select(F.col("a").alias("u"), F.col("b").alias("v")), "links")
-        ws.drop(pairs, ends)
-        return found
+        found = _linked(pairs.join(items("b"), "b").join(items("a"), "a"), num, den)
+        return ws.save(found.select(F.col("a").alias("u"), F.col("b").alias("v")), "links")
 
     def rooted(pairs: DataFrame, roots: DataFrame) -> DataFrame:
         """Pairs whose ends have different roots."""
@@ -253,28 +271,22 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, similarity_percent: int
     both = alike.select(F.explode(F.array("a", "b")).alias("node"), F.struct("near", "a", "b").alias("p"))
     best = both.groupBy("node").agg(F.max("p").alias("p")).select("p.a", "p.b")
     # rows that share a doc_id but not a text hold together
-    reused = member.groupBy("doc_id").agg(F.min("node").alias("v"), F.max("node").alias("last")).where("v < last")
-    again = member.join(reused.select("doc_id", "v"), "doc_id").where("node <> v").select(F.col("node").alias("u"), "v")
-    roots = components(confirmed(best).unionByName(again), ws)
-    edges = roots.select(F.col("node").alias("u"), F.col("root").alias("v"))
-    roots = components(edges.unionByName(confirmed(rooted(alike, roots))), ws)
+    mark = F.xxhash64("same")
+    reused = named.groupBy("doc_id").agg(F.min(mark).alias("lo"), F.max(mark).alias("hi")).where("lo < hi").select("doc_id")
+    member = named.select("doc_id", "same").join(reused, "doc_id").distinct().join(classes, "same").select("doc_id", "node")
+    again = member.join(member.groupBy("doc_id").agg(F.min("node").alias("v")), "doc_id").where("node <> v").select(F.col("node").alias("u"), "v")
+    links, _ = star_rounds(confirmed(best).unionByName(again), ws, 2)
+    reached = links.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root"))
+    links = links.unionByName(confirmed(rooted(alike, reached).join(best, ["a", "b"], "left_anti")))
+    roots = ws.save(components(links, ws), "roots")
 
     sized = in_full.where("size > 2").join(roots, "node", "left").select("key", "node", "pivot", F.coalesce("root", "node").alias("root"))
     mixed = sized.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.max(F.when(F.col("node") == F.col("pivot"), F.col("root"))).alias("main")).where("lo < hi")
-    spread = ws.save(sized.join(mixed.select("key", "main"), "key").where("node <> pivot").select("key", "node", "root", "main"), "spread")
-    # a linked pair's sizes differ by one step at most
-    step = F.floor(F.log(F.col("n").cast("double")) / float(np.log(1.001 * den / num))).cast("int")
-    dealt = spread.join(_having(sets, "node", ws.save(spread.select("node").distinct(), "members")), "node").withColumn("n", F.octet_length("items") / 8).withColumn("step", step)
-    unlike = dealt.where("root <> main").withColumn("step", F.explode(F.array(*(F.col("step") + i for i in (-1, 0, 1)))))
-    odd = unlike.groupBy("key", "step").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK_ODD, F.sum("n") / BLOCK_TOKENS)).cast("int").alias("xbs"))
-    counts = ws.save(dealt.groupBy("key", "step").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ALL).cast("int").alias("mbs")).join(odd, ["key", "step"]), "blocks")
-    lot = lambda c: F.pmod(F.xxhash64("node", F.lit(c)), F.col(c)).cast("int")
-    all_of = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
-    near = lambda side: side.join(counts, ["key", "step"])
-    blocks = near(unlike).withColumn("xb", lot("xbs")).withColumn("mb", all_of("mbs")).withColumn("side", F.lit(0)).unionByName(near(dealt).withColumn("mb", lot("mbs")).withColumn("xb", all_of("xbs")).withColumn("side", F.lit(1)))
-    more = ws.save(_linked_blocks(blocks, num, den).distinct(), "links")
-    edges = roots.select(F.col("node").alias("u"), F.col("root").alias("v"))
-    roots = components(edges.unionByName(more), ws)
+    spread, far = ws.measured(sized.join(mixed.select("key", "main"), "key").where("node <> pivot").select("key", "node", "root", "main"), "spread")
+    if far["n"]:
+        more, found = ws.measured(_linked_blocks(_blocks(spread, far["n"], sets, num, den, ws), num, den).distinct(), "links")
+        if found["n"]:
+            roots = components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more), ws)
 
     return (
         sketch.select("doc_id", "n", "same")

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 from segline.session import on_workers
 
@@ -27,13 +27,6 @@ def shared_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
-def release(spark: SparkSession) -> None:
-    """Let go of finished plans: Python's references to them go in cycles, and only the JVM's own collection makes
-    Spark's cleaner drop their broadcasts, shuffles and generated classes. Drivers live through many operators."""
-    gc.collect()
-    spark._jvm.System.gc()
-
-
 class Workspace:
     """Written tables cut lineage: a lost executor costs its own tasks, never an earlier stage.
 
@@ -43,18 +36,22 @@ class Workspace:
 
     def __init__(self, spark: SparkSession, name: str):
         on_workers(spark)
-        release(spark)
         self.spark = spark
         self.path = f"{shared_root(spark)}/segline-{name}-{uuid.uuid4().hex}"
         self._n = 0
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
+        return self.measured(df, name)[0]
+
+    def measured(self, df: DataFrame, name: str, **marks: Column) -> tuple[DataFrame, dict]:
+        """The written table and, of its rows, their number n and other aggregates, taken while it is written."""
         self._n += 1
         path = f"{self.path}/{self._n:03d}-{name}"
-        df.write.option("compression", "zstd").parquet(path)
+        seen = Observation()
+        df.observe(seen, F.count(F.lit(1)).alias("n"), *(c.alias(k) for k, c in marks.items())).write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._segline_path = path
-        return out
+        return out, seen.get
 
     def drop(self, *tables: DataFrame) -> None:
         for table in tables:
