@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import struct
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from zlib import crc32
 
 import numpy as np
@@ -13,6 +15,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from segline.sources.segment_store import opened
+
 from .arrow import batches_of, rows
 from .storage import Workspace
 from .vocab import encoder
@@ -57,25 +61,48 @@ def write_image(doc_ids: list[int | None], lengths: list[int], ids: np.ndarray,
 
 
 class Image:
-    """A file's reader; blocks are decoded when asked for."""
+    """A file's reader by ranges: the head and the index are read when it is made, a block when it is asked for.
+
+    read(at, n) gives n bytes at a place of a file of so many bytes; `total` counts what was read.
+    """
 
-    def __init__(self, data: bytes):
-        magic, self.block, self.bits, self.n_ids, n_docs, place = _HEAD.unpack_from(data)
+    def __init__(self, read: Callable[[int, int], bytes], size: int):
+        self._read, self.total = read, 0
+        magic, self.block, self.bits, self.n_ids, n_docs, place = _HEAD.unpack(self._bytes(0, _HEAD.size))
         if magic != MAGIC:
             raise ValueError("not a token-id file")
-        self.data, self.per = data, 32 // self.bits
-        blocks = -(-self.n_ids // self.block)
-        index = zstandard.ZstdDecompressor().decompress(data[place:])
-        at = 4 * blocks * self.per
-        self.sizes = np.frombuffer(index, "<u4", blocks * self.per)
+        self.per = 32 // self.bits
+        self.blocks = -(-self.n_ids // self.block)
+        index = zstandard.ZstdDecompressor().decompress(self._bytes(place, size - place))
+        at = 4 * self.blocks * self.per
+        self.sizes = np.frombuffer(index, "<u4", self.blocks * self.per)
         self.places = _HEAD.size + np.concatenate(([0], np.cumsum(self.sizes, dtype=np.int64)))
         ids, named = np.frombuffer(index, "<i8", n_docs, at), np.frombuffer(index, np.uint8, n_docs, at + 8 * n_docs)
         self.doc_ids = [int(d) if ok else None for d, ok in zip(ids, named, strict=True)]
         self.lengths = np.frombuffer(index, "<u4", n_docs, at + 9 * n_docs)
 
+    @classmethod
+    def of(cls, data: bytes) -> Image:
+        return cls(lambda at, n: data[at : at + n], len(data))
+
+    @classmethod
+    @contextmanager
+    def at(cls, address: str) -> Iterator[Image]:
+        files, path = opened(address)
+        with files.open_input_file(path) as source:
+            yield cls(lambda at, n: source.read_at(n, at), source.size())
+
+    def _bytes(self, at: int, n: int) -> bytes:
+        self.total += n
+        return self._read(int(at), int(n))
+
     def read_block(self, k: int) -> np.ndarray:
+        """One block's ids; its planes lie side by side and are one read."""
         undo = zstandard.ZstdDecompressor().decompress
-        planes = [undo(self.data[self.places[p] : self.places[p + 1]]) for p in range(k * self.per, (k + 1) * self.per)]
+        first = self.places[k * self.per]
+        body = self._bytes(first, self.places[(k + 1) * self.per] - first)
+        ends = self.places[k * self.per : (k + 1) * self.per + 1] - first
+        planes = [undo(body[a:b]) for a, b in zip(ends, ends[1:], strict=False)]
         return _from_planes(planes, min(self.block, self.n_ids - k * self.block), self.bits)
 
     def read(self, start: int, stop: int) -> np.ndarray:
@@ -87,25 +114,41 @@ class Image:
         return found[start - a * self.block : stop - a * self.block]
 
     def documents(self) -> Iterator[tuple[int | None, int, np.ndarray]]:
-        """doc_id, place in the file, ids; one block after another, so memory holds the ids once."""
-        ids, at = self.read(0, self.n_ids), 0
+        """doc_id, place in the file, ids; one block after another: memory holds a document and a block."""
+        at, k, held = 0, 0, np.empty(0, "<u4")
         for doc, n in zip(self.doc_ids, self.lengths.tolist(), strict=True):
-            yield doc, at, ids[at : at + n]
-            at += n
+            more = [held]
+            have = len(held)
+            while have < n:
+                more.append(self.read_block(k))
+                have, k = have + len(more[-1]), k + 1
+            held = np.concatenate(more) if len(more) > 1 else held
+            yield doc, at, held[:n]
+            held, at = held[n:], at + n
 
 
-def write_token_files(docs: DataFrame, path: str, *, end_id: int = 1, bits: int = 8) -> DataFrame:
-    """Files of all documents' ids in ascending doc_id order: part, seq, n_ids, n_docs, image (binary).
+def write_token_files(docs: DataFrame, path: str, folder: str, *, end_id: int = 1, bits: int = 8) -> DataFrame:
+    """Files in folder of all documents' ids in ascending doc_id order: part, seq, n_ids, n_docs, file (its address).
 
     Texts are dealt by ranges of doc_id and sorted in each range, then encoded and written in that order in
     one task each; a range gives files of about FILE_IDS ids, so neither a task nor a file gathers more.
-    (part, seq) is the files' order. Equal doc_ids are dealt apart by a row number, null ones come first.
+    (part, seq) is the files' order. Equal doc_ids are dealt apart by a row number, null ones come first. A task that
+    is tried again writes files of other names; those that a row of the result names are the ones that count, so the
+    result must be written before it is read twice. Extra columns are ignored.
     """
-    schema = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("n_ids", pa.int64()), ("n_docs", pa.int64()), ("image", pa.binary())])
+    schema = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("n_ids", pa.int64()), ("n_docs", pa.int64()), ("file", pa.string())])
 
     def run(batches):
         units, end, part = encoder(path, False), end_id.to_bytes(4, "little"), TaskContext.get().partitionId()
 
+        def stored(seq, names, lengths, held):
+            files, root = opened(folder)
+            files.create_dir(root, recursive=True)
+            name = f"{part:06d}-{seq:06d}-{uuid.uuid4().hex}.ids"
+            with files.open_output_stream(f"{root}/{name}") as out:
+                out.write(write_image(names, lengths, np.frombuffer(b"".join(held), "<u4"), bits))
+            return f"{folder}/{name}"
+
         def found():
             seq, held, names, lengths, total = 0, [], [], [], 0
             for doc, text, _ in rows(batches):
@@ -115,15 +158,15 @@ def write_token_files(docs: DataFrame, path: str, *, end_id: int = 1, bits: int
                 lengths.append(len(ids) // 4)
                 total += lengths[-1]
                 if total >= FILE_IDS:
-                    yield part, seq, total, len(names), write_image(names, lengths, np.frombuffer(b"".join(held), "<u4"), bits)
+                    yield part, seq, total, len(names), stored(seq, names, lengths, held)
                     seq, held, names, lengths, total = seq + 1, [], [], [], 0
             if names:
-                yield part, seq, total, len(names), write_image(names, lengths, np.frombuffer(b"".join(held), "<u4"), bits)
+                yield part, seq, total, len(names), stored(seq, names, lengths, held)
 
         return batches_of(found(), schema, 1)
 
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.monotonically_increasing_id().alias("row")).repartitionByRange("doc_id", "row").sortWithinPartitions("doc_id", "row")
-    return ordered.mapInArrow(run, "part int, seq int, n_ids long, n_docs long, image binary")
+    return ordered.mapInArrow(run, "part int, seq int, n_ids long, n_docs long, file string")
 
 
 def read_token_files(files: DataFrame) -> DataFrame:
@@ -134,9 +177,16 @@ def read_token_files(files: DataFrame) -> DataFrame:
     schema = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("doc_id", pa.int64()), ("at", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
 
     def run(batches):
-        return batches_of(((part, seq, doc, at, len(ids), crc32(ids.tobytes())) for part, seq, image in rows(batches) for doc, at, ids in Image(image).documents()), schema)
+        def found():
+            for part, seq, file in rows(batches):
+                with Image.at(file) as image:
+                    for doc, at, ids in image.documents():
+                        yield part, seq, doc, at, len(ids), crc32(ids.tobytes())
+
+        return batches_of(found(), schema)
 
-    found = files.select("part", "seq", "image").mapInArrow(run, "part int, seq int, doc_id long, at long, n_tokens long, ids_crc32 long")
+    tasks = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # rows are small: by their bytes all would be one task
+    found = files.select("part", "seq", "file").repartition(tasks, "part", "seq").mapInArrow(run, "part int, seq int, doc_id long, at long, n_tokens long, ids_crc32 long")
     parts = files.groupBy("part").agg(F.sum("n_ids").alias("n"))
     earlier_parts = parts.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("p"))
     earlier_files = files.select("part", "seq", F.coalesce(F.sum("n_ids").over(Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("f"))
@@ -145,6 +195,10 @@ def read_token_files(files: DataFrame) -> DataFrame:
 
 
 def tokens_on_disk(docs: DataFrame, path: str, *, end_id: int = 1) -> DataFrame:
-    """Write every row of docs as token-id files in the shared folder and read them back, see read_token_files."""
+    """doc_id, start, n_tokens, ids_crc32: every row of docs written to token-id files in the shared folder and read back.
+
+    Null and empty texts are the end id alone; repeated and null doc_ids stay rows of their own; extra columns are
+    ignored; an empty table gives an empty one.
+    """
     ws = Workspace(docs.sparkSession, "tokens")
-    return read_token_files(ws.save(write_token_files(docs, path, end_id=end_id), "files"))
+    return read_token_files(ws.save(write_token_files(docs, path, f"{ws.path}/ids", end_id=end_id), "files"))

@@ -73,3 +73,24 @@ def test_stored_text_by_hand(spark):
     assert list(places) == [b"ftyp", b"moov", b"mdat"] and stored[a:b] == payload
     n = len(payload)
     assert got["feature"] == f"raw|{n / 8000:.6f}|18|{a}-{a + 1023},{a + 16 * 1024}-{a + 17 * 1024 - 1}"
+
+
+def test_a_block_of_a_token_file_is_read_alone(spark, tmp_path):
+    import numpy as np
+    import public_tokenizers
+
+    from segline.llm import token_files
+
+    rng = np.random.default_rng(5)
+    ids = rng.integers(0, 50_000, 20 * token_files.BLOCK + 7, dtype=np.uint32)
+    data = token_files.write_image([1, None, 3], [5, len(ids) - 5, 0], ids)
+    (tmp_path / "x.ids").write_bytes(data)
+    with token_files.Image.at(f"file://{tmp_path}/x.ids") as image:
+        head = image.total
+        got = image.read(7 * token_files.BLOCK + 3, 7 * token_files.BLOCK + 50)
+        assert got.tolist() == ids[7 * token_files.BLOCK + 3 : 7 * token_files.BLOCK + 50].tolist()
+        assert head < 2000 and image.total - head < len(data) / 18
+        assert [(d, at, len(x), x[:3].tolist()) for d, at, x in image.documents()] == [(1, 0, 5, ids[:3].tolist()), (None, 5, len(ids) - 5, ids[5:8].tolist()), (3, len(ids), 0, [])]
+    docs = spark.createDataFrame([(k, f"word{k} " * 400, "clash") for k in range(60)], "doc_id long, text string, file string")
+    files = token_files.write_token_files(docs, public_tokenizers.path("word_bpe_49k.json"), f"file://{tmp_path}/ids").collect()
+    assert sum(r["n_docs"] for r in files) == 60 and all([(tmp_path / "ids" / r["file"].rsplit("/", 1)[1]).stat().st_size for r in files])

@@ -389,7 +389,7 @@ def test_token_images_round_trip(bits):
     rng = np.random.default_rng(3)
     for n in (0, 1, token_files.BLOCK, token_files.BLOCK + 5):
         ids = rng.integers(0, 1 << 17, n).astype("<u4")
-        image = token_files.Image(token_files.write_image([4, None], [n, 0], ids, bits))
+        image = token_files.Image.of(token_files.write_image([4, None], [n, 0], ids, bits))
         assert image.read(0, n).tolist() == ids.tolist() and image.doc_ids == [4, None]
         assert image.read(n // 2, n).tolist() == ids[n // 2 :].tolist()
 
