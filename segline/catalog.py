@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from segline.functions import scalars as S
-from segline.operators import discovery, keys, manifest, metrics, playlist, publish, render, timeline, window
+from segline.operators import discovery, keys, manifest, metrics, playlist, publish, ranges, render, timeline, window
 from segline.plans.projections import rows, with_sql
 from segline.schema import PERIOD, TRACK
 
@@ -622,6 +622,55 @@ def _(spark, sf):
     return discovery.to_fetch(*_scheduled(spark, sf)).select(*TRACK, "seg_no")
 
 
+@query("d7_fetch_ranges", f"""--cte
+{_SCHEDULED}
+select {T}, d.seg_no from d left join mx using ({T}) left join ls using ({T})
+ where cast(channel_id as bigint) % 7 = 0 or d.seg_no > coalesce(last_scheduled, -1) or (d.seg_no <= coalesce(max_stored, -1) and ({T}, d.seg_no) not in (select {T}, seg_no from st))""", dedup=True)
+def _(spark, sf):
+    """The same by ranges; numbers are made at the end."""
+    expected, high, stored = _scheduled(spark, sf)
+    wide = ranges.ranges_of(expected).withColumn("presentation", F.when(F.col("channel_id").cast("bigint") % 7 == 0, "static").otherwise("dynamic"))
+    return ranges.numbers_of(ranges.to_fetch_ranges(wide, high, ranges.ranges_of(stored)))
+
+
+@query("u2_missing_ranges", f"select {T}, seg_no from d except select {T}, seg_no from seg where commit_ord % 3 <> 0", dedup=True)
+def _(spark, sf):
+    s = rows(spark, sf, "seg")
+    return ranges.numbers_of(ranges.missing_ranges(ranges.ranges_of(s), ranges.ranges_of(s.where("commit_ord % 3 <> 0"))))
+
+
+@query("t9_gaps_by_ranges", f"""--cte
+g as (select {T}, seg_no, lead(seg_no) over (partition by {T} order by seg_no) as nxt from d)
+select {T}, seg_no + 1 as gap_start, nxt - 1 as gap_end, nxt - seg_no - 1 as missing from g where nxt - seg_no > 1""", dedup=True)
+def _(spark, sf):
+    return ranges.gaps(ranges.ranges_of(rows(spark, sf, "seg")))
+
+
+@query("t9_missed_at_edge", """--cte
+h as (select channel_id, rep_id, poll_at, event_id, media_sequence, max(last_seq) over (partition by channel_id, rep_id order by poll_at, event_id rows between unbounded preceding and 1 preceding) as highest from pol)
+select channel_id, rep_id, event_id, greatest(0, media_sequence - highest - 1) as missed from h where highest is not null""", "pol")
+def _(spark, sf):
+    """Numbers that the origin's window passed since what was held before each poll."""
+    p = rows(spark, sf, "pol")
+    before = timeline.Window.partitionBy("channel_id", "rep_id").orderBy("poll_at", "event_id").rowsBetween(*timeline.UP_TO_BEFORE)
+    held = p.select("channel_id", "rep_id", "event_id", F.max("last_seq").over(before).alias("highest")).where("highest is not null")
+    return timeline.missed_at_edge(p, held, ("channel_id", "rep_id", "event_id")).select("channel_id", "rep_id", "event_id", "missed")
+
+
+@query("d1_ranges", "--cte\n" + LIVE + "\nselect channel_id, rep_id, 1::bigint as lo, case when n % 2 = 0 then live else stat end as hi from ct where case when n % 2 = 0 then live else stat end > 0", "trk")
+def _(spark, sf):
+    return ranges.ranges_by_duration(_reps(spark, sf), 1_000_030).select("channel_id", "rep_id", "lo", "hi")
+
+
+@query("d2_ranges", """--cte
+e as (select lang as channel_id, rep_id, cast(rep_id as bigint) % 4 as r, cast(rep_id as bigint) % 9 + 1 as dd, range as i from trk, range(3))
+select channel_id, rep_id, 1 + i * (r + 1) as lo, (i + 1) * (r + 1) as hi, case when i < 2 then 10 * dd + i * (r + 1) * dd else 5000 end as seg_time, dd as seg_dur from e""", "trk")
+def _(spark, sf):
+    n = F.col("rep_id").cast("bigint")
+    t = _reps(spark, sf).withColumn("timeline", F.array(*(F.struct(x.cast("bigint").alias("t"), (n % 9 + 1).alias("d"), (n % 4).alias("r")) for x in ((n % 9 + 1) * 10, F.lit(0), F.lit(5000)))))
+    return ranges.ranges_by_timeline(t, 0).select("channel_id", "rep_id", "lo", "hi", "seg_time", "seg_dur")
+
+
 @query("d8_rank_tasks", f"select {T}, seg_no, seg_no - min(seg_no) over (partition by channel_id) as priority, case when seg_no % 2 = 0 then epoch_us(timestamp '2024-01-01 00:00:30') end as deadline_us from d", dedup=True)
 def _(spark, sf):
     d = segs(spark, sf).withColumns({"poll_at": F.lit("2024-01-01 00:00:00").cast("timestamp"), "depth_s": F.lit(0.0), "dynamic": F.col("seg_no") % 2 == 0})
@@ -847,4 +896,4 @@ def _(spark, sf):
     return render.manifest_timing(base, d).select(*TRACK, "start_number", "pto")
 
 
-from segline import catalog_documents, catalog_streams  # noqa: E402, F401  (register their queries here)
+from segline import catalog_documents, catalog_render, catalog_streams  # noqa: E402, F401  (register their queries here)

@@ -3,9 +3,6 @@ and the SQL says from the same rows what must come out, without ever seeing a bo
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +11,7 @@ from segline.functions import scalars as S
 from segline.operators import discovery, manifest, playlist, render, timeline
 from segline.plans.projections import rows
 from segline.schema import TRACK
+from segline.session import shared_folder as scratch
 from segline.sources import segment_store, store
 
 
@@ -27,19 +25,6 @@ def joined(df: DataFrame, keys: list[str], order: str, line: Column, head: str =
     return df.groupBy(*keys).agg(F.concat(F.lit(head), body).alias("body"))
 
 
-_OWN: dict[str, str] = {}
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder that all machines share; a temporary one only where the master is local."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
-            raise RuntimeError("spark.checkpoint.dir is not set: files must lie in a folder that all machines share")
-        root = _OWN.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="spark-segline-"))
-    return f"{root.rstrip('/')}/segline-{name}-{uuid.uuid4().hex}"
-
-
 # --- playlists --------------------------------------------------------------------------------------------
 
 

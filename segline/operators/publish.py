@@ -10,27 +10,53 @@ from segline.operators.timeline import origin_period
 from segline.schema import PERIOD, SET
 
 
+#: Lengths of a level are at most LEAST_S * STEP^level seconds.
+LEAST_S, STEP, LEVELS = 1.0, 4, 12
+
+
+def _level(start: Column, end: Column) -> Column:
+    """The least level whose cells are as long as the span; the last one has no bound."""
+    out = F.lit(LEVELS)
+    for k in reversed(range(LEVELS)):
+        out = F.when(end - start <= LEAST_S * STEP**k, F.lit(k)).otherwise(out)
+    return out
+
+
+def _levels(df: DataFrame, span: tuple[str, str]) -> list[int]:
+    """The levels that occur: LEVELS + 1 numbers at most."""
+    return [r[0] for r in df.where(F.col(span[1]) > F.col(span[0])).select(_level(F.col(span[0]), F.col(span[1]))).distinct().collect()]
+
+
 def overlap_join(left: DataFrame, right: DataFrame, on=tuple(PERIOD), tol: float = 0.5, bucket: float | None = None, left_span=("start_s", "end_s"), right_span=("r_start_s", "r_end_s")) -> DataFrame:
     """Pairs whose overlap is at least tol of the shorter one; zero-length intervals match nothing.
 
-    An equi-join on the keys with a range condition; with `bucket` (seconds) both sides go to the time
-    buckets they touch, so a long period is many small keys instead of one, and a pair is kept only in
-    the first bucket that both touch, which makes a later distinct needless.
+    An equi-join on the keys and a cell of time, so a long period is many small keys; a pair is kept in the first cell
+    that both touch, which makes a later distinct needless. With `bucket` (seconds) all cells are so long: for spans of
+    about one length. Without, lengths may be mixed: a span lies in cells of its own level, which are as long as it is,
+    and visits those of the higher levels that occur on the other side; a pair meets at the level of the longer one. So
+    no span has more than two copies a level, however long others are. That the levels are known takes one pass more.
     """
     (a, b), (c, d) = left_span, right_span
     shorter = F.least(F.col(b) - F.col(a), F.col(d) - F.col(c))
-    match = (shorter > 0) & (F.least(b, d) - F.greatest(a, c) >= tol * shorter)
-    if bucket is None:
-        return left.join(right, list(on)).where((F.col(a) < F.col(d)) & (F.col(c) < F.col(b)) & match)
-    cut = lambda x: F.floor(F.col(x) / bucket).cast("bigint")
-    one = left.where(F.col(b) > F.col(a)).withColumn("_b", F.explode(F.sequence(cut(a), cut(b))))
-    two = right.where(F.col(d) > F.col(c)).withColumn("_b", F.explode(F.sequence(cut(c), cut(d))))
-    return one.join(two, [*on, "_b"]).where((F.col("_b") == F.greatest(cut(a), cut(c))) & (F.col(a) < F.col(d)) & (F.col(c) < F.col(b)) & match).drop("_b")
-
-
-def bucket_width(segs: DataFrame, start="start_s", end="end_s") -> DataFrame:
-    """One row: the 95th percentile of durations, the width to give overlap_join for long periods."""
-    return segs.agg(F.percentile_approx(F.col(end) - F.col(start), 0.95).alias("bucket_s"))
+    match = (shorter > 0) & (F.least(b, d) - F.greatest(a, c) >= tol * shorter) & (F.col(a) < F.col(d)) & (F.col(c) < F.col(b))
+    if bucket is not None:
+        cut = lambda x: F.floor(F.col(x) / bucket).cast("bigint")
+        one = left.where(F.col(b) > F.col(a)).withColumn("_b", F.explode(F.sequence(cut(a), cut(b))))
+        two = right.where(F.col(d) > F.col(c)).withColumn("_b", F.explode(F.sequence(cut(c), cut(d))))
+        return one.join(two, [*on, "_b"]).where((F.col("_b") == F.greatest(cut(a), cut(c))) & match).drop("_b")
+
+    ours, theirs = _levels(left, left_span), _levels(right, right_span)
+    wide = F.element_at(F.array(*(F.lit(LEAST_S * STEP**k) for k in range(LEVELS)), F.lit(LEAST_S * STEP ** (LEVELS + 8))), F.col("_m") + 1)
+
+    def dealt(df: DataFrame, span: tuple[str, str], own: str, cell: str, others: list[int]) -> DataFrame:
+        s, e = map(F.col, span)
+        at = F.filter(F.array(*(F.lit(k) for k in sorted({*ours, *theirs}))), lambda k: (k == F.col(own)) | ((k > F.col(own)) & k.isin(others)))
+        rows = df.where(e > s).withColumn(own, _level(s, e)).withColumn("_m", F.explode(at))
+        return rows.withColumn(cell, F.floor(s / wide).cast("bigint")).withColumn("_b", F.explode(F.sequence(F.col(cell), F.floor(e / wide).cast("bigint"))))
+
+    one, two = dealt(left, left_span, "_lo", "_lc", theirs), dealt(right, right_span, "_ro", "_rc", ours)
+    met = one.join(two, [*on, "_m", "_b"]).where((F.col("_m") == F.greatest("_lo", "_ro")) & (F.col("_b") == F.greatest("_lc", "_rc")) & match)
+    return met.drop("_m", "_b", "_lo", "_lc", "_ro", "_rc")
 
 
 def publish_av_barrier(segs: DataFrame, sets: DataFrame | None = None, match: str = "first", bucket: float | None = 30.0) -> DataFrame:

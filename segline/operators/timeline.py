@@ -5,7 +5,9 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
+from segline.operators import blocks
 from segline.schema import PERIOD, TRACK
 
 UP_TO_BEFORE = (Window.unboundedPreceding, -1)
@@ -116,30 +118,20 @@ def detect_rewinds(polls: DataFrame, keys=("channel_id", "rep_id"), order=("poll
     return polls.withColumn("rewind", back).withColumn("period_no", F.sum(F.col("rewind").cast("bigint")).over(w))
 
 
-def assign_shared_period(rewinds: DataFrame, channel="channel_id", rep="rep_id", order=("poll_at", "event_id")) -> DataFrame:
+def assign_shared_period(rewinds: DataFrame, channel="channel_id", rep="rep_id", order=("poll_at", "event_id"), parts: int | None = None) -> DataFrame:
     """The channel's period number after each rewind, shared by its renditions.
 
-    A rendition that is on the latest period opens the next one; one that lags joins the latest. A channel's
-    rewinds stream through one task in order; only each rendition's period is held.
+    A rendition that is on the latest period opens the next one; one that lags joins the latest. Rewinds are blocks of
+    the order of channel and time (`parts` of them, else as many as shuffles have), so a channel with most of them is
+    many tasks; a block's summary has one outcome for each rendition in it. It is made when this is called.
     """
     cols = [channel, rep, *order]
-
-    def run(batches):
-        now, at, latest = None, {}, 0
-        for batch in batches:
-            out = []
-            for c, r in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if now != (c,):
-                    now, at, latest = (c,), {}, 0
-                if at.get(r, 0) == latest:
-                    latest += 1
-                at[r] = latest
-                out.append(latest)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.int64())], names=[*cols, "period_no"])
-
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rewinds.select(*cols).schema) + ", period_no bigint"
-    dealt = rewinds.select(*cols).repartition(channel).sortWithinPartitions(channel, *(F.col(c).asc_nulls_last() for c in (*order, rep)))
-    return dealt.mapInArrow(run, schema)
+    rows = rewinds.select(*cols)
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema) + ", period_no bigint"
+    arrow = pa.schema([*to_arrow_schema(rows.schema), pa.field("period_no", pa.int64())])
+    made = blocks.ordered_blocks(rows, [channel], [*order, rep], parts)
+    at = blocks.entered(made, [channel], [*order, rep], blocks.SharedPeriods, (0, None))
+    return blocks.run_blocks(made, [channel], [*order, rep], blocks.shared_period_fold, at, (0, None), schema, arrow)
 
 
 def detect_manifest_restarts(listed: DataFrame, channel="channel_id", period="period_id", rep="rep_id") -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -29,3 +30,19 @@ def on_workers(spark: SparkSession) -> None:
             out.write(f, f.relative_to(ROOT))
     spark.sparkContext.addPyFile(path)
     _SHIPPED.add(app)
+
+
+_OWN: dict[str, str] = {}
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder in spark.checkpoint.dir, which all machines share; where that is unset and the master local, in a temporary one."""
+    root, master = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext.master
+    if not root:
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir is not set: files must lie in a folder that all machines share")
+        app = spark.sparkContext.applicationId
+        if app not in _OWN:
+            _OWN[app] = "file://" + tempfile.mkdtemp(prefix="spark-segline-")
+        root = _OWN[app]
+    return f"{root.rstrip('/')}/segline-{name}-{uuid.uuid4().hex}"

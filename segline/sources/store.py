@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from segline import schema
 from segline.functions.scalars import decode_id
 from segline.sources.boxes import FACTS, box_facts
+from segline.sources.segment_log import NUMBERS
 
 KINDS = {"manifests": schema.DOCUMENTS, "playlists": schema.DOCUMENTS, "attempts": schema.ATTEMPTS, "polls": schema.POLLS, "lifecycle": schema.LIFECYCLE, "segments": schema.SEGMENTS}
 
@@ -99,16 +100,10 @@ def explode_sidx(df: DataFrame, bytes_col="sidx", index_end_col="index_end") ->
 
 
 def write_segments(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """One directory for each channel and period; only partitions in df are replaced, so a repeat is harmless."""
-    df.repartition("channel_id", "period_id").write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy("channel_id", "period_id").parquet(path)
-
-
-def segments_sink(path: str):
-    """S7 for a stream's foreachBatch: each micro-batch is a directory of its own, replaced if it is tried again."""
-    def sink(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").partitionBy("channel_id", "period_id").parquet(f"{path}/batch={batch_id}")
-
-    return sink
+    """One directory for each channel and period; only partitions in df are replaced, so a repeat is harmless. A
+    period's numbers are dealt over tasks in stretches, so a hot period is written by many."""
+    stretch = [F.floor(F.col("seg_no") / NUMBERS)] if "seg_no" in df.columns else []
+    df.repartition("channel_id", "period_id", *stretch).write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy("channel_id", "period_id").parquet(path)
 
 
 def write_documents(df: DataFrame, path: str, name="rep_id", body="body") -> None:
