@@ -160,6 +160,7 @@ def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 (of the decimal ids joined by commas), decoded_sha256 (of the decoded bytes).
 
     One row for each row of docs, with no shuffle; ids never leave the task. Null text: empty, no tokens.
+    Repeated rows and null ids stay rows of their own, extra columns are ignored, an empty table gives an empty one.
     """
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
 

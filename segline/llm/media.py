@@ -262,7 +262,7 @@ def stored_texts(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature.
 
     Each text is written as a media file in one step and read back from that file's bytes in the next.
-    Null text: empty, so 64 zeros. One row for each row of docs, no shuffle.
+    Null text: empty, so 64 zeros. One row for each row of docs, no shuffle. Extra columns are ignored.
     """
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())])
 

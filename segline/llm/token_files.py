@@ -174,24 +174,23 @@ def read_token_files(files: DataFrame) -> DataFrame:
 
     start counts the ids of all documents before it. Only each file's number of ids is added up over files.
     """
-    schema = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("doc_id", pa.int64()), ("at", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
+    schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
 
     def run(batches):
         def found():
-            for part, seq, file in rows(batches):
+            for file, first in rows(batches):
                 with Image.at(file) as image:
                     for doc, at, ids in image.documents():
-                        yield part, seq, doc, at, len(ids), crc32(ids.tobytes())
+                        yield doc, first + at, len(ids), crc32(ids.tobytes())
 
         return batches_of(found(), schema)
 
-    tasks = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # rows are small: by their bytes all would be one task
-    found = files.select("part", "seq", "file").repartition(tasks, "part", "seq").mapInArrow(run, "part int, seq int, doc_id long, at long, n_tokens long, ids_crc32 long")
     parts = files.groupBy("part").agg(F.sum("n_ids").alias("n"))
-    earlier_parts = parts.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("p"))
-    earlier_files = files.select("part", "seq", F.coalesce(F.sum("n_ids").over(Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("f"))
-    firsts = earlier_files.join(earlier_parts, "part").select("part", "seq", (F.col("p") + F.col("f")).alias("first"))
-    return found.join(firsts, ["part", "seq"]).select("doc_id", (F.col("first") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
+    earlier_parts = parts.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("p"))  # one row a range
+    earlier_files = F.coalesce(F.sum("n_ids").over(Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = files.withColumn("f", earlier_files).join(earlier_parts, "part").select("part", "seq", "file", (F.col("p") + F.col("f")).alias("first"))
+    tasks = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # rows are small: by their bytes all would be one task
+    return placed.repartition(tasks, "part", "seq").select("file", "first").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def tokens_on_disk(docs: DataFrame, path: str, *, end_id: int = 1) -> DataFrame:

@@ -94,3 +94,24 @@ def test_a_block_of_a_token_file_is_read_alone(spark, tmp_path):
     docs = spark.createDataFrame([(k, f"word{k} " * 400, "clash") for k in range(60)], "doc_id long, text string, file string")
     files = token_files.write_token_files(docs, public_tokenizers.path("word_bpe_49k.json"), f"file://{tmp_path}/ids").collect()
     assert sum(r["n_docs"] for r in files) == 60 and all([(tmp_path / "ids" / r["file"].rsplit("/", 1)[1]).stat().st_size for r in files])
+
+
+def test_extra_columns_may_have_the_names_of_results(spark):
+    import public_tokenizers
+
+    from segline.llm import byte_bpe, chat_tree, kd_shards, media, repair, whitening
+
+    names = ["n_tokens", "ids_sha256", "media", "n_bytes", "payload_bytes", "feature", "shard", "z", "s", "l", "t", "size", "slot", "law"]
+    texts = ["a b", "a b", "é\n" * 50, None, ""]
+    plain = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").selectExpr("*", "'en' as lang", "'x' as source")
+    wide = plain.selectExpr("*", *(f"doc_id as {n}" for n in names))
+    bpe = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    for f in (lambda d: byte_bpe.round_trip(d, bpe, public_tokenizers.PATTERN), media.stored_texts, lambda d: kd_shards.shard_documents(d, shards=3)):
+        assert sorted(map(tuple, f(wide).collect()), key=str) == sorted(map(tuple, f(plain).collect()), key=str)
+    convs = spark.createDataFrame([(1, 0, "user", "a."), (1, 1, "assistant", "b."), (2, 0, "user", "a.")], "conv_id long, turn long, role string, text string")
+    clash = convs.selectExpr("*", *(f"turn as {n}" for n in ("conv_key", "place", "step", "edit", "cost", "conv", "owner", "node", "at", "start", "seg", "runs", "salt")))
+    for f in (repair.audit_conversations, lambda d: chat_tree.digests(chat_tree.read_tree(*chat_tree.format_tree(d)))):
+        assert sorted(map(tuple, f(clash).collect())) == sorted(map(tuple, f(convs).collect()))
+    vectors = spark.createDataFrame([(k, [float(k), float(k * k)]) for k in range(5)], "vec_id long, embedding array<double>")
+    rows = lambda d: sorted(map(tuple, whitening.whiten(d).drop("identity_error").collect()))
+    assert rows(vectors.selectExpr("*", "vec_id as x", "vec_id as n", "vec_id as component")) == rows(vectors)
