@@ -160,6 +160,98 @@ def shared_period_fold(state: tuple) -> Callable[[tuple], tuple]:
     return step
 
 
+def restarts(held: dict, last: object, dynamic: bool | None, ast: object, tops: dict) -> bool:
+    """T8's rule on one manifest, of a period of which `held` is stored and that had availability start `last` before."""
+    return bool(dynamic and held) and ((last is not None and ast != last) or any(k in held and v < held[k] for k, v in tops.items()))
+
+
+def highest_listed(tops: list[dict]) -> dict:
+    """The largest number by rendition, of a manifest's entries k, v."""
+    out: dict = {}
+    for x in tops:
+        out[x["k"]] = max(x["v"], out.get(x["k"], x["v"]))
+    return out
+
+
+class Generation:
+    """T8's state: restarts so far, the highest number held by rendition, the last availability start."""
+
+    def __init__(self, n: int, held: dict, last: object):
+        self.n, self.held, self.last = n, dict(held), last
+
+    def feed(self, dynamic: bool | None, ast: object, tops: dict) -> int:
+        if restarts(self.held, self.last, dynamic, ast, tops):
+            self.n, self.held = self.n + 1, {}
+        self.last = ast
+        for k, v in tops.items():
+            self.held[k] = max(v, self.held.get(k, v))
+        return self.n
+
+
+class ManifestRestarts:
+    """What a stretch of manifests of one period does to T8's state, (restarts, highest held by rendition, last start).
+
+    Until its first restart the stretch only adds to what is held. That restart is the first that holds whatever was
+    before (`sure`), or an earlier one that what was before decides: a rendition's first dynamic number is below what it
+    held, the first manifest has another start than the one before it, or the start changes while only the entry holds
+    anything. A later number of a rendition decides nothing, being no lower than its first one. So there is one outcome for
+    each manifest with such a condition, at most two more than the stretch has renditions.
+    """
+
+    def __init__(self, hint: object = None):
+        self.outcomes: list[tuple[list[tuple], Generation]] = []
+        self.sure: Generation | None = None
+        self.own: dict = {}
+        self.listed: set = set()
+        self.last: object = None
+        self.asked = False
+        self.n = 0
+
+    def feed(self, row: tuple) -> None:
+        dynamic, ast, tops = row[3], row[4], highest_listed(row[5])
+        for _, state in self.outcomes:
+            state.feed(dynamic, ast, tops)
+        if self.sure is not None:
+            self.sure.feed(dynamic, ast, tops)
+            return
+        if restarts(self.own, self.last, dynamic, ast, tops):
+            self.sure = Generation(1, tops, ast)
+            return
+        if dynamic:
+            asks: list[tuple] = [("top", k, v) for k, v in tops.items() if k not in self.listed]
+            if self.n == 0:
+                asks.append(("start", None, ast))
+            elif not (self.asked or self.own) and self.last is not None and ast != self.last:
+                asks.append(("held", None, None))
+                self.asked = True
+            if asks:
+                self.outcomes.append((asks, Generation(1, tops, ast)))
+            self.listed.update(tops)
+        for k, v in tops.items():
+            self.own[k] = max(v, self.own.get(k, v))
+        self.last, self.n = ast, self.n + 1
+
+    def apply(self, state: tuple) -> tuple:
+        n, held, last = state
+
+        def true(kind: str, rep: object, value: object) -> bool:
+            if kind == "top":
+                return rep in held and value < held[rep]
+            return bool(held) and (kind == "held" or (last is not None and value != last))
+
+        for asks, after in self.outcomes:
+            if any(true(*ask) for ask in asks):
+                return n + after.n, after.held, after.last
+        if self.sure is not None:
+            return n + self.sure.n, self.sure.held, self.sure.last
+        return n, held | {k: max(v, held.get(k, v)) for k, v in self.own.items()}, self.last if self.n else last
+
+
+def manifest_restart_fold(state: tuple) -> Callable[[tuple], tuple]:
+    now = Generation(*state)
+    return lambda row: (*row[:3], now.feed(row[3], row[4], highest_listed(row[5])))
+
+
 class LastBegin:
     """What X9's baseline is after a stretch: that of its last begin."""
 

@@ -134,34 +134,24 @@ def assign_shared_period(rewinds: DataFrame, channel="channel_id", rep="rep_id",
     return blocks.run_blocks(made, [channel], [*order, rep], blocks.shared_period_fold, at, (0, None), schema, arrow)
 
 
-def detect_manifest_restarts(listed: DataFrame, channel="channel_id", period="period_id", rep="rep_id") -> DataFrame:
+def detect_manifest_restarts(listed: DataFrame, channel="channel_id", period="period_id", rep="rep_id", parts: int | None = None) -> DataFrame:
     """Generation and gateway period id of each manifest's period.
 
-    listed: channel, period, rep, fetched_at, dynamic, ast, highest (largest number listed; null if none).
+    listed: channel, period, rep, fetched_at, dynamic, ast, highest (largest number listed; null if none). Rows of one
+    fetched_at are one manifest; of rows that differ, the largest dynamic, ast and highest of a representation count.
     A dynamic manifest restarts a period that holds segments if its availability start changed, or if a
-    representation lists less than it held. A fold over the manifests of one channel and period, in order.
+    representation lists less than it held. Manifests are blocks of the order of channel, period and time (`parts` of
+    them, else as many as shuffles have), so a period with most of them is many tasks. It is made when this is called.
     """
-    per_manifest = listed.groupBy(channel, period, "fetched_at").agg(F.first("dynamic").alias("dynamic"), F.first("ast").alias("ast"), F.map_from_entries(F.collect_list(F.struct(rep, "highest"))).alias("tops"))
-
-    def run(batches):
-        now, held, generation, last_ast = None, {}, 0, None
-        for batch in batches:
-            out = []
-            for c, p, _, dynamic, ast, tops in zip(*(x.to_pylist() for x in batch.columns), strict=True):
-                if now != (c, p):
-                    now, held, generation, last_ast = (c, p), {}, 0, None
-                tops = {k: v for k, v in dict(tops).items() if v is not None}
-                if dynamic and held and ((last_ast is not None and ast != last_ast) or any(v < held[k] for k, v in tops.items() if k in held)):
-                    generation, held = generation + 1, {}
-                last_ast = ast
-                for k, v in tops.items():
-                    held[k] = max(v, held.get(k, v))
-                out.append(generation)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(out, pa.int64())], names=[channel, period, "fetched_at", "generation"])
-
-    types = dict(per_manifest.dtypes)
-    dealt = per_manifest.repartition(channel, period).sortWithinPartitions(channel, period, F.col("fetched_at").asc_nulls_last())
-    found = dealt.mapInArrow(run, f"{channel} {types[channel]}, {period} {types[period]}, fetched_at {types['fetched_at']}, generation bigint")
+    tops = F.collect_list(F.when(F.col("highest").isNotNull(), F.struct(F.col(rep).alias("k"), F.col("highest").alias("v"))))
+    rows = listed.groupBy(channel, period, "fetched_at").agg(F.max("dynamic").alias("dynamic"), F.max("ast").alias("ast"), tops.alias("tops"))
+    keys, order, fresh = [channel, period], ["fetched_at"], (0, {}, None)
+    head = rows.select(*keys, *order).schema
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in head) + ", generation bigint"
+    arrow = pa.schema([*to_arrow_schema(head), pa.field("generation", pa.int64())])
+    made = blocks.ordered_blocks(rows, keys, order, parts)
+    at = blocks.entered(made, keys, order, blocks.ManifestRestarts, fresh)
+    found = blocks.run_blocks(made, keys, order, blocks.manifest_restart_fold, at, fresh, schema, arrow)
     return found.withColumn("gateway_period_id", restart_period_id(F.col(period), F.col("generation")))
 
 

@@ -64,6 +64,55 @@ def test_lifecycle_in_blocks(spark):
     assert X.lifecycle_fold(spark.createDataFrame([], EVENTS)).count() == 0
 
 
+def restarts(rows):
+    """The rule of T8, one manifest after the other."""
+    held, last, n, out = {}, {}, {}, {}
+    for c, at, dynamic, ast, tops in rows:
+        have, before = held.setdefault(c, {}), last.get(c)
+        if dynamic and have and ((before is not None and ast != before) or any(v < have.get(k, v) for k, v in tops.items())):
+            n[c], have = n.get(c, 0) + 1, {}
+        held[c] = have | {k: max(v, have.get(k, v)) for k, v in tops.items()}
+        last[c], out[at] = ast, n.get(c, 0)
+    return out
+
+
+def manifests(rng, n, channels, reps, moves):
+    at, out = dict.fromkeys(reps, 0), []
+    for i in range(n):
+        for k in reps:
+            at[k] = rng.randrange(4) if rng.random() < moves else at[k] + rng.randrange(3)
+        ast = None if rng.random() < 0.1 else 1 + (rng.random() < moves)
+        out.append((rng.choice(channels), T0 + timedelta(seconds=i), rng.choice([True, True, True, False, None]), ast, {k: at[k] for k in reps if rng.random() < 0.6}))
+    return out
+
+
+@pytest.mark.parametrize(("n", "channels", "reps", "moves", "parts"), [(0, "a", "v", 0.1, 3), (1, "a", "v", 0, 3), (400, "a", "vw", 0.02, 9), (400, "aaaab", "vwx", 0.01, 12), (300, "a", "vwxyz", 0, 20), (300, "abcdef", "vw", 0.2, 5), (60, "ab", "vwxyz", 0.1, 30)])
+def test_manifest_restarts(spark, n, channels, reps, moves, parts):
+    rng = random.Random(n + parts)
+    want = manifests(rng, n, channels, reps, moves)
+    want = [(None if c == "b" else c, *rest) for c, *rest in want]
+    rows = [(c, "p", at, d, ast, k, v) for c, at, d, ast, tops in want for k, v in (tops.items() or [("v", None)])]
+    rows += [(c, p, at, None, None, k, None if v is None else v - 1) for c, p, at, _, _, k, v in rows[::3]]  # of rows that differ the largest counts
+    df = spark.createDataFrame(rng.sample(rows, len(rows)), "channel_id string, period_id string, fetched_at timestamp, dynamic boolean, ast bigint, rep_id string, highest bigint")
+    got = timeline.detect_manifest_restarts(df, parts=parts).collect()
+    assert {r["fetched_at"]: r["generation"] for r in got} == restarts(want) and len(got) == n
+
+
+def test_restart_summaries_compose_from_any_state():
+    rng = random.Random(5)
+    for _ in range(3000):
+        rows = manifests(rng, rng.randrange(1, 24), "a", "vwxyz"[: rng.randrange(1, 6)], rng.choice([0, 0.05, 0.3]))
+        feed = [(c, "p", at, d, ast, [{"k": k, "v": v} for k, v in tops.items()]) for c, at, d, ast, tops in rows]
+        cuts, state, want = sorted(rng.randrange(len(rows) + 1) for _ in range(3)), (0, {}, None), restarts(rows)
+        for lo, hi in zip([0, *cuts], [*cuts, len(rows)], strict=True):
+            held, fold = blocks.ManifestRestarts(), blocks.manifest_restart_fold(state)
+            for row in feed[lo:hi]:
+                held.feed(row)
+                assert fold(row)[-1] == want[row[2]]
+            state = held.apply(state)
+        assert state[0] == list(want.values())[-1]
+
+
 def test_a_hot_channel_is_many_blocks(spark):
     rows = [("hot" if i % 3 == 0 else f"c{i % 50}", "v", T0 + timedelta(seconds=i), i) for i in range(6000)]
     made = blocks.ordered_blocks(spark.createDataFrame(rows, REWINDS), ["channel_id"], ["poll_at"], 24)
