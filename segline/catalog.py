@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from segline.functions import scalars as S
-from segline.operators import discovery, keys, manifest, metrics, playlist, publish, ranges, render, timeline, window
+from segline.operators import bitmaps, discovery, keys, manifest, metrics, playlist, publish, ranges, render, timeline, window
 from segline.plans.projections import rows, with_sql
 from segline.schema import PERIOD, TRACK
 
@@ -452,6 +452,27 @@ def _(spark, sf):
     return metrics.status_rollup(segs(spark, sf))
 
 
+@query("a1_distinct_numbers", f"""--cte
+u as (select distinct {T}, seg_no from seg), f as (select distinct {T}, seg_no from seg where discontinuity),
+ w as (select {T}, grouping_id({T}) as level_no, count(*) as writes from seg group by rollup ({T})), n as (select {T}, count(*) as numbers from u group by rollup ({T})), x as (select {T}, count(*) as flagged from f group by rollup ({T}))
+select w.*, numbers, coalesce(flagged, 0) as flagged, writes - numbers as replaced from w join n on {" and ".join(f"w.{c} is not distinct from n.{c}" for c in TRACK)} left join x on {" and ".join(f"w.{c} is not distinct from x.{c}" for c in TRACK)}""")
+def _(spark, sf):
+    words = bitmaps.number_words(rows(spark, sf, "seg"), {"numbers": None, "flagged": F.col("discontinuity")}, {"writes": F.count(F.lit(1))})
+    return bitmaps.count_levels(words, ["numbers", "flagged"], {"writes": F.sum("writes")}).withColumn("replaced", F.col("writes") - F.col("numbers"))
+
+
+@query("a1_shared_numbers", f"""--cte
+u as (select distinct channel_id, period_id, media_type, as_id || rep_id as rep_id, seg_no from seg),
+ m as (select channel_id, period_id, media_type, count(distinct rep_id) as members from u group by all),
+ k as (select channel_id, period_id, media_type, seg_no, count(*) as n from u group by all)
+select channel_id, period_id, media_type, members, count(*) as in_any, count(*) filter (n = members) as in_all from k join m using (channel_id, period_id, media_type) group by all""")
+def _(spark, sf):
+    """Numbers that all representations of a media type hold."""
+    s = rows(spark, sf, "seg").withColumn("rep_id", F.concat("as_id", "rep_id"))
+    within = ("channel_id", "period_id", "media_type")
+    return bitmaps.shared_numbers(bitmaps.number_words(s, {"held": None}, keys=(*within, "rep_id")), "held", within)
+
+
 @query("a2_health", "select channel_id, count(distinct period_id) as periods, count(distinct (period_id, as_id)) as sets from d group by channel_id", dedup=True)
 def _(spark, sf):
     h = metrics.health_struct(metrics.status_counts(segs(spark, sf)))
@@ -501,6 +522,24 @@ def _(spark, sf):
     return metrics.progress_counters(rows(spark, sf, "att")).select("channel_id", "stored", "failed", "dropped", "bytes")
 
 
+_BY_LEVEL = f"""--cte
+lv as (select {T}, grouping_id({T}) as level_no, cast(count(distinct case when outcome = 'ok' then (channel_id, period_id, as_id, rep_id, seg_no) end) as bigint) as stored, count(*) filter (outcome <> 'ok') as failed, count(*) filter (outcome = 'gone') as dropped, min(attempt_at) as first_at, max(attempt_at) as last_at from att group by rollup ({T}))
+"""
+
+
+@query("a8_progress_levels", _BY_LEVEL + "select * from lv", "att")
+def _(spark, sf):
+    return metrics.progress_levels(rows(spark, sf, "att"))
+
+
+@query("a12_shortfall_levels", _BY_LEVEL + f"select {T}, level_no, stored, stored < 5 or dropped > 0 as short from lv where level_no = 0 union all select {T}, level_no, stored, stored < 20 or dropped > 0 from lv where level_no = 7", "att")
+def _(spark, sf):
+    """Representations are to have 5 segments, channels 20."""
+    p = metrics.progress_levels(rows(spark, sf, "att")).where("level_no in (0, 7)")
+    p = p.withColumns({"expected": F.when(F.col("level_no") == 0, 5).otherwise(20), "known": F.lit(True), "capped": F.lit(False)})
+    return metrics.shortfall(p).select(*TRACK, "level_no", "stored", "short")
+
+
 @query("a9_error_state", """--cte
 b as (select channel_id, arg_max(seg_no, (attempt_at, event_id)) as error_seg from att where outcome <> 'ok' group by all),
  l as (select channel_id, arg_max(ok, (poll_at, event_id)) as ok, arg_max(rep_id, (poll_at, event_id)) as rep from pol group by all)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from segline.functions.scalars import clean_message, pts_seconds
+from segline.operators.bitmaps import count_levels, number_words
 from segline.schema import CHANNEL, PERIOD, SET, TRACK
 
 #: What names a segment that is fetched.
@@ -104,6 +105,15 @@ def progress_counters(attempts: DataFrame, keys=ATTEMPT, order=("attempt_at", "e
     return per.groupBy(keys[0]).agg(F.sum("stored").alias("stored"), F.sum("failed").alias("failed"), F.sum("dropped").alias("dropped"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"), F.min("first_at").alias("first_at"), F.max("last_at").alias("last_at"))
 
 
+def progress_levels(attempts: DataFrame, keys=tuple(TRACK)) -> DataFrame:
+    """A8 at every level of keys at once, without bytes: stored, failed, dropped, first and last time, and level_no as
+    grouping_id. What is shuffled is a row for 64 numbers of a representation (`bitmaps`), not one for each number."""
+    bad = F.col("outcome") != "ok"
+    sums = {"failed": F.count_if(bad), "dropped": F.count_if(F.col("outcome") == "gone"), "first_at": F.min("attempt_at"), "last_at": F.max("attempt_at")}
+    words = number_words(attempts, {"stored": F.col("outcome") == "ok"}, sums, keys)
+    return count_levels(words, ["stored"], {"failed": F.sum("failed"), "dropped": F.sum("dropped"), "first_at": F.min("first_at"), "last_at": F.max("last_at")}, keys)
+
+
 def error_state(attempts: DataFrame, polls: DataFrame) -> DataFrame:
     """The last failed attempt stays; a source error shows only while the latest poll failed."""
     bad = attempts.where("outcome <> 'ok'").groupBy("channel_id").agg(F.max_by(F.struct("seg_no", "outcome", F.col("attempt_at").alias("at")), F.struct("attempt_at", "event_id")).alias("segment_error"))
