@@ -1,10 +1,7 @@
-"""Column expressions F1-F20: built-in functions, but for URI resolution."""
+"""Column expressions F1-F20, all of built-in functions."""
 
 from __future__ import annotations
 
-from urllib.parse import urljoin
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -90,10 +87,14 @@ _ATTRIBUTE = r'([A-Za-z0-9-]+)=("[^"]*"|[^",]*)'
 def attributes(line) -> Column:
     """Attribute list of a tag line as a map, safe for commas in quotes; the last of equal names wins."""
     text = F.regexp_replace(_c(line), r"^#EXT[A-Z0-9-]*:", "")
-    names = F.regexp_extract_all(text, F.lit(_ATTRIBUTE), F.lit(1))
-    values = F.transform(F.regexp_extract_all(text, F.lit(_ATTRIBUTE), F.lit(2)), lambda v: F.btrim(F.trim(v), F.lit('"')))
-    last = F.filter(F.arrays_zip(names.alias("k"), values.alias("v")), lambda x, i: ~F.array_contains(F.slice(names, i + 2, F.greatest(F.size(names) - i - 1, F.lit(0))), x["k"]))
-    return F.when(_c(line).isNull(), F.lit(None)).otherwise(F.map_from_entries(last))
+    found = F.struct(*(F.regexp_extract_all(text, F.lit(_ATTRIBUTE), F.lit(i)).alias(n) for i, n in ((1, "k"), (2, "v"))))
+
+    def last(z: Column) -> Column:
+        entries = F.arrays_zip(z["k"].alias("k"), F.transform(z["v"], lambda v: F.btrim(F.trim(v), F.lit('"'))).alias("v"))
+        return F.map_from_entries(F.filter(entries, lambda x, i: ~F.array_contains(F.slice(z["k"], i + 2, F.greatest(F.size(z["k"]) - i - 1, F.lit(0))), x["k"])))
+
+    # an array of one, so that the text is searched once and not for each of its attributes
+    return F.when(_c(line).isNull(), F.lit(None)).otherwise(F.get(F.transform(F.array(found), last), F.lit(0)))
 
 
 def byte_range_dash(text) -> Column:
@@ -110,13 +111,39 @@ def byte_range_at(text) -> Column:
     return F.when(n.isNotNull(), F.struct(n.alias("length"), o.alias("offset")))
 
 
-def _resolved(base: pd.Series, ref: pd.Series) -> pd.Series:
-    return pd.Series([None if r is None else urljoin(b or "", r) for b, r in zip(base, ref, strict=True)], dtype=object)
+_SCHEME = r"^([A-Za-z][A-Za-z0-9+.-]*:)"
+_NO_SCHEME = r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?"
+
+
+def _without_dots(path: Column) -> Column:
+    """A path without its . and .. segments; a .. at its beginning has nothing to take away."""
+    inner = F.split(F.regexp_replace(path, "^/", ""), "/")
+    none = F.array().cast("array<string>")
+    kept = F.aggregate(inner, none, lambda a, x: F.when(x == ".", a).when(x == "..", F.slice(a, F.lit(1), F.greatest(F.size(a) - 1, F.lit(0)))).otherwise(F.array_append(a, x)))
+    ended = F.when(path.rlike(r"(^|/)\.\.?$"), F.array(F.lit(""))).otherwise(none)
+    clean = F.concat(F.when(path.startswith("/"), "/").otherwise(""), F.array_join(F.concat(kept, ended), "/"))
+    return F.when(path.rlike(r"(^|/)\.\.?(/|$)"), clean).otherwise(path)
 
 
 def resolve_uri(base, ref) -> Column:
-    """Full reference resolution, dot segments included; the one scalar no built-in covers (an Arrow UDF)."""
-    return F.pandas_udf(_resolved, "string")(_c(base), _c(ref))
+    """The reference seen from base, by the generic URI syntax (RFC 3986, 5.2), dot segments included. Null for a null
+    reference; a null base is empty. Schemes come in small letters; paths that do not begin with / after a scheme stay."""
+    b, r = F.coalesce(_c(base), F.lit("")), _c(ref)
+    scheme = lambda u: F.lower(F.regexp_extract(u, _SCHEME, 1))
+    host = lambda u: F.regexp_extract(u, _NO_SCHEME + "(//[^/?#]*)", 1)
+    path = lambda u: F.regexp_extract(u, _NO_SCHEME + "(?://[^/?#]*)?([^?#]*)", 1)
+    query = lambda u: F.regexp_extract(u, r"^[^?#]*(\?[^#]*)", 1)
+    mark = F.regexp_extract(r, "^[^#]*(#.*)", 1)
+    p, site = path(r), F.concat(scheme(b), host(b))
+    folder = F.when((host(b) != "") & (path(b) == ""), "/").otherwise(F.regexp_extract(path(b), "^(.*/)", 1))
+    return (
+        F.when(r.isNull(), F.lit(None).cast("string"))
+        .when(r.rlike(_SCHEME), F.concat(scheme(r), host(r), F.when(p.startswith("/"), _without_dots(p)).otherwise(p), query(r), mark))
+        .when(r.startswith("//"), F.concat(scheme(b), host(r), _without_dots(p), query(r), mark))
+        .when(p == "", F.concat(site, path(b), F.when(query(r) == "", query(b)).otherwise(query(r)), mark))
+        .when(p.startswith("/"), F.concat(site, _without_dots(p), query(r), mark))
+        .otherwise(F.concat(site, _without_dots(F.concat(folder, p)), query(r), mark))
+    )
 
 
 #: What a content-protection scheme URI holds for each system.

@@ -47,10 +47,10 @@ def parse_media_playlist(lines: DataFrame, doc="doc_id", url: str | None = "url"
     rows = rows.withColumn("_last_uri", F.max(F.when(F.col("_uri"), F.col("line_no"))).over(before)).withColumn("_last_inf", F.max(F.when(F.col("_inf").isNotNull(), F.col("line_no"))).over(before))
     rows = rows.withColumn("_ok", F.col("_uri") & F.coalesce(F.col("_last_inf") > F.coalesce("_last_uri", F.lit(-1)), F.lit(False)))
     rows = rows.withColumn("_group", F.coalesce(F.sum(F.col("_ok").cast("int")).over(before), F.lit(0)))
-    key = attributes(_tag(line, "EXT-X-KEY"))
-    rows = rows.withColumn("_key", F.last(F.when(line.startswith("#EXT-X-KEY:"), F.struct(key["METHOD"].alias("method"), key["URI"].alias("uri"), key["IV"].alias("iv"))), ignorenulls=True).over(w))
-    found_map = attributes(_tag(line, "EXT-X-MAP"))
-    rows = rows.withColumn("_map", F.last(F.when(line.startswith("#EXT-X-MAP:"), F.struct(found_map["URI"].alias("uri"), found_map["BYTERANGE"].alias("range"))), ignorenulls=True).over(w))
+    rows = rows.withColumn("_attrs", attributes(F.coalesce(_tag(line, "EXT-X-KEY"), _tag(line, "EXT-X-MAP"))))
+    key, found_map = F.struct(F.col("_attrs")["METHOD"].alias("method"), F.col("_attrs")["URI"].alias("uri"), F.col("_attrs")["IV"].alias("iv")), F.struct(F.col("_attrs")["URI"].alias("uri"), F.col("_attrs")["BYTERANGE"].alias("range"))
+    rows = rows.withColumn("_key", F.last(F.when(line.startswith("#EXT-X-KEY:"), key), ignorenulls=True).over(w))
+    rows = rows.withColumn("_map", F.last(F.when(line.startswith("#EXT-X-MAP:"), found_map), ignorenulls=True).over(w))
     g = Window.partitionBy(doc, "_group").orderBy("line_no")
     one = lambda x: F.last(x, ignorenulls=True).over(g)
     rows = (
