@@ -3,6 +3,8 @@ and the SQL says from the same rows what must come out, without ever seeing a bo
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -360,11 +362,31 @@ def _(spark, sf):
     return store.read_snapshots(spark, path, "polls").select("channel_id", "rep_id", F.col("last_seq").alias("n"), "media_sequence", "ok")
 
 
-def _stored(spark, sf) -> str:
-    """A store with a file for each track, numbered by its segments: boxes of headers in front of 500 bytes a segment, every
-    sixth without mdat and every fifth cut off; and an init file for each video representation."""
+#: Files that stand in a store at the same time.
+STORED = 50_000
+
+
+def _through_store(spark, sf, scan) -> DataFrame:
+    """What scan gives of a store with a file for each track, numbered by its segments: boxes of headers in front of 500 bytes
+    a segment, every sixth without mdat and every fifth cut off; and an init file for each video representation.
+
+    A file and its folders take some 18 KB of disk, many times the rows that it is made of, so channels go through the
+    store in turns of about STORED files: they are written, scanned, what was found is kept, and the files are removed."""
+    made, found = scratch(spark, "tracks"), scratch(spark, "found")
+    segs(spark, sf).groupBy(*TRACK, "media_type").agg(F.count(F.lit(1)).alias("n"), F.min("start_pts").alias("s")).write.parquet(made)
+    tracks = spark.read.parquet(made)
+    turns = max(1, math.ceil(tracks.count() / STORED))
+    for k in range(turns):
+        root = scratch(spark, "store")
+        segment_store.write_segment_store(_files(tracks.where(F.pmod(F.xxhash64("channel_id"), F.lit(turns)) == k)), root)
+        scan(root).write.mode("append").parquet(found)
+        segment_store.drop_channels(spark, root)
+    return spark.read.parquet(found)
+
+
+def _files(t: DataFrame) -> DataFrame:
+    """The store's files of tracks, their segments counted as n and the first starting at s."""
     u = lambda x, digits: F.lpad(F.hex(x), digits, "0")
-    t = segs(spark, sf).groupBy(*TRACK, "media_type").agg(F.count(F.lit(1)).alias("n"), F.min("start_pts").alias("s"))
     n, long = F.col("n"), F.col("n") % 2 == 0
     tfdt = F.when(long, F.concat(F.lit("000000147466647401000000"), u(F.col("s"), 16))).otherwise(F.concat(F.lit("000000107466647400000000"), u(F.col("s"), 8)))
     moof = F.concat(F.when(long, "00000024").otherwise("00000020"), F.lit("6d6f6f66"), F.when(long, "0000001c").otherwise("00000018"), F.lit("74726166"), tfdt)
@@ -372,9 +394,7 @@ def _stored(spark, sf) -> str:
     moov = F.lit("00000034" + "6d6f6f76" + "0000002c" + "7472616b" + "00000024" + "6d646961" + "0000001c" + "6d646864" + "00" * 12 + "0001d4c0" + "00" * 4)
     media = t.select(*TRACK, "media_type", n.alias("seg_no"), F.when(long, "m4s").otherwise("mp4").alias("ext"), F.unhex(F.concat(F.lit("0000000866726565"), moof, F.coalesce(mdat, F.lit("")))).alias("content"))
     inits = t.where("media_type = 'video'").select(*TRACK, "media_type", F.lit(None).cast("bigint").alias("seg_no"), F.lit("mp4").alias("ext"), F.unhex(F.concat(F.lit("0000000866747970"), moov)).alias("content"))
-    root = scratch(spark, "store")
-    segment_store.write_segment_store(media.unionByName(inits).withColumn("period_id", text("p/", F.col("period_id"))), root)
-    return root
+    return media.unionByName(inits).withColumn("period_id", text("p/", F.col("period_id")))
 
 
 _FILES = f"f as (select {T}, media_type, count(*) as n, min(start_pts) as s, count(*) * 500 as m from d group by all), z as (select *, 8 + case when n % 2 = 0 then 36 else 32 end + case when n % 6 = 3 then 0 else m + case when n % 3 = 0 then 16 else 8 end - case when n % 5 = 4 then 100 else 0 end end as size, n % 5 = 4 and n % 6 <> 3 as cut from f)"
@@ -383,18 +403,18 @@ _FILES = f"f as (select {T}, media_type, count(*) as n, min(start_pts) as s, cou
 @query("s2_stored_files", f"--cte\n{_FILES}\nselect channel_id, 'p/' || period_id as period_id, as_id, rep_id, media_type, n as seg_no, case when n % 2 = 0 then 'm4s' else 'mp4' end as ext, cast(size as bigint) as length from z", dedup=True)
 def _(spark, sf):
     """Files are written to a store and its directories listed; nothing is opened."""
-    return segment_store.scan_segment_store(spark, _stored(spark, sf)).select(*TRACK, "media_type", "seg_no", "ext", "length")
+    return _through_store(spark, sf, lambda root: segment_store.scan_segment_store(spark, root).select(*TRACK, "media_type", "seg_no", "ext", "length"))
 
 
 @query("s2_chosen_files", f"--cte\n{_FILES}\nselect channel_id, 'p/' || period_id as period_id, as_id, rep_id, n as seg_no from z where period_id = '1995' and n >= 10", dedup=True)
 def _(spark, sf):
     """Only the chosen period's directories are listed, and only the chosen numbers' files opened."""
-    return segment_store.scan_segment_store(spark, _stored(spark, sf), facts=True, periods=["p/1995"], numbers=(10, 1 << 62)).select(*TRACK, "seg_no")
+    return _through_store(spark, sf, lambda root: segment_store.scan_segment_store(spark, root, facts=True, periods=["p/1995"], numbers=(10, 1 << 62)).select(*TRACK, "seg_no"))
 
 
 @query("s2_init_files", f"--cte\n{_FILES}\nselect channel_id, 'p/' || period_id as period_id, as_id, rep_id, true as has_moov, 120000::bigint as timescale, null::varchar as error from z where media_type = 'video'", dedup=True)
 def _(spark, sf):
-    return segment_store.scan_segment_store(spark, _stored(spark, sf), facts=True, inits=True).select(*TRACK, "has_moov", "timescale", "error")
+    return _through_store(spark, sf, lambda root: segment_store.scan_segment_store(spark, root, facts=True, inits=True).select(*TRACK, "has_moov", "timescale", "error"))
 
 
 @query("s5_stored_boxes", f"""--cte
@@ -402,7 +422,7 @@ def _(spark, sf):
 select channel_id, 'p/' || period_id as period_id, as_id, rep_id, n as seg_no, s as start_pts, case when cut then 'box mdat is cut off' when n % 6 = 3 then 'missing mdat box' end as error, n % 6 <> 3 and not cut as has_mdat, cast(least(size, 4096) as bigint) as bytes_read from z""", dedup=True)
 def _(spark, sf):
     """Headers of stored files: one read of at most 4096 bytes, however much media follows."""
-    return segment_store.scan_segment_store(spark, _stored(spark, sf), facts=True).select(*TRACK, "seg_no", "start_pts", "error", "has_mdat", "bytes_read")
+    return _through_store(spark, sf, lambda root: segment_store.scan_segment_store(spark, root, facts=True).select(*TRACK, "seg_no", "start_pts", "error", "has_mdat", "bytes_read"))
 
 
 @query("s2_stored_paths", f"select {T}, media_type, seg_no, case when seg_no % 2 = 0 then 'm4s' else 'ts' end as ext from d where seg_no % 5 <> 0", dedup=True)

@@ -261,3 +261,21 @@ def write_segment_store(files: DataFrame, root: str) -> None:
     names = ["channel_id", "period_id", "media_type", "as_id", "rep_id", "seg_no", "ext", "content"]
     registered(files.sparkSession)
     files.select(*names).write.format("segment_store").mode("append").save(root)
+
+
+def drop_channels(spark: SparkSession, root: str) -> None:
+    """Remove all channels of a store, each by a task, and then the root."""
+    on_workers(spark)
+    files, top = opened(root)
+    names = [(f.base_name,) for f in files.get_file_info(fs.FileSelector(top, allow_not_found=True)) if f.type == fs.FileType.Directory]
+
+    def drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, top = opened(root)
+        for batch in batches:
+            for name in batch.column("channel_id").to_pylist():
+                files.delete_dir(f"{top}/{name}")
+            yield batch
+
+    if names:
+        spark.createDataFrame(names, "channel_id string").repartition(min(len(names), 64)).mapInArrow(drop, "channel_id string").count()
+        files.delete_dir(top)
