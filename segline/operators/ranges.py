@@ -10,11 +10,21 @@ from segline.schema import TRACK
 
 
 def ranges_of(rows: DataFrame, keys=tuple(TRACK), seq="seg_no") -> DataFrame:
-    """keys, lo, hi of the runs of consecutive numbers; repeated numbers count once."""
+    """keys, lo, hi of the runs of consecutive numbers; repeated numbers count once.
+
+    One sort and no aggregation: a run's last row is the next row that closes one, and rows within a run are dropped.
+    """
     w = Window.partitionBy(*keys).orderBy(seq)
-    opens = F.coalesce(F.col(seq) > F.lag(seq).over(w) + 1, F.lit(True)).cast("int")
-    runs = rows.select(*keys, seq).where(F.col(seq).isNotNull()).withColumn("_o", opens).withColumn("_run", F.sum("_o").over(w))
-    return runs.groupBy(*keys, "_run").agg(F.min(seq).alias("lo"), F.max(seq).alias("hi")).drop("_run")
+    opens, closes = F.coalesce(F.col(seq) > F.lag(seq).over(w) + 1, F.lit(True)), F.coalesce(F.lead(seq).over(w) > F.col(seq) + 1, F.lit(True))
+    ends = rows.select(*keys, seq).where(F.col(seq).isNotNull()).withColumn("_o", opens).withColumn("_c", closes)
+    return _runs(ends, keys, seq, F.col(seq))
+
+
+def _runs(rows: DataFrame, keys, at: str, last: Column) -> DataFrame:
+    """keys, lo, hi of runs whose first rows are marked _o and last ones _c (a row may be both); last: hi by the last row."""
+    w = Window.partitionBy(*keys).orderBy(at)
+    ends = rows.where("_o or _c").withColumn("_last", last)
+    return ends.withColumn("_hi", F.when(F.col("_c"), F.col("_last")).otherwise(F.lead("_last").over(w))).where("_o").select(*keys, F.col(at).alias("lo"), F.col("_hi").alias("hi"))
 
 
 def numbers_of(ranges: DataFrame, seq="seg_no") -> DataFrame:
@@ -25,9 +35,10 @@ def numbers_of(ranges: DataFrame, seq="seg_no") -> DataFrame:
 def combine(sides: list[DataFrame], keep, keys=tuple(TRACK)) -> DataFrame:
     """keys, lo, hi: the ranges of numbers for which keep(how many ranges of each side hold it) is true, abutting ones joined.
 
-    Each range is two events: it opens at lo, and it is over at hi + 1. Events of one place are added up before the
-    shuffle; one sort by place and running counts tell what holds between two places. The work follows the number of
-    ranges, however many numbers they hold. Empty ranges (lo > hi) hold nothing; a side's ranges may overlap.
+    Each range is two events: it opens at lo, and it is over at hi + 1. One sort by place and running counts tell what
+    holds between two places, at the last event of a place; nothing is aggregated, so a task holds no more than its
+    sort. The work follows the number of ranges, however many numbers they hold. Empty ranges (lo > hi) hold nothing; a
+    side's ranges may overlap.
     """
     counts = [f"_c{k}" for k in range(len(sides))]
     events = None
@@ -35,14 +46,13 @@ def combine(sides: list[DataFrame], keep, keys=tuple(TRACK)) -> DataFrame:
         at = F.explode(F.array(F.struct(F.col("lo").alias("at"), F.lit(1).alias("d")), F.struct((F.col("hi") + 1).alias("at"), F.lit(-1).alias("d")))).alias("e")
         one = side.where("lo <= hi").select(*keys, at).select(*keys, "e.at", *((F.col("e.d") if k == j else F.lit(0)).alias(c) for j, c in enumerate(counts)))
         events = one if events is None else events.unionByName(one)
-    places = events.groupBy(*keys, "at").agg(*(F.sum(c).alias(c) for c in counts))
     w = Window.partitionBy(*keys).orderBy("at")
-    held = places.select(*keys, "at", *(F.sum(c).over(w).alias(c) for c in counts), F.lead("at").over(w).alias("_next"))
-    kept = F.coalesce(keep(*(F.col(c) for c in counts)), F.lit(False)) & F.col("_next").isNotNull()
-    marked = held.select(*keys, "at", "_next", kept.alias("_k"))
-    opens = F.col("_k") & ~F.coalesce(F.lag("_k").over(w), F.lit(False))
-    runs = marked.withColumn("_run", F.sum(opens.cast("int")).over(w)).where("_k")
-    return runs.groupBy(*keys, "_run").agg(F.min("at").alias("lo"), (F.max("_next") - 1).alias("hi")).drop("_run")
+    so_far = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    held = events.select(*keys, "at", *(F.sum(c).over(so_far).alias(c) for c in counts), F.lead("at").over(w).alias("_next"))
+    held = held.where("_next is null or _next > at")
+    marked = held.select(*keys, "at", "_next", (F.coalesce(keep(*(F.col(c) for c in counts)), F.lit(False)) & F.col("_next").isNotNull()).alias("_k"))
+    before, after = (F.coalesce(f("_k").over(w), F.lit(False)) for f in (F.lag, F.lead))
+    return _runs(marked.withColumn("_o", F.col("_k") & ~before).withColumn("_c", F.col("_k") & ~after), keys, "at", F.col("_next") - 1)
 
 
 def union(*sides: DataFrame, keys=tuple(TRACK)) -> DataFrame:
@@ -105,6 +115,9 @@ def missing_ranges(expected: DataFrame, stored: DataFrame, keys=tuple(TRACK)) ->
 
 
 def gaps(stored: DataFrame, keys=tuple(TRACK)) -> DataFrame:
-    """T9 on ranges: gap_start, gap_end, missing between the first and the last number held."""
-    whole = stored.groupBy(*keys).agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    return difference(whole, stored, keys).select(*keys, F.col("lo").alias("gap_start"), F.col("hi").alias("gap_end"), (F.col("hi") - F.col("lo") + 1).alias("missing"))
+    """T9 on ranges: gap_start, gap_end, missing between the first and the last number held. Ranges may overlap; a gap
+    lies before a range that starts behind all ranges before it, so one sort by their starts finds all."""
+    w = Window.partitionBy(*keys).orderBy("lo")
+    highest = F.max("hi").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    rows = stored.where("lo <= hi").select(*keys, "lo", (highest + 1).alias("gap_start"), (F.col("lo") - 1).alias("gap_end")).where("gap_start <= gap_end")
+    return rows.select(*keys, "gap_start", "gap_end", (F.col("lo") - F.col("gap_start")).alias("missing"))
