@@ -140,12 +140,12 @@ def _(spark, sf):
 @query("p3_protection_rows", f"--cte\n{_SETS}" + """
 select channel_id, as_id, cast(i as int) as cp_no, case i when 0 then 'cenc' when 1 then 'widevine' else 'unknown' end as system, case when i = 0 then 'aaaaaaa1000011112222333344445555' end as default_kid, case when i = 0 then 'cenc' end as value from s, range(3) g(i) where k = 1""", "trk")
 def _(spark, sf):
-    return manifest.explode_protection(manifest.explode_manifest(_manifest_bodies(spark, sf))).select("channel_id", "as_id", "cp_no", "system", "default_kid", "value")
+    return manifest.explode_protection(manifest.explode_sets(_manifest_bodies(spark, sf))).select("channel_id", "as_id", "cp_no", "system", "default_kid", "value")
 
 
 @query("p4_filtered_protection", f"--cte\n{_SETS}" + "\nselect channel_id, as_id, 2 as cp_no from s where k = 1 union all select channel_id, as_id, cast(i as int) from s, range(2) g(i) where k = 1 and channel_id like '%1'", "trk")
 def _(spark, sf):
-    found = manifest.explode_protection(manifest.explode_manifest(_manifest_bodies(spark, sf)))
+    found = manifest.explode_protection(manifest.explode_sets(_manifest_bodies(spark, sf)))
     return manifest.filter_protection(found.withColumn("wide", F.col("channel_id").endswith("1")), playready=False, widevine="wide").select("channel_id", "as_id", "cp_no")
 
 

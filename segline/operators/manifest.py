@@ -20,6 +20,10 @@ _SET = f"struct<_id:string,_contentType:string,_mimeType:string,_lang:string,Con
 MANIFEST = f"_type string, _availabilityStartTime string, _minimumUpdatePeriod string, _timeShiftBufferDepth string, _mediaPresentationDuration string, BaseURL array<string>, Period array<struct<_id:string,_start:string,_duration:string,BaseURL:array<string>,AdaptationSet:array<{_SET}>>>"
 
 
+#: What is read of sets alone. A set's Representation is the last one: a list of them, which from_xml copies for each it adds, is not needed.
+SETS = f"Period array<struct<_id:string,AdaptationSet:array<struct<ContentProtection:{_PROTECTION},Representation:struct<_id:string,_bandwidth:string>>>>>"
+
+
 def parse_manifests(df: DataFrame, body="body") -> DataFrame:
     """The document as a nested struct `mpd`; malformed XML gives null. A built-in parser, no UDF."""
     return df.withColumn("mpd", F.from_xml(F.col(body), MANIFEST))
@@ -89,8 +93,18 @@ def effective_addressing(rows: DataFrame) -> DataFrame:
     ).drop("_template", "_list", "_base")
 
 
+def explode_sets(df: DataFrame, body="body") -> DataFrame:
+    """P1 by sets: period_id, as_id, protected and protection of each adaptation set that has representations. A set is
+    one row however many representations it has, so manifests of any size cost what their text costs."""
+    rest = [c for c in df.columns if c != body]
+    rows = df.select(*rest, F.posexplode(F.from_xml(F.col(body), SETS)["Period"]).alias("period_pos", "p"))
+    rows = rows.select(*rest, "period_pos", F.coalesce("p._id", F.lit("")).alias("period_id"), F.posexplode("p.AdaptationSet").alias("as_pos", "a")).where("a.Representation is not null")
+    return rows.select(*rest, "period_pos", "period_id", "as_pos", F.col("as_pos").cast("string").alias("as_id"), (F.coalesce(F.size("a.ContentProtection"), F.lit(0)) > 0).alias("protected"), F.col("a.ContentProtection").alias("protection"))
+
+
 def explode_protection(rows: DataFrame, keys=("channel_id", "period_id", "as_id")) -> DataFrame:
-    """One row for each ContentProtection of a set: system, scheme, value, default KID (32 hex), pssh, headers."""
+    """One row for each ContentProtection of a set: system, scheme, value, default KID (32 hex), pssh, headers.
+    rows: from explode_sets, or from explode_manifest, whose representations repeat their set's."""
     once = rows.where("protected").select(*keys, "protection").dropDuplicates(list(keys))
     x = F.col("cp")
     kid = F.lower(F.regexp_replace(F.coalesce(x["_cenc:default_KID"], x["_default_KID"]), "-", ""))
