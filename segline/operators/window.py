@@ -44,7 +44,8 @@ def keep_newest(df: DataFrame, n: int | None = 120, keys=tuple(TRACK), seq="seg_
     row_number <= n is pruned before the shuffle's sort is done (window group limit), so a hot track is cut to
     n rows a task before it meets in one."""
     of_number = Window.partitionBy(*keys, seq)
-    state = df.withColumn("_first", F.min(commit).over(of_number)).withColumn("_k", F.row_number().over(of_number.orderBy(F.col(commit).desc()))).where("_k = 1")
+    # the order by commits first: the other window takes it as it is, so both share one sort
+    state = df.withColumn("_k", F.row_number().over(of_number.orderBy(F.col(commit).desc()))).withColumn("_first", F.min(commit).over(of_number)).where("_k = 1")
     if n is not None:
         w = Window.partitionBy(*keys).orderBy(F.col("_first").desc(), F.col(seq).desc())
         state = state.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= n)

@@ -32,3 +32,35 @@ def test_more_rows_more_tasks(spark, monkeypatch):
     assert n > 8
     text = plan(catalog.QUERIES["t9_gaps_by_ranges"](spark, SF))
     assert re.findall(r"hashpartitioning\(.*, (\d+)\)", text) == [str(n)]
+
+
+def tasks_of(spark, monkeypatch, name):
+    monkeypatch.setattr(projections, "ROWS_A_TASK", 100)
+    n = -(-spark.read.parquet(f"{SF}/lineitem.parquet").count() // 100)
+    text = plan(catalog.QUERIES[name](spark, SF))
+    return text, n, [int(x) for x in re.findall(r"hashpartitioning\(.*, (\d+)\)", text)]
+
+
+def test_run_lengths_are_one_exchange_of_bounded_tasks(spark, monkeypatch):
+    text, n, exchanges = tasks_of(spark, monkeypatch, "t13_rle_timeline")
+    assert exchanges == [n] and "Aggregate" not in text
+
+
+def test_newest_numbers_are_one_exchange_of_bounded_tasks(spark, monkeypatch):
+    text, n, exchanges = tasks_of(spark, monkeypatch, "l1_keep_newest")
+    assert exchanges == [n] and text.count("Sort [") == 2
+
+
+def test_rollup_sorts_in_bounded_tasks(spark, monkeypatch):
+    _, n, exchanges = tasks_of(spark, monkeypatch, "a1_status_rollup")
+    assert n in exchanges
+
+
+def test_clocks_are_one_exchange_of_bounded_tasks(spark, monkeypatch):
+    text, n, exchanges = tasks_of(spark, monkeypatch, "t4_accumulate_pts")
+    assert exchanges == [n] and "Aggregate" not in text and text.count("Sort [") == 3
+
+
+def test_what_to_fetch_reads_expected_numbers_once(spark):
+    text = plan(catalog.QUERIES["d7_fetch_ranges"](spark, SF))
+    assert text.count("FileScan") == 4
