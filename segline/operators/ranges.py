@@ -40,12 +40,18 @@ def combine(sides: list[DataFrame], keep, keys=tuple(TRACK)) -> DataFrame:
     sort. The work follows the number of ranges, however many numbers they hold. Empty ranges (lo > hi) hold nothing; a
     side's ranges may overlap.
     """
-    counts = [f"_c{k}" for k in range(len(sides))]
-    events = None
+    every = None
     for k, side in enumerate(sides):
-        at = F.explode(F.array(F.struct(F.col("lo").alias("at"), F.lit(1).alias("d")), F.struct((F.col("hi") + 1).alias("at"), F.lit(-1).alias("d")))).alias("e")
-        one = side.where("lo <= hi").select(*keys, at).select(*keys, "e.at", *((F.col("e.d") if k == j else F.lit(0)).alias(c) for j, c in enumerate(counts)))
-        events = one if events is None else events.unionByName(one)
+        one = side.select(*keys, "lo", "hi", F.lit(k).alias("_side"))
+        every = one if every is None else every.unionByName(one)
+    return _combined(every, len(sides), keep, keys)
+
+
+def _combined(rows: DataFrame, n: int, keep, keys) -> DataFrame:
+    """combine of rows keys, lo, hi, _side."""
+    counts = [f"_c{k}" for k in range(n)]
+    at = F.explode(F.array(F.struct(F.col("lo").alias("at"), F.lit(1).alias("d")), F.struct((F.col("hi") + 1).alias("at"), F.lit(-1).alias("d")))).alias("e")
+    events = rows.where("lo <= hi").select(*keys, "_side", at).select(*keys, "e.at", *(F.when(F.col("_side") == k, F.col("e.d")).otherwise(0).alias(c) for k, c in enumerate(counts)))
     w = Window.partitionBy(*keys).orderBy("at")
     so_far = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     held = events.select(*keys, "at", *(F.sum(c).over(so_far).alias(c) for c in counts), F.lead("at").over(w).alias("_next"))
@@ -104,9 +110,12 @@ def to_fetch_ranges(expected: DataFrame, high_water: DataFrame, stored: DataFram
     static = F.coalesce(F.col("presentation") == "static", F.lit(False)) if "presentation" in expected.columns else F.lit(False)
     marks = high_water.select(*keys, F.coalesce("last_scheduled", F.lit(-1)).cast("bigint").alias("_last"), F.coalesce("max_stored", F.lit(-1)).cast("bigint").alias("_max"))
     rows = expected.join(marks, list(keys), "left").select(*keys, "lo", "hi", static.alias("_static"), F.coalesce("_last", F.lit(-1).cast("bigint")).alias("_last"), F.coalesce("_max", F.lit(-1).cast("bigint")).alias("_max"))
-    fresh = rows.select(*keys, F.when(F.col("_static"), F.col("lo")).otherwise(F.greatest("lo", F.col("_last") + 1)).alias("lo"), "hi")
-    low = rows.where("not _static").select(*keys, "lo", F.least("hi", "_last", "_max").alias("hi"))
-    return combine([fresh, low, stored], lambda f, x, s: (f > 0) | ((x > 0) & (s <= 0)), keys)
+    # both parts of a range from one row, so that what is expected is read once
+    part = lambda side, lo, hi: F.struct(F.lit(side).alias("_side"), lo.cast("bigint").alias("lo"), hi.cast("bigint").alias("hi"))
+    fresh = part(0, F.when(F.col("_static"), F.col("lo")).otherwise(F.greatest("lo", F.col("_last") + 1)), F.col("hi"))
+    low = part(1, F.col("lo"), F.when(~F.col("_static"), F.least("hi", "_last", "_max")))
+    wanted = rows.select(*keys, F.explode(F.array(fresh, low)).alias("_p")).select(*keys, "_p.lo", "_p.hi", "_p._side")
+    return _combined(wanted.unionByName(stored.select(*keys, "lo", "hi", F.lit(2).alias("_side"))), 3, lambda f, x, s: (f > 0) | ((x > 0) & (s <= 0)), keys)
 
 
 def missing_ranges(expected: DataFrame, stored: DataFrame, keys=tuple(TRACK)) -> DataFrame:
