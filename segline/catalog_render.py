@@ -33,8 +33,10 @@ def _playlists(spark, sf, newest: int | None):
     if newest:
         back = timeline.Window.partitionBy("channel_id", "rep_id").orderBy(F.desc("period_ord"), F.desc("seg_no"))
         run = run.withColumn("_n", F.row_number().over(back)).where(F.col("_n") <= newest).drop("_n")
-    head = run.groupBy("channel_id", "rep_id").agg(F.min(F.struct("period_ord", "seg_no")).alias("h")).select("channel_id", "rep_id", "h.period_ord", "h.seg_no")
-    heads = timeline.discontinuity_sequence(life, head) if newest else head.select("channel_id", "rep_id", F.lit(0).alias("discontinuity_sequence"))
+    heads = None
+    if newest:
+        head = run.groupBy("channel_id", "rep_id").agg(F.min(F.struct("period_ord", "seg_no")).alias("h")).select("channel_id", "rep_id", "h.period_ord", "h.seg_no")
+        heads = timeline.discontinuity_sequence(life, head)
     video = F.col("media_type") == "video"
     run = run.withColumns({"path": F.when(video, "x.m4s").otherwise("x.ts"), "init_path": F.when(video, "init.mp4"), "iv": F.lit(bytearray(b"A" * 16))})
     return render.render_media_playlists(run, heads, "http://g/", vod=newest is None)

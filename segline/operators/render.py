@@ -25,6 +25,12 @@ def playlist_lines(run: DataFrame, keys=("channel_id", "rep_id"), order=("period
     first. The map at the first segment, a period change or a new init; it resets the key. The key when it
     changes, NONE when it stops. init and key lines may be null or empty. One window, one sort.
     """
+    rows = segment_lines(run, keys, order, period, seq, disc, init, key, duration, uri, digits)
+    return rows.select(*keys, *order, F.posexplode("lines").alias("line_pos", "line"))
+
+
+def segment_lines(run: DataFrame, keys=("channel_id", "rep_id"), order=("period_ord", "seg_no"), period="period_ord", seq="seg_no", disc="discontinuity", init="init_uri", key="key_line", duration="duration_s", uri="uri", digits: int = 6) -> DataFrame:
+    """The rows of run with `lines`, the array of each segment's lines, see playlist_lines."""
     w = Window.partitionBy(*keys).orderBy(*order)
     text = lambda c: F.coalesce(F.col(c), F.lit(""))
     rows = run.withColumn("_first", F.row_number().over(w) == 1).withColumn("_init", text(init)).withColumn("_key", text(key))
@@ -39,7 +45,7 @@ def playlist_lines(run: DataFrame, keys=("channel_id", "rep_id"), order=("period
         F.when(F.col("_broken"), F.lit("#EXT-X-DISCONTINUITY")), F.when(F.col("_reset"), stop), F.when(F.col("_mapped"), F.concat(F.lit("#EXT-X-MAP:"), _quoted("URI", F.col("_init")))),
         F.when(F.col("_key") != F.col("_held"), F.when(F.col("_key") == "", stop).otherwise(F.col("_key"))), F.concat(F.lit("#EXTINF:"), F.format_string(f"%.{digits}f", F.col(duration)), F.lit(",")), F.col(uri),
     ))
-    return rows.select(*keys, *order, F.posexplode(lines).alias("line_pos", "line"))
+    return rows.withColumn("lines", lines).drop("_first", "_init", "_key", "_broken", "_mapped", "_held", "_reset")
 
 
 def ordered_text(lines: DataFrame, keys, order, line="line") -> DataFrame:
@@ -48,26 +54,31 @@ def ordered_text(lines: DataFrame, keys, order, line="line") -> DataFrame:
     return lines.groupBy(*keys).agg(body.alias("body"))
 
 
-def render_media_playlists(run: DataFrame, heads: DataFrame, base: str = "", vod: bool = False, keys=("channel_id", "rep_id")) -> DataFrame:
+def _text_of(order) -> Column:
+    """The lines of a group's segments in order, as an aggregate beside others, so that a playlist is made in one pass."""
+    return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*order, F.when(F.size("lines") > 0, F.array_join("lines", "\n")).alias("_text")))), lambda x: x["_text"]), "\n").alias("body")
+
+
+def render_media_playlists(run: DataFrame, heads: DataFrame | None, base: str = "", vod: bool = False, keys=("channel_id", "rep_id")) -> DataFrame:
     """R2: one playlist for each channel and representation: keys, body.
 
     run: as number_across_periods and a window leave it, with period_id, period_ord, path, init_path, key_uri,
-    iv and media sequence msn. heads: keys, discontinuity_sequence, and optionally target (sticky).
+    iv and media sequence msn. heads: keys, discontinuity_sequence, and optionally target (sticky); None: no sequence is told.
     """
     b = F.lit(base)
     ext = F.when(F.col("path").endswith(".ts"), ".ts").when(F.col("path").endswith(".vtt"), ".vtt").otherwise(".m4s")
     key = F.when(F.coalesce("key_uri", F.lit("")) != "", key_line(F.concat(F.rtrim(b, F.lit("/")), F.lit("/v1/channels/"), F.col("channel_id"), F.lit("/key/"), key_id("key_uri")), F.lower(F.hex("iv"))))
     rows = run.withColumn("duration_s", segment_seconds("start_pts", "end_pts", "timescale")).withColumn("uri", segment_url(b, "channel_id", "period_id", "rep_id", "seg_no", ext)).withColumn("key_line", key)
     rows = rows.withColumn("init_uri", F.when(F.coalesce("init_path", F.lit("")) != "", init_url(b, "channel_id", "period_id", "rep_id")))
-    facts = rows.groupBy(*keys).agg(F.max(F.when(F.col("init_uri").isNotNull(), 6).otherwise(3)).alias("_version"), F.ceil(F.max("duration_s")).cast("int").alias("_target"), F.min("msn").alias("_first"))
-    facts = facts.join(heads, list(keys), "left")
-    target = F.coalesce(F.col("target"), F.col("_target")) if "target" in heads.columns else F.col("_target")
+    rows = segment_lines(rows, keys).select(*keys, "period_ord", "seg_no", "msn", "duration_s", F.col("init_uri").isNotNull().alias("_mp4"), "lines")
+    facts = rows.groupBy(*keys).agg(F.max(F.when(F.col("_mp4"), 6).otherwise(3)).alias("_version"), F.ceil(F.max("duration_s")).cast("int").alias("_target"), F.min("msn").alias("_first"), _text_of(("period_ord", "seg_no")))
+    facts = facts.join(heads, list(keys), "left") if heads is not None else facts.withColumn("discontinuity_sequence", F.lit(0))
+    target = F.coalesce(F.col("target"), F.col("_target")) if heads is not None and "target" in heads.columns else F.col("_target")
     head = F.array_compact(F.array(
         F.lit("#EXTM3U"), F.concat(F.lit("#EXT-X-VERSION:"), F.col("_version").cast("string")), F.concat(F.lit("#EXT-X-TARGETDURATION:"), target.cast("string")), F.concat(F.lit("#EXT-X-MEDIA-SEQUENCE:"), F.col("_first").cast("string")),
         F.when(F.coalesce("discontinuity_sequence", F.lit(0)) > 0, F.concat(F.lit("#EXT-X-DISCONTINUITY-SEQUENCE:"), F.col("discontinuity_sequence").cast("string"))), F.lit("#EXT-X-PLAYLIST-TYPE:VOD") if vod else F.lit(None).cast("string"),
     ))
-    bodies = ordered_text(playlist_lines(rows, keys), keys, ("period_ord", "seg_no", "line_pos"))
-    return bodies.join(facts.select(*keys, F.array_join(head, "\n").alias("_head")), list(keys)).select(*keys, F.concat("_head", F.lit("\n"), "body", F.lit("\n#EXT-X-ENDLIST\n" if vod else "\n")).alias("body"))
+    return facts.select(*keys, F.concat(F.array_join(head, "\n"), F.lit("\n"), "body", F.lit("\n#EXT-X-ENDLIST\n" if vod else "\n")).alias("body"))
 
 
 def render_master(tracks: DataFrame, base: str = "") -> DataFrame:
@@ -145,6 +156,7 @@ def render_local(segs: DataFrame, root: str | Column, key_files: DataFrame | Non
     rows = rows.withColumn("error", bad)
     errors = rows.where("error is not null").select(*keys, "period_ord", "seg_no", "error")
     good = rows.join(errors.select(*keys).distinct(), list(keys), "left_anti")
-    head = good.groupBy(*keys).agg(F.concat(F.lit("#EXTM3U\n#EXT-X-VERSION:"), F.max(F.when(F.col("init_uri").isNotNull(), 6).otherwise(3)).cast("string"), F.lit("\n#EXT-X-TARGETDURATION:"), F.ceil(F.max("duration_s")).cast("string"), F.lit("\n#EXT-X-PLAYLIST-TYPE:VOD\n#EXT-X-MEDIA-SEQUENCE:"), F.min_by("seg_no", F.struct("period_ord", "seg_no")).cast("string"), F.lit("\n")).alias("_head"))
-    bodies = ordered_text(playlist_lines(good, keys, digits=3), keys, ("period_ord", "seg_no", "line_pos"))
-    return bodies.join(head, list(keys)).select(*keys, F.concat("_head", "body", F.lit("\n#EXT-X-ENDLIST\n")).alias("body")), errors
+    rows = segment_lines(good, keys, digits=3).select(*keys, "period_ord", "seg_no", "duration_s", F.col("init_uri").isNotNull().alias("_mp4"), "lines")
+    head = F.concat(F.lit("#EXTM3U\n#EXT-X-VERSION:"), F.max(F.when(F.col("_mp4"), 6).otherwise(3)).cast("string"), F.lit("\n#EXT-X-TARGETDURATION:"), F.ceil(F.max("duration_s")).cast("string"), F.lit("\n#EXT-X-PLAYLIST-TYPE:VOD\n#EXT-X-MEDIA-SEQUENCE:"), F.min_by("seg_no", F.struct("period_ord", "seg_no")).cast("string"), F.lit("\n"))
+    made = rows.groupBy(*keys).agg(head.alias("_head"), _text_of(("period_ord", "seg_no")))
+    return made.select(*keys, F.concat("_head", "body", F.lit("\n#EXT-X-ENDLIST\n")).alias("body")), errors
