@@ -55,7 +55,7 @@ def _media_bodies(spark, sf) -> DataFrame:
         F.when(F.col("discontinuity"), "#EXT-X-DISCONTINUITY\n").otherwise(""), F.when(says, key).otherwise(""), span,
         text("#EXTINF:", F.format_string("%.2f", (F.col("end_pts") - F.col("start_pts")) / F.lit(90000.0)), ",n,", F.col("seg_no"), "\n../f", F.floor(F.col("seg_no") / 5), ".ts?x=", F.col("rep_id")),
     )
-    d = segs(spark, sf).withColumn("_line", line).withColumn("_first", F.min("seg_no").over(Window.partitionBy(*TRACK)))
+    d = segs(spark, sf, TRACK).withColumn("_line", line).withColumn("_first", F.min("seg_no").over(Window.partitionBy(*TRACK)))
     out = joined(d, [*TRACK, "_first"], "seg_no", F.col("_line"))
     doc = F.concat_ws("|", *TRACK)
     return out.select(doc.alias("doc_id"), text("https://o.example/live/", F.col("channel_id"), "/m.m3u8").alias("url"), text("#EXTM3U\n#EXT-X-TARGETDURATION:13\n#EXT-X-MEDIA-SEQUENCE:", F.col("_first"), "\n", F.col("body"), "\n#EXT-X-ENDLIST\n").alias("body"))

@@ -51,23 +51,27 @@ def parse_media_playlist(lines: DataFrame, doc="doc_id", url: str | None = "url"
     key, found_map = F.struct(F.col("_attrs")["METHOD"].alias("method"), F.col("_attrs")["URI"].alias("uri"), F.col("_attrs")["IV"].alias("iv")), F.struct(F.col("_attrs")["URI"].alias("uri"), F.col("_attrs")["BYTERANGE"].alias("range"))
     rows = rows.withColumn("_key", F.last(F.when(line.startswith("#EXT-X-KEY:"), key), ignorenulls=True).over(w))
     rows = rows.withColumn("_map", F.last(F.when(line.startswith("#EXT-X-MAP:"), found_map), ignorenulls=True).over(w))
-    g = Window.partitionBy(doc, "_group").orderBy("line_no")
-    one = lambda x: F.last(x, ignorenulls=True).over(g)
+    # what counts for one URI lies behind the accepted URI before it: a comparison of lines, not a window of its own
+    rows = rows.withColumn("_since", F.coalesce(F.max(F.when(F.col("_ok"), F.col("line_no"))).over(before), F.lit(-1)))
+    place = lambda x: F.last(F.when(x.isNotNull(), F.struct(F.col("line_no").alias("no"), x.alias("x"))), ignorenulls=True).over(w)
+    one = lambda c: F.when(F.col(f"{c}.no") > F.col("_since"), F.col(f"{c}.x"))
     rows = (
-        rows.withColumn("_inf", one(F.col("_inf"))).withColumn("_disc", F.max((line == "#EXT-X-DISCONTINUITY").cast("int")).over(g)).withColumn("_pdt", one(_tag(line, "EXT-X-PROGRAM-DATE-TIME")))
-        .withColumn("_range", one(_tag(line, "EXT-X-BYTERANGE"))).withColumn("_seq0", F.first(_tag(line, "EXT-X-MEDIA-SEQUENCE").try_cast("bigint"), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+        rows.withColumn("_inf", F.last("_inf", ignorenulls=True).over(w)).withColumn("_disc", F.max(F.when(line == "#EXT-X-DISCONTINUITY", F.col("line_no"))).over(w)).withColumn("_pdt", place(_tag(line, "EXT-X-PROGRAM-DATE-TIME")))
+        .withColumn("_range", place(_tag(line, "EXT-X-BYTERANGE"))).withColumn("_seq0", F.first(_tag(line, "EXT-X-MEDIA-SEQUENCE").try_cast("bigint"), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
     )
+    rows = rows.where("_ok").withColumn("_disc", F.coalesce(F.col("_disc") > F.col("_since"), F.lit(False))).withColumn("_pdt", one("_pdt")).withColumn("_range", one("_range"))
     base = F.col(url) if url else F.lit(None).cast("string")
     segs = rows.where("_ok").select(
         doc, "line_no", (F.coalesce("_seq0", F.lit(0)) + F.col("_group")).alias("seq"), line.alias("uri"), base.alias("_base"),
         F.substring_index("_inf", ",", 1).try_cast("double").alias("duration_s"), F.when(F.instr("_inf", F.lit(",")) > 0, F.expr("substring(_inf, instr(_inf, ',') + 1)")).otherwise("").alias("title"),
-        (F.col("_disc") == 1).alias("discontinuity"), F.col("_pdt").try_cast("timestamp").alias("program_at"),
+        F.col("_disc").alias("discontinuity"), F.col("_pdt").try_cast("timestamp").alias("program_at"),
         F.when(F.col("_key.method") != "NONE", F.col("_key")).alias("_key"), F.col("_map"), byte_range_at("_range").alias("_range"),
     )
     order = Window.partitionBy(doc, "uri").orderBy("seq")
-    segs = segs.withColumn("_anchor", F.sum(F.when(F.col("_range.offset") > 0, 1).otherwise(0)).over(order))
-    run = Window.partitionBy(doc, "uri", "_anchor").orderBy("seq")
-    offset = F.coalesce(F.first("_range.offset").over(run), F.lit(0)) + F.coalesce(F.sum("_range.length").over(run.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # lengths before, less those before the latest explicit offset
+    segs = segs.withColumn("_sum", F.coalesce(F.sum("_range.length").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    segs = segs.withColumn("_anchor", F.last(F.when(F.col("_range.offset") > 0, F.struct(F.col("_range.offset").alias("at"), F.col("_sum").alias("sum"))), ignorenulls=True).over(order))
+    offset = F.coalesce("_anchor.at", F.lit(0)) + F.col("_sum") - F.coalesce("_anchor.sum", F.lit(0))
     iv = F.coalesce(F.lower(F.regexp_replace("_key.iv", "^0[xX]", "")), F.lpad(F.lower(F.hex("seq")), 32, "0"))
     full = (lambda c: resolve_uri(F.col("_base"), c)) if url else (lambda c: c)
     return segs.withColumn("byte_offset", F.when(F.col("_range").isNotNull(), offset)).select(
