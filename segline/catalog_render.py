@@ -169,6 +169,6 @@ def _(spark, sf):
 select {T}, seg_no from d where cast(channel_id as bigint) % 2 = 0 or (channel_id, period_id, as_id, seg_no) in (select channel_id, period_id, as_id, seg_no from n) or (channel_id, period_id) in (select channel_id, period_id from k where na = 0 or nv = 0)""", dedup=True)
 def _(spark, sf):
     """Channels of playlists publish at once, those of manifests behind the barrier."""
-    d = segs(spark, sf).withColumn("policy", publish.publish_policy(F.when(F.col("channel_id").cast("bigint") % 2 == 0, "hls").otherwise("dash")))
+    d = segs(spark, sf, PERIOD, hashed=True).withColumn("policy", publish.publish_policy(F.when(F.col("channel_id").cast("bigint") % 2 == 0, "hls").otherwise("dash")))
     at_once = publish.publish_immediately(d.where("policy = 'immediate'")).select(*TRACK, "seg_no")
     return at_once.unionByName(publish.publish_av_barrier(d.where("policy = 'av_barrier'")).select(*TRACK, "seg_no"))

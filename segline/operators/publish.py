@@ -68,36 +68,40 @@ def publish_av_barrier(segs: DataFrame, sets: DataFrame | None = None, match: st
     period, as_id, media_type) declares sets that gate even while empty.
 
     Spans meet in cells of a period and `bucket` seconds (None: one cell a period), each small enough for an
-    array; a pair counts in the first cell that both touch. Cells give the pairs and the sets of a period alike,
-    so segs is read twice: for the cells, and for the rows that publish.
+    array; a pair counts in the first cell that both touch. Windows over one sort give a cell's audio and a period's
+    sets alike, and numbers of periods with one track type go with those that match, so segs is read twice: for the
+    cells, and for the rows that publish. Sorts and joins go by a hash first, which compares faster than strings.
     """
     rows = segs.where(F.col("media_type").isin("video", "audio"))
     cut = (lambda x: F.floor(x / bucket).cast("bigint")) if bucket else (lambda x: F.lit(0).cast("bigint"))
-    span = F.struct("as_id", "seg_no", pts_seconds("start_pts", "timescale").alias("s"), pts_seconds("end_pts", "timescale").alias("e"))
-    spans = rows.select(*PERIOD, "media_type", span.alias("x")).select("*", F.explode(F.sequence(cut(F.col("x.s")), F.greatest(cut(F.col("x.s")), cut(F.col("x.e"))))).alias("cell"))
-    of = lambda kind: F.collect_set(F.when(F.col("media_type") == kind, F.col("x"))).alias(kind)
-    cells = spans.groupBy(*PERIOD, "cell").agg(of("video"), of("audio"))
-
-    names = lambda kind: F.collect_list(F.transform(kind, lambda x: x["as_id"])).alias(kind)
-    kinds = cells.groupBy(*PERIOD).agg(names("video"), names("audio")).select(*PERIOD, *(F.array_distinct(F.flatten(k)).alias(k) for k in ("video", "audio")))
+    spans = rows.select(*PERIOD, "media_type", "as_id", "seg_no", pts_seconds("start_pts", "timescale").alias("s"), pts_seconds("end_pts", "timescale").alias("e"))
+    spans = spans.withColumn("_p", F.xxhash64(*PERIOD)).withColumn("cell", F.explode_outer(F.sequence(cut(F.col("s")), F.greatest(cut(F.col("s")), cut(F.col("e"))))))
     if sets is not None:
-        told = sets.groupBy(*PERIOD).agg(*(F.collect_set(F.when(F.col("media_type") == k, F.col("as_id"))).alias(f"_{k}") for k in ("video", "audio")))
-        kinds = kinds.join(told, PERIOD, "left").select(*PERIOD, *(F.array_union(k, F.coalesce(f"_{k}", F.array().cast("array<string>"))).alias(k) for k in ("video", "audio")))
-    kinds = kinds.select(*PERIOD, F.size("audio").alias("n_audio"), F.size("video").alias("n_video"))
-
-    def hits(v, a):
-        shorter = F.least(v["e"] - v["s"], a["e"] - a["s"])
-        return (shorter > 0) & (F.least(v["e"], a["e"]) - F.greatest(v["s"], a["s"]) >= 0.5 * shorter) & (F.col("cell") == F.greatest(cut(v["s"]), cut(a["s"])))
-
-    met = cells.select(*PERIOD, "cell", F.explode("video").alias("v"), "audio").select(*PERIOD, F.col("v.as_id").alias("v_as"), F.col("v.seg_no").alias("v_no"), F.filter("audio", lambda a: hits(F.col("v"), a)).alias("a")).where("size(a) > 0")
-    by_video = met.groupBy(*PERIOD, "v_as", "v_no").agg(F.flatten(F.collect_list(F.transform("a", lambda x: F.struct(x["as_id"].alias("as_id"), x["seg_no"].alias("seg_no"))))).alias("a"))
-    whose = F.array_distinct(F.transform("a", lambda x: x["as_id"]))
-    full = by_video.join(kinds, PERIOD).where(F.size(whose) == F.col("n_audio"))
-    lowest = F.transform(whose, lambda k: F.struct(k.alias("as_id"), F.array_min(F.transform(F.filter("a", lambda x: x["as_id"] == k), lambda x: x["seg_no"])).alias("seg_no")))
-    own = F.array(F.struct(F.col("v_as").alias("as_id"), F.col("v_no").alias("seg_no")))
-    numbers = full.select(*PERIOD, F.explode(F.concat(own, lowest if match == "first" else F.col("a"))).alias("n")).select(*PERIOD, "n.as_id", "n.seg_no").distinct().withColumn("_hit", F.lit(True))
-    alone = kinds.where("n_audio = 0 or n_video = 0").select(*PERIOD, F.lit(True).alias("_alone"))
-    return rows.join(numbers, [*SET, "seg_no"], "left").join(alone, PERIOD, "left").where("_hit or _alone").select(*segs.columns)
+        told = sets.groupBy(*PERIOD).agg(*(F.collect_set(F.when(F.col("media_type") == k, F.struct("as_id"))).alias(f"_told_{k}") for k in ("video", "audio")))
+        spans = spans.join(told, PERIOD, "left")
+
+    of_period, of_cell = Window.partitionBy("_p", *PERIOD), Window.partitionBy("_p", *PERIOD, "cell")
+    none = F.array().cast("array<struct<as_id:string>>")
+    own = lambda kind: F.collect_set(F.when(F.col("media_type") == kind, F.struct("as_id"))).over(of_period)
+    count = lambda kind: F.size(F.array_union(own(kind), F.coalesce(f"_told_{kind}", none)) if sets is not None else own(kind))
+    audio = F.collect_set(F.when(F.col("media_type") == "audio", F.struct("as_id", "seg_no", "s", "e")))
+    cells = spans.withColumn("audio", audio.over(of_cell)).withColumns({"n_audio": count("audio"), "n_video": count("video")})
+
+    def hits(a):
+        shorter = F.least(F.col("e") - F.col("s"), a["e"] - a["s"])
+        return (shorter > 0) & (F.least(F.col("e"), a["e"]) - F.greatest(F.col("s"), a["s"]) >= 0.5 * shorter) & (F.col("cell") == F.greatest(cut(F.col("s")), cut(a["s"])))
+
+    # a number of a period with one track type stands for itself: it has no audio to find
+    alone = (F.col("n_audio") == 0) | (F.col("n_video") == 0)
+    met = cells.select(*PERIOD, "as_id", "seg_no", "n_audio", alone.alias("alone"), F.explode_outer(F.when(~alone & (F.col("media_type") == "video"), F.filter("audio", hits))).alias("a")).where("alone or a is not null")
+    met = met.select(*PERIOD, "as_id", "seg_no", "n_audio", "alone", F.col("a.as_id").alias("a_as"), F.col("a.seg_no").alias("a_no"))
+    met = met.groupBy(*PERIOD, "as_id", "seg_no", "n_audio", "alone", "a_as").agg(F.min("a_no").alias("a_no")) if match == "first" else met.distinct()
+    matched = F.size(F.collect_set(F.struct("a_as")).over(Window.partitionBy(*PERIOD, "as_id", "seg_no")))
+    full = met.withColumn("matched", matched).where("alone or matched = n_audio")
+    both = F.array(F.struct("as_id", "seg_no"), F.when(~F.col("alone"), F.struct(F.col("a_as").alias("as_id"), F.col("a_no").alias("seg_no"))))
+    key = lambda df: df.withColumn("_k", F.xxhash64(*SET, "seg_no"))
+    numbers = key(full.select(*PERIOD, F.explode(both).alias("n")).where("n is not null").select(*PERIOD, "n.as_id", "n.seg_no").distinct())
+    return key(rows).join(numbers, ["_k", *SET, "seg_no"], "left_semi").select(*segs.columns)
 
 
 def publish_immediately(segs: DataFrame) -> DataFrame:
