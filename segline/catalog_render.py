@@ -114,12 +114,14 @@ x as (select distinct channel_id, period_id, media_type, as_id, rep_id, seg_no,
  v as (select *, s + len * case seg_no % 5 when 0 then 0.02::double when 4 then 450.0::double else 1.0::double end as e from x where media_type = 'video'), a as (select *, s + len * case seg_no % 7 when 0 then 0.02::double when 6 then 90.0::double else 1.0::double end as e from x where media_type = 'audio')
 select v.channel_id, v.period_id, v.rep_id as v_rep, v.seg_no as v_no, a.rep_id as a_rep, a.seg_no as a_no from v join a on v.channel_id = a.channel_id and v.period_id = a.period_id and v.e > v.s and a.e > a.s and least(v.e, a.e) - greatest(v.s, a.s) >= 0.5 * least(v.e - v.s, a.e - a.s)""", dedup=True)
 def _(spark, sf):
-    """Spans of a fiftieth of a second to over an hour on both sides."""
-    d = segs(spark, sf).select(*TRACK, "seg_no", "media_type", S.pts_seconds("start_pts", "timescale").alias("s"), ((F.col("end_pts") - F.col("start_pts")) / F.lit(90000.0)).alias("len"))
-    n = F.col("seg_no")
-    v = d.where("media_type = 'video'").select(*PERIOD, F.col("rep_id").alias("v_rep"), n.alias("v_no"), F.col("s").alias("start_s"), (F.col("s") + F.col("len") * F.when(n % 5 == 0, 0.02).when(n % 5 == 4, 450.0).otherwise(1.0)).alias("end_s"))
-    a = d.where("media_type = 'audio'").select(*PERIOD, F.col("rep_id").alias("a_rep"), n.alias("a_no"), F.col("s").alias("r_start_s"), (F.col("s") + F.col("len") * F.when(n % 7 == 0, 0.02).when(n % 7 == 6, 90.0).otherwise(1.0)).alias("r_end_s"))
-    return publish.overlap_join(v, a).select(*PERIOD, "v_rep", "v_no", "a_rep", "a_no")
+    """Spans of a fiftieth of a second to over an hour on both sides. Their levels are those of all writes, so the last ones are found once."""
+    n, s, video = F.col("seg_no"), S.pts_seconds("start_pts", "timescale"), F.col("media_type") == "video"
+    long = F.when(video, F.when(n % 5 == 0, 0.02).when(n % 5 == 4, 450.0).otherwise(1.0)).otherwise(F.when(n % 7 == 0, 0.02).when(n % 7 == 6, 90.0).otherwise(1.0))
+    spans = lambda d: d.select(*PERIOD, "rep_id", "seg_no", "media_type", s.alias("s"), (s + ((F.col("end_pts") - F.col("start_pts")) / F.lit(90000.0)) * long).alias("e"))
+    found, d = publish.levels(spans(rows(spark, sf, "seg")), ("s", "e"), F.col("media_type")), spans(segs(spark, sf, TRACK, hashed=True))
+    v = d.where(video).select(*PERIOD, F.col("rep_id").alias("v_rep"), n.alias("v_no"), F.col("s").alias("start_s"), F.col("e").alias("end_s"))
+    a = d.where("media_type = 'audio'").select(*PERIOD, F.col("rep_id").alias("a_rep"), n.alias("a_no"), F.col("s").alias("r_start_s"), F.col("e").alias("r_end_s"))
+    return publish.overlap_join(v, a, known=(found.get("video", []), found.get("audio", []))).select(*PERIOD, "v_rep", "v_no", "a_rep", "a_no")
 
 
 # --- small rules ------------------------------------------------------------------------------------------

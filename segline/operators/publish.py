@@ -22,19 +22,24 @@ def _level(start: Column, end: Column) -> Column:
     return out
 
 
-def _levels(df: DataFrame, span: tuple[str, str]) -> list[int]:
-    """The levels that occur: LEVELS + 1 numbers at most."""
-    return [r[0] for r in df.where(F.col(span[1]) > F.col(span[0])).select(_level(F.col(span[0]), F.col(span[1]))).distinct().collect()]
+def levels(df: DataFrame, span: tuple[str, str], side: Column | None = None) -> dict:
+    """The levels that occur, LEVELS + 1 numbers at most, for each value of side."""
+    out: dict = {}
+    side = F.lit(0) if side is None else side
+    for k, level in df.where(F.col(span[1]) > F.col(span[0])).select(side, _level(F.col(span[0]), F.col(span[1]))).distinct().collect():
+        out.setdefault(k, []).append(level)
+    return out
 
 
-def overlap_join(left: DataFrame, right: DataFrame, on=tuple(PERIOD), tol: float = 0.5, bucket: float | None = None, left_span=("start_s", "end_s"), right_span=("r_start_s", "r_end_s")) -> DataFrame:
+def overlap_join(left: DataFrame, right: DataFrame, on=tuple(PERIOD), tol: float = 0.5, bucket: float | None = None, left_span=("start_s", "end_s"), right_span=("r_start_s", "r_end_s"), known: tuple[list[int], list[int]] | None = None) -> DataFrame:
     """Pairs whose overlap is at least tol of the shorter one; zero-length intervals match nothing.
 
     An equi-join on the keys and a cell of time, so a long period is many small keys; a pair is kept in the first cell
     that both touch, which makes a later distinct needless. With `bucket` (seconds) all cells are so long: for spans of
     about one length. Without, lengths may be mixed: a span lies in cells of its own level, which are as long as it is,
     and visits those of the higher levels that occur on the other side; a pair meets at the level of the longer one. So
-    no span has more than two copies a level, however long others are. That the levels are known takes one pass more.
+    no span has more than two copies a level, however long others are. That the levels are known takes one pass more of
+    either side, but with `known`: the levels of left and of right, or more than these, which costs copies only.
     """
     (a, b), (c, d) = left_span, right_span
     shorter = F.least(F.col(b) - F.col(a), F.col(d) - F.col(c))
@@ -45,13 +50,14 @@ def overlap_join(left: DataFrame, right: DataFrame, on=tuple(PERIOD), tol: float
         two = right.where(F.col(d) > F.col(c)).withColumn("_b", F.explode(F.sequence(cut(c), cut(d))))
         return one.join(two, [*on, "_b"]).where((F.col("_b") == F.greatest(cut(a), cut(c))) & match).drop("_b")
 
-    ours, theirs = _levels(left, left_span), _levels(right, right_span)
+    ours, theirs = known or (levels(df, span).get(0, []) for df, span in ((left, left_span), (right, right_span)))
     wide = F.element_at(F.array(*(F.lit(LEAST_S * STEP**k) for k in range(LEVELS)), F.lit(LEAST_S * STEP ** (LEVELS + 8))), F.col("_m") + 1)
 
     def dealt(df: DataFrame, span: tuple[str, str], own: str, cell: str, others: list[int]) -> DataFrame:
         s, e = map(F.col, span)
-        at = F.filter(F.array(*(F.lit(k) for k in sorted({*ours, *theirs}))), lambda k: (k == F.col(own)) | ((k > F.col(own)) & k.isin(others)))
-        rows = df.where(e > s).withColumn(own, _level(s, e)).withColumn("_m", F.explode(at))
+        every = F.explode(F.array(*(F.lit(k) for k in sorted({*ours, *theirs}))).cast("array<int>"))
+        rows = df.where(e > s).withColumn(own, _level(s, e)).withColumn("_m", every)
+        rows = rows.where((F.col("_m") == F.col(own)) | ((F.col("_m") > F.col(own)) & F.col("_m").isin(others)))
         return rows.withColumn(cell, F.floor(s / wide).cast("bigint")).withColumn("_b", F.explode(F.sequence(F.col(cell), F.floor(e / wide).cast("bigint"))))
 
     one, two = dealt(left, left_span, "_lo", "_lc", theirs), dealt(right, right_span, "_ro", "_rc", ours)

@@ -14,6 +14,13 @@ def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def test_levels_take_one_pass_without_last_writes(spark, monkeypatch):
+    seen, levels = [], publish.levels
+    monkeypatch.setattr(publish, "levels", lambda df, *more: seen.append(plan(df)) or levels(df, *more))
+    catalog.QUERIES["j1_mixed_lengths"](spark, SF)
+    assert len(seen) == 1 and "Window" not in seen[0] and "Exchange" not in seen[0]
+
+
 def test_barrier_joins_segments_once(spark):
     text = plan(catalog.QUERIES["j2_av_barrier"](spark, SF))
     assert text.count("Join") == 1 and text.count("FileScan") == 2 and text.count("Exchange hashpartitioning") <= 5
