@@ -5,26 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import Workspace
+from .storage import Workspace, unless_few
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, rows: int) -> DataFrame:
     """Every node joins its larger neighbours to the smallest node it knows (itself included)."""
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+    return both.where("v > u").join(unless_few(least, 2 * rows), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, rows: int) -> DataFrame:
     """Every node joins its smaller neighbours, and itself, to the smallest of them."""
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     least = down.groupBy("u").agg(F.min("v").alias("m"))
-    moved = down.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    moved = down.join(unless_few(least, rows), "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(least.select("u", F.col("m").alias("v")))
 
 
-def star_rounds(edges: DataFrame, ws: Workspace, most: int) -> tuple[DataFrame, bool]:
-    """Edges (u > v) after so many rounds at most, each node's smallest among them, and whether the last one changed nothing.
+def star_rounds(edges: DataFrame, ws: Workspace, most: int) -> tuple[DataFrame, bool, int]:
+    """Edges (u > v) after so many rounds at most, each node's smallest among them, whether the last one changed nothing, and how many they are.
     They join what the given edges join. Each round is written to the shared folder; the driver sees only two numbers
     of it, which come with the writing."""
 
@@ -37,10 +37,10 @@ def star_rounds(edges: DataFrame, ws: Workspace, most: int) -> tuple[DataFrame,
     for _ in range(most):
         if same:
             break
-        after, after_mark = saved(_small_star(_large_star(now)))
+        after, after_mark = saved(_small_star(_large_star(now, mark[0]), mark[0]))
         ws.drop(now)
         now, same, mark = after, after_mark == mark, after_mark
-    return now, same
+    return now, same, mark[0]
 
 
 def components(edges: DataFrame, ws: Workspace, max_rounds: int = 60) -> DataFrame:
@@ -49,7 +49,7 @@ def components(edges: DataFrame, ws: Workspace, max_rounds: int = 60) -> DataFra
     Self-loops, repeated edges and rows with a null end add nothing; an empty table gives an empty one.
     Stops when a round leaves the edges as they were: then every node hangs on its root.
     """
-    now, same = star_rounds(edges, ws, max_rounds)
+    now, same, _ = star_rounds(edges, ws, max_rounds)
     if not same:
         raise RuntimeError(f"components: no fixed point after {max_rounds} rounds")
     roots = now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()

@@ -12,13 +12,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components, star_rounds
-from .storage import Workspace
+from .storage import FEW, Workspace, shuffled, unless_few
 
 HASHES, ROWS, WIDTH = 128, 4, 2  # a kept minimum's bytes: its low 16 bits tell unequal ones apart but for 1 in 65536
 #: Of a block of pairs compared in place: unlike nodes and the tokens of their sets (8 MB), and others that pass by.
 BLOCK_ODD, BLOCK_TOKENS, BLOCK_ALL = 4096, 1 << 20, 4096
-#: Ids that a semi-join may broadcast (8 MB); more of them are joined by a shuffle.
-FEW = 1_000_000
 #: Standard deviations of a signature's share by which a pair may fall short.
 SLACK = 7
 BANDS = HASHES // ROWS
@@ -166,20 +164,20 @@ def _linked_blocks(blocks: DataFrame, num: int, den: int) -> DataFrame:
 def _having(df: DataFrame, column: str, ids: DataFrame, most: int) -> DataFrame:
     """Rows of df whose column is in ids (node, distinct, `most` at most): by broadcast if that is few, else by a shuffle."""
     named = ids.select(F.col("node").alias(column))
-    return df.join(F.broadcast(named) if most <= FEW else named, column, "left_semi")
+    return df.join(F.broadcast(named) if most <= FEW else shuffled(named), column, "left_semi")
 
 
 def _blocks(spread: DataFrame, most: int, sets: DataFrame, num: int, den: int, ws: Workspace) -> DataFrame:
     """Rows (key, step, mb, xb, side, node, root, items) of the blocks of spread's buckets, see _linked_blocks()."""
     # a linked pair's sizes differ by one step at most
     step = F.floor(F.log(F.col("n").cast("double")) / float(np.log(1.001 * den / num))).cast("int")
-    dealt = spread.join(_having(sets, "node", spread.select("node").distinct(), most), "node").withColumn("n", F.octet_length("items") / 8).withColumn("step", step)
+    dealt = unless_few(spread, most, FEW).join(_having(sets, "node", spread.select("node").distinct(), most), "node").withColumn("n", F.octet_length("items") / 8).withColumn("step", step)
     unlike = dealt.where("root <> main").withColumn("step", F.explode(F.array(*(F.col("step") + i for i in (-1, 0, 1)))))
     odd = unlike.groupBy("key", "step").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK_ODD, F.sum("n") / BLOCK_TOKENS)).cast("int").alias("xbs"))
-    counts = ws.save(dealt.groupBy("key", "step").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ALL).cast("int").alias("mbs")).join(odd, ["key", "step"]), "blocks")
+    counts, n = ws.measured(dealt.groupBy("key", "step").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ALL).cast("int").alias("mbs")).join(odd, ["key", "step"]), "blocks")
     lot = lambda c: F.pmod(F.xxhash64("node", F.lit(c)), F.col(c)).cast("int")
     all_of = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
-    near = lambda side: side.join(counts, ["key", "step"])
+    near = lambda side: side.join(unless_few(counts, n["n"], FEW), ["key", "step"])
     one = near(unlike).withColumn("xb", lot("xbs")).withColumn("mb", all_of("mbs")).withColumn("side", F.lit(0))
     return one.unionByName(near(dealt).withColumn("mb", lot("mbs")).withColumn("xb", all_of("xbs")).withColumn("side", F.lit(1)))
 
@@ -243,14 +241,15 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, similarity_percent: int
     buckets = heads.select("node", "sig", band).select(F.xxhash64("i", F.substring("sig", F.col("i") * size + 1, F.lit(size))).alias("key"), "node")
     drawn = F.min(F.struct(F.xxhash64("key", "node").alias("h"), "node"))
     full = buckets.groupBy("key").agg(drawn["node"].alias("pivot"), F.min("node").alias("lo"), F.max("node").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo < hi")
-    in_full = ws.save(buckets.join(full.select("key", "pivot", "size"), "key").select("key", "node", "pivot", "size"), "buckets")
+    # a row of heads gives BANDS of buckets, which Spark sizes as one
+    in_full, full_rows = ws.measured(shuffled(buckets).join(full.select("key", "pivot", "size"), "key").select("key", "node", "pivot", "size"), "buckets")
     shared, many = ws.measured(in_full.select("node").distinct(), "shared")
     sets = ws.save(_sets(_having(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "doc_id", shared, many["n"]), words).distinct(), "sets")
 
-    def likely(pairs: DataFrame) -> DataFrame:
+    def likely(pairs: DataFrame) -> tuple[DataFrame, dict]:
         sigs = _having(heads.select("node", "sig"), "node", shared, many["n"])
         sig = lambda end: sigs.select(F.col("node").alias(end), F.col("sig").alias(f"sig_{end}"))
-        return ws.save(_alike(pairs.join(sig("b"), "b").join(sig("a"), "a"), floor), "likely")
+        return ws.measured(_alike(unless_few(pairs, full_rows["n"], FEW).join(sig("b"), "b").join(sig("a"), "a"), floor), "likely")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         pairs, n = ws.measured(pairs.select("a", "b").distinct(), "pairs")
@@ -258,16 +257,16 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, similarity_percent: int
             return pairs.select(F.col("a").alias("u"), F.col("b").alias("v"))
         held = _having(sets, "node", pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), 2 * n["n"])
         items = lambda end: held.select(F.col("node").alias(end), F.col("items").alias(f"items_{end}"))
-        found = _linked(pairs.join(items("b"), "b").join(items("a"), "a"), num, den)
+        found = _linked(unless_few(pairs, n["n"], FEW).join(items("b"), "b").join(items("a"), "a"), num, den)
         return ws.save(found.select(F.col("a").alias("u"), F.col("b").alias("v")), "links")
 
-    def rooted(pairs: DataFrame, roots: DataFrame) -> DataFrame:
-        """Pairs whose ends have different roots."""
-        of = lambda end: roots.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}"))
+    def rooted(pairs: DataFrame, roots: DataFrame, most: int) -> DataFrame:
+        """Pairs whose ends have different roots, of which there are so many at most."""
+        of = lambda end: unless_few(roots, most, FEW).select(F.col("node").alias(end), F.col("root").alias(f"root_{end}"))
         return pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b"))
 
     ends = [F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")]
-    alike = likely(in_full.where("node <> pivot").select(*ends).distinct())
+    alike, some = likely(in_full.where("node <> pivot").select(*ends).distinct())
     both = alike.select(F.explode(F.array("a", "b")).alias("node"), F.struct("near", "a", "b").alias("p"))
     best = both.groupBy("node").agg(F.max("p").alias("p")).select("p.a", "p.b")
     # rows that share a doc_id but not a text hold together
@@ -275,23 +274,23 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, similarity_percent: int
     reused = named.groupBy("doc_id").agg(F.min(mark).alias("lo"), F.max(mark).alias("hi")).where("lo < hi").select("doc_id")
     member = named.select("doc_id", "same").join(reused, "doc_id").distinct().join(classes, "same").select("doc_id", "node")
     again = member.join(member.groupBy("doc_id").agg(F.min("node").alias("v")), "doc_id").where("node <> v").select(F.col("node").alias("u"), "v")
-    links, _ = star_rounds(confirmed(best).unionByName(again), ws, 2)
+    links, _, joined = star_rounds(confirmed(best).unionByName(again), ws, 2)
     reached = links.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root"))
-    links = links.unionByName(confirmed(rooted(alike, reached).join(best, ["a", "b"], "left_anti")))
-    roots = ws.save(components(links, ws), "roots")
+    links = links.unionByName(confirmed(rooted(alike, reached, joined).join(unless_few(best, some["n"], FEW), ["a", "b"], "left_anti")))
+    roots, rows = ws.measured(components(links, ws), "roots")
 
-    sized = in_full.where("size > 2").join(roots, "node", "left").select("key", "node", "pivot", F.coalesce("root", "node").alias("root"))
+    sized = in_full.where("size > 2").join(unless_few(roots, rows["n"], FEW), "node", "left").select("key", "node", "pivot", F.coalesce("root", "node").alias("root"))
     mixed = sized.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.max(F.when(F.col("node") == F.col("pivot"), F.col("root"))).alias("main")).where("lo < hi")
     spread, far = ws.measured(sized.join(mixed.select("key", "main"), "key").where("node <> pivot").select("key", "node", "root", "main"), "spread")
     if far["n"]:
         more, found = ws.measured(_linked_blocks(_blocks(spread, far["n"], sets, num, den, ws), num, den).distinct(), "links")
         if found["n"]:
-            roots = components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more), ws)
+            roots, rows = ws.measured(components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more), ws), "roots")
 
     return (
         sketch.select("doc_id", "n", "same")
         .join(classes, "same", "left")
-        .join(roots, "node", "left")
+        .join(unless_few(roots, rows["n"], FEW), "node", "left")
         .select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "node", "doc_id")).alias("component_id"))
         .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
     )

@@ -12,6 +12,9 @@ from segline.session import on_workers
 
 _OWN: dict[str, str] = {}
 
+#: Rows of a few numbers that a join may broadcast (some 100 MB of the driver's memory); more of them are joined by a shuffle.
+FEW = 1_000_000
+
 
 def shared_root(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir; where it is unset and the master local (tests), a new temporary one."""
@@ -27,6 +30,17 @@ def shared_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """df as a side of a join that must not be broadcast. Spark takes a table for as small as its compressed files and an
+    explode for one row a row, so its own choice may bring many times its limit to the driver."""
+    return df.hint("shuffle_merge")
+
+
+def unless_few(df: DataFrame, rows: int, few: int = FEW) -> DataFrame:
+    """df as a side of a join: with more than so many counted rows it is not broadcast."""
+    return df if rows <= few else shuffled(df)
+
+
 class Workspace:
     """Written tables cut lineage: a lost executor costs its own tasks, never an earlier stage.
 
