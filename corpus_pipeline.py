@@ -11,7 +11,7 @@ from segline.llm.line_dedup import drop_repeated_runs
 from segline.llm.near_dedup import near_duplicates
 from segline.llm.packing import pack_documents
 from segline.llm.quality_rules import score_documents
-from segline.llm.storage import Workspace, table
+from segline.llm.storage import Workspace, table, unless_few
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,9 +37,10 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Several rows of one doc_id are one document, of which the least row stays. Rows without doc_id stay.
     """
     ws = Workspace(spark, "near-stage")
-    gone = ws.save(near_duplicates(docs).where("not kept").select("doc_id").distinct(), "gone")
-    kept = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
-    repeated = ws.save(kept.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id"), "repeated")
+    gone, n = ws.measured(near_duplicates(docs).where("not kept").select("doc_id").distinct(), "gone")
+    kept = docs.join(unless_few(gone, n["n"]), "doc_id", "left_anti").select(docs.columns)
+    repeated, n = ws.measured(kept.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id"), "repeated")
+    repeated = unless_few(repeated, n["n"])
     least = kept.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*")
     return kept.join(repeated, "doc_id", "left_anti").select(docs.columns).unionByName(least)
 

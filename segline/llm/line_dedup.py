@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .storage import Workspace
+from .storage import Workspace, shuffled
 
 #: Words of a gram, and words of a run that is found for certain and deleted (nothing shorter is).
 GRAM, RUN = 25, 50
@@ -107,7 +107,7 @@ def drop_repeated_runs(docs: DataFrame, *, gram: int = GRAM, run: int = RUN) ->
     lines = F.split("doc.text", "\n")
     cut = F.array_join(F.filter(lines, lambda x, i: F.coalesce(F.get("marks", i), F.lit("0")) == "0"), "\n")
     text = F.when(F.col("marks").isNull(), F.col("doc.text")).otherwise(cut)
-    return base.join(marks, "rid", "left").select(
+    return base.join(shuffled(marks), "rid", "left").select(  # marks are strings by line, which Spark sizes as one
         *(text.alias(c) if c == "text" else F.col("doc")[c].alias(c) for c in kept),
         F.when(F.col("doc.text").isNull(), 0).otherwise(F.size(lines)).alias("n_lines"),
         F.coalesce("removed", F.lit(0)).alias("n_removed"),

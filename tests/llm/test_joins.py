@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
-from segline.llm import near_dedup
+from segline.llm import line_dedup, near_dedup
 from segline.llm.components import components
 from segline.llm.storage import Workspace, shuffled, unless_few
 from tests.llm.test_operators import SF
@@ -31,6 +33,14 @@ def test_buckets_are_not_broadcast(spark, monkeypatch, words):
     assert len(made) == 1 and "BroadcastHashJoin" not in made[0] and "SortMergeJoin" in made[0]
 
 
+def test_marks_of_lines_are_not_broadcast(spark, monkeypatch):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    out = line_dedup.drop_repeated_runs(docs)
+    out.collect()
+    kinds = re.findall(r"\w*Join", out._jdf.queryExecution().executedPlan().toString())
+    assert kinds[0] == "SortMergeJoin"
+
+
 def test_many_counted_rows_are_not_broadcast(spark):
     big, small = spark.range(100).withColumn("x", F.lit(1)), spark.range(10)
     plan = lambda side: big.join(side, "id")._jdf.queryExecution().executedPlan().toString()
