@@ -15,6 +15,7 @@ import uuid
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from datetime import datetime, timezone
+from threading import Lock
 
 import pyarrow as pa
 from pyarrow import fs
@@ -30,6 +31,7 @@ PATHS = "channel_id string, period_id string, media_type string, as_id string, r
 CHUNK, MOST_HEADER = 4096, 1 << 20
 _SEGMENT, _SET = re.compile(r"(\d{1,18})\.(m4s|mp4|ts|vtt)"), re.compile(r"([^/_]+)_([^/]+)")
 _PLAIN = re.compile(_PLAIN_ID)
+_REGISTERING = Lock()
 
 
 def encoded(ident: str) -> str:
@@ -236,9 +238,11 @@ class SegmentStore(DataSource):
 
 
 def registered(spark: SparkSession) -> SparkSession:
-    """The session, knowing the source."""
+    """The session, knowing the source, and active in this thread: a source is looked up in the active session."""
     on_workers(spark)
-    spark.dataSource.register(SegmentStore)
+    spark.createDataFrame([], "id int")  # makes it active
+    with _REGISTERING:
+        spark.dataSource.register(SegmentStore)
     return spark
 
 
@@ -277,5 +281,5 @@ def drop_channels(spark: SparkSession, root: str) -> None:
             yield batch
 
     if names:
-        spark.createDataFrame(names, "channel_id string").repartition(min(len(names), 64)).mapInArrow(drop, "channel_id string").count()
+        spark.createDataFrame(names, "channel_id string").repartition(min(len(names), 2 * spark.sparkContext.defaultParallelism)).mapInArrow(drop, "channel_id string").count()
         files.delete_dir(top)
